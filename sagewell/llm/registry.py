@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, licenses, sharding
+from . import bpe, decontam, licenses, sharding, simhash, webtext
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,14 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return os.path.join(os.path.dirname(spec.origin) if spec else "/opt/tokenizers", name)
 
 
+def op2_winnow_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("spans")
+
+
+def op3_html_template_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return webtext.extract_main_text(_table(spark, sf_dir, "pages"))
+
+
 def op4_bpe_speculative(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(_table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -29,10 +37,14 @@ def op7_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shuffle_shards(_table(spark, sf_dir, "documents"), 40)
 
 
+def op8_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_bpe_speculative, op7_hypergeometric_shards, op9_license_scan)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_winnow_decontam, op3_html_template_removal, op4_bpe_speculative, op7_hypergeometric_shards, op8_simhash_golay, op9_license_scan)}
 
 ORACLE_SQL: dict[str, str] = {}
