@@ -4,7 +4,32 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sagewell.llm import bpe, common, registry
+from sagewell.llm import bpe, common, decontam, registry, secrets, simhash, toxicity
+
+#: The columns of documents.
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+MASK = "[SECRET]"
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the documents whose expected severity stays below the rejection mark."""
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.filter_clean(docs.select(*COLUMNS), model)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the first document of each SimHash group."""
+    return simhash.keep_first(docs.select(*COLUMNS))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the documents that hold no window of a benchmark item."""
+    return decontam.filter_clean(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Masks the secrets found in every document; all documents stay."""
+    return secrets.mask_secrets(docs.select(*COLUMNS), MASK)
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -12,8 +37,9 @@ def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return bpe.encode_decode(docs, registry.tokenizer_path())
 
 
-STAGES = [("bpe", encode_tokens)]
+STAGES = [("toxicity", drop_toxic), ("simhash", drop_near_copies), ("decontamination", drop_contaminated), ("secrets", mask_secrets), ("bpe", encode_tokens)]
 
+#: The stages hold models and hashes that SQL has no functions for; tests compare with brute force.
 ORACLE_SQL = None
 
 

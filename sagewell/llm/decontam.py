@@ -118,6 +118,20 @@ class ItemIndex:
         return spans, found
 
 
+def _passes(items: DataFrame, id_col: str, text_col: str, words_per_pass: int) -> list[list[tuple[str, list[bytes]]]]:
+    """Items with their words, dealt to passes of bounded size."""
+    passes: list[list[tuple[str, list[bytes]]]] = [[]]
+    size = 0
+    for r in items.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("i"), F.col(text_col).alias("t")).toLocalIterator():
+        words = split_words((r["t"] or "").encode())
+        if passes[-1] and size + len(words) > words_per_pass:
+            passes.append([])
+            size = 0
+        passes[-1].append((r["i"], words))
+        size += len(words)
+    return passes
+
+
 def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window_words: int = 10, words_per_pass: int = WORDS_PER_PASS) -> DataFrame:
     """Words of documents inside any window of window_words consecutive words of an item.
 
@@ -137,15 +151,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
     if window_words < KGRAM:
         raise ValueError(f"a window has {KGRAM} words at least")
     spark, kind = docs.sparkSession, dict(docs.dtypes)[id_col]
-    passes: list[list[tuple[str, list[bytes]]]] = [[]]
-    size = 0
-    for r in items.select(F.coalesce(F.col(item_id_col).cast("string"), F.lit("")).alias("i"), F.col(item_text_col).alias("t")).toLocalIterator():
-        words = split_words((r["t"] or "").encode())
-        if passes[-1] and size + len(words) > words_per_pass:
-            passes.append([])
-            size = 0
-        passes[-1].append((r["i"], words))
-        size += len(words)
+    passes = _passes(items, item_id_col, item_text_col, words_per_pass)
 
     found = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.array().cast("array<bigint>").alias("ends"), F.array().cast("array<string>").alias("items"))
     for part in passes:
@@ -182,3 +188,30 @@ def _pass(shared):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ends, pa.list_(pa.int64())), pa.array(names, pa.list_(pa.string()))], names=["doc_id", "text", "ends", "items"])
 
     return work
+
+
+def filter_clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window_words: int = 10, words_per_pass: int = WORDS_PER_PASS) -> DataFrame:
+    """The rows of docs without any hit, with all their columns; null and empty texts are clean.
+
+    A pass over the documents per block of items; no shuffle. Repeated rows stay repeated.
+    """
+    if window_words < KGRAM:
+        raise ValueError(f"a window has {KGRAM} words at least")
+    at = docs.columns.index(text_col)
+
+    def clean(shared):
+        memo = Hashes()
+
+        def work(batch):
+            keep = []
+            for text in raw(batch.column(at)):
+                words = split_words(text)
+                keep.append(not shared.value.spans(words, memo.of(words))[0])
+            yield batch.filter(pa.array(keep))
+
+        return work
+
+    for part in _passes(items, item_id_col, item_text_col, words_per_pass):
+        shared = docs.sparkSession.sparkContext.broadcast(ItemIndex(part, window_words))
+        docs = map_arrow(docs, clean(shared), docs.schema)
+    return docs

@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, licenses, sharding, simhash, webtext
+from . import bpe, caps, decontam, katz, licenses, secrets, sharding, simhash, toxicity, webtext
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return os.path.join(os.path.dirname(spec.origin) if spec else "/opt/tokenizers", name)
 
 
+def op1_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score_texts(_table(spark, sf_dir, "documents"))
+
+
 def op2_winnow_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("spans")
 
@@ -33,6 +37,15 @@ def op4_bpe_speculative(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op5_toxicity_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
+
+
+def op6_spherical_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return caps.near_duplicate_vectors(_table(spark, sf_dir, "embeddings"), 0.9)
+
+
 def op7_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shuffle_shards(_table(spark, sf_dir, "documents"), 40)
 
@@ -45,6 +58,24 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_winnow_decontam, op3_html_template_removal, op4_bpe_speculative, op7_hypergeometric_shards, op8_simhash_golay, op9_license_scan)}
+def op10_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_secrets(_table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        op1_katz_backoff,
+        op2_winnow_decontam,
+        op3_html_template_removal,
+        op4_bpe_speculative,
+        op5_toxicity_ordinal,
+        op6_spherical_caps,
+        op7_hypergeometric_shards,
+        op8_simhash_golay,
+        op9_license_scan,
+        op10_secret_forest,
+    )
+}
 
 ORACLE_SQL: dict[str, str] = {}

@@ -211,55 +211,77 @@ def default_forest(n: int = 6000, seed: int = 11) -> Forest:
     return Forest().fit(np.array(x), np.array(y, float))
 
 
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source", forest: Forest | None = None, threshold: float = 0.5, mask: str | None = None) -> DataFrame:
-    """Findings in every whole text: doc_id, n_candidates, n_secrets, max_score, spans, findings_sha256, and redacted if mask is given.
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source", forest: Forest | None = None, threshold: float = 0.5) -> DataFrame:
+    """Findings in every whole text: doc_id, n_candidates, n_secrets, max_score, spans, findings_sha256.
 
     Candidates are all runs of key characters; none is passed over by length or number. The forest
     (fixed size, broadcast) removes false positives by length, entropy, letter transitions, share of
     common word parts, path and neighbouring words. forest: one fitted on own labelled findings;
     default_forest() is fitted on labelled_findings(), whose number of rows bounds the sample.
     spans are [start, end) in UTF-8 bytes; findings_sha256 digests the secrets found, in order,
-    joined by newlines; mask replaces each in redacted. Null and empty texts have no candidates
-    (redacted keeps null), a null path is empty, repeated rows come back each, an empty table gives
-    no rows, other columns are ignored.
+    joined by newlines. Null and empty texts have no candidates, a null path is empty, repeated rows
+    come back each, an empty table gives no rows, other columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(forest or default_forest())
-    cover = (mask or "").encode()
 
     def work(batch):
-        rows, redacted = [], []
-        texts, paths = raw(batch.column(1)), batch.column(2).to_pylist()
-        at = 0
-        while at < len(texts):  # candidates of a few texts at once
-            found, x, end = [], [], at
-            while end < len(texts) and (end == at or len(x) < 5000):
-                spans = candidates(texts[end])
-                found.append(spans)
-                x += [features(texts[end][s:e], texts[end][max(0, s - WINDOW) : s], texts[end][e : e + WINDOW], paths[end] or "") for s, e in spans]
-                end += 1
-            scores = shared.value.predict(np.array(x, float)) if x else np.zeros(0)
-            used = 0
-            for text, spans in zip(texts[at:end], found, strict=True):
-                own = scores[used : used + len(spans)]
-                used += len(spans)
-                secret = [s for s, p in zip(spans, own.tolist(), strict=True) if p >= threshold]
-                rows.append((len(spans), len(secret), float(own.max()) if len(own) else 0.0, [list(s) for s in secret], hashlib.sha256(b"\n".join(text[s:e] for s, e in secret)).hexdigest()))
-                if mask is not None:
-                    parts, last = [], 0
-                    for s, e in secret:
-                        parts += [text[last:s], cover]
-                        last = e
-                    redacted.append(b"".join([*parts, text[last:]]) if secret else text)
-            at = end
+        rows = []
+        for text, spans, scores in _judged(raw(batch.column(1)), batch.column(2).to_pylist(), shared):
+            secret = [list(s) for s, p in zip(spans, scores.tolist(), strict=True) if p >= threshold]
+            rows.append((len(spans), len(secret), float(scores.max()) if len(scores) else 0.0, secret, hashlib.sha256(b"\n".join(text[s:e] for s, e in secret)).hexdigest()))
         types = [pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.list_(pa.int64())), pa.string()]
         columns = [batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True))]
-        names = ["doc_id", "n_candidates", "n_secrets", "max_score", "spans", "findings_sha256"]
-        if mask is not None:
-            empty = batch.column(1).is_null().to_pylist()
-            columns.append(pa.array([None if n else t.decode("utf-8", "replace") for t, n in zip(redacted, empty, strict=True)], pa.string()))
-            names.append("redacted")
-        yield pa.RecordBatch.from_arrays(columns, names=names)
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_candidates", "n_secrets", "max_score", "spans", "findings_sha256"])
 
     path = F.col(path_col).cast("string") if path_col in docs.columns else F.lit("")
-    schema = f"doc_id {dict(docs.dtypes)[id_col]}, n_candidates bigint, n_secrets bigint, max_score double, spans array<array<bigint>>, findings_sha256 string" + ", redacted string" * (mask is not None)
+    schema = f"doc_id {dict(docs.dtypes)[id_col]}, n_candidates bigint, n_secrets bigint, max_score double, spans array<array<bigint>>, findings_sha256 string"
     return map_arrow(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), path.alias("path")), work, schema)
+
+
+def _judged(texts: list[bytes], paths: list, shared):
+    """Each text with its candidates and their scores; the forest sees candidates of a few texts at once."""
+    at = 0
+    while at < len(texts):
+        found, x, end = [], [], at
+        while end < len(texts) and (end == at or len(x) < 5000):
+            spans = candidates(texts[end])
+            found.append(spans)
+            x += [features(texts[end][s:e], texts[end][max(0, s - WINDOW) : s], texts[end][e : e + WINDOW], paths[end] or "") for s, e in spans]
+            end += 1
+        scores, used = shared.value.predict(np.array(x, float)) if x else np.zeros(0), 0
+        for text, spans in zip(texts[at:end], found, strict=True):
+            yield text, spans, scores[used : used + len(spans)]
+            used += len(spans)
+        at = end
+
+
+def mask_secrets(docs: DataFrame, mask: str = "[SECRET]", text_col: str = "text", path_col: str = "source", length_col: str = "n_chars", forest: Forest | None = None, threshold: float = 0.5) -> DataFrame:
+    """docs with mask in place of each secret that scan_secrets() finds; a column of text lengths follows.
+
+    All rows and columns stay; null texts stay null.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(forest or default_forest())
+    names, at = docs.columns, docs.columns.index(text_col)
+    path = names.index(path_col) if path_col in names else None
+
+    def work(batch):
+        paths = [""] * batch.num_rows if path is None else [None if p is None else str(p) for p in batch.column(path).to_pylist()]
+        out, changed = [], []
+        for text, spans, scores in _judged(raw(batch.column(at)), paths, shared):
+            parts, last = [], 0
+            for (s, e), p in zip(spans, scores.tolist(), strict=True):
+                if p >= threshold:
+                    parts += [text[last:s], mask.encode()]
+                    last = e
+            out.append(b"".join([*parts, text[last:]]).decode("utf-8", "replace"))
+            changed.append(last > 0)
+        there = batch.column(at).is_valid().to_pylist()
+        columns = list(batch.columns)
+        columns[at] = pa.array([t if ok else None for t, ok in zip(out, there, strict=True)], pa.string())
+        if length_col in names:
+            i = names.index(length_col)
+            old = batch.column(i).to_pylist()
+            columns[i] = pa.array([len(t) if c else o for t, c, o in zip(out, changed, old, strict=True)], batch.column(i).type)
+        yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return map_arrow(docs, work, docs.schema)

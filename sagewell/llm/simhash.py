@@ -179,3 +179,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = materialise(rooted.join(smallest, "root").select("fp", "component_id"), "named")
     return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each near-duplicate group, with all its columns: the one with the smallest id.
+
+    Rows are numbered in a table written first, so of rows that share the smallest id the first
+    stays; null ids come last.
+    """
+    rows = materialise(docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("row")), "numbered")
+    order = F.struct(F.col(f"doc.{id_col}").isNull().alias("no_id"), F.col(f"doc.{id_col}").alias("id"), "row")
+    groups = near_duplicates(rows.select(order.alias("doc_id"), F.col(f"doc.{text_col}").alias("text")))
+    kept = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id.row").alias("row"))
+    return rows.join(kept, "row", "left_semi").select("doc.*")

@@ -15,6 +15,8 @@ from .common import map_arrow, materialise, raw
 #: Bytes that part words: all ASCII but letters and the apostrophe become a space, A-Z lower case.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 or b == 39 else 32 for b in range(256))
 MEMO_WORDS = 400_000
+#: Expected severity from which a text counts as toxic.
+REJECT_AT = 0.35
 
 
 def text_words(text: bytes) -> set[bytes]:
@@ -145,28 +147,47 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return OrdinalModel({f: float(w[i]) for f, i in feature.items() if abs(w[i]) > 1e-4}, theta.tolist())
 
 
-def score(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text", reject_at: float = 0.35) -> DataFrame:
+def score(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text", reject_at: float = REJECT_AT) -> DataFrame:
     """doc_id, score, expected_severity, grade and toxic (expected severity of reject_at or more).
 
     The model (bounded by its number of features) is broadcast; whole texts are read. Null and empty
     texts have score 0, the severity of no evidence; repeated rows come back each; an empty table
     gives no rows; other columns are ignored.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    judge = _judge(docs, model)
 
-    class Words(dict):
-        def __missing__(self, word: bytes) -> float:
-            get = shared.value.weights.get
-            w = self[word] = math.fsum(get(f, 0.0) for f in word_features(word))
-            return w
+    def work(batch):
+        scores, severity, grade = judge(raw(batch.column(1)))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores), pa.array(severity), pa.array(grade, pa.int32()), pa.array(severity >= reject_at)], names=["doc_id", "score", "expected_severity", "grade", "toxic"])
+
+    return map_arrow(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")), work, f"doc_id {dict(docs.dtypes)[id_col]}, score double, expected_severity double, grade int, toxic boolean")
 
-    memo = Words()
+
+def filter_clean(docs: DataFrame, model: OrdinalModel, text_col: str = "text", reject_at: float = REJECT_AT) -> DataFrame:
+    """The rows of docs that score() would not call toxic, with all their columns."""
+    judge, at = _judge(docs, model), docs.columns.index(text_col)
 
     def work(batch):
+        yield batch.filter(pa.array(judge(raw(batch.column(at)))[1] < reject_at))
+
+    return map_arrow(docs, work, docs.schema)
+
+
+def _judge(docs: DataFrame, model: OrdinalModel):
+    """A function of texts to scores, expected severities and grades, over a broadcast model."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    memo: dict[bytes, float] = {}
+
+    def weight(word: bytes) -> float:
+        if (w := memo.get(word)) is None:
+            get = shared.value.weights.get
+            w = memo[word] = math.fsum(get(f, 0.0) for f in word_features(word))
+        return w
+
+    def judge(texts: list[bytes]):
         if len(memo) > MEMO_WORDS:
             memo.clear()
-        scores = np.array([math.fsum(map(memo.__getitem__, text_words(t))) for t in raw(batch.column(1))])
-        severity, grade = shared.value.severity(scores)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores), pa.array(severity), pa.array(grade, pa.int32()), pa.array(severity >= reject_at)], names=["doc_id", "score", "expected_severity", "grade", "toxic"])
+        scores = np.array([math.fsum(map(weight, text_words(t))) for t in texts])
+        return scores, *shared.value.severity(scores)
 
-    return map_arrow(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")), work, f"doc_id {dict(docs.dtypes)[id_col]}, score double, expected_severity double, grade int, toxic boolean")
+    return judge
