@@ -1,6 +1,518 @@
-"""Registered queries over the test tables, each with its SQL."""
+"""Registered queries over the test tables, each with its SQL where SQL can say it.
+
+Searches take every row whose id is divisible by 20 as queries, against all rows.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import scoring, vectors
+from .operators import chunking, embed, knn, lexical, lifecycle, metrics, quantize, rerank
+from .plans import recall as plans
+from .sources import files
+from .streaming.inbox import windowed_activity
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+NOW = "2024-02-01 00:00:00"
+
+
+def query(sql: str | None = None):
+    def add(fn):
+        QUERIES[fn.__name__] = fn
+        if sql:
+            ORACLE_SQL[fn.__name__] = sql
+        return fn
+
+    return add
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _r6(c: Column) -> Column:
+    return F.round(c, 6) + 0.0
+
+
+def _asked(emb: DataFrame) -> DataFrame:
+    return emb.where(F.col("vec_id") % 20 == 0)
+
+
+def _hits(spark: SparkSession, sf_dir: str, k: int = 10, exclude_self: bool = False) -> DataFrame:
+    emb = _table(spark, sf_dir, "embeddings")
+    return knn.exact_topk(emb, _asked(emb), k, exclude_self=exclude_self)
+
+
+_KNN = """q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS qe, label AS query_label FROM embeddings WHERE vec_id % 20 = 0),
+s AS (SELECT query_id, query_label, vec_id AS id, label, round(list_cosine_similarity(qe, embedding::DOUBLE[]), 12) AS score FROM q, embeddings {where}),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s)"""
+_ALL, _OTHERS = _KNN.format(where=""), _KNN.format(where="WHERE query_id <> vec_id")
+
+
+# vector kernels
+
+
+@query("""WITH p AS (SELECT label, generate_subscripts(embedding, 1) AS pos, unnest(embedding)::DOUBLE AS x FROM embeddings),
+m AS (SELECT label, pos, avg(x) AS m FROM p GROUP BY 1, 2), c AS (SELECT label, list(m ORDER BY pos) AS mean FROM m GROUP BY 1)
+SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], mean), 6) + 0.0 AS cosine, round(list_inner_product(embedding::DOUBLE[], mean), 6) + 0.0 AS dot,
+round(list_distance(embedding::DOUBLE[], mean) ^ 2, 6) + 0.0 AS l2_squared FROM embeddings JOIN c USING (label)""")
+def vector_kernels(spark, sf_dir):
+    emb = _table(spark, sf_dir, "embeddings")
+    both = emb.join(vectors.mean_vector(emb, "embedding", ["label"]), "label")
+    return both.select("vec_id", _r6(vectors.cosine("embedding", "mean")).alias("cosine"), _r6(vectors.dot("embedding", "mean")).alias("dot"), _r6(vectors.l2_squared("embedding", "mean")).alias("l2_squared"))
+
+
+@query("""SELECT vec_id, round(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS norm,
+CASE WHEN list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS unit_norm FROM embeddings""")
+def normalize_norms(spark, sf_dir):
+    return _table(spark, sf_dir, "embeddings").select("vec_id", F.round(vectors.norm("embedding"), 6).alias("norm"), F.round(vectors.norm(vectors.normalize("embedding")), 6).alias("unit_norm"))
+
+
+@query("""WITH p AS (SELECT vec_id, generate_subscripts(embedding, 1) AS pos, unnest(embedding)::DOUBLE AS x FROM embeddings),
+m AS (SELECT pos, avg(x) AS m FROM p GROUP BY 1), c AS (SELECT vec_id, pos, x - m AS y FROM p JOIN m USING (pos)),
+n AS (SELECT vec_id, sqrt(sum(y * y)) AS len FROM c GROUP BY 1)
+SELECT vec_id, round(sum(y / len), 6) + 0.0 AS total, round(max(y / len), 6) + 0.0 AS largest FROM c JOIN n USING (vec_id) GROUP BY vec_id""")
+def mean_center(spark, sf_dir):
+    c = vectors.mean_center(_table(spark, sf_dir, "embeddings"), "embedding")
+    return c.select("vec_id", _r6(F.aggregate("centered", F.lit(0.0), lambda a, x: a + x)).alias("total"), _r6(F.array_max("centered")).alias("largest"))
+
+
+# search
+
+
+@query(f"WITH {_ALL} SELECT query_id, id, round(score, 6) + 0.0 AS score, rank::INT AS rank FROM r WHERE rank <= 10")
+def knn_topk(spark, sf_dir):
+    return _hits(spark, sf_dir).withColumn("score", _r6(F.col("score")))
+
+
+@query(f"WITH {_OTHERS} SELECT query_id, id, round(score, 6) + 0.0 AS score, rank::INT AS rank FROM r WHERE rank <= 10")
+def knn_exclude_self(spark, sf_dir):
+    return _hits(spark, sf_dir, exclude_self=True).withColumn("score", _r6(F.col("score")))
+
+
+def _ivf(spark, sf_dir, n_probe):
+    emb = _table(spark, sf_dir, "embeddings")
+    centroids = knn.kmeans_cells(emb)
+    return knn.ivf_topk(knn.assign_cells(emb, centroids), centroids, _asked(emb), 10, n_probe)
+
+
+@query()
+def ivf_search(spark, sf_dir):
+    return _ivf(spark, sf_dir, 10).withColumn("score", _r6(F.col("score")))
+
+
+@query(f"WITH {_ALL} SELECT query_id, id, round(score, 6) + 0.0 AS score, rank::INT AS rank FROM r WHERE rank <= 10")
+def ivf_search_all_cells(spark, sf_dir):
+    return _ivf(spark, sf_dir, 16).withColumn("score", _r6(F.col("score")))
+
+
+@query()
+def graph_search(spark, sf_dir):
+    emb = _table(spark, sf_dir, "embeddings")
+    return knn.graph_topk(emb, _asked(emb), 10).withColumn("score", _r6(F.col("score")))
+
+
+@query()
+def ivf_cells(spark, sf_dir):
+    emb = _table(spark, sf_dir, "embeddings")
+    return knn.assign_cells(emb, knn.kmeans_cells(emb)).groupBy("cell").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {_OTHERS} SELECT least(query_id, id) AS a, greatest(query_id, id) AS b, round(max(score), 6) + 0.0 AS score FROM r WHERE rank <= 10 AND score >= 0.25 GROUP BY 1, 2""")
+def associate_pairs(spark, sf_dir):
+    emb = _table(spark, sf_dir, "embeddings")
+    return lifecycle.associate(emb, _asked(emb), 0.25).withColumn("score", _r6(F.col("score")))
+
+
+# retrieval metrics
+
+
+def _judged(spark, sf_dir):
+    emb = _table(spark, sf_dir, "embeddings")
+    grades = _asked(emb).select(F.col("vec_id").alias("query_id"), "label").join(emb.select(F.col("vec_id").alias("id"), "label"), "label").select("query_id", "id", F.lit(2).alias("grade"))
+    return metrics.retrieval_metrics(_hits(spark, sf_dir, 20), grades, 10)
+
+
+_JUDGED = f"""WITH {_ALL}, t AS (SELECT query_id, count(*) AS total FROM s WHERE label = query_label GROUP BY 1),
+j AS (SELECT *, CASE WHEN label = query_label THEN 2 ELSE 0 END AS g FROM r WHERE rank <= 20),
+a AS (SELECT query_id, sum(CASE WHEN rank <= 10 AND g > 0 THEN 1 ELSE 0 END) AS hits, min(CASE WHEN g > 0 THEN rank END) AS first,
+sum(CASE WHEN rank <= 10 THEN (2 ^ g - 1) / log2(rank + 1) ELSE 0 END) AS dcg FROM j GROUP BY 1),
+m AS (SELECT query_id, hits / 10.0 AS precision, hits / total AS recall, coalesce(1.0 / first, 0) AS rr,
+dcg / list_sum(list_transform(range(1, least(total, 10) + 1), lambda i: 3 / log2(i + 1))) AS ndcg, hits > 0 AS recall_any, hits = total AS recall_all FROM a JOIN t USING (query_id))"""
+
+
+@query(_JUDGED + " SELECT query_id, round(precision, 6)::DOUBLE AS precision, round(recall, 6)::DOUBLE AS recall, round(rr, 6)::DOUBLE AS rr, round(ndcg, 6)::DOUBLE AS ndcg, recall_any, recall_all FROM m")
+def search_metrics(spark, sf_dir):
+    return _judged(spark, sf_dir).select("query_id", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "rr", "ndcg")), "recall_any", "recall_all")
+
+
+@query(_JUDGED + """, n AS (SELECT count(*) AS n, avg(precision) AS precision, avg(recall) AS recall, avg(rr) AS mrr, avg(ndcg) AS ndcg, avg(recall_any::INT) AS p, avg(recall_all::INT) AS recall_all FROM m)
+SELECT n, round(precision, 6)::DOUBLE AS precision, round(recall, 6)::DOUBLE AS recall, round(mrr, 6)::DOUBLE AS mrr, round(ndcg, 6)::DOUBLE AS ndcg, round(p, 6) AS recall_any, round(recall_all, 6) AS recall_all,
+round(greatest(0, ((p + 1.96 * 1.96 / (2 * n)) - 1.96 * sqrt(p * (1 - p) / n + 1.96 * 1.96 / (4 * n * n))) / (1 + 1.96 * 1.96 / n)), 6)::DOUBLE AS any_low,
+round(least(1, ((p + 1.96 * 1.96 / (2 * n)) + 1.96 * sqrt(p * (1 - p) / n + 1.96 * 1.96 / (4 * n * n))) / (1 + 1.96 * 1.96 / n)), 6)::DOUBLE AS any_high FROM n""")
+def search_summary(spark, sf_dir):
+    s = metrics.summary(_judged(spark, sf_dir))
+    return s.select("n", *(F.round(c, 6).alias(c) for c in s.columns[1:]))
+
+
+@query(f"""WITH {_OTHERS}, a AS (SELECT query_id, bool_or(rank = 1 AND label = query_label) AS x, bool_or(rank = 2 AND label = query_label) AS y FROM r WHERE rank <= 2 GROUP BY 1),
+d AS (SELECT sum((x AND NOT y)::INT)::BIGINT AS only_a, sum((y AND NOT x)::INT)::BIGINT AS only_b FROM a),
+t AS (SELECT only_a, only_b, only_a + only_b AS n, least(only_a, only_b) AS k FROM d),
+c AS (SELECT only_a, only_b, n, list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2)))) AS tail FROM t)
+SELECT only_a, only_b, round(CASE WHEN n = 0 THEN 1 ELSE least(1, 2 * tail) END, 6)::DOUBLE AS p_value FROM c""")
+def paired_arms(spark, sf_dir):
+    emb = _table(spark, sf_dir, "embeddings").select("vec_id", "label")
+    near = _hits(spark, sf_dir, 2, exclude_self=True).join(emb.select(F.col("vec_id").alias("query_id"), F.col("label").alias("want")), "query_id").join(emb.select(F.col("vec_id").alias("id"), "label"), "id")
+    arms = [near.where(F.col("rank") == k).select("query_id", (F.col("label") == F.col("want")).alias("hit")) for k in (1, 2)]
+    return metrics.paired_test(*arms).withColumn("p_value", F.round("p_value", 6))
+
+
+# embedding spaces
+
+_PAIRS = """u AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
+p AS (SELECT list_cosine_similarity(a.v, b.v) AS c, a.label = b.label AS same FROM u a JOIN u b ON a.vec_id < b.vec_id),
+g AS (SELECT avg(c) AS anisotropy, coalesce(avg(c) FILTER (same), 0) AS intra, coalesce(avg(c) FILTER (NOT same), 0) AS inter FROM p)"""
+
+
+@query(f"WITH {_PAIRS} SELECT (SELECT count(*) FROM u) AS n, round(anisotropy, 6) + 0.0 AS anisotropy, round(intra, 6) + 0.0 AS intra, round(inter, 6) + 0.0 AS inter, round(intra - inter, 6) + 0.0 AS discrimination_gap FROM g")
+def space_statistics(spark, sf_dir):
+    s = metrics.space_statistics(_table(spark, sf_dir, "embeddings"))
+    return s.select("n", *(_r6(F.col(c)).alias(c) for c in s.columns[1:]))
+
+
+_SAMPLE = """o AS (SELECT vec_id, embedding::DOUBLE[] AS v, row_number() OVER (ORDER BY vec_id) - 1 AS pos, count(*) OVER () AS n FROM embeddings),
+e AS (SELECT * FROM o WHERE pos % (n // least(n, 100)) = 0 AND pos < (n // least(n, 100)) * 100)"""
+
+
+@query(f"WITH {_SAMPLE}, c AS (SELECT list_cosine_similarity(a.v, b.v) AS c FROM e a JOIN e b ON a.vec_id < b.vec_id) SELECT round(max(c) - min(c), 6) AS similarity_range FROM c")
+def similarity_range(spark, sf_dir):
+    sample = metrics.even_sample(_table(spark, sf_dir, "embeddings"), "vec_id")
+    return metrics.similarity_range(sample).select(F.round("similarity_range", 6).alias("similarity_range"))
+
+
+@query(f"""WITH {_SAMPLE}, c AS (SELECT list_cosine_similarity(a.v, b.v) AS c FROM e a JOIN e b ON a.vec_id < b.vec_id), g AS (SELECT avg(c) AS a, max(c) - min(c) AS r FROM c)
+SELECT round(greatest(0.1, least(0.9, 0.9 - a)), 6)::DOUBLE AS semantic_confidence, round(CASE WHEN r > 0.01 THEN greatest(0.15, least(0.5, a * 0.5 + (1 - r) * 0.3)) ELSE 0.25 END, 6)::DOUBLE AS similarity_floor FROM g""")
+def recall_profile(spark, sf_dir):
+    sample = metrics.even_sample(_table(spark, sf_dir, "embeddings"), "vec_id")
+    shape = metrics.space_statistics(sample).crossJoin(metrics.similarity_range(sample))
+    return shape.select(*(F.round(c, 6).alias(n) for n, c in scoring.calibrate(F.col("anisotropy"), F.col("similarity_range")).items()))
+
+
+@query()
+def intrinsic_dimensionality(spark, sf_dir):
+    return metrics.intrinsic_dimensionality(_table(spark, sf_dir, "embeddings")).select(F.round("intrinsic_dimensionality", 3).alias("intrinsic_dimensionality"))
+
+
+# chunks
+
+_LINES = "l AS (SELECT doc_id, CASE WHEN length(coalesce(text, '')) = 0 THEN [] ELSE string_split(regexp_replace(text, '\\r?\\n$', ''), chr(10)) END AS l FROM documents)"
+_CHUNKS = f"""{_LINES}, w AS (SELECT doc_id, l, len(l) AS n, unnest(list_filter(range(0, len(l), 3), lambda s: s = 0 OR s + 1 < len(l))) AS s FROM l WHERE len(l) > 0),
+c AS (SELECT doc_id, (s + 1)::INT AS start_line, least(s + 4, n)::INT AS end_line, array_to_string(l[s + 1 : least(s + 4, n)], chr(10)) AS content FROM w)"""
+
+
+def _chunks(spark, sf_dir):
+    return chunking.fixed_chunks(_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", 4, 1, 1)
+
+
+@query(f"WITH {_CHUNKS} SELECT doc_id, start_line, end_line, concat_ws(':', doc_id, start_line, end_line) AS chunk_id, md5(content) AS digest FROM c WHERE trim(regexp_replace(content, '\\s+', ' ', 'g')) <> ''")
+def fixed_chunks(spark, sf_dir):
+    return _chunks(spark, sf_dir).select("doc_id", "start_line", "end_line", "chunk_id", F.md5("content").alias("digest"))
+
+
+@query(f"""WITH {_LINES}, x AS (SELECT doc_id, unnest(range(0, len(l))) AS i, unnest(l) AS t FROM l), f AS (SELECT doc_id, i, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS g FROM x WHERE trim(regexp_replace(t, '\\s+', ' ', 'g')) <> '')
+SELECT doc_id, min(i)::INT AS s, max(i)::INT AS e FROM f GROUP BY doc_id, g""")
+def paragraph_spans(spark, sf_dir):
+    rows = _table(spark, sf_dir, "documents").select("doc_id", F.explode(chunking.paragraph_spans(chunking.lines(F.col("text")))).alias("x"))
+    return rows.select("doc_id", F.col("x.s").cast("int").alias("s"), F.col("x.e").cast("int").alias("e"))
+
+
+@query()
+def paragraph_chunks(spark, sf_dir):
+    c = chunking.paragraph_chunks(_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", 6, 1, 2)
+    return c.select("doc_id", "start_line", "end_line", F.md5("content").alias("digest"))
+
+
+@query("""WITH i AS (SELECT page_id, concat_ws(':', url, page_id, CASE WHEN page_id % 3 = 0 THEN 'x' ELSE (page_id + 9)::VARCHAR END) AS ident FROM pages)
+SELECT page_id, nullif(regexp_extract(ident, '^(.*):(\\d+):(\\d+)$', 1), '') AS file, nullif(regexp_extract(ident, '^(.*):(\\d+):(\\d+)$', 2), '')::INT AS start_line, nullif(regexp_extract(ident, '^(.*):(\\d+):(\\d+)$', 3), '')::INT AS end_line FROM i""")
+def chunk_id_parse(spark, sf_dir):
+    last = F.when(F.col("page_id") % 3 == 0, F.lit("x")).otherwise((F.col("page_id") + 9).cast("string"))
+    ident = scoring.chunk_id(F.col("url"), F.col("page_id").cast("string"), last)
+    return _table(spark, sf_dir, "pages").select("page_id", *(c.alias(n) for n, c in scoring.parse_chunk_id(ident).items()))
+
+
+@query("SELECT page_id, len(list_filter(string_split(lower(regexp_extract(url, '//[^/]+/(.*)$', 1)), '/'), lambda s: starts_with(s, 'de') OR starts_with(s, 'es') OR starts_with(s, '1'))) > 0 AS excluded FROM pages")
+def exclude_filter(spark, sf_dir):
+    path = F.regexp_extract("url", "//[^/]+/(.*)$", 1)
+    return _table(spark, sf_dir, "pages").select("page_id", scoring.excluded(path, ["de", "ES", "1"]).alias("excluded"))
+
+
+# text
+
+
+@query("SELECT doc_id, regexp_replace(lower(array_to_string(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ')[1:5], '-')), '[^\\p{L}\\p{N}-]', '', 'g') AS slug, (length(text) // 4)::BIGINT AS tokens FROM documents")
+def slugify(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", scoring.slugify(F.col("text"), 5).alias("slug"), scoring.token_estimate(F.col("text")).alias("tokens"))
+
+
+@query("SELECT doc_id, 0.5::DOUBLE AS score FROM documents WHERE contains(lower(source), 'license') OR contains(lower(text), 'license')")
+def text_search(spark, sf_dir):
+    return lexical.text_search(_table(spark, sf_dir, "documents"), "License", "source", "text").select("doc_id", "score")
+
+
+@query("""WITH t AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_]+') AS w FROM documents), z AS (SELECT count(*) AS n, avg(len(w)) AS m FROM t),
+x AS (SELECT doc_id, len(w) AS dl, unnest(w) AS term FROM t), f AS (SELECT doc_id, dl, term, count(*) AS tf FROM x GROUP BY 1, 2, 3), d AS (SELECT term, count(*) AS df FROM f GROUP BY 1),
+qq AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS term FROM benchmark), q AS (SELECT item_id, term, count(*) AS qf FROM qq GROUP BY 1, 2),
+s AS (SELECT item_id AS query_id, doc_id AS id, round(sum(qf * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / m))), 9) AS score FROM q JOIN f USING (term) JOIN d USING (term), z GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) SELECT query_id, id, round(score, 6) AS score, rank::INT AS rank FROM r WHERE rank <= 10""")
+def bm25_topk(spark, sf_dir):
+    items = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return lexical.bm25_topk(_table(spark, sf_dir, "documents"), items, 10).withColumn("score", F.round("score", 6))
+
+
+@query("""WITH t AS (SELECT conv_id, turn, unnest(regexp_split_to_array(trim(text), '\\s+')) AS w FROM conversations), h AS (SELECT conv_id, turn, hex(encode(w)) AS x FROM t WHERE w <> ''),
+b AS (SELECT conv_id, turn, list_reduce(list_prepend(37, list_transform(range(0, length(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::INT)), lambda a, c: (xor(a, c) * 179) & 255) AS bucket FROM h),
+n AS (SELECT conv_id, turn, bucket, count(*) AS c FROM b GROUP BY 1, 2, 3), l AS (SELECT conv_id, turn, sqrt(sum(c * c)) AS len FROM n GROUP BY 1, 2)
+SELECT conv_id, turn, bucket::INT AS bucket, round(c / len, 4) AS weight FROM n JOIN l USING (conv_id, turn)""")
+def hash_embedding(spark, sf_dir):
+    e = embed.embed_texts(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), "text")
+    return e.select("conv_id", "turn", F.posexplode("embedding").alias("bucket", "weight")).where("weight > 0").withColumn("weight", F.round(F.col("weight").cast("double"), 4))
+
+
+@query("""SELECT item_id, array_to_string(list_filter(string_split(text, ' '), lambda w, i: i % 3 <> 0), ' ') AS drifted FROM benchmark""")
+def drift_words(spark, sf_dir):
+    return _table(spark, sf_dir, "benchmark").select("item_id", F.array_join(F.filter(F.split("text", " "), lambda w, i: (i + 1) % 3 != 0), " ").alias("drifted"))
+
+
+# reranking
+
+
+def _candidates(spark, sf_dir):
+    signals = {"strength": F.when(F.col("id") % 7 == 0, F.lit(None)).otherwise((F.col("id") % 5) * 0.5), "age_days": (F.col("id") % 90).cast("double"), "source": F.element_at(F.array(*[F.lit(s) for s in ("remember", "note", "learn", "consolidation")]), (F.col("id") % 4 + 1).cast("int")), "ref_count": F.col("id") % 4}
+    c = _hits(spark, sf_dir, 20).withColumnRenamed("score", "cosine").withColumn("pos", F.col("rank")).drop("rank")
+    return c.withColumn("source_file", F.concat(F.lit("f"), (F.col("id") % 13).cast("string"))).withColumns(signals)
+
+
+def _rerank_sql(floor: str) -> str:
+    return f"""WITH {_ALL}, c AS (SELECT query_id, id, score AS cosine, rank AS pos, id % 13 AS f, CASE WHEN id % 7 = 0 THEN NULL ELSE (id % 5) * 0.5 END AS strength, (id % 90)::DOUBLE AS age, id % 4 AS k FROM r WHERE rank <= 20),
+a AS (SELECT *, bool_or(cosine >= {floor}) OVER (PARTITION BY query_id) AS any_pass, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, pos) AS place FROM c),
+k AS (SELECT * FROM a WHERE cosine >= {floor} OR (NOT any_pass AND cosine >= 0.25 AND place <= 3)),
+n AS (SELECT *, (cosine - min(cosine) OVER (PARTITION BY query_id)) / greatest(max(cosine) OVER (PARTITION BY query_id) - min(cosine) OVER (PARTITION BY query_id), 1e-6) AS norm,
+CASE WHEN strength IS NULL THEN 0.3 ELSE 0.2 * exp(-0.01 * age) + least(strength / 2, 0.3) + CASE k WHEN 0 THEN 0.15 WHEN 1 THEN 0.1 WHEN 3 THEN 0.05 ELSE 0 END + least(0.05 * k, 0.15) END AS meta FROM k),
+f AS (SELECT *, round(0.5 * norm + 0.5 * meta, 12) AS final_score FROM n), d AS (SELECT *, row_number() OVER (PARTITION BY query_id, f ORDER BY final_score DESC, pos) AS nth FROM f),
+o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, pos) AS place2 FROM d WHERE nth <= 2)"""
+
+
+@query(_rerank_sql("0.30") + " SELECT query_id, id, round(norm, 6)::DOUBLE AS norm, round(meta, 6)::DOUBLE AS meta, round(final_score, 6)::DOUBLE AS final_score, place2::INT AS rank FROM o")
+def rerank_scores(spark, sf_dir):
+    return rerank.rerank(_candidates(spark, sf_dir)).select("query_id", "id", *(F.round(c, 6).alias(c) for c in ("norm", "meta", "final_score")), "rank")
+
+
+@query(_rerank_sql("1.5") + " SELECT query_id, id, round(final_score, 6)::DOUBLE AS final_score, place2::INT AS rank FROM o")
+def rerank_fallback(spark, sf_dir):
+    return rerank.rerank(_candidates(spark, sf_dir), similarity_floor=1.5).select("query_id", "id", F.round("final_score", 6).alias("final_score"), "rank")
+
+
+@query(_rerank_sql("0.0") + """, z AS (SELECT query_id, id, place2, 400 + (id % 7) * 150 AS size, sum(400 + (id % 7) * 150) OVER (PARTITION BY query_id ORDER BY place2) AS total FROM o)
+SELECT query_id, id, place2::INT AS rank, total::BIGINT AS total FROM z WHERE place2 <= 2 OR (total - size < 2500 AND total <= 2500)""")
+def budget_prefix(spark, sf_dir):
+    ranking = rerank.rerank(_candidates(spark, sf_dir), similarity_floor=0.0).withColumn("size", F.lit(400) + F.col("id") % 7 * 150)
+    return rerank.within_budget(ranking, "size", 2500, 2).select("query_id", "id", "rank", F.col("total").cast("long").alias("total"))
+
+
+@query("""WITH a AS (SELECT doc_id AS query_id, doc_id, ['m' || (doc_id + 1) || '.md', 'src/x.py:1:3', 'm' || (doc_id * 2) || '.md', 'm' || (doc_id + 3) || '.md'] AS refs FROM documents WHERE doc_id % 20 = 0),
+x AS (SELECT query_id, 'm' || doc_id || '.md' AS via, unnest(range(0, 3))::INT AS pos, unnest(refs[1:3]) AS ref FROM a)
+SELECT query_id, via, pos, ref, source AS name, 'via ' || via AS description, length(text)::INT AS size, 0.0::DOUBLE AS score FROM x JOIN documents ON ref = 'm' || doc_id || '.md'""")
+def ref_expansion(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    name = lambda c: F.concat(F.lit("m"), c.cast("string"), F.lit(".md"))
+    i = F.col("doc_id")
+    accepted = docs.where(i % 20 == 0).select(i.alias("query_id"), name(i).alias("file"), F.array(name(i + 1), F.lit("src/x.py:1:3"), name(i * 2), name(i + 3)).alias("refs"))
+    memories = docs.select(name(i).alias("file"), F.lit("reference").alias("type"), F.col("source").alias("name"), F.col("text").alias("body"))
+    return rerank.expand_references(accepted, memories).select("query_id", "via", "pos", "ref", "name", "description", F.length("body").alias("size"), "score")
+
+
+# memory upkeep
+
+
+@query(f"SELECT event_id, round(exp(-0.01 * greatest((epoch(TIMESTAMP '{NOW}') - floor(epoch(ts))) / 86400, 0)), 6) AS freshness FROM events")
+def freshness(spark, sf_dir):
+    return _table(spark, sf_dir, "events").select("event_id", F.round(scoring.freshness(scoring.age_days(F.col("ts").cast("string"), NOW)), 6).alias("freshness"))
+
+
+@query(f"WITH {_CHUNKS} SELECT doc_id, start_line, round(0.5 + CASE WHEN contains(content, 'pub ') OR contains(content, 'export ') THEN 0.2 ELSE 0 END + least((end_line - start_line) / 100.0, 0.2), 6)::DOUBLE AS score FROM c WHERE trim(regexp_replace(content, '\\s+', ' ', 'g')) <> ''")
+def attention_scores(spark, sf_dir):
+    return _chunks(spark, sf_dir).select("doc_id", "start_line", F.round(scoring.attention_score(F.col("content"), F.col("start_line"), F.col("end_line")), 6).alias("score"))
+
+
+@query("SELECT user_id, event_id, value, place::INT AS place FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS place FROM events) WHERE place <= 7")
+def inbox_topn(spark, sf_dir):
+    return lifecycle.inbox(_table(spark, sf_dir, "events"), 7, "value", "event_id", ["user_id"]).select("user_id", "event_id", "value", "place")
+
+
+def _user_memories(spark, sf_dir):
+    e = _table(spark, sf_dir, "events")
+    last = F.max(F.when(F.col("event_type") == "purchase", F.col("ts"))).cast("string")
+    return e.groupBy("user_id").agg(F.min("ts").cast("string").alias("created_at"), last.alias("last_accessed"), (F.count("*") % 7).alias("access_count")).withColumn("strength", F.col("user_id") % 4 * 0.4).withColumn("type", F.when(F.col("user_id") % 3 == 0, "feedback").otherwise("project"))
+
+
+@query(f"""WITH m AS (SELECT user_id, min(ts) AS created, max(ts) FILTER (event_type = 'purchase') AS last, count(*) % 7 AS n, user_id % 4 * 0.4 AS strength FROM events GROUP BY 1)
+SELECT user_id FROM m WHERE floor(greatest(epoch(TIMESTAMP '{NOW}') - floor(epoch(coalesce(last, created))), 0) / 86400) > CASE WHEN user_id % 3 = 0 THEN 6 ELSE 3 END AND n < 5 AND strength < 1""")
+def decay_candidates(spark, sf_dir):
+    return lifecycle.decay_candidates(_user_memories(spark, sf_dir), NOW, 3).select("user_id")
+
+
+@query("""WITH i AS (SELECT event_id, event_type || ' of ' || (user_id % 50) || ' now and then' AS id, repeat(props || ' ', 1 + (event_id % 12)::INT) AS content, CASE WHEN event_id % 3 = 0 THEN 'learn' ELSE 'note' END AS source, value FROM events),
+p AS (SELECT *, lower(array_to_string(string_split(id, ' ')[1:4], '-')) AS slug, CASE WHEN source = 'learn' THEN 'reference' ELSE 'feedback' END AS type FROM i),
+q AS (SELECT *, regexp_replace(slug, '[^\\p{L}\\p{N}-]', '', 'g') AS name FROM p), r AS (SELECT *, row_number() OVER (PARTITION BY type, name ORDER BY event_id DESC) AS n FROM q)
+SELECT type || '_' || name || '.md' AS file, type, left(content, 120) AS description, CASE WHEN strlen(content) <= 200 THEN content ELSE left(content, 200) || '...' END AS body, value AS strength, CASE WHEN event_id % 2 = 0 THEN 'log.txt:' || event_id || ':0' ELSE '' END AS refs FROM r WHERE n = 1""")
+def promote(spark, sf_dir):
+    e = _table(spark, sf_dir, "events")
+    ident = F.concat("event_type", F.lit(" of "), (F.col("user_id") % 50).cast("string"), F.lit(" now and then"))
+    content = F.repeat(F.concat("props", F.lit(" ")), (F.col("event_id") % 12 + 1).cast("int"))
+    span = F.when(F.col("event_id") % 2 == 0, F.struct(F.lit("log.txt").alias("file"), F.col("event_id").alias("start_line"), F.lit(None).cast("bigint").alias("end_line"), F.lit("text").alias("kind")))
+    items = e.select(ident.alias("id"), content.alias("content"), F.when(F.col("event_id") % 3 == 0, "learn").otherwise("note").alias("source"), F.col("value").alias("attention_score"), F.lit(NOW).alias("created_at"), span.alias("file_source"), F.col("event_id").alias("arrival"))
+    return lifecycle.promote(items, 200).select("file", "type", "description", "body", "strength", F.array_join("refs", ",").alias("refs"))
+
+
+@query("SELECT CASE WHEN doc_id % 5 = 4 THEN 'old' || doc_id ELSE 'd' || doc_id END AS file, CASE WHEN doc_id % 5 = 4 THEN 'drop' WHEN doc_id % 7 = 0 OR doc_id % 3 = 0 THEN 'embed' ELSE 'keep' END AS action FROM documents WHERE NOT (doc_id % 5 = 4 AND doc_id % 3 = 0) UNION ALL SELECT 'd' || doc_id, 'embed' FROM documents WHERE doc_id % 5 = 4")
+def content_sync(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    i = F.col("doc_id")
+    held = F.concat(F.when(i % 5 == 4, "old").otherwise("d"), i.cast("string"))
+    store = docs.where(i % 3 != 0).select(held.alias("file"), embed.content_hash(F.when(i % 7 == 0, F.lit("before")).otherwise(F.col("text"))).alias("hash"))
+    return embed.sync_plan(store, docs.select(F.concat(F.lit("d"), i.cast("string")).alias("file"), F.col("text").alias("content")))
+
+
+@query("""WITH i AS (SELECT DISTINCT lang || '_' || source || '.md' AS file FROM documents), n AS (SELECT unnest(['en_src2.md', 'fr_src3', 'src1', 'src', 'en_', 'nothing']) AS name),
+h AS (SELECT name, file, CASE WHEN file = name THEN 1 WHEN file = name || '.md' THEN 2 WHEN ends_with(file, '_' || name || '.md') THEN 3 WHEN contains(file, name) THEN 4 END AS priority FROM n JOIN i ON contains(file, name)),
+b AS (SELECT *, rank() OVER (PARTITION BY name ORDER BY priority) AS r FROM h), g AS (SELECT name, priority, count(*) AS matches, min(file) AS file FROM b WHERE r = 1 GROUP BY 1, 2)
+SELECT name, priority, coalesce(matches, 0) AS matches, CASE WHEN matches = 1 THEN file END AS file, CASE WHEN matches IS NULL THEN 'not found' WHEN matches > 1 THEN 'ambiguous' ELSE 'found' END AS outcome FROM n LEFT JOIN g USING (name)""")
+def forget_resolve(spark, sf_dir):
+    index = _table(spark, sf_dir, "documents").select(F.concat("lang", F.lit("_"), "source", F.lit(".md")).alias("file")).distinct()
+    names = spark.createDataFrame([(x,) for x in ("en_src2.md", "fr_src3", "src1", "src", "en_", "nothing")], "name string")
+    return lifecycle.resolve_forget(index, names)
+
+
+@query("""SELECT conv_id, CASE WHEN conv_id % 4 = 0 THEN 'bad line' ELSE replace('conv-' || conv_id, '-', ' ') END AS title, max(turn) AS turns FROM conversations WHERE conv_id % 4 <> 0 GROUP BY conv_id""")
+def index_parse(spark, sf_dir):
+    c = _table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.max("turn").alias("turns"))
+    memories = c.select("conv_id", F.concat(F.lit("conv-"), F.col("conv_id").cast("string")).alias("name"), F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit(".md")).alias("file"), F.col("turns").cast("string").alias("description"))
+    lines = files.index_lines(memories).withColumn("value", F.when(F.regexp_extract("value", r"c(\d+)\.md", 1).cast("long") % 4 == 0, F.lit("bad line")).otherwise(F.col("value")))
+    parsed = lines.select(files.parse_index_line(F.col("value")).alias("x")).where("x is not null")
+    return parsed.select(F.regexp_extract("x.file", r"c(\d+)", 1).cast("long").alias("conv_id"), "x.title", F.col("x.summary").cast("long").alias("turns"))
+
+
+# conversations
+
+
+def _sessions(spark, sf_dir):
+    turns = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))), lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content")))
+    return _table(spark, sf_dir, "conversations").groupBy("conv_id").agg(turns.alias("turns"))
+
+
+@query("SELECT conv_id, md5(coalesce(string_agg(text, ' ' ORDER BY turn) FILTER (role = 'user'), '')) AS digest, (count(*) FILTER (role = 'user'))::INT AS n FROM conversations GROUP BY conv_id")
+def user_turn_docs(spark, sf_dir):
+    return _sessions(spark, sf_dir).select("conv_id", F.md5(files.user_text()).alias("digest"), F.size(F.filter("turns", lambda t: t["role"] == "user")).alias("n"))
+
+
+@query("SELECT conv_id, md5(string_agg(role || ': ' || text, chr(10) ORDER BY turn)) AS digest FROM conversations GROUP BY conv_id")
+def transcripts(spark, sf_dir):
+    return _sessions(spark, sf_dir).select("conv_id", F.md5(files.transcript()).alias("digest"))
+
+
+@query("""WITH a AS (SELECT role AS question_type, CASE WHEN conv_id % 4 = 0 THEN NULL ELSE 'THE' END AS gold, lower(text) AS said FROM conversations),
+s AS (SELECT question_type, CASE WHEN gold IS NULL THEN contains(said, 'i don''t know') OR contains(said, 'i do not know') OR contains(said, 'not enough information') OR contains(said, 'cannot determine') OR contains(said, 'no information') ELSE contains(said, lower(gold)) END::INT AS ok FROM a),
+g AS (SELECT coalesce(question_type, 'overall') AS question_type, count(*) AS n, sum(ok)::BIGINT AS correct FROM s GROUP BY ROLLUP (question_type))
+SELECT question_type, n, correct, round(correct / n, 6) AS accuracy, round(greatest(0, (correct / n + 3.8416 / (2 * n) - 1.96 * sqrt(correct / n * (1 - correct / n) / n + 3.8416 / (4 * n * n))) / (1 + 3.8416 / n)), 6)::DOUBLE AS low,
+round(least(1, (correct / n + 3.8416 / (2 * n) + 1.96 * sqrt(correct / n * (1 - correct / n) / n + 3.8416 / (4 * n * n))) / (1 + 3.8416 / n)), 6)::DOUBLE AS high FROM g""")
+def answer_scores(spark, sf_dir):
+    c = _table(spark, sf_dir, "conversations").select(F.col("role").alias("question_type"), F.when(F.col("conv_id") % 4 != 0, "THE").alias("gold_answer"), F.col("text").alias("model_answer"))
+    return metrics.score_answers(c).select("question_type", "n", "correct", *(F.round(x, 6).alias(x) for x in ("accuracy", "low", "high")))
+
+
+# statistics and quantisation
+
+
+@query("""WITH n AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events)
+SELECT event_type, max(CASE WHEN i = round(0.5 * (n - 1)) THEN value END) AS p50, max(CASE WHEN i = round(0.95 * (n - 1)) THEN value END) AS p95, max(CASE WHEN i = round(0.99 * (n - 1)) THEN value END) AS p99 FROM n GROUP BY 1""")
+def nearest_rank_percentiles(spark, sf_dir):
+    return metrics.nearest_rank(_table(spark, sf_dir, "events"), "value", [50, 95, 99], "event_type")
+
+
+@query("""WITH p AS (SELECT label, unnest(embedding)::DOUBLE * 8 AS x FROM embeddings), c AS (SELECT label, (x > -0.9816)::INT + (x > 0)::INT + (x > 0.9816)::INT AS code FROM p)
+SELECT label, code, count(*) AS n, [-1.5104, -0.4528, 0.4528, 1.5104][code + 1]::DOUBLE AS centroid FROM c GROUP BY 1, 2""")
+def scalar_quantize(spark, sf_dir):
+    x = _table(spark, sf_dir, "embeddings").select("label", F.explode("embedding").alias("x"))
+    coded = x.select("label", scoring.quantize_scalar(F.col("x").cast("double") * 8, 2).alias("code")).groupBy("label", "code").agg(F.count("*").alias("n"))
+    return coded.withColumn("centroid", scoring.dequantize_scalar(F.col("code"), 2))
+
+
+@query("""WITH d AS (SELECT count(*) AS n, max(len(embedding)) AS dim FROM embeddings), b AS (SELECT unnest([1, 2, 3, 4]) AS bits)
+SELECT bits, (n * (ceil(dim * bits / 8) + 4))::BIGINT AS bytes, round(4.0 * dim / (ceil(dim * bits / 8) + 4), 6)::DOUBLE AS ratio FROM d, b""")
+def compression_ratio(spark, sf_dir):
+    shape = _table(spark, sf_dir, "embeddings").agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("dim")).withColumn("bits", F.explode(F.array(*[F.lit(b) for b in (1, 2, 3, 4)])))
+    each = F.ceil(F.col("dim") * F.col("bits") / 8) + 4
+    return shape.select("bits", (F.col("n") * each).cast("long").alias("bytes"), F.round(F.col("dim") * 4.0 / each, 6).alias("ratio"))
+
+
+@query()
+def quantization_error(spark, sf_dir):
+    emb = _table(spark, sf_dir, "embeddings")
+    parts = []
+    for bits in (1, 2, 3, 4):
+        both = emb.join(quantize.mse_quantize(emb, bits, decoded=True), "vec_id")
+        parts.append(both.agg(F.lit(bits).alias("bits"), F.round(F.avg(vectors.l2_squared("embedding", "decoded")), 4).alias("mean_error"), F.round(1 - F.avg(vectors.cosine("embedding", "decoded")), 4).alias("cosine_distortion"), F.max(F.octet_length("packed")).alias("bytes")))
+    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
+
+
+@query()
+def product_quantize(spark, sf_dir):
+    emb = _table(spark, sf_dir, "embeddings")
+    both = emb.join(quantize.prod_quantize(emb, 3), "vec_id")
+    mean = vectors.mean_vector(emb, "embedding")
+    error = vectors.dot("decoded", "mean") - vectors.dot("embedding", "mean")
+    return both.crossJoin(F.broadcast(mean)).select("vec_id", F.octet_length("packed").alias("bytes"), F.octet_length("signs").alias("sign_bytes"), F.round(error, 4).alias("inner_product_error"))
+
+
+@query()
+def quantization_recall(spark, sf_dir):
+    emb = _table(spark, sf_dir, "embeddings")
+    lossy = quantize.mse_quantize(emb, 4, decoded=True).select("vec_id", F.col("decoded").alias("embedding"))
+    truth, got = _hits(spark, sf_dir), knn.exact_topk(lossy, _asked(emb), 10)
+    return truth.join(got.select("query_id", "id", F.lit(1).alias("hit")), ["query_id", "id"], "left").groupBy("query_id").agg((F.count("hit") / 10).alias("overlap"))
+
+
+@query("SELECT time_bucket(INTERVAL '1 hour', ts) AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def event_windows(spark, sf_dir):
+    return windowed_activity(_table(spark, sf_dir, "events")).select(F.col("window.start").alias("hour"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+# experiments and plans
+
+
+@query()
+def retrieval_experiment(spark, sf_dir):
+    """Each conversation's first user turn asks; its own session is the gold document among all sessions."""
+    sessions = embed.embed_texts(_sessions(spark, sf_dir).select("conv_id", files.user_text().alias("text")), "text")
+    first = _table(spark, sf_dir, "conversations").where("role = 'user' and conv_id % 20 = 0").groupBy("conv_id").agg(F.min_by("text", "turn").alias("text"))
+    asked = embed.embed_texts(first, "text")
+    hits = knn.exact_topk(sessions, asked, 10, "conv_id", "embedding")
+    gold = first.select(F.col("conv_id").alias("query_id"), F.col("conv_id").alias("id"), F.lit(1).alias("grade"))
+    s = metrics.summary(metrics.retrieval_metrics(hits, gold, 5))
+    return s.select("n", *(F.round(c, 6).alias(c) for c in s.columns[1:]))
+
+
+@query()
+def recall_plan(spark, sf_dir):
+    """The whole recall plan: memories are documents with hashed vectors, queries are benchmark items."""
+    docs, i = _table(spark, sf_dir, "documents"), F.col("doc_id")
+    name = lambda c: F.concat(F.lit("m"), c.cast("string"), F.lit(".md"))
+    memories = docs.select(name(i).alias("file"), F.concat(F.lit("m"), i.cast("string")).alias("name"), F.lit("reference").alias("type"), F.col("source").alias("description"), F.col("text").alias("body"), (i % 5 * 0.4).alias("strength"), F.lit("2024-01-01T00:00:00").alias("created_at"), F.lit("note").alias("source"), F.array(name(i + 1)).alias("refs"))
+    embedded = embed.embed_texts(docs.select(name(i).alias("id"), "text"), "text").select("id", "embedding")
+    asked = embed.embed_texts(_table(spark, sf_dir, "benchmark").select(F.concat(F.lit("q"), F.col("item_id").cast("string")).alias("id"), "text"), "text").select("id", "embedding")
+    return plans.recall(asked, memories, embedded, NOW).select("query_id", "rank", "hop", "file", "description", F.octet_length("body").alias("size"), F.round("score", 6).alias("score"))
