@@ -1,0 +1,24 @@
+import corpus_pipeline
+from sagewell.llm import bpe, decontam, registry, secrets, simhash, toxicity
+
+
+def test_stages_agree_with_their_operators(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    labels, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("labels", "benchmark"))
+    toxic = {r["doc_id"] for r in toxicity.score(docs, toxicity.train(docs, labels)).where("toxic").collect()}
+    left = docs.where(~docs["doc_id"].isin(list(toxic)))
+    first = {r["component_id"] for r in simhash.near_duplicates(left).collect()}
+    left = left.where(left["doc_id"].isin(list(first)))
+    hit = {r["doc_id"] for r in decontam.find_contamination(left, items).where("contaminated").collect()}
+    left = left.where(~left["doc_id"].isin(list(hit)))
+    want = bpe.encode_decode(secrets.mask_secrets(left), registry.tokenizer_path()).collect()
+    got = corpus_pipeline.run(spark, sf_dir).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and 0 < len(got) < docs.count()
+
+
+def test_stages_keep_columns_and_run_on_what_is_left(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs.limit(20), sf_dir)
+        assert out.columns == docs.columns and out.count() <= 20
+        assert stage(spark, docs.limit(0), sf_dir).count() == 0
