@@ -83,7 +83,7 @@ def decays(last_accessed: Column, created_at: Column, access_count: Column, stre
     read = F.try_to_timestamp(F.coalesce(last_accessed, created_at))
     days = F.floor(F.greatest(F.unix_timestamp(now) - F.unix_timestamp(read), F.lit(0)) / 86400)
     limit = F.when(kind == "feedback", 2 * decay_days).otherwise(decay_days)
-    return F.coalesce(days > limit, F.lit(True)) & (access_count < 5) & (strength < 1.0)
+    return (read.isNull() | (days > limit)) & (access_count < 5) & (strength < 1.0)
 
 
 def wilson(successes: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import fnmatch
 import os
+import re
 from pathlib import PurePosixPath
 
 import yaml
@@ -33,9 +34,10 @@ def parse_memory(text: str) -> dict:
 
 def read_memories(spark: SparkSession, folder: str) -> DataFrame:
     """All memory files of a folder but its index, with the file name."""
-    parse = F.udf(parse_memory, MEMORY_SCHEMA)
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.md").text(folder).select(F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1).alias("file"), "value")
-    return files.where("file <> 'MEMORY.md'").select("file", parse("value").alias("m")).select("file", "m.*")
+    parse = F.udf(lambda t: None if t is None else parse_memory(t), MEMORY_SCHEMA)
+    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.md").text(folder).select(F.col("_metadata.file_name").alias("file"), "value")
+    memory = F.when(F.col("file") != "MEMORY.md", F.col("value"))  # the index never meets the parser
+    return files.select("file", parse(memory).alias("m")).where("m is not null").select("file", "m.*")
 
 
 def memory_text(row: dict) -> str:
@@ -100,7 +102,7 @@ def read_code(spark: SparkSession, root: str, include: list[str] | None = None,
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = root.split("://")[-1].rstrip("/")
-    relative = F.regexp_replace(F.regexp_replace("path", r"^[a-zA-Z]+:/*", "/"), "^" + "".join("\\" + c if not c.isalnum() and c != "/" else c for c in base if True) + "/", "")
+    relative = F.regexp_replace(F.regexp_replace("path", r"^[a-zA-Z]+:/*", "/"), "^" + re.escape(base) + "/", "")
     named = files.withColumn("file", relative).where(~F.exists(F.split("file", "/"), lambda s: F.startswith(s, F.lit("."))))
     named = named.where(~excluded(F.col("file"), DEFAULT_EXCLUDES if exclude is None else exclude))
     if include:
