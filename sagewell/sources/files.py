@@ -35,7 +35,7 @@ def parse_memory(text: str) -> dict:
 def read_memories(spark: SparkSession, folder: str) -> DataFrame:
     """All memory files of a folder but its index, with the file name."""
     parse = F.udf(lambda t: None if t is None else parse_memory(t), MEMORY_SCHEMA)
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.md").text(folder).select(F.col("_metadata.file_name").alias("file"), "value")
+    files = spark.read.text(folder, wholetext=True, pathGlobFilter="*.md").select(F.col("_metadata.file_name").alias("file"), "value")
     memory = F.when(F.col("file") != "MEMORY.md", F.col("value"))  # the index never meets the parser
     return files.select("file", parse(memory).alias("m")).where("m is not null").select("file", "m.*")
 
