@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import scoring, vectors
-from .operators import chunking, embed, knn, lexical, lifecycle, metrics, quantize, rerank
+from .operators import chunking, embed, knn, lexical, lifecycle, metrics, quantize, rerank, training
+from .plans import experiments
 from .plans import recall as plans
 from .sources import files
 from .streaming.inbox import windowed_activity
@@ -426,7 +427,7 @@ def transcripts(spark, sf_dir):
 
 
 @query("""WITH a AS (SELECT role AS question_type, CASE WHEN conv_id % 4 = 0 THEN NULL ELSE 'THE' END AS gold, lower(text) AS said FROM conversations),
-s AS (SELECT question_type, CASE WHEN gold IS NULL THEN contains(said, 'i don''t know') OR contains(said, 'i do not know') OR contains(said, 'not enough information') OR contains(said, 'cannot determine') OR contains(said, 'no information') ELSE contains(said, lower(gold)) END::INT AS ok FROM a),
+s AS (SELECT question_type, CASE WHEN gold IS NULL THEN contains(said, 'i don''t know') OR contains(said, 'not mentioned') OR contains(said, 'no information') OR contains(said, 'cannot answer') OR contains(said, 'i don''t have') ELSE contains(said, lower(gold)) END::INT AS ok FROM a),
 g AS (SELECT coalesce(question_type, 'overall') AS question_type, count(*) AS n, sum(ok)::BIGINT AS correct FROM s GROUP BY ROLLUP (question_type))
 SELECT question_type, n, correct, round(correct / n, 6) AS accuracy, round(greatest(0, (correct / n + 3.8416 / (2 * n) - 1.96 * sqrt(correct / n * (1 - correct / n) / n + 3.8416 / (4 * n * n))) / (1 + 3.8416 / n)), 6)::DOUBLE AS low,
 round(least(1, (correct / n + 3.8416 / (2 * n) + 1.96 * sqrt(correct / n * (1 - correct / n) / n + 3.8416 / (4 * n * n))) / (1 + 3.8416 / n)), 6)::DOUBLE AS high FROM g""")
@@ -516,3 +517,85 @@ def recall_plan(spark, sf_dir):
     embedded = embed.embed_texts(docs.select(name(i).alias("id"), "text"), "text").select("id", "embedding")
     asked = embed.embed_texts(_table(spark, sf_dir, "benchmark").select(F.concat(F.lit("q"), F.col("item_id").cast("string")).alias("id"), "text"), "text").select("id", "embedding")
     return plans.recall(asked, memories, embedded, NOW).select("query_id", "rank", "hop", "file", "description", F.octet_length("body").alias("size"), F.round("score", 6).alias("score"))
+
+
+@query("""WITH m AS (SELECT lang || '_' || source AS name, count(*) AS n, max(doc_id) AS last FROM documents GROUP BY 1), i AS (SELECT DISTINCT name || '.md' AS file, replace(name, '_', ' ') AS title FROM m UNION ALL SELECT 'gone.md', 'gone')
+SELECT i.file, title, CASE WHEN n % 5 > 0 THEN (n % 5)::DOUBLE END AS strength, CASE WHEN n % 3 > 0 THEN (n % 3)::INT END AS access_count FROM i LEFT JOIN m ON i.file = m.name || '.md'""")
+def reflect(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").groupBy(F.concat("lang", F.lit("_"), "source").alias("name")).agg(F.count("*").alias("n"))
+    memories = docs.select(F.concat("name", F.lit(".md")).alias("file"), (F.col("n") % 5).cast("double").alias("strength"), (F.col("n") % 3).cast("int").alias("access_count"), F.lit(None).cast("string").alias("last_accessed"), F.lit("note").alias("source"))
+    index = docs.select(F.concat("name", F.lit(".md")).alias("file"), F.replace("name", F.lit("_"), F.lit(" ")).alias("title"), F.lit("").alias("summary"))
+    index = index.union(spark.createDataFrame([("gone.md", "gone", "")], index.schema))
+    return plans.reflect(index, memories).select("file", "title", "strength", "access_count")
+
+
+@query("""WITH o AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pos, text FROM conversations), b AS (SELECT conv_id, pos, '[Conversation ' || pos || ']' || chr(10) || text || chr(10) AS block FROM o),
+t AS (SELECT *, sum(length(block)) OVER (PARTITION BY conv_id ORDER BY pos) AS total FROM b)
+SELECT conv_id AS question_id, md5(string_agg(block, chr(10) ORDER BY pos)) AS digest, count(*) AS blocks FROM t WHERE total <= 1500 OR pos = 1 GROUP BY 1""")
+def context_packing(spark, sf_dir):
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
+    blocks = _table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("question_id"), place.alias("pos"), F.col("text").alias("content"))
+    packed = training.pack_context(blocks, 1500)
+    return packed.select("question_id", F.md5("context").alias("digest"), F.regexp_count("context", F.lit(r"\[Conversation \d+\]\n")).cast("long").alias("blocks"))
+
+
+@query("""WITH r AS (SELECT label, list(vec_id ORDER BY vec_id) FILTER (vec_id % 50 = 0) AS a, list(vec_id ORDER BY vec_id) FILTER (vec_id % 50 = 1) AS b FROM embeddings GROUP BY 1), p AS (SELECT label, unnest(a) AS positive, b FROM r)
+SELECT 'q' || label AS query, 'd' || positive AS positive, 'd' || unnest(b) AS negative, 1.0::DOUBLE AS relevance FROM p""")
+def training_triplets(spark, sf_dir):
+    emb, i = _table(spark, sf_dir, "embeddings"), F.col("vec_id")
+    example = F.struct(F.concat(F.lit("d"), i.cast("string")).alias("description"), F.lit(None).cast("double").alias("relevance"))
+    q = emb.groupBy(F.concat(F.lit("q"), F.col("label").cast("string")).alias("query")).agg(F.collect_list(F.when(i % 50 == 0, example)).alias("relevant"), F.collect_list(F.when(i % 50 == 1, example)).alias("irrelevant"))
+    return training.triplets(q)
+
+
+@query(f"""WITH m AS (SELECT user_id, min(ts) AS c, max(ts) AS l, count(*) AS n, CASE user_id % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.8 ELSE 0.5 END AS w FROM events GROUP BY 1),
+f AS (SELECT user_id, greatest(date_diff('microsecond', c, TIMESTAMP '{NOW}') / 86400000000, 0.01) AS age, greatest(date_diff('microsecond', l, TIMESTAMP '{NOW}') / 86400000000, 0) AS rec, n, w FROM m)
+SELECT user_id, round(exp(-0.01 * rec) * least(ln(1 + n / age) / 3, 1) * w, 6)::DOUBLE AS score, round(sin(rec), 6)::DOUBLE AS first_sine FROM f""")
+def temporal_scores(spark, sf_dir):
+    kind = F.when(F.col("user_id") % 3 == 0, "feedback").when(F.col("user_id") % 3 == 1, "project").otherwise("other")
+    users = _table(spark, sf_dir, "events").groupBy("user_id").agg(F.min("ts").cast("timestamp").alias("c"), F.max("ts").cast("timestamp").alias("l"), F.count("*").alias("n"))
+    f = training.temporal_features(F.col("c"), F.col("l"), F.col("n"), kind, F.lit(NOW).cast("timestamp"))
+    return users.select("user_id", F.round(training.temporal_score(f), 6).alias("score"), F.round(F.get(training.sinusoidal(f, 64), F.lit(16)), 6).alias("first_sine"))
+
+
+@query("""WITH r AS (SELECT doc_id AS line, CASE WHEN doc_id % 11 = 0 THEN NULL ELSE CASE WHEN doc_id % 5 = 0 THEN 'other' ELSE 'user' END END AS type, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE source END AS name, left(text, (doc_id % 300)::INT) AS description FROM documents)
+SELECT line, 'missing fields: ' || concat_ws(', ', CASE WHEN type IS NULL THEN 'type' END, CASE WHEN name IS NULL THEN 'name' END) AS fault FROM r WHERE type IS NULL OR name IS NULL
+UNION ALL SELECT line, 'invalid type: other' FROM r WHERE type = 'other' AND name IS NOT NULL UNION ALL SELECT line, 'description too long' FROM r WHERE type IS NOT NULL AND name IS NOT NULL AND length(description) > 150""")
+def training_faults(spark, sf_dir):
+    i = F.col("doc_id")
+    kind = F.when(i % 11 == 0, F.lit(None)).otherwise(F.when(i % 5 == 0, "other").otherwise("user"))
+    rows = _table(spark, sf_dir, "documents").select(i.alias("line"), kind.alias("type"), F.when(i % 7 != 0, F.col("source")).alias("name"), F.left("text", (i % 300).cast("int")).alias("description"), F.col("text").alias("body"))
+    return training.check_memories(rows)
+
+
+@query("""WITH r AS (SELECT CASE WHEN doc_id % 4 = 0 THEN NULL ELSE lang END AS t, CASE WHEN doc_id % 5 > 0 THEN doc_id % 3 END AS g, doc_id % 2 AS h FROM documents), g AS (SELECT coalesce(t, 'unknown') AS t, CASE WHEN g IS NULL THEN NULL ELSE (g > 0)::INT END AS c, h FROM r)
+SELECT coalesce(t, 'overall') AS question_type, count(*) AS count, count(c) AS graded, sum(c)::BIGINT AS correct, round(sum(c) / count(c), 6)::DOUBLE AS accuracy, round(avg(h), 6) AS retrieval_recall FROM g GROUP BY ROLLUP (t)""")
+def judge_report(spark, sf_dir):
+    i = F.col("doc_id")
+    rows = _table(spark, sf_dir, "documents").select(F.when(i % 4 != 0, F.col("lang")).alias("question_type"), F.when(i % 5 > 0, i % 3 > 0).alias("correct"), (i % 2 == 1).alias("retrieval_hit"))
+    return metrics.judge_report(rows).select("question_type", "count", "graded", "correct", F.round("accuracy", 6).alias("accuracy"), F.round("retrieval_recall", 6).alias("retrieval_recall"))
+
+
+@query("""WITH m AS (SELECT label, min(vec_id) AS first, max(vec_id) AS last FROM embeddings GROUP BY 1), e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
+t AS (SELECT e.v AS a, p.v AS p, n.v AS n FROM e JOIN m USING (label) JOIN e p ON p.vec_id = m.first JOIN e n ON n.vec_id = m.last)
+SELECT round(avg(greatest(list_cosine_similarity(a, n) - list_cosine_similarity(a, p) + 0.2, 0)), 6) AS triplet, (SELECT round(avg((list_cosine_similarity(a, p) - 0.5) ^ 2), 6) FROM t) AS cosine FROM t""")
+def training_losses(spark, sf_dir):
+    emb = _table(spark, sf_dir, "embeddings")
+    ends = emb.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("p"), F.max_by("embedding", "vec_id").alias("n"))
+    rows = emb.join(ends, "label")
+    a = training.triplet_loss(rows.select(F.col("embedding").alias("anchor"), F.col("p").alias("positive"), F.col("n").alias("negative"))).select(F.round("loss", 6).alias("triplet"))
+    b = training.cosine_loss(rows.select(F.col("embedding").alias("a"), F.col("p").alias("b"), F.lit(0.5).alias("target"))).select(F.round("loss", 6).alias("cosine"))
+    return a.crossJoin(b)
+
+
+@query()
+def freshness_experiment(spark, sf_dir):
+    """Topics in three versions of different age: how often the newest comes first, with and without freshness."""
+    sessions = _sessions(spark, sf_dir).select(F.col("conv_id").alias("topic"), files.user_text().alias("text"))
+    first = _table(spark, sf_dir, "conversations").where("role = 'user'").groupBy(F.col("conv_id").alias("topic")).agg(F.min_by("text", "turn").alias("question"))
+    return experiments.freshness_experiment(sessions.join(first, "topic"))
+
+
+@query()
+def synthetic_experiment(spark, sf_dir):
+    return experiments.synthetic_experiment(spark)

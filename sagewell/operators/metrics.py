@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scoring import mcnemar, wilson
 from ..functions.vectors import norm
 
 #: Phrases that mark an answer as an abstention (fixed values).
-ABSTAINS = ["i don't know", "i do not know", "not enough information", "cannot determine", "no information"]
+ABSTAINS = ["i don't know", "not mentioned", "no information", "cannot answer", "i don't have"]
+#: The longer list that a judge's report goes by (fixed values).
+JUDGE_ABSTAINS = ["i don't know", "i do not know", "not mentioned", "no information", "cannot answer", "can't answer", "i don't have", "i do not have", "not enough information", "no relevant information", "isn't mentioned", "is not mentioned"]
 
 
 def retrieval_metrics(hits: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
@@ -69,13 +71,31 @@ def score_answers(answers: DataFrame) -> DataFrame:
     An answer is correct if it holds the gold answer, whatever the case; without a gold answer if it abstains.
     """
     said = F.lower(F.coalesce("model_answer", F.lit("")))
-    abstains = F.exists(F.array(*[F.lit(x) for x in ABSTAINS]), lambda m: F.contains(said, m))
-    right = F.when(F.col("gold_answer").isNull(), abstains).otherwise(F.contains(said, F.lower("gold_answer")))
+    right = F.when(F.col("gold_answer").isNull(), abstains(F.col("model_answer"), ABSTAINS)).otherwise(F.contains(said, F.lower("gold_answer")))
     groups = answers.withColumn("right", right.cast("int")).rollup("question_type").agg(F.count("*").alias("n"), F.sum("right").alias("correct"), F.grouping("question_type").alias("is_total"))
     low, high = wilson(F.col("correct"), F.col("n"))
     return groups.select(F.when(F.col("is_total") == 1, F.lit("overall")).otherwise(F.col("question_type")).alias("question_type"), "n", "correct", (F.col("correct") / F.col("n")).alias("accuracy"), low.alias("low"), high.alias("high"))
 
 
+def abstains(answer: Column, markers: list[str] | None = None) -> Column:
+    said = F.lower(F.coalesce(answer, F.lit("")))
+    return F.exists(F.array(*[F.lit(x) for x in markers or JUDGE_ABSTAINS]), lambda m: F.contains(said, m))
+
+
+def judge_report(records: DataFrame) -> DataFrame:
+    """Per type and over all: count, graded, correct, accuracy of the graded ones with interval, share of hits.
+
+    records: question_type, correct (null where it wasn't graded), retrieval_hit.
+    """
+    kind = F.coalesce("question_type", F.lit("unknown"))
+    rows = records.select(kind.alias("question_type"), F.col("correct").cast("int").alias("c"), F.coalesce("retrieval_hit", F.lit(False)).cast("int").alias("h"))
+    groups = rows.rollup("question_type").agg(F.count("*").alias("count"), F.count("c").alias("graded"), F.coalesce(F.sum("c"), F.lit(0)).alias("correct"), F.avg("h").alias("retrieval_recall"), F.grouping("question_type").alias("is_total"))
+    low, high = wilson(F.col("correct"), F.col("graded"), 1.95996)
+    accuracy = F.when(F.col("graded") > 0, F.col("correct") / F.col("graded")).otherwise(0.0)
+    none = F.col("graded") == 0
+    return groups.select(F.when(F.col("is_total") == 1, F.lit("overall")).otherwise(F.col("question_type")).alias("question_type"), "count", "graded", "correct", accuracy.alias("accuracy"), F.when(none, 0.0).otherwise(low).alias("low"), F.when(none, 0.0).otherwise(high).alias("high"), "retrieval_recall")
+
+
 def nearest_rank(df: DataFrame, value: str, percents: list[int], by: str) -> DataFrame:
     """Percentiles by rank round(p/100 (n-1)), without interpolation; a rank, not an array, per group."""
     places = Window.partitionBy(by)

@@ -48,6 +48,12 @@ def recall(queries: DataFrame, memories: DataFrame, memory_vectors: DataFrame, n
     return out
 
 
+def reflect(index: DataFrame, memories: DataFrame) -> DataFrame:
+    """Index rows with their memories' signals; zero strength and zero accesses are left out as unknown."""
+    known = memories.select("file", F.when(F.col("strength") > 0, F.col("strength")).alias("strength"), F.when(F.col("access_count") > 0, F.col("access_count")).alias("access_count"), "last_accessed", "source")
+    return index.select("title", "file", "summary").join(known, "file", "left")
+
+
 def recall_text(queries: DataFrame, index: DataFrame) -> DataFrame:
     """Where vectors find nothing: substring hits of each query's text."""
     parts = [text_search(index, r["text"]).withColumn("query_id", F.lit(r["id"])) for r in queries.toLocalIterator()]

@@ -219,3 +219,34 @@ def test_learn_and_consolidate(spark):
     done = recall.consolidate(old, vec, got["inbox"], "2024-01-01T00:00:00")
     assert {r["action"] for r in done["log"].collect()} == {"promote", "associate", "decay"}
     assert "user_x.md" not in {r["file"] for r in done["memories"].collect()} and done["memories"].count() == 2
+
+
+def test_index_files_round_trip():
+    c, rows = np.eye(2, 3, dtype=np.float32), [("a", 0, np.ones(3, np.float32)), ("é", 1, np.zeros(3, np.float32))]
+    p, centroids, got = binary.parse_cells(binary.cells_bytes(c, rows))
+    assert p["n_lists"] == 2 and (centroids == c).all() and [(x, y) for x, y, _ in got] == [("a", 0), ("é", 1)]
+    params = {"dim": 3, "m": 16, "m0": 32, "ef_construction": 200, "ef_search": 50, "max_level": 1, "entry": 0, "state": 42}
+    nodes = [("a", 1, np.ones(3, np.float32), [[1], []]), ("b", 0, np.zeros(3, np.float32), [[0]])]
+    back, got = binary.parse_graph(binary.graph_bytes(params, nodes))
+    assert back == params and [n[3] for n in got] == [[[1], []], [[0]]]
+    for prod in (False, True):
+        params = {"dim": 10, "bits": 3, "prod": prod, "rotation_seed": 1, "sketch_seed": 2 if prod else None}
+        entry = {"file": "f", "hash": -9, "norm": 0.5, "packed": b"x" * (3 if prod else 4)} | ({"residual_norm": 0.25, "signs": b"yz"} if prod else {})
+        assert binary.parse_compressed(binary.compressed_bytes(params, [entry])) == (params, [entry])
+    with pytest.raises(ValueError):
+        binary.parse_graph(b"IVFF")
+
+
+def test_training_examples(spark):
+    from sagewell.operators import training
+
+    reply = "text\n```json\n{\"a\":1}\nnot json\n[2]\n```\n{\"b\":2}\n  {broken\n"
+    assert spark.createDataFrame([(reply,)], "t string").select(training.objects_in_response(F.col("t"))).first()[0] == ['{"a":1}', "[2]", '{"b":2}']
+    rows = spark.createDataFrame([(1, None, None), (2, "q", [(0.5,), (1.5,), (None,)])], "line int, query string, candidates array<struct<temporal_relevance:double>>")
+    assert sorted((r["line"], r["fault"]) for r in training.check_temporal(rows).collect()) == [(1, "missing query"), (1, "need at least 2 candidates"), (2, "missing temporal_relevance"), (2, "temporal_relevance out of range")]
+    pairs = spark.createDataFrame([(1, "rust", "x", "short"), (2, "go", "y" * 20, "long enough"), (3, None, "y", "d")], "line int, language string, code string, description string")
+    assert sorted((r["line"], r["fault"]) for r in training.check_code_pairs(pairs).collect()) == [(1, "code too short"), (1, "description too short"), (3, "missing fields: language")]
+    batch = spark.createDataFrame([(0, i, v, v) for i, v in enumerate([[1.0, 0.0], [0.0, 1.0]])], "batch int, pos int, anchor array<double>, positive array<double>")
+    assert training.contrastive_loss(batch).first()[0] == pytest.approx(math.log1p(math.exp(-20)), abs=1e-9)
+    got = pairs.select(training.code_input(F.col("code"), F.col("language")).alias("c")).first()["c"]
+    assert got == "[RUST] x"
