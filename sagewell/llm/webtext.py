@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, raw
+from .common import map_arrow, materialise, raw
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is no markup.
@@ -180,11 +180,6 @@ def main_text(page: str, template: frozenset | set) -> str:
     return " ".join("".join(out).split())
 
 
-def host_of(url: str) -> str:
-    m = re.match(r"(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)", url)
-    return m[1].rpartition("@")[2].lower() if m else ""
-
-
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = 5, share: float = 0.1) -> DataFrame:
     """The article of every page, without what its site repeats.
 
@@ -201,26 +196,26 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     are ignored. Returns page_id, url, text, n_chars.
     """
     kind = dict(pages.dtypes)[id_col]
-    read = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
+    authority = F.regexp_extract(F.coalesce(F.col(url_col).cast("string"), F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)", 1)
+    host = F.lower(F.regexp_extract(authority, r"([^@]*)$", 1))
+    read = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"), host.alias("host"))
 
     def hashes(batch):
         counts: dict[tuple[str, int], int] = {}
-        for url, page in zip(batch.column(0).to_pylist(), raw(batch.column(1)), strict=True):
-            host, root = host_of(url or ""), parse(page.decode("utf-8", "replace"))
+        for host, page in zip(batch.column(0).to_pylist(), raw(batch.column(1)), strict=True):
+            root = parse(page.decode("utf-8", "replace"))
             measure(root)
             for h in {*candidates(root), 0}:  # 0 counts the pages
                 counts[host, h] = counts.get((host, h), 0) + 1
         hosts, subtrees = zip(*counts, strict=True)
-        yield pa.RecordBatch.from_arrays([pa.array(hosts), pa.array([h - (h >> 63 << 64) for h in subtrees], pa.int64()), pa.array(list(counts.values()), pa.int64())], names=["host", "subtree", "n"])
-
-    sums = map_arrow(read.select("url", "html"), hashes, "host string, subtree bigint, n bigint").groupBy("host", "subtree").agg(F.sum("n").alias("n")).where((F.col("n") >= min_pages) | (F.col("subtree") == 0))
-    all_pages = F.max(F.when(F.col("subtree") == 0, F.col("n")))
-    found = F.collect_list(F.when(F.col("subtree") != 0, F.struct("n", "subtree")))
-    hosts = sums.groupBy("host").agg(all_pages.alias("pages"), found.alias("found"))
-    template = hosts.select("host", F.transform(F.filter("found", lambda x: x["n"] >= F.col("pages") * share), lambda x: x["subtree"]).alias("template")).where(F.size("template") > 0)
-
-    host = F.lower(F.regexp_extract(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)", 1), r"([^@]*)$", 1))
-    joined = read.withColumn("host", host).join(template, "host", "left").select("page_id", "url", "html", "template")
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array([h - (h >> 63 << 64) for h in subtrees], pa.int64()), pa.array(list(counts.values()), pa.int64())], names=["host", "subtree", "n"])
+
+    sums = map_arrow(read.select("host", "html"), hashes, "host string, subtree bigint, n bigint").groupBy("host", "subtree").agg(F.sum("n").alias("n")).where((F.col("n") >= min_pages) | (F.col("subtree") == 0))
+    sums = materialise(sums, "subtrees")
+    per_host = sums.where("subtree = 0").select("host", F.col("n").alias("pages"))
+    common = sums.where("subtree <> 0").join(per_host, "host").where(F.col("n") >= F.col("pages") * share)
+    template = common.groupBy("host").agg(F.collect_list("subtree").alias("template"))
+    joined = read.join(template, "host", "left").select("page_id", "url", "html", "template")
 
     def texts(batch):
         sets: dict[tuple, frozenset] = {}
