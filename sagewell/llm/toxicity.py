@@ -16,7 +16,7 @@ from .common import map_arrow, materialise, raw
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 or b == 39 else 32 for b in range(256))
 MEMO_WORDS = 400_000
 #: Expected severity from which a text counts as toxic.
-REJECT_AT = 0.35
+REJECT_AT = 0.25
 
 
 def text_words(text: bytes) -> set[bytes]:
@@ -42,7 +42,7 @@ class OrdinalModel:
         return above.sum(1), np.argmax(edges[:, :-1] - edges[:, 1:], axis=1)
 
 
-def fit_ordinal(rows: np.ndarray, cols: np.ndarray, grades: np.ndarray, n_cols: int, n_grades: int, l2: float = 0.3, rounds: int = 250) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(rows: np.ndarray, cols: np.ndarray, grades: np.ndarray, n_cols: int, n_grades: int, l2: float = 3.0, rounds: int = 250) -> tuple[np.ndarray, np.ndarray]:
     """Weights shared by all thresholds, and ordered thresholds, by gradient steps with momentum (Adam)."""
     n = len(grades)
     w, first, gaps = np.zeros(n_cols), 0.0, np.zeros(max(0, n_grades - 2))
@@ -77,7 +77,7 @@ def grade_by_density(toxic: int, hits: int, words: int) -> int:
     return 1 if share < 0.01 else 2 if share < 0.04 else 3
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 20_000, max_features: int = 20_000, least_rows: int = 3, least_statistic: float = 20.0) -> OrdinalModel:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 20_000, max_features: int = 20_000, least_rows: int = 3, least_statistic: float = 10.0) -> OrdinalModel:
     """Fit on at most max_rows labelled rows, those with the smallest hash of their id.
 
     Features are chosen on the cluster: how many toxic and other sample rows hold each, then the
