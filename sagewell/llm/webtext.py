@@ -213,8 +213,9 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     sums = map_arrow(read.select("host", "html"), hashes, "host string, subtree bigint, n bigint").groupBy("host", "subtree").agg(F.sum("n").alias("n")).where((F.col("n") >= min_pages) | (F.col("subtree") == 0))
     sums = materialise(sums, "subtrees")
     per_host = sums.where("subtree = 0").select("host", F.col("n").alias("pages"))
-    common = sums.where("subtree <> 0").join(per_host, "host").where(F.col("n") >= F.col("pages") * share)
-    template = common.groupBy("host").agg(F.collect_list("subtree").alias("template"))
+    # both joins stand between plain exchanges, so adaptive execution can split a hot host's rows
+    frequent = materialise(sums.where("subtree <> 0").join(per_host, "host").where(F.col("n") >= F.col("pages") * share).select("host", "subtree"), "templates")
+    template = materialise(frequent.groupBy("host").agg(F.collect_list("subtree").alias("template")), "template-sets")
     joined = read.join(template, "host", "left").select("page_id", "url", "html", "template")
 
     def texts(batch):
