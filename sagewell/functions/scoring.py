@@ -78,12 +78,12 @@ def excluded(path: Column, patterns: list[str]) -> Column:
     return F.exists(F.split(F.lower(path), "/"), lambda s: F.exists(options, lambda p: F.startswith(s, p)))
 
 
-def decays(last_accessed: Column, created_at: Column, access_count: Column, strength: Column, kind: Column, now: Column, decay_days: int) -> Column:
+def decays(last_accessed: Column, created_at: Column, access_count: Column, strength: Column, kind: Column, now: Column, decay_days: int, protected: int = 5) -> Column:
     """Old, seldom read and weak. Feedback lives twice as long; a date that can't be read is infinitely old."""
     read = F.try_to_timestamp(F.coalesce(last_accessed, created_at))
     days = F.floor(F.greatest(F.unix_timestamp(now) - F.unix_timestamp(read), F.lit(0)) / 86400)
     limit = F.when(kind == "feedback", 2 * decay_days).otherwise(decay_days)
-    return (read.isNull() | (days > limit)) & (access_count < 5) & (strength < 1.0)
+    return (read.isNull() | (days > limit)) & (access_count < protected) & (strength < 1.0)
 
 
 def wilson(successes: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:

@@ -43,7 +43,7 @@ def code_cue(content: Column, max_chars: int) -> Column:
     return F.when(F.size(kept) > 0, F.concat(F.array_join(kept, "\n"), F.lit("..."))).otherwise(cut)
 
 
-def promote(items: DataFrame, max_chars: int = 800) -> DataFrame:
+def promote(items: DataFrame, max_chars: int = 480) -> DataFrame:
     """Inbox items (id, content, source, attention_score, created_at, file_source) to memory rows.
 
     Items whose slug and type collide overwrite each other, the last in order of arrival staying.
@@ -74,8 +74,9 @@ def link(memories: DataFrame, pairs: DataFrame) -> DataFrame:
     return joined.withColumn("refs", F.when(F.col("new_refs").isNull(), F.col("refs")).otherwise(F.array_union("refs", "new_refs"))).drop("new_refs")
 
 
-def decay_candidates(memories: DataFrame, now: str, decay_days: int = 90) -> DataFrame:
-    return memories.where(decays(F.col("last_accessed"), F.col("created_at"), F.col("access_count"), F.col("strength"), F.col("type"), F.lit(now).cast("timestamp"), decay_days))
+def decay_candidates(memories: DataFrame, now: str, decay_days: int = 90, protected: int = 5) -> DataFrame:
+    """Memories that are old, weak and were read fewer than `protected` times."""
+    return memories.where(decays(F.col("last_accessed"), F.col("created_at"), F.col("access_count"), F.col("strength"), F.col("type"), F.lit(now).cast("timestamp"), decay_days, protected))
 
 
 def touch(memories: DataFrame, returned: DataFrame, now: str) -> DataFrame:
@@ -94,6 +95,15 @@ def upsert_memories(memories: DataFrame, rows: DataFrame) -> DataFrame:
     return memories.join(rows.select("file"), "file", "left_anti").withColumn("status", F.lit("kept")).unionByName(new)
 
 
+def add_entries(index: DataFrame, rows: DataFrame, max_lines: int = 200) -> DataFrame:
+    """Index rows with new ones added; a file that is there already, or too many rows, is an error when read."""
+    doubled = rows.join(index.select("file"), "file", "left_semi").agg(F.count("*").alias("doubled"))
+    size = index.select("file").unionByName(rows.select("file")).agg(F.count("*").alias("size"))
+    fault = F.when(F.col("doubled") > 0, "file is in the index already").when(F.col("size") > max_lines, "index is full")
+    state = doubled.crossJoin(size).select(F.when(fault.isNotNull(), F.raise_error(fault)).otherwise(F.lit(True)).alias("fine"))
+    return index.unionByName(rows).crossJoin(F.broadcast(state)).where("fine").drop("fine")
+
+
 def resolve_forget(index: DataFrame, names: DataFrame, file: str = "file", name: str = "name") -> DataFrame:
     """What each asked name means: exact file, with .md, as the part after the type, or contained.
 

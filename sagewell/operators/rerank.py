@@ -54,7 +54,7 @@ def within_budget(ranked: DataFrame, size: str, budget: int, min_results: int) -
     return sums.where(fits).drop("n")
 
 
-def expand_references(accepted: DataFrame, memories: DataFrame, lines: DataFrame | None = None, most: int = 3, max_chars: int = 800) -> DataFrame:
+def expand_references(accepted: DataFrame, memories: DataFrame, lines: DataFrame | None = None, most: int = 3, max_chars: int = 480) -> DataFrame:
     """One hop along the first references of accepted memories.
 
     accepted: query_id, file, refs; memories: file, type, name, body; lines: file, line_no, line. A

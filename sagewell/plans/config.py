@@ -5,11 +5,15 @@ from __future__ import annotations
 import copy
 import tomllib
 
+from ..sources.files import DEFAULT_EXCLUDES
+
+#: Settings and their defaults (fixed values).
 DEFAULTS = {
-    "recall": {"budget": 8000, "min_results": 3, "expand_refs": True, "max_ref_expansions": 3, "memory_hits": 10, "code_hits": 10, "seed_hits": 5},
-    "code": {"max_lines": 100, "min_lines": 3, "overlap": 10},
-    "consolidation": {"decay_days": 90, "merge_threshold": 0.85, "max_memory_tokens": 200, "auto_stale_days": 7},
-    "inbox": {"capacity": 7},
+    "recall": {"budget": 2000, "expand_refs": True, "max_ref_expansions": 3, "min_results": 2, "memory_hits": 10, "code_hits": 10, "seed_hits": 5},
+    "index": {"max_lines": 200},
+    "code": {"max_lines": 100, "min_lines": 3, "overlap": 10, "exclude_patterns": list(DEFAULT_EXCLUDES)},
+    "consolidation": {"decay_days": 90, "merge_threshold": 0.85, "protected_access_count": 5, "max_memory_tokens": 120, "auto": True, "auto_stale_days": 7},
+    "inbox": {"capacity": 10},
     "embedding": {"provider": "hash"},
 }
 

@@ -86,6 +86,6 @@ def consolidate(memories: DataFrame, vectors: DataFrame, items: DataFrame, now:
     merged = memories.select(columns).join(new.select("file"), "file", "left_anti").unionByName(new.select(columns))
     pairs = associate(vectors, vectors, cfg.get("consolidation.merge_threshold"), 10, "id", "embedding")
     linked = link(merged, pairs)
-    gone = decay_candidates(linked, now, cfg.get("consolidation.decay_days"))
+    gone = decay_candidates(linked, now, cfg.get("consolidation.decay_days"), cfg.get("consolidation.protected_access_count"))
     log = new.select(F.lit("promote").alias("action"), "file").union(pairs.select(F.lit("associate"), F.concat_ws(" ", "a", "b"))).union(gone.select(F.lit("decay"), "file"))
     return {"memories": linked.join(gone.select("file"), "file", "left_anti"), "log": log}

@@ -15,8 +15,14 @@ from ..functions.scoring import excluded
 
 MEMORY_TYPES = ("user", "feedback", "project", "reference")
 MEMORY_SCHEMA = "name string, description string, type string, created_at string, last_accessed string, access_count int, strength float, consolidated_from array<string>, source string, refs array<string>, body string"
-#: Path segments that a code scan leaves out by default: what begins with one of them.
-DEFAULT_EXCLUDES = ["node_modules", "target", "dist", "build", ".git", "vendor", "__pycache__", ".venv", "venv", "coverage", ".min.js", ".lock"]
+#: Path segments that a code scan leaves out by default: what begins with one of them (fixed values).
+DEFAULT_EXCLUDES = [
+    "dist", "build", "out", "_build",
+    "node_modules", "vendor", ".venv", "venv",
+    "target", "__pycache__", ".next", ".nuxt", ".turbo",
+    "package-lock", "yarn.lock", "pnpm-lock", "cargo.lock", "poetry.lock",
+    ".min.js", ".min.css", ".map", ".chunk.", ".bundle.",
+]
 
 
 def parse_memory(text: str) -> dict:

@@ -93,6 +93,15 @@ def test_links_touches_and_upserts(spark):
     assert {r["file"]: r["status"] for r in lifecycle.upsert_memories(m, new).collect()} == {"a.md": "kept", "b.md": "updated", "c.md": "created"}
 
 
+def test_index_additions(spark):
+    index = spark.createDataFrame([("a.md", "a")], "file string, title string")
+    new = spark.createDataFrame([("b.md", "b")], index.schema)
+    assert lifecycle.add_entries(index, new).count() == 2
+    for rows, most, fault in ((index, 9, "already"), (new, 1, "full")):
+        with pytest.raises(Exception, match=fault):
+            lifecycle.add_entries(index, rows, most).collect()
+
+
 def test_sync_embeds_only_what_changed(spark):
     v1 = spark.createDataFrame([("a", "one"), ("b", "two")], "file string, content string")
     store = embed.sync(spark.createDataFrame([], "file string, hash bigint, embedding array<float>"), v1)
@@ -201,7 +210,7 @@ def test_streamed_inbox_equals_batch(spark, tmp_path):
 
 def test_config():
     c = Config({"recall": {"budget": 10}, "code": {"overlap": 2}})
-    assert c.get("recall.budget") == 10 and c.get("recall.min_results") == 3
+    assert c.get("recall.budget") == 10 and c.get("recall.min_results") == 2
     c.set("recall.expand_refs", "false")
     assert c.get("recall.expand_refs") is False
     with pytest.raises(KeyError):
