@@ -14,32 +14,44 @@ def lines(text: Column) -> Column:
     return F.when(F.length(F.coalesce(text, F.lit(""))) == 0, F.array().cast("array<string>")).otherwise(F.split(bare, "\r?\n"))
 
 
-def _spread(df: DataFrame, file: str, keep: list[str]) -> DataFrame:
-    """One row per span [s, e] (0-based, inclusive) with its text; blank ones are dropped."""
-    rows = df.select(*keep, "l", F.explode("spans").alias("x"))
-    content = F.array_join(F.slice("l", F.col("x.s") + 1, F.col("x.e") - F.col("x.s") + 1), "\n")
-    rows = rows.select(*keep, (F.col("x.s") + 1).cast("int").alias("start_line"), (F.col("x.e") + 1).cast("int").alias("end_line"), content.alias("content"))
-    return rows.where(F.trim(F.regexp_replace("content", r"\s+", " ")) != "").withColumn("chunk_id", F.concat_ws(":", file, "start_line", "end_line"))
+def _bind(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """fn of a value that is computed once per row, however often fn names it."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
+def _chunk_rows(df: DataFrame, file: str, text: str, spans: Callable[[Column], Column]) -> DataFrame:
+    """One row per span (s, e: 0-based, inclusive) of a text's lines; blank ones are dropped."""
+
+    def chunks(l: Column) -> Column:  # noqa: E741
+        return F.transform(spans(l), lambda x: F.struct((x["s"] + 1).cast("int").alias("start_line"), (x["e"] + 1).cast("int").alias("end_line"), F.array_join(F.slice(l, x["s"] + 1, x["e"] - x["s"] + 1), "\n").alias("content")))
+
+    keep = [c for c in df.columns if c != text]
+    rows = df.select(*keep, _bind(lines(F.col(text)), chunks).alias("chunks")).select(*keep, F.explode("chunks").alias("x")).select(*keep, "x.*")
+    return rows.where(F.col("content").rlike(r"\S")).withColumn("chunk_id", F.concat_ws(":", file, "start_line", "end_line"))
 
 
 def fixed_chunks(df: DataFrame, file: str, text: str, size: int = 100, overlap: int = 10, min_lines: int = 3) -> DataFrame:
     """Windows of size lines, overlapping; the first one that reaches the end is the last."""
     step = max(size - overlap, 1)
-    with_lines = df.withColumn("l", lines(F.col(text))).where((F.size("l") >= min_lines) & (F.size("l") > 0))
-    n = F.size("l")
-    starts = F.filter(F.sequence(F.lit(0), n - 1, F.lit(step)), lambda s: (s == 0) | (s - step + size < n))
-    spans = F.transform(starts, lambda s: F.struct(s.alias("s"), (F.least(s + size, n) - 1).alias("e")))
-    return _spread(with_lines.withColumn("spans", spans), file, [c for c in df.columns if c != text])
+
+    def spans(l: Column) -> Column:  # noqa: E741
+        n = F.size(l)
+        starts = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(step)), lambda s: (s == 0) | (s - step + size < n))
+        found = F.transform(starts, lambda s: F.struct(s.alias("s"), (F.least(s + size, n) - 1).alias("e")))
+        return F.when(n >= max(min_lines, 1), found).otherwise(F.array().cast("array<struct<s:int,e:int>>"))
+
+    return _chunk_rows(df, file, text, spans)
 
 
 def paragraph_spans(line_array: Column) -> Column:
     """Maximal runs of lines that aren't blank, as array of struct(s, e)."""
-    filled = lambda x: F.trim(F.regexp_replace(x, r"\s+", " ")) != ""
-    found = F.filter(F.transform(line_array, lambda x, i: F.struct(i.alias("i"), filled(x).alias("t"))), lambda s: s["t"])
-    at = F.transform(found, lambda s: s["i"])
-    firsts = F.filter(at, lambda i: ~F.array_contains(at, i - 1))
-    lasts = F.filter(at, lambda i: ~F.array_contains(at, i + 1))
-    return F.zip_with(firsts, lasts, lambda s, e: F.struct(s.alias("s"), e.alias("e")))
+
+    def runs(filled: Column) -> Column:
+        at = F.transform(filled, lambda f, i: F.when(f, i))
+        ends = lambda shift: F.array_compact(F.transform(at, lambda i: F.when(i.isNotNull() & ~F.coalesce(F.get(filled, i + shift), F.lit(False)), i)))
+        return F.zip_with(ends(-1), ends(1), lambda s, e: F.struct(s.alias("s"), e.alias("e")))
+
+    return _bind(F.transform(line_array, lambda x: x.rlike(r"\S")), runs)
 
 
 def paragraph_chunks(df: DataFrame, file: str, text: str, max_lines: int = 100, min_lines: int = 3, overlap: int = 10) -> DataFrame:
@@ -70,9 +82,11 @@ def paragraph_chunks(df: DataFrame, file: str, text: str, max_lines: int = 100,
     def end(acc: Column) -> Column:
         return F.when(acc["run"].isNotNull() & (acc["run"]["e"] - acc["run"]["s"] + 1 >= min_lines), flush(acc)).otherwise(acc["out"])
 
-    with_lines = df.withColumn("l", lines(F.col(text))).where(F.size("l") >= min_lines)
-    spans = with_lines.withColumn("spans", F.aggregate(paragraph_spans(F.col("l")), start, step, end))
-    return _spread(spans, file, [c for c in df.columns if c != text])
+    def spans(l: Column) -> Column:  # noqa: E741
+        found = F.aggregate(paragraph_spans(l), start, step, end)
+        return F.when(F.size(l) >= min_lines, found).otherwise(F.array().cast(f"array<{span}>"))
+
+    return _chunk_rows(df, file, text, spans)
 
 
 def custom_chunks(df: DataFrame, file: str, text: str, strategy: Callable[[str, str], list[tuple[int, int, str]]]) -> DataFrame:

@@ -27,11 +27,12 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_id
     go to the smaller id.
     """
     terms = queries.select(F.col(query_id_col).alias("query_id"), F.explode(tokens(F.col(query_text_col))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
-    words = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("w"))
-    size = words.agg(F.count("*").alias("n_docs"), F.avg(F.size("w")).alias("mean_length")).first()
+    # the length is taken below the explode, so that no token row carries its document's words
+    words = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("w")).select("id", "w", F.size("w").alias("length"))
+    size = words.agg(F.count("*").alias("n_docs"), F.avg("length").alias("mean_length")).first()
     n_docs, mean = size["n_docs"], size["mean_length"] or 1.0
     wanted = terms.select("term").distinct()
-    held = words.select("id", F.size("w").alias("length"), F.explode("w").alias("term")).join(wanted, "term", "left_semi")
+    held = words.select("id", "length", F.explode("w").alias("term")).join(wanted, "term", "left_semi")
     tf = held.groupBy("id", "length", "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log((F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
