@@ -34,10 +34,11 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_id
     wanted = terms.select("term").distinct()
     held = words.select("id", "length", F.explode("w").alias("term")).join(wanted, "term", "left_semi")
     tf = held.groupBy("id", "length", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    # reading tf here keeps both branches alike, so that Spark counts words once and reuses the exchange
+    df = tf.groupBy("term").agg(F.sum(F.least(F.col("tf"), F.lit(1))).alias("df"))
     idf = F.log((F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / mean))
-    hits = tf.join(df, "term").join(terms, "term")
-    scores = hits.groupBy("query_id", "id").agg(F.round(F.sum(weight * F.col("qf")), 9).alias("score"))
+    weights = tf.join(df, "term").select("term", "id", weight.alias("weight"))  # once per word and document, not per query
+    scores = weights.join(terms, "term").groupBy("query_id", "id").agg(F.round(F.sum(F.col("weight") * F.col("qf")), 9).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
