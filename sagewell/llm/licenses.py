@@ -51,20 +51,31 @@ def _agreeing(index: list[tuple[str, int]], place: Column) -> Column:
     return reduce(Column.__add__, [F.when(F.get("w", place + p) == x, 1).otherwise(0) for x, p in index])
 
 
-def _best_place(words: list[str], phrases: list[str], index: list[tuple[str, int]], least: int) -> Column:
+def _starts(words: list[str], phrases: list[str]) -> list[tuple[list[str], int]]:
+    """The words of each mandatory phrase and its place in the template."""
+    return [(q.split(), next(i for i in range(len(words)) if words[i:][: len(q.split())] == q.split())) for q in phrases]
+
+
+def _anchors(document_frequency: dict[str, int], words: list[str], phrases: list[str], index: list[tuple[str, int]]) -> list[tuple[str, int]]:
+    """The words that propose a template's places: each place has all mandatory phrases, so the rarest
+    word of these finds every one of them. Without phrases, all index words propose."""
+    inside = [(x, at + j) for q, at in _starts(words, phrases) for j, x in enumerate(q)]
+    return [min(inside, key=lambda a: (document_frequency.get(a[0], 0), a[1]))] if inside else index
+
+
+def _best_place(words: list[str], phrases: list[str], index: list[tuple[str, int]], anchors: list[tuple[str, int]], least: int) -> Column:
     """The best share of agreeing index words over the places of a template; null where it is not found."""
 
     def proposals(spot: Column) -> Column:
-        return F.array_compact(F.array(*[F.when(spot["x"] == x, spot["i"] - p) for x, p in index]))
+        return F.array_compact(F.array(*[F.when(spot["x"] == x, spot["i"] - p) for x, p in anchors]))
 
     def stands(place: Column) -> Column:
-        starts = [(q.split(), next(i for i in range(len(words)) if words[i:][: len(q.split())] == q.split())) for q in phrases]
-        phrase = reduce(Column.__and__, [(place + at >= 0) & (F.get("w", place + at + j) == x) for q, at in starts for j, x in enumerate(q)])
-        return F.coalesce(phrase, F.lit(False)) & (_agreeing(index, place) >= min(least, len(index)))
+        phrase = reduce(Column.__and__, [(place + at >= 0) & (F.get("w", place + at + j) == x) for q, at in _starts(words, phrases) for j, x in enumerate(q)], F.lit(True))
+        return F.coalesce(phrase, F.lit(False)) & (_agreeing(index, place) >= min(max(least, 1), len(index)))
 
     places = F.filter(F.array_distinct(F.flatten(F.transform("spots", proposals))), stands)
     best = F.array_max(F.transform(places, lambda d: _agreeing(index, d) / len(index)))
-    return F.when(F.arrays_overlap("rare", _texts(sorted({x for x, _ in index}))), best)
+    return F.when(F.arrays_overlap("rare", _texts(sorted({x for x, _ in anchors}))), best)
 
 
 def _phrase_starts(phrase: list[str]) -> Column:
@@ -78,14 +89,14 @@ def _phrase_starts(phrase: list[str]) -> Column:
     return F.when(F.array_contains("w", phrase[-1]), F.transform(at, lambda i: i - last)).otherwise(F.array().cast("array<int>"))
 
 
-def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES, per_template: int = 4, per_file: int = 12, least_agreeing: int = 2) -> DataFrame:
+def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES, per_template: int = 4, least_agreeing: int = 2) -> DataFrame:
     """Licences of every whole text: base phrases and notices found through rare words.
 
     A first pass counts in how many texts each template word stands (a table no longer than the
     templates). The index keeps each template's per_template rarest words and their positions. A
-    text looks up its per_file rarest index words, every occurrence of them proposes places for
-    templates, and a place stands if least_agreeing index words (all, of shorter templates) agree
-    in relative position and all mandatory phrases stand at theirs.
+    place stands if least_agreeing index words (all, of shorter templates) agree in relative position
+    and all mandatory phrases stand at theirs, so every occurrence of the rarest word of a template's
+    phrases proposes a place and none is passed over, however many notices a text holds.
 
     Returns doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score (the best
     share of agreeing index words of a found template; 1 where only base phrases stand; 0 if none).
@@ -99,14 +110,14 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         raise ValueError("template words are lower-case ASCII letters and digits")
     df = {r["w"]: r["n"] for r in read.select(F.explode(F.array_intersect("w", _texts(known))).alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()}
     index = _indexed(df, templates, per_template)
-    by_rarity = sorted({w for t in index for w, _ in t}, key=lambda w: (df.get(w, 0), w))
+    anchors = [_anchors(df, t.split(), phrases, index[k]) for k, (_, t, phrases) in enumerate(templates)]
 
     found = []  # of each template: places with their scores
     n = F.size("w")
-    rare = F.slice(F.array_intersect(_texts(by_rarity), "w"), 1, per_file)
+    rare = F.array_intersect(_texts(sorted({x for a in anchors for x, _ in a})), "w")
     spots = F.filter(F.transform("w", lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: F.array_contains(F.col("rare"), s["x"]))
     for k, (_, text_, phrases) in enumerate(templates):
-        found.append(_best_place(text_.split(), phrases, index[k], least_agreeing).alias(f"t{k}"))
+        found.append(_best_place(text_.split(), phrases, index[k], anchors[k], least_agreeing).alias(f"t{k}"))
 
     base = []
     for phrase, label in BASE.items():

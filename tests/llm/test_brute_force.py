@@ -276,6 +276,30 @@ def test_license_places_by_hand(spark, sf_dir):
     assert rows[-2]["labels"] == "cc-by-nc-4.0,gpl,gpl-3.0"
 
 
+def test_license_notices_in_one_text(spark, sf_dir):
+    """All notices in one text, in two orders and with words between, against all places tried one by one."""
+    import re
+
+    notices = [t for _, t, _ in licenses.TEMPLATES]
+    texts = [" ; ".join(notices), "\n".join(reversed(notices)), " ".join(f"{t} of the public software" for t in notices), "all rights under the license by software " * 40 + notices[8]]
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").union(spark.createDataFrame([(-1 - k, t) for k, t in enumerate(texts)], "doc_id bigint, text string"))
+    words = {r["doc_id"]: re.findall(licenses.WORD, re.sub("[A-Z]", lambda m: m[0].lower(), r["text"] or "")) for r in docs.collect()}
+    df = collections.Counter(x for w in words.values() for x in set(w))
+    index = licenses._indexed(df, licenses.TEMPLATES, 4)
+    for r in licenses.scan_licenses(docs).where("doc_id < 0").collect():
+        w, best = words[r["doc_id"]], {}
+        for k, (name, t, phrases) in enumerate(licenses.TEMPLATES):
+            for d in range(-len(t.split()), len(w)):
+                at = lambda i: w[i] if 0 <= i < len(w) else None  # noqa: E731, B023
+                whole = all(all(at(d + t.split().index(p.split()[0]) + j) == x for j, x in enumerate(p.split())) for p in phrases)  # noqa: B023
+                n = sum(at(d + i) == x for x, i in index[k])
+                if whole and n >= min(2, len(index[k])):
+                    best[name] = max(best.get(name, 0), n / len(index[k]))
+        base = {x for p, x in licenses.BASE.items() if any(w[j : j + len(p.split())] == p.split() for j in range(len(w)))}
+        assert r["labels"] == ",".join(sorted({*best, *base})) and abs(r["score"] - max(best.values())) < 1e-9
+        assert len(best) == (16 if r["doc_id"] > -4 else 1)
+
+
 def test_license_scan_stays_in_the_engine(spark, sf_dir):
     plan = licenses.scan_licenses(table(spark, sf_dir, "documents"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
