@@ -183,9 +183,9 @@ def main_text(page: str, template: frozenset | set) -> str:
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = 5, share: float = 0.1) -> DataFrame:
     """The article of every page, without what its site repeats.
 
-    First pass: each page's element subtrees are hashed (names and words), summed per host within a
-    batch and then over the cluster. A subtree that stands on min_pages pages and on a share of its
-    host's pages is template, so a host has no more of them than share allows. Second pass: pages
+    First pass: each page's element subtrees are hashed (names and words) and counted per host, once
+    for all pages of the same root hash, so copies of a page make no template of it. A subtree that
+    stands on min_pages distinct pages and on a share of its host's distinct pages is template, so a host has no more of them than share allows. Second pass: pages
     meet their host's templates (one row per host; adaptive execution splits a hot host) and lose
     them together with what element names, roles and classes call boilerplate. Paragraphs and other
     plain blocks inside an article or main element are content even if other pages quote them, and a
@@ -201,16 +201,19 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     read = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"), host.alias("host"))
 
     def hashes(batch):
-        counts: dict[tuple[str, int], int] = {}
+        seen: set[tuple[str, int]] = set()
+        rows: list[tuple[str, int, int]] = []
         for host, page in zip(batch.column(0).to_pylist(), raw(batch.column(1)), strict=True):
             root = parse(page.decode("utf-8", "replace"))
             measure(root)
-            for h in {*candidates(root), 0}:  # 0 counts the pages
-                counts[host, h] = counts.get((host, h), 0) + 1
-        hosts, subtrees = zip(*counts, strict=True)
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array([h - (h >> 63 << 64) for h in subtrees], pa.int64()), pa.array(list(counts.values()), pa.int64())], names=["host", "subtree", "n"])
-
-    sums = map_arrow(read.select("host", "html"), hashes, "host string, subtree bigint, n bigint").groupBy("host", "subtree").agg(F.sum("n").alias("n")).where((F.col("n") >= min_pages) | (F.col("subtree") == 0))
+            if (host, root.hash) not in seen:
+                seen.add((host, root.hash))
+                rows += [(host, root.hash, h) for h in {*candidates(root), 0}]  # 0 counts the pages
+        hosts, roots, subtrees = zip(*rows, strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), *(pa.array([h - (h >> 63 << 64) for h in x], pa.int64()) for x in (roots, subtrees))], names=["host", "root", "subtree"])
+
+    distinct = map_arrow(read.select("host", "html"), hashes, "host string, root bigint, subtree bigint").distinct()
+    sums = distinct.groupBy("host", "subtree").agg(F.count("*").alias("n")).where((F.col("n") >= min_pages) | (F.col("subtree") == 0))
     sums = materialise(sums, "subtrees")
     per_host = sums.where("subtree = 0").select("host", F.col("n").alias("pages"))
     # both joins stand between plain exchanges, so adaptive execution can split a hot host's rows

@@ -103,6 +103,17 @@ def test_template_subtrees_go_and_quoted_paragraphs_stay(spark):
     assert all(out[100 + i] == f"T{i} Quoted by all." for i in range(12))
 
 
+def test_copies_of_a_page_are_no_template(spark):
+    plain = "<html><body><div><p>First words of a page.</p><p>Other words of it.</p></div><div>End.</div></body></html>"
+    parts = "<article><div>Part one of this</div><section>Part two of this</section><p>Last part</p></article>"
+    rows = [(i, "http://h.example/a", plain) for i in range(30)] + [(100 + i, "http://g.example/a", parts) for i in range(30)]
+    rows += [(200 + i, f"http://{h}.example/{i}", f"<article><p>Text {i}</p></article><div>menu</div>") for i in range(12) for h in "hg"]
+    out = {r["page_id"]: r["text"] for r in webtext.extract_main_text(spark.createDataFrame(rows, "page_id int, url string, html string").repartition(5)).collect()}
+    assert all(out[i] == "First words of a page. Other words of it. End." for i in range(30))
+    assert all(out[100 + i] == "Part one of this Part two of this Last part" for i in range(30))
+    assert all(out[200 + i] == f"Text {i}" for i in range(12))
+
+
 def test_bpe_equals_library(spark, sf_dir):
     tokenizers = pytest.importorskip("tokenizers")
     lib = tokenizers.Tokenizer.from_file(registry.tokenizer_path())
