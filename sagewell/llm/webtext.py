@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import html
+import math
 import re
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -29,6 +31,8 @@ MARKS = frozenset("ad ads advert adverts advertisement advertising sponsor spons
 PLAIN = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote li td th tr tbody table ul ol dl dt dd b i em strong a span br code figcaption".split())
 #: Elements nested deeper than this become siblings; their text stays.
 DEEPEST = 300
+#: Templates broadcast at once.
+BLOCK_TEMPLATES = 4_000_000
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>|<[/!?a-zA-Z][^<>]*\Z", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:][\w:.-]*)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -154,6 +158,10 @@ def main_text(page: str, template: frozenset | set) -> str:
     """The text left without boilerplate and template subtrees, white space collapsed."""
     root = parse(page)
     measure(root)
+    return _text_of(root, template)
+
+
+def _text_of(root: Node, template: frozenset | set) -> str:
     containers = _containers(root)
     inside_ids, out = {id(c) for c in containers}, []
     most = root.size / 2
@@ -180,14 +188,36 @@ def main_text(page: str, template: frozenset | set) -> str:
     return " ".join("".join(out).split())
 
 
+def _known(root: Node, template: np.ndarray | None) -> set[int]:
+    """The hashes of a page's subtrees that are in the sorted template of its host."""
+    if template is None:
+        return set()
+    own, stack = [], [root]
+    while stack:
+        x = stack.pop()
+        own.append(x.hash)
+        stack += [k for k in x.kids if isinstance(k, Node)]
+    hashes = np.array(own, np.uint64)
+    at = np.minimum(np.searchsorted(template, hashes), len(template) - 1)
+    return set(hashes[template[at] == hashes].tolist())
+
+
+def least_pages(pages: int, min_pages: int = 5, share: float = 0.1) -> float:
+    """On how many of a host's distinct pages a template stands at least: min_pages, and beyond the
+    size of which they are that share, more by the logarithm of the host only (60 of 3 million)."""
+    return min_pages * (1 + math.log(max(pages * share / min_pages, 1)))
+
+
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = 5, share: float = 0.1) -> DataFrame:
     """The article of every page, without what its site repeats.
 
     First pass: each page's element subtrees are hashed (names and words) and counted per host, once
     for all pages of the same root hash, so copies of a page make no template of it. A subtree that
-    stands on min_pages distinct pages and on a share of its host's distinct pages is template, so a host has no more of them than share allows. Second pass: pages
-    meet their host's templates (one row per host; adaptive execution splits a hot host) and lose
-    them together with what element names, roles and classes call boilerplate. Paragraphs and other
+    stands on as many distinct pages as least_pages() asks is template. Second pass: each block of
+    hosts with their templates is broadcast, so pages aren't shuffled or weighed by their host, and
+    each page looks up its own subtrees. Hosts are dealt to blocks of about BLOCK_TEMPLATES templates
+    (8 bytes each), mostly one; of several, each is written before the next. Pages lose templates
+    together with what element names, roles and classes call boilerplate. Paragraphs and other
     plain blocks inside an article or main element are content even if other pages quote them, and a
     subtree that holds over half of a page's text is never taken for template.
 
@@ -216,19 +246,31 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     sums = distinct.groupBy("host", "subtree").agg(F.count("*").alias("n")).where((F.col("n") >= min_pages) | (F.col("subtree") == 0))
     sums = materialise(sums, "subtrees")
     per_host = sums.where("subtree = 0").select("host", F.col("n").alias("pages"))
-    # both joins stand between plain exchanges, so adaptive execution can split a hot host's rows
-    frequent = materialise(sums.where("subtree <> 0").join(per_host, "host").where(F.col("n") >= F.col("pages") * share).select("host", "subtree"), "templates")
-    template = materialise(frequent.groupBy("host").agg(F.collect_list("subtree").alias("template")), "template-sets")
-    joined = read.join(template, "host", "left").select("page_id", "url", "html", "template")
-
-    def texts(batch):
-        sets: dict[tuple, frozenset] = {}
-        out = []
-        for page, t in zip(raw(batch.column(2)), batch.column(3).to_pylist(), strict=True):
-            key = tuple(t or ())
-            if key not in sets:
-                sets[key] = frozenset(h & 0xFFFFFFFFFFFFFFFF for h in key)
-            out.append(main_text(page.decode("utf-8", "replace"), sets[key]))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array(list(map(len, out)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
-
-    return map_arrow(joined, texts, f"page_id {kind}, url string, text string, n_chars bigint")
+    ratio = F.greatest(F.col("pages") * share / min_pages, F.lit(1.0))
+    # the join stands between plain exchanges, so adaptive execution can split a hot host's rows
+    frequent = materialise(sums.where("subtree <> 0").join(per_host, "host").where(F.col("n") >= min_pages * (1 + F.log(ratio))).select("host", "subtree"), "templates")
+    blocks = max(1, math.ceil(frequent.count() / BLOCK_TEMPLATES))
+    block = lambda k: F.pmod(F.xxhash64("host"), F.lit(blocks)) == k
+
+    def texts_with(shared):
+        def texts(batch):
+            out = []
+            for host, page in zip(batch.column(3).to_pylist(), raw(batch.column(2)), strict=True):
+                root = parse(page.decode("utf-8", "replace"))
+                measure(root)
+                out.append(_text_of(root, _known(root, shared.value.get(host))))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array(list(map(len, out)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
+
+        return texts
+
+    done = None
+    for k in range(blocks):
+        lists = frequent.where(block(k)).groupBy("host").agg(F.collect_list("subtree").alias("template"))
+        template = {r["host"]: np.sort(np.array(r["template"], np.int64).view(np.uint64)) for r in lists.toLocalIterator()}
+        shared = pages.sparkSession.sparkContext.broadcast(template)
+        part = map_arrow(read.where(block(k)), texts_with(shared), f"page_id {kind}, url string, text string, n_chars bigint")
+        if blocks > 1:
+            part = materialise(part, "texts")
+            shared.destroy()
+        done = part if done is None else done.union(part)
+    return done

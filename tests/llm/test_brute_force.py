@@ -114,6 +114,20 @@ def test_copies_of_a_page_are_no_template(spark):
     assert all(out[200 + i] == f"Text {i}" for i in range(12))
 
 
+def test_templates_of_a_part_of_a_large_host(spark, monkeypatch):
+    """A notice on 8 % of a host's pages goes, in one block of hosts and in several."""
+    page = "<html><body><div>{1}</div><div><p>Own words of page {0} are longer than all its notices are</p></div></body></html>"
+    rows = [(i, "http://h.example/a", page.format(i, f"Notice number {i % 12}")) for i in range(480)]
+    rows += [(1000 + i, "http://g.example/a", page.format(i, "Menu of g" if i < 5 else f"Line {i}")) for i in range(20)]
+    df = spark.createDataFrame(rows, "page_id int, url string, html string")
+    assert webtext.least_pages(480) < 40 < 48 and webtext.least_pages(50) == 5 and webtext.least_pages(3_300_000) < 62
+    for most in (webtext.BLOCK_TEMPLATES, 4):
+        monkeypatch.setattr(webtext, "BLOCK_TEMPLATES", most)
+        out = {r["page_id"]: r["text"] for r in webtext.extract_main_text(df).collect()}
+        assert len(out) == 500 and all(out[i] == f"Own words of page {i} are longer than all its notices are" for i in [*range(480)])
+        assert all(out[1000 + i] == ("" if i < 5 else f"Line {i} ") + f"Own words of page {i} are longer than all its notices are" for i in range(20))
+
+
 def test_bpe_equals_library(spark, sf_dir):
     tokenizers = pytest.importorskip("tokenizers")
     lib = tokenizers.Tokenizer.from_file(registry.tokenizer_path())
