@@ -25,10 +25,11 @@ SCOPE = frozenset("article aside blockquote body button caption dd div dt figure
 #: Elements that are never main text.
 BOILERPLATE = frozenset("nav footer aside form script style noscript template iframe button select textarea svg dialog menu head title object canvas".split())
 ROLES = frozenset("navigation banner contentinfo complementary search alert dialog menu menubar toolbar".split())
-#: Words of class and id values that mark what is not main text.
+#: Class and id values that mark what is not main text: as they stand, or compounds of these words only.
 MARKS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notification newsletter subscribe signup popup modal overlay sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead share sharing social related recommended comment comments commentlist disqus replies widget toolbar pagination pager login".split())
 #: Plain text blocks, which are content wherever an article quotes them again.
 PLAIN = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote li td th tr tbody table ul ol dl dt dd b i em strong a span br code figcaption".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements nested deeper than this become siblings; their text stays.
 DEEPEST = 300
 #: Templates broadcast at once.
@@ -91,8 +92,16 @@ def attributes(node: Node) -> dict[str, str]:
     return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(node.attrs)} if node.attrs else {}
 
 
-def is_boilerplate(node: Node, inside: bool) -> bool:
-    """By element, role, hiding, or the words of class and id. inside: within the main container."""
+def is_main(node: Node) -> bool:
+    return node.tag in ("article", "main") or 'role="main"' in node.attrs
+
+
+def is_boilerplate(node: Node, inside: bool, most: float) -> bool:
+    """By element, role, hiding, or class and id. inside: within the main container.
+
+    Class and id never tell of articles, main elements, headings, or what holds over most characters
+    (half of the page's text); ids, which are often slugs of titles, never within a container.
+    """
     if node.tag in BOILERPLATE or node.tag == "header" and not inside:
         return True
     if not node.attrs or node.tag in ("html", "body"):
@@ -100,19 +109,22 @@ def is_boilerplate(node: Node, inside: bool) -> bool:
     a = attributes(node)
     if "hidden" in a or a.get("aria-hidden") == "true" or a.get("role") in ROLES or re.search(r"display:\s*none", a.get("style", "")):
         return True
-    marks = re.split(r"[^a-z0-9]+", (a.get("class", "") + " " + a.get("id", "")).lower())
-    return not MARKS.isdisjoint(marks)
+    if is_main(node) or node.tag in HEADINGS or node.size > most:
+        return False
+    names = (a.get("class", "") + ("" if inside else " " + a.get("id", ""))).lower().split()
+    return any(MARKS.issuperset(re.split(r"[-_]+", name)) for name in names)
 
 
 def _containers(node: Node) -> list[Node]:
-    """The outermost articles, else the outermost main elements, that are not boilerplate."""
+    """The outermost articles, else the outermost main elements, that are not boilerplate; of a measured tree."""
     found: dict[str, list[Node]] = {"article": [], "main": []}
+    most = node.size / 2
 
     def walk(x: Node, seen: frozenset):
         for k in x.kids:
             if isinstance(k, Node):
                 kind = "main" if k.tag == "main" or 'role="main"' in k.attrs else k.tag
-                if is_boilerplate(k, bool(seen)):
+                if is_boilerplate(k, bool(seen), most):
                     continue
                 new = kind in found and kind not in seen
                 if new:
@@ -172,7 +184,7 @@ def _text_of(root: Node, template: frozenset | set) -> str:
                 out.append(k)
                 continue
             within = inside or id(k) in inside_ids
-            if is_boilerplate(k, within):
+            if is_boilerplate(k, within, most):
                 continue
             block = k.tag in BLOCK
             if block:

@@ -128,6 +128,24 @@ def test_templates_of_a_part_of_a_large_host(spark, monkeypatch):
         assert all(out[1000 + i] == ("" if i < 5 else f"Line {i} ") + f"Own words of page {i} are longer than all its notices are" for i in range(20))
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<article class='post has-comments-menu'><p>All of it</p></article>", "All of it"),
+        ("<article class=comments><p>All of it</p></article>", "All of it"),
+        ("<main class='site-main right-sidebar'><p>All of it</p></main>", "All of it"),
+        ("<div class='content no-sidebar'><p>All of it</p></div>", "All of it"),
+        ("<div class=sidebar><p>Holds most of the page's text</p></div><p>Rest</p>", "Holds most of the page's text Rest"),
+        ("<article><h2 id=related-work>Related</h2><section id=login>How to log in</section><h3 id=share-price class=share>Price</h3></article>", "Related How to log in Price"),
+        ("<div>Short <h2 id=login>Login</h2></div><div class='no-sidebar x'>more</div>", "Short Login more"),
+        ("<p>Text of the page, of some length</p><div class='cookie-banner'>Take it</div><div id=sidebar>Side</div><div class='a menu'>Menu</div>", "Text of the page, of some length"),
+        ("<article><p>Text of the page, of some length</p><div class='share'>Share it</div></article>", "Text of the page, of some length"),
+    ],
+)
+def test_marks_drop_no_content(page, text):
+    assert webtext.main_text(page, set()) == text
+
+
 def test_bpe_equals_library(spark, sf_dir):
     tokenizers = pytest.importorskip("tokenizers")
     lib = tokenizers.Tokenizer.from_file(registry.tokenizer_path())
