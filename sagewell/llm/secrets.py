@@ -21,11 +21,22 @@ from .common import map_arrow, raw
 #: A candidate: a run of key characters, of length 12 at least with a digit or of 20 at least without.
 CANDIDATE = re.compile(rb"[A-Za-z0-9_\-+/=.@%~]{12,}")
 SPLIT = re.compile(rb"^[A-Za-z_][A-Za-z_.\-]{1,30}[=]{1,2}(?=[^=])")
+#: Assignment signs; names and words of secrets, after which a whole value is a candidate from SHORTEST on.
+SIGN = re.compile(rb"(?:=>|:=|=+|:(?!//))[ \t]*")
+NAME = re.compile(rb"[\w.\-]+[\"'\])]*[ \t]*\Z")
+SECRET_NAME = re.compile(rb"(?:pass(?:word|wd|phrase|code)\w*|pwd|secret\w*|token|credentials?|(?:api|access|private|secret|signing|client|auth|aws|encryption)[_\-.]?key|auth|authorization|bearer)[\"'\])]*[ \t]*\Z", re.I)
+SECRET_WORD = re.compile(rb"(?<![A-Za-z])(?:pass(?:word|wd|phrase|code)|pwd|secret|token|api[_\-]?key|bearer|credentials?)[ \t]+(?:(?:is|was)[ \t]+)?(?=[^\s=:])", re.I)
+QUOTED = re.compile(rb"\"((?:[^\"\\\r\n]|\\.)*)\"|'((?:[^'\\\r\n]|\\.)*)'")
+UNQUOTED = re.compile(rb"\S+")
+SHORTEST = 6
+#: What stands for a value but is none: stand-ins by their words or marks, and code.
+STAND_IN = re.compile(rb"change_?me|your|example|placeholder|insert|dummy|x{4,}|\*{3,}|\.{3}|test_|_here|0{6,}|\A(?:bearer|basic|none|null|undefined|required|optional|string|password|secret|token|hidden|redacted|false|true)\W*\Z", re.I)
+CODE = re.compile(rb"\A[$<{(\[%]|\w[(\[]|\A(?:os|self|process|env|config|settings|args|request|this)\.|://")
 #: Words near a candidate that tell of a secret, or of something else. Fixed values.
 SECRET_WORDS = frozenset(b"password passwd pwd secret token apikey api key auth authorization bearer credential credentials private access aws client signing".split())
 OTHER_WORDS = frozenset(b"sha commit hash checksum md5 sha256 etag revision uuid guid id example sample placeholder test dummy fixture email mail card image data version".split())
 PREFIXES = (b"AKIA", b"ASIA", b"ghp_", b"gho_", b"github_pat_", b"sk_live_", b"rk_live_", b"xoxb-", b"xoxp-", b"AIza", b"glpat-", b"eyJ", b"npm_", b"SG.")
-FEATURES = ("length", "entropy", "transition", "digit_share", "upper_share", "lower_share", "other_share", "class_changes", "hex_only", "dictionary", "repeats", "known_prefix", "assigned", "quoted", "secret_words", "other_words", "has_at", "dots", "uuid_form", "path_code", "path_test", "digits_only")
+FEATURES = ("length", "entropy", "transition", "digit_share", "upper_share", "lower_share", "other_share", "class_changes", "hex_only", "dictionary", "repeats", "known_prefix", "assigned", "quoted", "secret_words", "other_words", "has_at", "dots", "uuid_form", "path_code", "path_test", "digits_only", "secret_name", "stand_in", "code", "spaces")
 #: Vowel-bearing letter pairs and ends usual in words of many languages; they make up dictionary coverage with the words of the text itself.
 COMMON_PARTS = tuple("the and ing ion ent her for tha nth int ere tio ver ter est ers ati hat ate all eth hes ver his oft ith fth sth oth res ont you are not but was ess ist com con pro der sch ein ich und die che gen que les des eur ait men con est ado los las par ent".split())
 WINDOW = 48
@@ -84,11 +95,15 @@ def features(value: bytes, before: bytes, after: bytes, path: str) -> list[float
         float(re.search(r"\.(py|js|ts|go|java|rb|env|ya?ml|json|toml|ini|conf|sh)$", folder) is not None),
         float(re.search(r"test|spec|fixture|example|mock|sample", folder) is not None),
         float((kinds == 2).all()),
+        float(SECRET_NAME.search(re.sub(rb"[=:>]+[ \t]*[\"']?\Z", b"", before[-WINDOW:])) is not None and last.endswith((b"=", b":", b"=>"))),
+        float(STAND_IN.search(value) is not None),
+        float(CODE.search(value) is not None),
+        float(min(value.count(b" "), 9)),
     ]
 
 
-def candidates(text: bytes) -> list[tuple[int, int]]:
-    """[start, end) of candidates in a text. A name with an equals sign ahead is cut off."""
+def _runs(text: bytes) -> list[tuple[int, int]]:
+    """[start, end) of runs of key characters. A name with an equals sign ahead is cut off."""
     out = []
     for m in CANDIDATE.finditer(text):
         s, e = m.span()
@@ -103,6 +118,55 @@ def candidates(text: bytes) -> list[tuple[int, int]]:
     return out
 
 
+def _values(text: bytes) -> list[tuple[int, int]]:
+    """[start, end) of whole values, quoted or up to white space, after assignments and secret words.
+
+    Values of secret names are taken within other values too, the others only outside of values, so
+    all values together are at most twice as long as the text.
+    """
+    heads = []
+    for m in SIGN.finditer(text):
+        tail = text[max(0, m.start() - 80) : m.start()]
+        if name := NAME.search(tail):
+            before = tail[: name.start()][-1:]
+            heads.append((m.end(), SECRET_NAME.search(tail) is not None, before if before in (b'"', b"'") and name[0].strip().isascii() and not re.search(rb"[\"']", name[0]) else b""))
+    heads += [(m.end(), True, b"") for m in SECRET_WORD.finditer(text)]
+    out, taken = [], [0, 0]  # ends of values of other names, of secret names
+    for at, secret, inside in sorted(heads):
+        if at < taken[1] or not secret and at < taken[0]:
+            continue
+        if m := QUOTED.match(text, at):
+            s, e = m.span(1) if m[1] is not None else m.span(2)
+        else:
+            s = at + (text[at : at + 1] in (b'"', b"'"))
+            m = UNQUOTED.match(text, s)
+            e = m.end() if m else s
+            if inside and (cut := text.find(inside, s, e)) >= 0:
+                e = cut
+            while e > s and text[e - 1] in b"\"'`,;)]}>.":
+                e -= 1
+        taken[secret] = max(taken[secret], e)
+        if e - s >= SHORTEST:
+            out.append((s, e))
+    return out
+
+
+def candidates(text: bytes) -> list[tuple[int, int]]:
+    """[start, end) of candidates in a text, in order; a run may stand within a whole value."""
+    return sorted({*_runs(text), *_values(text)})
+
+
+def merged(spans: list) -> list[list[int]]:
+    """Secrets found, in order, those that overlap as one."""
+    out: list[list[int]] = []
+    for s, e in spans:
+        if out and s < out[-1][1]:
+            out[-1][1] = max(out[-1][1], e)
+        else:
+            out.append([s, e])
+    return out
+
+
 def labelled_findings(n: int = 6000, seed: int = 11) -> tuple[list[list[float]], list[int]]:
     """Labelled findings made from public formats: live-looking secrets, and what scanners report wrongly."""
     r = random.Random(seed)
@@ -111,7 +175,26 @@ def labelled_findings(n: int = 6000, seed: int = 11) -> tuple[list[list[float]],
     syllables = ["th", "er", "on", "an", "re", "in", "ed", "es", "ti", "en", "sch", "ein", "que", "ment", "ado", "ción", "tion", "ing", "ble", "ly", "ver"]
     word = lambda: "".join(r.choice(syllables) for _ in range(r.randint(1, 4)))
     long_word = lambda: "".join(r.choice(syllables) for _ in range(r.randint(5, 12)))
+    common = "correct horse battery staple dragon monkey hunter summer winter shadow master sunshine flower river orange football coffee silver guitar purple london tiger".split()
+    plain = lambda: "".join(r.choice(common) for _ in range(r.randint(1, 3))).ljust(6, "s")
+    signs = "!#$&*^@%?+-_"
+    leet = lambda: "".join({"o": "0", "e": "3", "a": "4", "i": "1"}.get(c, c) if r.random() < 0.5 else c for c in plain()).title()
+    chosen = lambda: r.choice([lambda: plain() + draw(string.digits, r.randint(1, 4)) + r.choice(["", draw(string.ascii_lowercase + signs, r.randint(1, 2))]), lambda: leet() + draw(signs, r.randint(0, 2)) + draw(string.digits, r.randint(1, 3)), lambda: draw(alnum + signs, r.randint(8, 16)), lambda: draw(alnum, r.randint(6, 11))])()
+    names = ["password", "passwd", "pwd", "db_password", "DB_PASSWORD", "secret", "client_secret", "passphrase", "token", "api_key"]
+    forms = [("=", ""), (": ", ""), (" = \"", '"'), ("='", "'"), ("\": \"", '"'), (":", "")]
+
+    def assigned(name: str, value: str) -> tuple[str, str, str]:
+        sign, tail = r.choice(forms)
+        return name + sign, value, tail
+
+    fields = ["name", "title", "label", "user", "note", "type", "path", "lang", "author", "tokens", "color", "class", "model", "topic", "url", "see"]
+    sentence = lambda: " ".join(word() for _ in range(r.randint(2, 9))).ljust(6, "s")
+    stand_ins = ["changeme", "<password>", "${DB_PASSWORD}", 'os.environ["PW"', "get_password(", "required", "string", "undefined", "your-password", "********", "xxxxxxxx", "Bearer", "process.env.TOKEN", "example", "settings.SECRET", "{{ secret }}", "redacted", "self.password"]
     secret = [
+        lambda: assigned(r.choice(names), chosen()),
+        lambda: assigned(r.choice(names), chosen()),
+        lambda: (r.choice(["password=", "pwd=", "secret=", 'password = "', "passphrase="]), plain() + r.choice(common), ""),
+        lambda: (r.choice(["password ", "pwd ", "password is ", "secret ", "passphrase "]), chosen(), ""),
         lambda: ("", r.choice(["AKIA", "ASIA"]) + draw(up, 16), ""),
         lambda: (r.choice(["password=", "passwd: ", "pwd=", 'password = "', "db_password="]), draw(r.choice([hexa, alnum]), r.randint(12, 28)), r.choice(["", '"'])),
         lambda: (r.choice(['token = "', "token: ", "auth_token=", "Authorization: Bearer ", 'api_key="', "client_secret: "]), draw(r.choice([hexa, alnum, b64]), r.choice([32, 40, 48, 64])), r.choice(['"', "", "'"])),
@@ -122,6 +205,11 @@ def labelled_findings(n: int = 6000, seed: int = 11) -> tuple[list[list[float]],
         lambda: (r.choice(["jwt ", "Bearer "]), "eyJ" + draw(alnum, 30) + "." + "eyJ" + draw(alnum, 50) + "." + draw(alnum, 43), ""),
     ]
     other = [
+        lambda: assigned(r.choice(fields), r.choice([sentence, plain, word, chosen, long_word])().ljust(6, "s")),
+        lambda: (r.choice(fields) + r.choice(['="', ': "']), sentence(), '"'),
+        lambda: (word() + r.choice([": ", ":", " = "]), r.choice([plain, long_word, word])().ljust(6, "s"), ""),
+        lambda: assigned(r.choice(names), r.choice(stand_ins)),
+        lambda: (r.choice(["password ", "secret ", "token ", "credentials ", "api key ", "bearer "]), r.choice([plain, long_word, word])().ljust(6, "s"), r.choice(["", ".", ","])),
         lambda: (r.choice(["", "mail ", "write to "]), f"{draw(string.ascii_lowercase, r.randint(3, 9))}.{draw(string.digits, 2)}@{r.choice(['mail', 'post', 'web'])}{r.randint(1, 9)}.example.com", ""),
         lambda: (r.choice(["", "card "]), r.choice("45") + draw(string.digits, 15), ""),
         lambda: ("", "+" + draw(string.digits, 12), ""),
@@ -214,11 +302,12 @@ def default_forest(n: int = 6000, seed: int = 11) -> Forest:
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source", forest: Forest | None = None, threshold: float = 0.5) -> DataFrame:
     """Findings in every whole text: doc_id, n_candidates, n_secrets, max_score, spans, findings_sha256.
 
-    Candidates are all runs of key characters; none is passed over by length or number. The forest
+    Candidates are all long runs of key characters, and after assignments and secret words the whole
+    values from six characters on, quoted or up to white space; none is passed over by number. The forest
     (fixed size, broadcast) removes false positives by length, entropy, letter transitions, share of
     common word parts, path and neighbouring words. forest: one fitted on own labelled findings;
     default_forest() is fitted on labelled_findings(), whose number of rows bounds the sample.
-    spans are [start, end) in UTF-8 bytes; findings_sha256 digests the secrets found, in order,
+    spans are [start, end) in UTF-8 bytes, of overlapping secrets one; findings_sha256 digests the secrets found, in order,
     joined by newlines. Null and empty texts have no candidates, a null path is empty, repeated rows
     come back each, an empty table gives no rows, other columns are ignored.
     """
@@ -227,7 +316,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def work(batch):
         rows = []
         for text, spans, scores in _judged(raw(batch.column(1)), batch.column(2).to_pylist(), shared):
-            secret = [list(s) for s, p in zip(spans, scores.tolist(), strict=True) if p >= threshold]
+            secret = merged([s for s, p in zip(spans, scores.tolist(), strict=True) if p >= threshold])
             rows.append((len(spans), len(secret), float(scores.max()) if len(scores) else 0.0, secret, hashlib.sha256(b"\n".join(text[s:e] for s, e in secret)).hexdigest()))
         types = [pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.list_(pa.int64())), pa.string()]
         columns = [batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True))]
@@ -269,10 +358,9 @@ def mask_secrets(docs: DataFrame, mask: str = "[SECRET]", text_col: str = "text"
         out, changed = [], []
         for text, spans, scores in _judged(raw(batch.column(at)), paths, shared):
             parts, last = [], 0
-            for (s, e), p in zip(spans, scores.tolist(), strict=True):
-                if p >= threshold:
-                    parts += [text[last:s], mask.encode()]
-                    last = e
+            for s, e in merged([s for s, p in zip(spans, scores.tolist(), strict=True) if p >= threshold]):
+                parts += [text[last:s], mask.encode()]
+                last = e
             out.append(b"".join([*parts, text[last:]]).decode("utf-8", "replace"))
             changed.append(last > 0)
         there = batch.column(at).is_valid().to_pylist()
