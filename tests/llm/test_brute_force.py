@@ -4,6 +4,8 @@ import collections
 import hashlib
 import math
 import random
+import re
+import time
 import zlib
 
 import numpy as np
@@ -143,7 +145,87 @@ def test_templates_of_a_part_of_a_large_host(spark, monkeypatch):
     ],
 )
 def test_marks_drop_no_content(page, text):
-    assert webtext.main_text(page, set()) == text
+    assert webtext.main_text(page) == text
+
+
+def measured(page):
+    nodes = webtext.parse(page)
+    webtext.measure(nodes)
+    return nodes
+
+
+def subtrees_by_hand(node):
+    """Names, classes and words of a subtree as nested tuples, without hashes."""
+    parts = [subtrees_by_hand(k) if isinstance(k, webtext.Node) else " ".join(k.split()) for k in node.kids]
+    return (node.tag, webtext.attributes(node).get("class", ""), *[p for p in parts if p])
+
+
+def shapes_by_hand(node):
+    parts = [shapes_by_hand(k) if isinstance(k, webtext.Node) else "words" if k.strip() else "" for k in node.kids]
+    parts = [p for p in parts if p]
+    return (node.tag, webtext.attributes(node).get("class", ""), *[p for i, p in enumerate(parts) if not i or parts[i - 1] != p])
+
+
+def test_templates_are_the_counted_subtrees(spark, sf_dir):
+    """Against a count of nested tuples per host, on the given pages and some of other sites."""
+    rows = [(re.search("//([^/?#]*)", r["url"])[1].lower(), r["html"]) for r in table(spark, sf_dir, "pages").collect()]
+    rows += [("made.example", f"<div class=bar>Bar {i % 3} <a href=x>more</a></div><div id=text{i}><p>{'words ' * 50}{i}</p></div><div>Same for all</div>") for i in range(40)]
+    rows += [("small.example", f"<div class=own>Own {i}</div><p>Text</p>") for i in range(7)]
+    got = {(r["host"], r["kind"], r["hash"]) for r in webtext.site_templates(spark.createDataFrame(rows + rows[:50], "host string, html string").repartition(3)).collect()}
+    pages, content, shapes, sizes = (collections.defaultdict(set) for _ in range(4))
+    for host, page in rows:
+        nodes = measured(page)
+        whole = subtrees_by_hand(nodes[0])
+        pages[host].add(whole)
+        for x in nodes[1:]:
+            chain, y = [], x.up
+            while y is not None:
+                chain.append(y.tag)
+                y = y.up
+            within = {"article", "main"} & set(chain)
+            if not x.size or x.tag in ("html", "body", "head", "article", "main") or x.tag in webtext.OPAQUE:
+                continue
+            signed = lambda h: h - (h >> 63 << 64)
+            if not (within and x.tag in webtext.PLAIN):
+                content[host, subtrees_by_hand(x), signed(x.hash)].add(whole)
+            if x.tag not in webtext.PLAIN and (x.attrs or x.tag in ("nav", "footer", "header", "aside")):
+                shapes[host, shapes_by_hand(x), signed(x.shape)].add(whole)
+    enough = lambda host, n: len(pages[host]) >= 10 and n >= webtext.least_pages(len(pages[host]))
+    assert {(h, k) for h, k in ((h, webtext.CONTENT) for h, *_ in content)} >= {(h, k) for h, k, _ in got if k == webtext.CONTENT}
+    assert {(h, x) for (h, _, x), p in content.items() if enough(h, len(p))} == {(h, x) for h, k, x in got if k == webtext.CONTENT}
+    assert {(h, x) for (h, _, x), p in shapes.items() if enough(h, len(p))} >= {(h, x) for h, k, x in got if k in (webtext.SHAPE, webtext.LINKS)}
+    assert {h for h, k, _ in got if k == webtext.PAGE} == {h for h, p in pages.items() if len(p) >= 10}
+    made = {k for h, k, _ in got if h == "made.example"}
+    assert made >= {webtext.CONTENT, webtext.SHAPE, webtext.PLACE} and not any(h == "small.example" for h, *_ in got)
+    bars = {x for h, k, x in got if h == "made.example" and k == webtext.SHAPE}
+    assert bars == {signed(measured(rows[-47][1])[1].shape)}
+
+
+def test_templates_decide_on_the_given_pages(spark, sf_dir):
+    """Without the counted templates the texts of counted hosts keep boilerplate; with them they are the articles."""
+    pages = table(spark, sf_dir.replace("sf0.001", "sf0.01"), "pages")
+    rows = {r["page_id"]: r for r in pages.collect()}
+    out = {r["page_id"]: r["text"] for r in webtext.extract_main_text(pages).collect()}
+    hosts = collections.defaultdict(set)
+    for r in rows.values():
+        hosts[re.search("//([^/?#]*)", r["url"])[1].lower()].add(r["html"])
+    changed = many = 0
+    for i, r in rows.items():
+        article = re.search("<article>.*</article>", r["html"], re.S)[0]
+        assert out[i] == webtext.main_text(article)
+        if len(hosts[re.search("//([^/?#]*)", r["url"])[1].lower()]) >= 10:
+            many += 1
+            changed += webtext.text_of(measured(r["html"]), webtext.Template(counted=True)) != out[i]
+    assert many > 40 and changed > 0.9 * many
+
+
+def test_work_grows_with_the_page():
+    """Open quotes, cut-off tags and deep nesting take time in proportion to the page; deep text stays."""
+    began = time.time()
+    for page in ('<a "' * 200_000, "<div>" * 100_000 + "deep" + "</span>" * 100_000, "<p><ul>" * 50_000, "<article>" * 50_000 + "deep"):
+        assert page.startswith("<a") or webtext.main_text(page) == ("deep" if "deep" in page else "")
+        assert webtext.main_text(page + ">") == ("deep>" if "deep" in page else "" if page.startswith("<a") else ">")
+    assert time.time() - began < 60
 
 
 def test_bpe_equals_library(spark, sf_dir):
