@@ -10,14 +10,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, raw
+from .common import map_arrow, materialise, raw
 
 #: Bytes that part words (all ASCII but digits and letters become a space) and A-Z in lower case.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 #: Words per k-gram and k-grams per window of the winnowing: any ten shared words hold one window.
 KGRAM, WINDOW = 5, 6
-#: Words of items that one pass over the documents holds; more items take more passes.
-WORDS_PER_PASS = 2_000_000
+#: Bits of the filter that tells which fingerprints items have: 16 for each, up to this many (16 MB).
+MOST_BITS = 1 << 27
 MEMO_WORDS = 400_000
 
 
@@ -61,157 +61,188 @@ def winnow(grams: np.ndarray, window: int) -> np.ndarray:
     return at[np.append(True, at[1:] != at[:-1])]
 
 
-class ItemIndex:
-    """Items' words with the fingerprints of long items and the whole hashes of short ones."""
-
-    def __init__(self, items: list[tuple[str, list[bytes]]], window_words: int):
-        self.size, self.items = window_words, items
-        hashes = Hashes()
-        self.hashed = [hashes.of(w) for _, w in items]
-        fps, item, at = [], [], []
-        self.short: dict[int, dict[int, list[int]]] = {}  # length -> hash -> items
-        for i, h in enumerate(self.hashed):
-            if len(h) >= window_words:
-                grams = kgram_hashes(h, KGRAM)
-                picked = winnow(grams, window_words - KGRAM + 1)
-                fps.append(grams[picked])
-                item.append(np.full(len(picked), i))
-                at.append(picked)
-            elif len(h):
-                self.short.setdefault(len(h), {}).setdefault(int(kgram_hashes(h, len(h))[0]), []).append(i)
-        self.fps = np.concatenate(fps) if fps else np.zeros(0, np.uint64)
-        order = np.argsort(self.fps, kind="stable")
-        self.fps = self.fps[order]
-        self.item = (np.concatenate(item) if item else order)[order]
-        self.at = (np.concatenate(at) if at else order)[order]
-
-    def spans(self, words: list[bytes], h: np.ndarray) -> tuple[list[tuple[int, int]], set[int]]:
-        """Hit spans [from, to) of a document and the items with an occurring window."""
-        spans, found = [], set()
-        for n, table in self.short.items():
-            grams = kgram_hashes(h, n)
-            for p in np.flatnonzero(np.isin(grams, np.fromiter(table, np.uint64, len(table)))).tolist():
-                for i in table[int(grams[p])]:
-                    if words[p : p + n] == self.items[i][1]:
-                        spans.append((p, p + n))
-                        found.add(i)
-        if len(h) < self.size or not len(self.fps):
-            return spans, found
-        grams = kgram_hashes(h, KGRAM)
-        picked = winnow(grams, self.size - KGRAM + 1)
-        low, high = np.searchsorted(self.fps, grams[picked], "left"), np.searchsorted(self.fps, grams[picked], "right")
-        done: dict[tuple[int, int], int] = {}  # (item, shift) -> document word up to which it is extended
-        for p, a, b in zip(picked[high > low].tolist(), low[high > low].tolist(), high[high > low].tolist(), strict=True):
-            for j in range(a, b):
-                i, q = int(self.item[j]), int(self.at[j])
-                if p < done.get((i, p - q), 0):
-                    continue
-                own, s, e = self.items[i][1], 0, 0
-                while p - s > 0 and q - s > 0 and words[p - s - 1] == own[q - s - 1]:
-                    s += 1
-                while p + e < len(words) and q + e < len(own) and words[p + e] == own[q + e]:
-                    e += 1
-                done[i, p - q] = p + e
-                if s + e >= self.size:
-                    spans.append((p - s, p + e))
-                    found.add(i)
-        return spans, found
-
-
-def _passes(items: DataFrame, id_col: str, text_col: str, words_per_pass: int) -> list[list[tuple[str, list[bytes]]]]:
-    """Items with their words, dealt to passes of bounded size."""
-    passes: list[list[tuple[str, list[bytes]]]] = [[]]
-    size = 0
-    for r in items.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("i"), F.col(text_col).alias("t")).toLocalIterator():
-        words = split_words((r["t"] or "").encode())
-        if passes[-1] and size + len(words) > words_per_pass:
-            passes.append([])
-            size = 0
-        passes[-1].append((r["i"], words))
-        size += len(words)
-    return passes
-
-
-def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window_words: int = 10, words_per_pass: int = WORDS_PER_PASS) -> DataFrame:
-    """Words of documents inside any window of window_words consecutive words of an item.
+def windows_of(words: list[bytes], h: np.ndarray, size: int, wanted=None) -> dict[tuple[int, bytes], list[int]]:
+    """Starts of a text's windows by (fingerprint, words): the fingerprint is the smallest k-gram hash of
+    the window's k-grams, so equal windows have equal ones on both sides. wanted: tells which fingerprints
+    and windows may be needed (of arrays of hashes); all if None."""
+    out: dict[tuple[int, bytes], list[int]] = {}
+    grams = kgram_hashes(h, KGRAM)
+    n = len(h) - size + 1
+    if n < 1:
+        return out
+    picked = winnow(grams, size - KGRAM + 1)
+    if wanted is not None:
+        picked = picked[wanted(grams[picked])]
+        if not len(picked):
+            return out
+    # the windows around each fingerprint met: those it may be the minimum of
+    near = np.unique((picked[:, None] - np.arange(size - KGRAM + 1)[None, :]).reshape(-1))
+    near = near[(near >= 0) & (near < n)]
+    low = grams[near]
+    for i in range(1, size - KGRAM + 1):
+        low = np.minimum(low, grams[near + i])
+    if wanted is not None:
+        whole = np.zeros(len(near), np.uint64)
+        for i in range(size):
+            whole = whole * np.uint64(0x9E3779B97F4A7C15) + h[near + i]
+            whole ^= whole >> np.uint64(29)
+        fine = wanted(low) & wanted(whole)
+        near, low = near[fine], low[fine]
+    for s, fp in zip(near.tolist(), low.tolist(), strict=True):
+        out.setdefault((fp, b" ".join(words[s : s + size])), []).append(s)
+    return out
 
-    Winnowing keeps the smallest k-gram hash of each window of consecutive k-grams on both sides;
-    window_words shared words hold a whole window, so both sides keep the same k-gram and every
-    such span is met. Each met fingerprint is extended to the longest shared run of words, which
-    counts if it is long enough. Items with fewer words than a window are looked up whole.
 
-    Items are dealt to passes of words_per_pass words, so what a pass broadcasts is bounded and any
-    number of items works; documents are never shuffled. Returns doc_id, n_words, n_hit, n_items,
-    items_sha256, contaminated, spans (disjoint [start, end) of hit words).
+class Filter:
+    """Which hashes items may have: two bits each in a table of bounded size (others may be met by chance)."""
 
-    Null and empty texts and items have no words and no windows; equal items are all reported;
-    repeated documents come back each; an empty side gives no hits or no rows; other columns are
-    ignored. A null item id reads as an empty string.
-    """
-    if window_words < KGRAM:
-        raise ValueError(f"a window has {KGRAM} words at least")
-    spark, kind = docs.sparkSession, dict(docs.dtypes)[id_col]
-    passes = _passes(items, item_id_col, item_text_col, words_per_pass)
-
-    found = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.array().cast("array<bigint>").alias("ends"), F.array().cast("array<string>").alias("items"))
-    for part in passes:
-        shared = spark.sparkContext.broadcast(ItemIndex(part, window_words))
-        found = map_arrow(found, _pass(shared), f"doc_id {kind}, text string, ends array<bigint>, items array<string>")
-
-    def digest(batch):
-        rows = []
-        for text, ends, names in zip(raw(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            merged: list[list[int]] = []
-            for s, e in sorted(zip(ends[::2], ends[1::2], strict=True)):
-                if merged and s <= merged[-1][1]:
-                    merged[-1][1] = max(merged[-1][1], e)
-                else:
-                    merged.append([s, e])
-            hit = sum(e - s for s, e in merged)
-            rows.append((len(split_words(text)), hit, len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(), hit > 0, merged))
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True))], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"])
-
-    return map_arrow(found, digest, f"doc_id {kind}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, spans array<array<bigint>>")
-
-
-def _pass(shared):
-    memo = Hashes()
+    def __init__(self, n: int):
+        self.size = min(MOST_BITS, max(1 << 10, 1 << (16 * n).bit_length()))
+        self.bits = np.zeros(self.size // 64, np.uint64)
+
+    def places(self, hashes: np.ndarray) -> np.ndarray:
+        mixed = hashes * np.uint64(0xD6E8FEB86659FD93)
+        return np.stack([mixed >> np.uint64(33), mixed & np.uint64(0xFFFFFFFF)]).astype(np.int64) & (self.size - 1)
+
+    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        at = self.places(hashes)
+        return ((self.bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).all(0)
+
+
+_KEYS = "fp bigint, window string, n int"
+
+
+def _signed(fps: list[int]) -> pa.Array:
+    return pa.array([x - (x >> 63 << 64) for x in fps], pa.int64())
+
+
+def _item_windows(items: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
+    """Distinct windows of items: row (the item's number), item (its id as text), fp, window, n and whole
+    (hash of the window's words)."""
 
     def work(batch):
-        index, ends, names = shared.value, [], []
-        for text, old_ends, old_names in zip(raw(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+        memo, out = Hashes(), []
+        for row, item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), raw(batch.column(2)), strict=True):
             words = split_words(text)
-            spans, found = index.spans(words, memo.of(words))
-            ends.append(old_ends + [x for s in spans for x in s])
-            names.append(old_names + [index.items[i][0] for i in found])
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ends, pa.list_(pa.int64())), pa.array(names, pa.list_(pa.string()))], names=["doc_id", "text", "ends", "items"])
+            h = memo.of(words)
+            n = min(size, len(words))
+            found = windows_of(words, h, size) if n == size else {(int(kgram_hashes(h, n)[0]), b" ".join(words)): [0]} if n else {}
+            out += [(row, item, fp, w, n, int(kgram_hashes(h[at[0] : at[0] + n], n)[0])) for (fp, w), at in found.items()]
+        if out:
+            row, item, fp, w, n, whole = zip(*out, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(item, pa.string()), _signed(fp), pa.array([x.decode() for x in w]), pa.array(n, pa.int32()), _signed(whole)], names=["row", "item", "fp", "window", "n", "whole"])
 
-    return work
+    read = items.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("item"), F.col(text_col).cast("string").alias("text"))
+    read = read.select(F.monotonically_increasing_id().alias("row"), "item", "text")
+    return materialise(map_arrow(read, work, f"row bigint, item string, {_KEYS}, whole bigint"), "item-windows")
 
 
-def filter_clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window_words: int = 10, words_per_pass: int = WORDS_PER_PASS) -> DataFrame:
-    """The rows of docs without any hit, with all their columns; null and empty texts are clean.
+def _filter(windows: DataFrame) -> Filter:
+    """The filter over fingerprints and window hashes of items, put together on the cluster."""
+    filt = Filter(2 * windows.count())
 
-    A pass over the documents per block of items; no shuffle. Repeated rows stay repeated.
-    """
-    if window_words < KGRAM:
+    def bits(batch):
+        at = filt.places(np.concatenate([batch.column(i).to_numpy().view(np.uint64) for i in (0, 1)])).reshape(-1)
+        words, where = np.unique(at >> 6, return_inverse=True)
+        values = np.zeros(len(words), np.uint64)
+        np.bitwise_or.at(values, where, np.uint64(1) << (at & 63).astype(np.uint64))
+        yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(values.view(np.int64))], names=["word", "bits"])
+
+    parts = map_arrow(windows.select("fp", "whole"), bits, "word bigint, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    for r in parts.toLocalIterator():  # at most MOST_BITS / 64 rows
+        filt.bits[r["word"]] = np.int64(r["bits"]).view(np.uint64)
+    return filt
+
+
+def _document_windows(docs: DataFrame, text_col: str, shared, lengths: list[int], size: int) -> DataFrame:
+    """Of each text: sha256, n_words, and met: the windows that items may have, with their starts."""
+
+    def work(batch):
+        memo, rows = Hashes(), []
+        for text in raw(batch.column(0)):
+            words = split_words(text)
+            h, wanted = memo.of(words), shared.value
+            met = [(fp, w.decode(), size, at) for (fp, w), at in windows_of(words, h, size, wanted).items()]
+            for n in lengths:
+                grams, short = kgram_hashes(h, n), {}
+                for p in np.flatnonzero(wanted(grams)).tolist() if len(grams) else ():
+                    short.setdefault((int(grams[p]), b" ".join(words[p : p + n])), []).append(p)
+                met += [(fp, w.decode(), n, at) for (fp, w), at in short.items()]
+            rows.append((len(words), met))
+        fp, window, n, at = zip(*(m for _, met in rows for m in met), strict=True) if any(m for _, m in rows) else ([], [], [], [])
+        struct = pa.StructArray.from_arrays([_signed(list(fp)), pa.array(window, pa.string()), pa.array(n, pa.int32()), pa.array(at, pa.list_(pa.int64()))], names=["fp", "window", "n", "starts"])
+        met = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(m) for _, m in rows)]), pa.int32()), struct)
+        yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([k for k, _ in rows], pa.int64()), met], names=[*batch.schema.names[1:], "n_words", "met"])
+
+    text = F.col(text_col).cast("string")
+    read = docs.select(text.alias("text"), *[c for c in docs.columns if c != text_col], F.sha2(F.coalesce(text, F.lit("")), 256).alias("digest"))
+    rest = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in read.schema.fields[1:])
+    return map_arrow(read, work, f"{rest}, n_words bigint, met array<struct<{_KEYS.replace(' ', ':').replace(',:', ', ')}, starts:array<bigint>>>")
+
+
+def _hits(docs: DataFrame, items: DataFrame, text_col: str, item_id_col: str, item_text_col: str, size: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Read documents, their windows that items have (by digest of the text), and the items' windows."""
+    if size < KGRAM:
         raise ValueError(f"a window has {KGRAM} words at least")
-    at = docs.columns.index(text_col)
+    windows = _item_windows(items, item_id_col, item_text_col, size)
+    lengths = sorted(r["n"] for r in windows.where(F.col("n") < size).select("n").distinct().collect())
+    shared = docs.sparkSession.sparkContext.broadcast(_filter(windows))
+    read = materialise(_document_windows(docs, text_col, shared, lengths, size), "document-windows")
+    keys = ["fp", "window", "n"]
+    met = read.where(F.size("met") > 0).select("digest", F.explode("met").alias("m")).select("digest", "m.*").dropDuplicates(["digest", *keys])
+    hits = materialise(met.join(windows.select(*keys).distinct(), keys, "left_semi"), "window-hits")
+    return read, hits, windows
 
-    def clean(shared):
-        memo = Hashes()
 
-        def work(batch):
-            keep = []
-            for text in raw(batch.column(at)):
-                words = split_words(text)
-                keep.append(not shared.value.spans(words, memo.of(words))[0])
-            yield batch.filter(pa.array(keep))
+def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window_words: int = 10) -> DataFrame:
+    """Words of documents inside any window of window_words consecutive words of an item.
 
-        return work
+    Winnowing keeps the smallest k-gram hash of each window on both sides; equal windows keep the same
+    one, so every shared span of window_words words is met. Documents look their fingerprints up in a
+    filter of bounded size, which drops nearly all, and extend those met to the windows around them;
+    these join the items' windows in Spark by fingerprint and words, so hits are exact, and hits that
+    touch grow together to the longest shared spans. Items with fewer words than a window are one
+    window. No item comes to the driver or is broadcast; only windows that items may have are shuffled,
+    once for each different text.
+
+    Returns doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans (disjoint [start, end) of
+    hit words). Null and empty texts and items have no words and no windows; equal items are all
+    reported; repeated documents come back each; an empty side gives no hits or no rows; other columns
+    are ignored. A null item id reads as an empty string.
+    """
+    read, hits, windows = _hits(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), items, "text", item_id_col, item_text_col, window_words)
+
+    def spans(batch):
+        out = []
+        for met in batch.column(1).to_pylist():
+            at = np.unique(np.concatenate([np.array(m["starts"], np.int64)[:, None] + np.arange(m["n"])[None, :] for m in met], axis=None))
+            cut = np.flatnonzero(np.diff(at) > 1)
+            out.append((len(at), np.stack([at[np.append(0, cut + 1)], at[np.append(cut, len(at) - 1)] + 1], 1).tolist()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in out], pa.int64()), pa.array([s for _, s in out], pa.list_(pa.list_(pa.int64())))], names=["digest", "n_hit", "spans"])
+
+    # a text's hits together are no longer than the text
+    of_text = hits.groupBy("digest").agg(F.collect_list(F.struct("n", "starts")).alias("met"))
+    of_text = map_arrow(of_text, spans, "digest string, n_hit bigint, spans array<array<bigint>>")
+    found = hits.select("digest", "fp", "window", "n").join(windows, ["fp", "window", "n"]).select("digest", "row", "item").distinct()
+    named = found.groupBy("digest").agg(F.count("*").alias("n_items"), F.sha2(F.array_join(F.sort_array(F.collect_list("item")), ","), 256).alias("items_sha256"))
+    out = read.select("doc_id", "digest", "n_words").join(of_text.join(named, "digest"), "digest", "left")
+    return out.select(
+        "doc_id",
+        "n_words",
+        F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
+        F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
+        F.coalesce("items_sha256", F.lit(hashlib.sha256(b"").hexdigest())).alias("items_sha256"),
+        F.col("n_hit").isNotNull().alias("contaminated"),
+        F.coalesce("spans", F.array().cast("array<array<bigint>>")).alias("spans"),
+    )
+
+
+def filter_clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window_words: int = 10) -> DataFrame:
+    """The rows of docs without any hit, with all their columns; null and empty texts are clean.
 
-    for part in _passes(items, item_id_col, item_text_col, words_per_pass):
-        shared = docs.sparkSession.sparkContext.broadcast(ItemIndex(part, window_words))
-        docs = map_arrow(docs, clean(shared), docs.schema)
-    return docs
+    Texts with hits are told by their digests, so rows of docs are not numbered and meet a list of
+    digests only. Repeated rows stay repeated.
+    """
+    _, hits, _ = _hits(docs.select(text_col), items, text_col, item_id_col, item_text_col, window_words)
+    digest = F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256)
+    return docs.withColumn("_digest", digest).join(hits.select(F.col("digest").alias("_digest")).distinct(), "_digest", "left_anti").select(*docs.columns)

@@ -95,6 +95,25 @@ def test_winnowing_finds_every_window(spark):
         assert x["items_sha256"] == hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
 
 
+def test_repeated_words_take_linear_time(spark):
+    """A word repeated in item and document: time grows with the texts; spans cover all of it."""
+    items = spark.createDataFrame([(1, "word " * 20_000), (2, "word " * 9), (3, "word other " * 5)], "item_id int, text string")
+    docs = spark.createDataFrame([(1, "word " * 30_000), (2, "other " + "word " * 10 + "end"), (3, "word " * 9)], "doc_id int, text string")
+    began = time.time()
+    got = {x["doc_id"]: (x["n_words"], x["n_hit"], x["n_items"], x["spans"]) for x in decontam.find_contamination(docs, items).collect()}
+    assert got == {1: (30_000, 30_000, 2, [[0, 30_000]]), 2: (12, 10, 2, [[1, 11]]), 3: (9, 9, 1, [[0, 9]])}
+    assert time.time() - began < 60
+
+
+def test_filter_of_fingerprints_misses_none():
+    r = np.random.default_rng(1)
+    hashes = r.integers(0, 1 << 63, 5000).astype(np.uint64)
+    filt = decontam.Filter(len(hashes))
+    for at in filt.places(hashes).reshape(-1).tolist():
+        filt.bits[at >> 6] |= np.uint64(1 << (at & 63))
+    assert filt(hashes).all() and filt(r.integers(0, 1 << 63, 5000).astype(np.uint64)).mean() < 0.05
+
+
 def test_template_subtrees_go_and_quoted_paragraphs_stay(spark):
     page = "<html><body><div><b>Site name</b> of the day</div>{}<section>Read our other offers now</section></body></html>"
     body = "<div><p>Text number {0} with words enough {0}</p><p>Quoted by all.</p></div>"
