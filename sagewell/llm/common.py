@@ -13,6 +13,9 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Spark's setting that deletes what a query shuffled when the query ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _own_folder: dict[str, str] = {}
 
 
@@ -31,13 +34,28 @@ def shared_folder(spark: SparkSession) -> str:
 def materialise(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write df as a table in the shared folder and read it back; cuts lineage and pins random draws.
 
-    The table stays until the folder is cleared, as lazily returned results may still read it.
+    What the write shuffled is deleted when it ends. The table stays until discard() or until the folder
+    is cleared, as lazily returned results may still read it.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/sagewell-{name}-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._sagewell_path = path
+    return table
+
+
+def discard(table: DataFrame) -> None:
+    """Deletes a table that materialise() wrote, once nothing reads it any more."""
+    spark = table.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(table._sagewell_path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
@@ -69,6 +87,17 @@ def unpack(blob: bytes, dtype: str) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(size, -1).T).reshape(-1).view(dtype)
 
 
+def pack_ints(values: np.ndarray) -> bytes:
+    """Numbers from 0 on, in as many bytes each as the largest needs (told by the first byte)."""
+    top = int(values.max()) if len(values) else 0
+    width = 1 if top < 1 << 8 else 2 if top < 1 << 16 else 4 if top < 1 << 32 else 8
+    return bytes([width]) + pack(values, f"<u{width}")
+
+
+def unpack_ints(blob: bytes) -> np.ndarray:
+    return unpack(blob[1:], f"<u{blob[0]}").astype(np.int64)
+
+
 def pack_words(words: list[bytes]) -> bytes:
     """Words that hold no newline, compressed."""
     return zstandard.ZstdCompressor(level=3).compress(b"\n".join(words))

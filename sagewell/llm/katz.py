@@ -1,36 +1,41 @@
-"""Katz backoff bigram model: counted, stored and evaluated through packed blocks.
+"""Katz backoff models of any order: counted, stored and evaluated through packed blocks.
 
 Texts are read in chunks of bounded size. A chunk numbers its words locally and sends each word once
 (with its training count) to the part that the word's hash names; parts add the counts up, keep the
-vocabulary and answer with word numbers and counts. The chunk then sends each of its distinct word
-pairs once to the block of the pair's first word (for frequent first words, of the pair), where pairs
-are added up, kept as the model's bigram table and answered. What crosses the network is therefore
-the distinct words and pairs of chunks, as sorted and compressed arrays, not tokens.
+vocabulary and answer with word numbers and counts. Then, level by level, a chunk sends each of its
+distinct n-grams once, as the number of its context (the n-gram of the level below) and of its word,
+to the block that the context names (for frequent contexts, the pair). Blocks add up, keep the level's
+table, number its n-grams and answer with counts and with what a context's backoff weight is made of.
+What crosses
+the network is the distinct words and n-grams of chunks, as sorted and compressed arrays, not tokens.
+Texts are scored recursively, from words up to the highest level.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import materialise, pack, pack_words, raw, unpack, unpack_words
+from .common import discard, materialise, pack, pack_ints, pack_words, raw, unpack, unpack_ints, unpack_words
 
 #: Counts up to this are discounted.
 LARGEST = 5
 #: Tokens of a chunk; a longer text makes a longer chunk of its own.
-CHUNK_TOKENS = 3_000_000
-#: A first word with more occurrences than this has its pairs dealt out by both words.
+CHUNK_TOKENS = 2_000_000
+#: A context with more occurrences than this has its n-grams dealt out by context and word.
 FREQUENT = 250_000
-#: Stands for no word in a pair.
+#: Bytes of text to a part of the vocabulary, and training tokens to a block of n-grams.
+PART_BYTES, BLOCK_TOKENS = 64_000_000, 2_000_000
+#: Stands for no word in an n-gram that only asks for its context.
 NO_WORD = (1 << 32) - 1
 #: The token that ends a text, and stands before its first word.
 END = b""
@@ -89,17 +94,9 @@ def _spectrum(counts: np.ndarray) -> list[int]:
     return np.bincount(counts[counts <= LARGEST + 1], minlength=LARGEST + 2).tolist()
 
 
-def _pairs(tokens: np.ndarray, sizes: np.ndarray, end: int, width: int) -> np.ndarray:
-    """Key first * width + second of the pair that each token completes; a text's first word follows END."""
-    before = np.empty_like(tokens)
-    before[1:] = tokens[:-1]
-    before[np.cumsum(sizes) - sizes] = end
-    return before.astype(np.int64) * width + tokens
-
-
-def _block(first: np.ndarray, second: np.ndarray, first_count: np.ndarray, blocks: int, frequent: int) -> np.ndarray:
-    mixed = first.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    mixed = np.where(first_count > frequent, mixed + second.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F), mixed)
+def _block(context: np.ndarray, word: np.ndarray, context_count: np.ndarray, blocks: int, frequent: int) -> np.ndarray:
+    mixed = context.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    mixed = np.where(context_count > frequent, mixed + word.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F), mixed)
     return ((mixed ^ mixed >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(33)).astype(np.int64) % blocks
 
 
@@ -109,43 +106,29 @@ def _runs(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.diff(np.append(starts, len(sorted_values)))
 
 
-class _Chunk:
-    """Distinct pairs of a chunk in the order of blocks, first and second word numbers."""
-
-    def __init__(self, tokens, sizes, held, gid, count, end, blocks, frequent):
-        keys = _pairs(tokens, sizes, end, len(gid))
-        distinct, self.where = np.unique(keys, return_inverse=True)
-        train = np.repeat(~held, sizes)
-        self.train = np.bincount(self.where[train], minlength=len(distinct))
-        first, second = distinct // len(gid), distinct % len(gid)
-        second_gid = gid[second]
-        known = (gid[first] >= 0) & (second_gid >= 0)
-        # a first word that only unknown words follow asks for its weight with a pair of no word
-        asked = np.zeros(len(gid), bool)
-        asked[first[known]] = True
-        alone = np.flatnonzero((gid[first] >= 0) & ~asked[first])
-        alone = alone[np.unique(first[alone], return_index=True)[1]]
-        second_gid[alone], known[alone] = NO_WORD, True
-        at = np.flatnonzero(known)
-        block = _block(gid[first[at]], second_gid[at], count[first[at]], blocks, frequent)
-        order = np.lexsort((second_gid[at], gid[first[at]], block))
-        self.at, self.block = at[order], block[order]
-        self.first, self.second, self.second_gid = first, second, second_gid
-
-
-def _read_chunk(table: pa.Table):
-    """Ids, local word numbers, sizes and held-out marks of a chunk's texts, and the number of END."""
-    row = {x: table.column(x)[0].as_py() for x in ("ids", "held", "sizes", "a", "b")}
-    tokens, sizes, held = unpack(row["a"], "<i4"), unpack(row["sizes"], "<i8"), unpack(row["held"], "u1").astype(bool)
-    return row["ids"], tokens, sizes, held, int(tokens[-1])
-
-
-def _vocabulary(answers: pa.Table, n: int) -> tuple[np.ndarray, np.ndarray]:
-    gid, count = np.full(n, -1, np.int64), np.zeros(n, np.int64)
-    for local, ids, counts in zip(*(answers.column(x).to_pylist() for x in ("held", "a", "b")), strict=True):
-        at = np.cumsum(unpack(local, "<i4"))
-        gid[at], count[at] = unpack(ids, "<i8"), unpack(counts, "<i8")
-    return gid, count
+def _statistics(context: np.ndarray, counts: np.ndarray, lower: np.ndarray, n: int) -> np.ndarray:
+    """What the weights of contexts 0..n-1 are made of, from their seen n-grams: how many have each count
+    up to LARGEST, how many have each such count in the level below, and the sum of larger ones there."""
+    out = np.zeros((n, 2 * LARGEST + 1), np.int64)
+    for r in range(1, LARGEST + 1):
+        out[:, r - 1] = np.bincount(context[counts == r], minlength=n)
+        out[:, LARGEST + r - 1] = np.bincount(context[(lower == r) & (counts > 0)], minlength=n)
+    large = (lower > LARGEST) & (counts > 0)
+    out[:, -1] = np.bincount(context[large], lower[large], n)
+    return out
+
+
+def backoff(context_count: np.ndarray, by_count: np.ndarray, mass: np.ndarray, ratio: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of contexts: what seen n-grams' counts are divided by, and the backoff weight.
+
+    by_count[:, r-1] says how many n-grams have count r; mass is the probability in the level below of
+    all seen words. A context without discounted n-grams is divided by one more than its count, which
+    frees mass for unseen words; either way the context's probabilities add up to one.
+    """
+    lost = (by_count * np.arange(1, LARGEST + 1) * (1 - ratio[1:])).sum(1)
+    below = np.where(lost > 0, context_count, context_count + 1)
+    left = np.where(lost > 0, lost / np.maximum(context_count, 1), 1 / (context_count + 1))
+    return below, left / np.maximum(1 - mass, 1e-300)
 
 
 def _encode(parts: int, kind: str, chunk_tokens: int):
@@ -160,10 +143,10 @@ def _encode(parts: int, kind: str, chunk_tokens: int):
         part = np.fromiter((xxhash.xxh64_intdigest(w) % parts for w in words), np.int64, len(words))
         by_part = np.argsort(part, kind="stable")
         starts, sizes = _runs(part[by_part])
-        rows = [("tok", 0, chunk, ids, pack(held, "u1"), pack(order, "<i8"), pack(tokens, "<i4"), b"")]
+        rows = [("tok", 0, chunk, ids, pack(held, "u1"), pack_ints(order), pack_ints(tokens), b"")]
         for s, n in zip(starts.tolist(), sizes.tolist(), strict=True):
             at = by_part[s : s + n]
-            rows.append(("voc", int(part[at[0]]), chunk, None, pack(np.diff(at, prepend=0), "<i4"), b"", pack_words([words[i] for i in at.tolist()]), pack(counts[at], "<i8")))
+            rows.append(("voc", int(part[at[0]]), chunk, None, pack_ints(np.diff(at, prepend=0)), b"", pack_words([words[i] for i in at.tolist()]), pack_ints(counts[at])))
         types = [pa.string(), pa.int32(), pa.int64(), None, pa.binary(), pa.binary(), pa.binary(), pa.binary()]
         names = ["kind", "part", "chunk", "ids", "held", "sizes", "a", "b"]
         for k in range(0, len(rows), 256):
@@ -195,220 +178,407 @@ def _encode(parts: int, kind: str, chunk_tokens: int):
     return over
 
 
+_REPLY = "kind string, level int, part int, chunk bigint, held binary, a binary, b binary, total bigint, spectrum array<bigint>, distinct bigint"
+
+
+def _table(rows: list[tuple]) -> pa.Table:
+    types = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.int64()]
+    names = [x.split()[0] for x in _REPLY.split(", ")]
+    columns = zip(*rows, strict=True) if rows else [[] for _ in names]
+    return pa.table([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=names)
+
+
+def _join(blobs: list[bytes]) -> bytes:
+    return b"".join(len(x).to_bytes(4, "little") + x for x in blobs)
+
+
+def _cut(blob: bytes) -> list[bytes]:
+    out, at = [], 0
+    while at < len(blob):
+        n = int.from_bytes(blob[at : at + 4], "little")
+        out.append(blob[at + 4 : at + 4 + n])
+        at += 4 + n
+    return out
+
+
 def _count_words(parts: int):
-    """A part's words over all chunks: a vocabulary row ('uni') and an answer to each chunk ('ans')."""
+    """A part's words over all chunks: the vocabulary row ('uni') with words and counts."""
 
     def work(table: pa.Table) -> pa.Table:
         numbers: dict[bytes, int] = {}
-        chunks, part = [], table.column("part")[0].as_py()
-        for chunk, local, words, counts in zip(*(table.column(x).to_pylist() for x in ("chunk", "held", "a", "b")), strict=True):
-            words = unpack_words(words)
-            at = np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.int64, len(words))
-            chunks.append((chunk, local, at, unpack(counts, "<i8")))
+        part, seen = table.column("part")[0].as_py(), []
+        for words, counts in zip(table.column("a").to_pylist(), table.column("b").to_pylist(), strict=True):
+            words, counts = unpack_words(words), unpack_ints(counts)
+            some = np.flatnonzero(counts)  # words of held-out texts only are no vocabulary
+            seen.append((np.fromiter((numbers.setdefault(words[i], len(numbers)) for i in some.tolist()), np.int64, len(some)), counts[some]))
         total = np.zeros(len(numbers), np.int64)
-        for _, _, at, counts in chunks:
+        for at, counts in seen:
             total[at] += counts
-        seen = np.flatnonzero(total > 0)
-        gid = np.full(len(total), -1, np.int64)
-        gid[seen] = np.arange(len(seen)) * parts + part
-        if len(seen) and gid.max() >= NO_WORD:
+        if len(total) * parts + part >= NO_WORD:
             raise OverflowError("word numbers need over 32 bits")
-        words = list(numbers)
-        rows = [("uni", part, -1, pack_words([words[i] for i in seen.tolist()]) if len(seen) else b"", pack(total[seen], "<i8"), pack(gid[seen], "<i8"), int(total.sum()), _spectrum(total[seen]), len(seen))]
-        rows += [("ans", part, c, local, pack(gid[at], "<i8"), pack(total[at], "<i8"), 0, [], 0) for c, local, at, _ in chunks]
+        return _table([("uni", 1, part, -1, b"", pack_words(list(numbers)), pack_ints(total), int(total.sum()), _spectrum(total), len(total))])
+
+    return work
+
+
+def _answer_words(parts: int):
+    """Numbers and counts of each chunk's words, from a part's vocabulary row."""
+
+    def work(key, asked: pa.Table, known: pa.Table) -> pa.Table:
+        if not asked.num_rows:
+            return _table([])
+        words, counts, part = [], np.zeros(0, np.int64), asked.column("part")[0].as_py()
+        if known.num_rows and known.column("distinct")[0].as_py():
+            words, counts = unpack_words(known.column("a")[0].as_py()), unpack_ints(known.column("b")[0].as_py())
+        numbers, rows = {w: i for i, w in enumerate(words)}, []
+        counts = np.append(counts, 0)
+        for chunk, local, own in zip(*(asked.column(x).to_pylist() for x in ("chunk", "held", "a")), strict=True):
+            at = np.fromiter((numbers.get(w, -1) for w in unpack_words(own)), np.int64)
+            rows.append(("ans", 1, part, chunk, local, pack_ints(np.where(at >= 0, at * parts + part + 1, 0)), pack_ints(counts[at]), 0, [], 0))
         return _table(rows)
 
     return work
 
 
-_REPLY = "kind string, part int, chunk bigint, held binary, a binary, b binary, total bigint, spectrum array<bigint>, distinct bigint"
+@dataclass(frozen=True)
+class Totals:
+    """What every task needs to know of a model, of fixed size: the words' totals, and discounts by level."""
 
+    order: int
+    blocks: int
+    frequent: int
+    words: Unigrams
+    ratios: tuple = ()  # of levels 2, 3, ...
 
-def _table(rows: list[tuple]) -> pa.Table:
-    types = [pa.string(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.int64()]
-    names = [x.split()[0] for x in _REPLY.split(", ")]
-    columns = zip(*rows, strict=True) if rows else [[] for _ in names]
-    return pa.table([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=names)
+    def ratio(self, level: int) -> np.ndarray:
+        return self.words.ratio if level == 1 else self.ratios[level - 2]
+
+    def above(self, level: int) -> float:
+        return self.words.above if level == 1 else 1.0
 
 
-def _send_pairs(blocks: int, frequent: int):
-    """A chunk's distinct pairs of known words, to their blocks."""
+@dataclass
+class _Level:
+    """A chunk's distinct n-grams of one level: context (a number in the level below) and local word,
+    training counts in the chunk, for each token the n-gram that it ends (-1: its context isn't known), and
+    the n-gram of the level below that each ends on. Then, from answers: counts in all training texts and
+    numbers; and of the contexts what counts are divided by, and backoff weights."""
+
+    context: np.ndarray
+    word: np.ndarray
+    train: np.ndarray
+    where: np.ndarray
+    suffix: np.ndarray
+    count: np.ndarray | None = None
+    gid: np.ndarray | None = None
+    below: np.ndarray | None = None
+    alpha: np.ndarray | None = None
+
+
+class _Chunk:
+    """A chunk's tokens, with its levels as far as they are answered."""
+
+    def __init__(self, texts: pa.Table, answers: pa.Table, totals: Totals):
+        row = {x: texts.column(x)[0].as_py() for x in ("ids", "held", "sizes", "a")}
+        self.ids, self.held, self.totals = row["ids"], unpack(row["held"], "u1").astype(bool), totals
+        self.tokens, self.sizes = unpack_ints(row["a"]), unpack_ints(row["sizes"])
+        self.first = np.cumsum(self.sizes) - self.sizes
+        self.in_train = np.repeat(~self.held, self.sizes)
+        n, none = int(self.tokens.max()) + 1, np.zeros(0, np.int64)
+        gid, count = np.full(n, -1, np.int64), np.zeros(n, np.int64)
+        self.given: dict[tuple[int, str], list] = {}
+        for kind, level, *rest in zip(*(answers.column(x).to_pylist() for x in ("kind", "level", "part", "held", "a", "b", "total", "spectrum")), strict=True):
+            self.given.setdefault((level, kind), []).append(rest)
+        for _, local, numbers, counts, *_ in self.given.pop((1, "ans"), []):
+            at = np.cumsum(unpack_ints(local))
+            gid[at], count[at] = unpack_ints(numbers) - 1, unpack_ints(counts)
+        self.levels = {1: _Level(none, np.arange(n), none, self.tokens, none, count, gid)}
+
+    def build(self, level: int) -> _Level:
+        """The distinct n-grams of a level that have a known context."""
+        low, width = self.levels[level - 1], len(self.levels[1].gid)
+        context = np.empty(len(self.tokens), np.int64)
+        context[1:] = low.where[:-1]
+        context[self.first] = int(self.tokens[-1]) if level == 2 else -1  # a text's first word follows END
+        if len(low.count):
+            context[(context >= 0) & (low.count[context] == 0)] = -1
+        at = np.flatnonzero(context >= 0)
+        keys, where = np.unique(context[at] * width + self.tokens[at], return_inverse=True)
+        every = np.full(len(self.tokens), -1, np.int64)
+        every[at] = where
+        suffix = np.zeros(len(keys), np.int64)
+        suffix[where] = low.where[at]
+        self.levels[level] = out = _Level(keys // width, keys % width, np.bincount(where[self.in_train[at]], minlength=len(keys)), every, suffix)
+        return out
+
+    def asked(self, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which n-grams are asked for, sorted by block, context and word; the words' numbers and the blocks.
+
+        Those whose end isn't known in the level below can't be; of a context that only such words
+        follow one asks for its weight, with no word."""
+        x, low, words = self.levels[level], self.levels[level - 1], self.levels[1]
+        pick = (low.count[x.suffix] > 0) & (x.suffix >= 0)
+        word = np.where(pick, words.gid[x.word], NO_WORD)
+        has = np.zeros(len(low.count), bool)
+        has[x.context[pick]] = True
+        alone = np.flatnonzero(~pick & ~has[x.context])
+        pick[alone[np.unique(x.context[alone], return_index=True)[1]]] = True
+        at = np.flatnonzero(pick)
+        context = low.gid[x.context[at]]
+        block = _block(context, word[at], low.count[x.context[at]], self.totals.blocks, self.totals.frequent)
+        order = np.lexsort((word[at], context, block))
+        return at[order], word[at[order]], block[order]
+
+    def answer(self, level: int) -> None:
+        """Takes in a level's answers: counts and numbers, and the weights of its contexts."""
+        x, low, t = self.levels[level], self.levels[level - 1], self.totals
+        x.count, x.gid = np.zeros(len(x.train), np.int64), np.full(len(x.train), -1, np.int64)
+        stats = np.zeros((len(low.count), 2 * LARGEST + 1), np.int64)
+        at, _, block = self.asked(level)
+        starts, lengths = _runs(block)
+        place = {int(block[s]): at[s : s + n] for s, n in zip(starts.tolist(), lengths.tolist(), strict=True)}
+        for part, counts, numbers, rare, *_ in self.given.pop((level, "ans"), []):
+            own = place[part]
+            x.count[own] = unpack_ints(counts)
+            x.gid[own[x.count[own] > 0]] = np.cumsum(unpack_ints(numbers)) * t.blocks + part
+            contexts = x.context[own][_runs(x.context[own])[0]]
+            contexts = contexts[low.count[contexts] <= t.frequent]
+            stats[contexts] = unpack_ints(rare).reshape(2 * LARGEST + 1, -1).T
+        if frequent := self.given.pop((level, "freq"), []):
+            local = {g: i for i, g in enumerate(low.gid.tolist()) if low.count[i] > t.frequent}
+            for *_, context, row in frequent:
+                stats[local[context]] = row
+        # the probability of seen words in the level below, whose context is one word shorter
+        r = t.ratio(level - 1)[1:] * np.arange(1, LARGEST + 1)
+        lower = stats[:, LARGEST : 2 * LARGEST] @ r + stats[:, -1] * t.above(level - 1)
+        divided = max(t.words.tokens, 1) if level == 2 else np.maximum(low.below[low.suffix], 1)
+        x.below, x.alpha = backoff(low.count, stats[:, :LARGEST], lower / divided, t.ratio(level))
+
+    def log_probabilities(self) -> np.ndarray:
+        """log10 of each token's probability: of its longest n-gram if that is seen, else its context's
+        backoff weight times the probability in the level below, down to single words."""
+        t = self.totals
+
+        def of(level: int) -> np.ndarray:
+            x = self.levels[level]
+            if level == 1:
+                return np.log10(t.words.prob(x.count))[x.where]
+            out, at = of(level - 1), np.flatnonzero(x.where >= 0)
+            seen = x.count > 0
+            ratio = np.where(x.count <= LARGEST, t.ratio(level)[np.minimum(x.count, LARGEST)], 1.0)
+            with np.errstate(divide="ignore"):
+                known = np.log10(np.where(seen, x.count, 1) * ratio / x.below[x.context])
+                weight = np.log10(x.alpha[x.context])
+            out[at] = np.where(seen[x.where[at]], known[x.where[at]], weight[x.where[at]] + out[at])
+            return out
+
+        return of(t.order)
+
+
+def _ask(level: int, shared):
+    """A chunk's distinct n-grams of a level ('ask'), to their blocks."""
 
     def work(key, texts: pa.Table, answers: pa.Table) -> pa.Table:
         if not texts.num_rows:
             return _table([])
-        _, tokens, sizes, held, end = _read_chunk(texts)
-        gid, count = _vocabulary(answers, int(tokens.max()) + 1)
-        c = _Chunk(tokens, sizes, held, gid, count, end, blocks, frequent)
-        rows, chunk = [], texts.column("chunk")[0].as_py()
-        starts, lengths = _runs(c.block)
+        c, chunk, rows = _Chunk(texts, answers, shared.value), texts.column("chunk")[0].as_py(), []
+        for k in range(2, level):
+            c.build(k)
+            c.answer(k)
+        x, low = c.build(level), c.levels[level - 1]
+        at, word, block = c.asked(level)
+        starts, lengths = _runs(block)
         for s, n in zip(starts.tolist(), lengths.tolist(), strict=True):
-            at = c.at[s : s + n]
-            heads, runs = _runs(c.first[at])
-            first = c.first[at][heads]
-            # first words with their counts and numbers of pairs; second words, their counts, pair counts
-            a = [pack(np.diff(gid[first], prepend=0), "<i8"), pack(count[first], "<i8"), pack(runs, "<i4")]
-            b = [pack(c.second_gid[at], "<u4"), pack(count[c.second[at]], "<i8"), pack(c.train[at], "<i8")]
-            rows.append(("pair", int(c.block[s]), chunk, b"", _join(a), _join(b), n, [], 0))
+            own = at[s : s + n]
+            heads, runs = _runs(x.context[own])
+            context = x.context[own][heads]
+            # contexts: numbers, how many n-grams, whether frequent; words: numbers, counts here, and of the level below
+            a = [np.diff(low.gid[context], prepend=0), runs, low.count[context] > c.totals.frequent]
+            b = [word[s : s + n], x.train[own], np.where(word[s : s + n] == NO_WORD, 0, low.count[x.suffix[own]])]
+            rows.append(("ask", level, int(block[s]), chunk, b"", _join(list(map(pack_ints, a))), _join(list(map(pack_ints, b))), n, [], 0))
         return _table(rows)
 
     return work
 
 
-def _join(blobs: list[bytes]) -> bytes:
-    return b"".join(len(x).to_bytes(4, "little") + x for x in blobs)
+class _Keys:
+    """Asked or known n-grams of a block by context number and word."""
 
-
-def _cut(blob: bytes) -> list[bytes]:
-    out, at = [], 0
-    while at < len(blob):
-        n = int.from_bytes(blob[at : at + 4], "little")
-        out.append(blob[at + 4 : at + 4 + n])
-        at += 4 + n
-    return out
+    def __init__(self, a: bytes, b: bytes):
+        first, self.runs, *more = map(unpack_ints, _cut(a))
+        self.first = np.cumsum(first)
+        self.frequent = more[0].astype(bool) if more else None
+        self.word, self.count, self.lower = map(unpack_ints, _cut(b))
 
 
-def _count_pairs(shared, frequent: int):
-    """A block's pairs over all chunks: a bigram row ('bi'), answers ('ans'), parts of frequent contexts
-    ('freq') and which chunks ask for those ('want')."""
+def _count_grams(level: int):
+    """A block's n-grams over all chunks: a row of the level's table ('gram') with contexts, words and counts,
+    and of frequent contexts, which have n-grams in many blocks, what is here of their weights ('freq')."""
 
     def work(table: pa.Table) -> pa.Table:
-        block, seen = table.column("part")[0].as_py(), []
-        for chunk, a, b in zip(*(table.column(x).to_pylist() for x in ("chunk", "a", "b")), strict=True):
-            first, first_count, runs = (unpack(x, t) for x, t in zip(_cut(a), ("<i8", "<i8", "<i4"), strict=True))
-            second, second_count, train = (unpack(x, t) for x, t in zip(_cut(b), ("<u4", "<i8", "<i8"), strict=True))
-            first = np.cumsum(first)
-            seen.append((chunk, first, first_count, np.repeat(first, runs) << 32 | second.astype(np.int64), second_count, train))
-        every = np.concatenate([s[3] for s in seen])
+        block, asked = table.column("part")[0].as_py(), [_Keys(a, b) for a, b in zip(table.column("a").to_pylist(), table.column("b").to_pylist(), strict=True)]
+        contexts = np.unique(np.concatenate([k.first for k in asked]))
+        every = np.concatenate([np.repeat(np.searchsorted(contexts, k.first) << 32, k.runs) | k.word for k in asked])
         keys, head, where = np.unique(every, return_index=True, return_inverse=True)
-        counts = np.bincount(where, np.concatenate([s[5] for s in seen]), len(keys)).astype(np.int64)
-        prob = shared.value.prob(np.concatenate([s[4] for s in seen])[head])
-        context, c_at = np.unique(keys >> 32, return_inverse=True)
-        trained = counts > 0
-        by_count = np.stack([np.bincount(c_at[counts == r], minlength=len(context)) for r in range(1, LARGEST + 1)], 1)
-        mass = np.bincount(c_at[trained], prob[trained], len(context))
-        size = np.zeros(len(context), np.int64)
-        rows, at = [], 0
-        kept = np.flatnonzero(trained)
-        for chunk, first, first_count, own, *_ in seen:
-            i = np.searchsorted(context, first)
-            size[i] = first_count
-            rare = first_count <= frequent
-            rows.append(("ans", block, chunk, pack(counts[where[at : at + len(own)]], "<i8"), _join([pack(by_count[i[rare]].reshape(-1), "<i8")]), pack(mass[i[rare]], "<f8"), 0, [], 0))
-            rows += [("want", block, chunk, b"", b"", b"", int(x), [], 0) for x in first[~rare].tolist()]
-            at += len(own)
-        for j in np.flatnonzero(size > frequent).tolist():
-            rows.append(("freq", block, -1, b"", b"", pack([mass[j]], "<f8"), int(context[j]), by_count[j].tolist(), 0))
-        rows.append(("bi", block, -1, pack(counts[kept], "<i8"), pack(np.diff(keys[kept] >> 32, prepend=0), "<i8"), pack(keys[kept] & 0xFFFFFFFF, "<u4"), int(counts.sum()), _spectrum(counts[kept]), len(kept)))
+        counts = np.bincount(where, np.concatenate([k.count for k in asked]), len(keys)).astype(np.int64)
+        lower = np.concatenate([k.lower for k in asked])[head]
+        at = np.flatnonzero(counts)
+        heads, runs = _runs(keys[at] >> 32)
+        a = [np.diff(contexts[keys[at][heads] >> 32], prepend=0), runs]
+        b = [keys[at] & NO_WORD, counts[at], lower[at]]
+        rows = [("gram", level, block, -1, b"", _join(list(map(pack_ints, a))), _join(list(map(pack_ints, b))), int(counts.sum()), _spectrum(counts[at]), len(at))]
+        if len(large := np.unique(np.concatenate([k.first[k.frequent] for k in asked]))):
+            stats = _statistics(keys[at] >> 32, counts[at], lower[at], len(contexts))
+            rows += [("freq", level, block, -1, b"", b"", b"", g, stats[j].tolist(), 0) for g, j in zip(large.tolist(), np.searchsorted(contexts, large).tolist(), strict=True)]
         return _table(rows)
 
     return work
 
 
-def backoff(context_count: np.ndarray, by_count: np.ndarray, mass: np.ndarray, ratio: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of contexts: what seen pairs' counts are divided by, and the backoff weight.
+def _answer_grams(level: int, highest: bool):
+    """Answers of a block of the level's table to each chunk ('ans'): counts, numbers and what the weights of
+    contexts are made of; of frequent contexts which chunks ask ('want')."""
 
-    by_count[:, r-1] says how many pairs have count r; mass is the unigram probability of all seen
-    second words. A context without discounted pairs is divided by one more than its count, which
-    frees mass for unseen words; either way the context's probabilities add up to one.
-    """
-    lost = (by_count * np.arange(1, LARGEST + 1) * (1 - ratio[1:])).sum(1)
-    below = np.where(lost > 0, context_count, context_count + 1)
-    left = np.where(lost > 0, lost / np.maximum(context_count, 1), 1 / (context_count + 1))
-    return below, left / np.maximum(1 - mass, 1e-300)
+    def work(key, asked: pa.Table, known: pa.Table) -> pa.Table:
+        if not asked.num_rows:
+            return _table([])
+        block, rows = asked.column("part")[0].as_py(), []
+        k = _Keys(known.column("a")[0].as_py(), known.column("b")[0].as_py()) if known.num_rows and known.column("distinct")[0].as_py() else None
+        contexts = k.first if k else np.zeros(0, np.int64)
+        of = np.repeat(np.arange(len(contexts)), k.runs) if k else contexts
+        keys = of << 32 | k.word if k else contexts
+        counts = np.append(k.count if k else contexts, 0)
+        stats = np.concatenate([_statistics(of, counts[:-1], k.lower, len(contexts)) if k else np.zeros((0, 2 * LARGEST + 1), np.int64), np.zeros((1, 2 * LARGEST + 1), np.int64)])
+
+        def find(table: np.ndarray, values: np.ndarray) -> np.ndarray:
+            if not len(table):
+                return np.full(len(values), -1)
+            at = np.minimum(np.searchsorted(table, values), len(table) - 1)
+            return np.where(table[at] == values, at, -1)
+
+        for chunk, a, b in zip(*(asked.column(x).to_pylist() for x in ("chunk", "a", "b")), strict=True):
+            q = _Keys(a, b)
+            context = find(contexts, q.first)
+            at = find(keys, np.repeat(context, q.runs) << 32 | q.word)  # an unknown context is negative and finds none
+            own = counts[at]
+            numbers = np.diff(at[own > 0], prepend=0) if not highest else np.zeros(int((own > 0).sum()), np.int64)
+            rows.append(("ans", level, block, chunk, pack_ints(own), pack_ints(numbers), pack_ints(stats[context[~q.frequent]].T.reshape(-1)), 0, [], 0))
+            rows += [("want", level, block, chunk, b"", b"", b"", int(x), [], 0) for x in q.first[q.frequent].tolist()]
+        return _table(rows)
+
+    return work
 
 
-def _evaluate(shared, pair_ratio: np.ndarray, blocks: int, kind: str, frequent: int):
-    """Scores of a chunk's texts from the answers of parts and blocks."""
+def _evaluate(shared, kind: pa.DataType):
+    """Scores of a chunk's texts."""
 
     def work(key, texts: pa.Table, answers: pa.Table) -> pa.Table:
         names = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]
         if not texts.num_rows:
             return pa.table([pa.array([], t) for t in (kind, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())], names=names)
-        uni, pick = shared.value, answers.column("kind")
-        rows = lambda k: answers.filter(pa.compute.equal(pick, k))
-        ids, tokens, sizes, held, end = _read_chunk(texts)
-        gid, count = _vocabulary(rows("word"), int(tokens.max()) + 1)
-        c = _Chunk(tokens, sizes, held, gid, count, end, blocks, frequent)
-        alpha, below = np.ones(len(gid)), np.ones(len(gid), np.int64)
-        pair_count = np.zeros(len(c.train), np.int64)
-        starts, lengths = _runs(c.block)
-        place = {int(c.block[s]): (s, n) for s, n in zip(starts.tolist(), lengths.tolist(), strict=True)}
-        for block, counts, by_count, mass in zip(*(rows("ans").column(x).to_pylist() for x in ("part", "held", "a", "b")), strict=True):
-            s, n = place[block]
-            at = c.at[s : s + n]
-            pair_count[at] = unpack(counts, "<i8")
-            first = c.first[at][_runs(c.first[at])[0]]
-            first = first[count[first] <= frequent]
-            below[first], alpha[first] = backoff(count[first], unpack(_cut(by_count)[0], "<i8").reshape(-1, LARGEST), unpack(mass, "<f8"), pair_ratio)
-        local = {g: i for i, g in enumerate(gid.tolist()) if count[i] > frequent}
-        for context, by_count, mass in zip(*(rows("freq").column(x).to_pylist() for x in ("total", "spectrum", "mass")), strict=True):
-            i = local[context]
-            b, w = backoff(count[[i]], np.array([by_count]), np.array([mass]), pair_ratio)
-            below[i], alpha[i] = b[0], w[0]
-        seen = pair_count > 0
-        with np.errstate(divide="ignore"):
-            known = pair_count * np.where(pair_count <= LARGEST, pair_ratio[np.minimum(pair_count, LARGEST)], 1.0) / below[c.first]
-            single = uni.prob(count)
-            logs = np.log10(np.where(seen, known, alpha[c.first] * single[c.second]))
-        edges = np.cumsum(sizes) - sizes
-        n, v = uni.tokens, uni.distinct
-        base = np.log10((count + 0.5) / (n + 0.5 * (v + 1)))
-        add = lambda x: np.add.reduceat(x, edges)
-        return pa.table([pa.array(ids, kind), pa.array(held), pa.array(sizes, pa.int64()), pa.array(add((count[tokens] > 0).astype(np.int64))), pa.array(add(base[tokens])), pa.array(add(logs[c.where]))], names=names)
+        c, t = _Chunk(texts, answers, shared.value), shared.value
+        for level in range(2, t.order + 1):
+            c.build(level)
+            c.answer(level)
+        logs, count = c.log_probabilities(), c.levels[1].count
+        base = np.log10((count + 0.5) / (t.words.tokens + 0.5 * (t.words.distinct + 1)))
+        add = lambda x: np.add.reduceat(x, c.first)
+        return pa.table([pa.array(c.ids, kind), pa.array(c.held), pa.array(c.sizes, pa.int64()), pa.array(add((count[c.tokens] > 0).astype(np.int64))), pa.array(add(base[c.tokens])), pa.array(add(logs))], names=names)
 
     return work
 
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held_fold: int = 1, chunk_tokens: int = CHUNK_TOKENS, frequent: int = FREQUENT) -> DataFrame:
+@dataclass
+class KatzModel:
+    """A trained model: the table of words (a row for each part) and one of n-grams for each level from two
+    on (a row for each block), in the shared folder, with totals of fixed size."""
+
+    totals: Totals
+    parts: int
+    words: DataFrame
+    grams: list[DataFrame]
+
+
+def _spectrum_of(rows: DataFrame) -> list[int]:
+    row = rows.agg(F.sum("total"), F.sum("distinct"), *(F.sum(F.get("spectrum", F.lit(r))) for r in range(LARGEST + 2))).first()
+    return [int(x or 0) for x in row]
+
+
+def _run(docs: DataFrame, model: KatzModel | None, scores: bool, id_col: str, text_col: str, held: Column, order: int, chunk_tokens: int, frequent: int):
+    """Trains a model (if none is given) and scores docs, level by level."""
+    spark, kind = docs.sparkSession, dict(docs.dtypes)[id_col]
+    arrow_kind = to_arrow_type(docs.schema[id_col].dataType)
+    train, grams = model is None, [] if model is None else model.grams
+    text = F.col(text_col).cast("string")
+    parts = max(8, math.ceil((docs.agg(F.sum(F.octet_length(text))).first()[0] or 0) / PART_BYTES)) if train else model.parts
+    read = docs.select(F.col(id_col).alias("doc_id"), held.alias("held"), text.alias("text"))
+    chunks = materialise(read.mapInArrow(_encode(parts, arrow_kind, chunk_tokens), _PARTS.format(kind)), "chunks", ["kind"])
+    texts = chunks.where("kind = 'tok'").select("chunk", "ids", "held", "sizes", "a")
+    asked = chunks.where("kind = 'voc'").select("part", "chunk", "held", "a", "b")
+    if train:
+        words = materialise(asked.groupBy("part").applyInArrow(_count_words(parts), _REPLY), "words")
+        tokens, distinct, *spectrum = _spectrum_of(words)
+        totals = Totals(order, max(parts, math.ceil(tokens / BLOCK_TOKENS)), frequent, unigrams(spectrum, tokens, distinct))
+    else:
+        words, totals = model.words, model.totals
+    given = ["kind", "level", "part", "chunk", "held", "a", "b", "total", "spectrum"]
+    answers = [materialise(asked.groupBy("part").cogroup(words.groupBy("part")).applyInArrow(_answer_words(parts), _REPLY).select(*given), "answers-1")]
+    share = spark.sparkContext.broadcast
+    every = lambda: reduce(DataFrame.unionByName, answers)
+    for level in range(2, totals.order + 1):
+        asking = texts.groupBy("chunk").cogroup(every().groupBy("chunk")).applyInArrow(_ask(level, share(totals)), _REPLY)
+        asking = materialise(asking.select("part", "chunk", "a", "b"), f"asked-{level}")
+        if train:
+            grams.append(materialise(asking.groupBy("part").applyInArrow(_count_grams(level), _REPLY), f"grams-{level}", ["kind"]))
+            totals = replace(totals, ratios=(*totals.ratios, discounts(_spectrum_of(grams[-1].where("kind = 'gram'"))[2:])))
+        if level == totals.order and not scores:
+            break
+        replies = asking.groupBy("part").cogroup(grams[level - 2].where("kind = 'gram'").groupBy("part")).applyInArrow(_answer_grams(level, level == totals.order), _REPLY).select(*given)
+        replies = materialise(replies, f"replies-{level}", ["kind"])
+        discard(asking)
+        # of frequent contexts the parts of all blocks, to each chunk that asks
+        sums = F.array(*(F.sum(F.get("spectrum", F.lit(r))) for r in range(2 * LARGEST + 1)))
+        freq = grams[level - 2].where("kind = 'freq'").groupBy("total").agg(sums.alias("spectrum"))
+        want = replies.where("kind = 'want'").select("chunk", "total").distinct().join(freq, "total", "left")
+        none = [F.array(*[F.lit(0).cast("long")] * (2 * LARGEST + 1)), F.lit(None).cast("binary")]
+        want = want.select(F.lit("freq").alias("kind"), F.lit(level).alias("level"), F.lit(0).alias("part"), "chunk", *(none[1].alias(x) for x in ("held", "a", "b")), "total", F.coalesce("spectrum", none[0]).alias("spectrum"))
+        answers.append(replies.where("kind = 'ans'").select(*given).unionByName(want))
+    model = KatzModel(totals, parts, words, grams)
+    if not scores:
+        return model, None
+    scored = texts.groupBy("chunk").cogroup(every().groupBy("chunk")).applyInArrow(_evaluate(share(totals), arrow_kind), f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
+    return model, scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(totals.words.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def _held(id_col: str, folds: int, held_fold: int) -> Column:
+    return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds == held_fold
+
+
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 3, chunk_tokens: int = CHUNK_TOKENS, frequent: int = FREQUENT) -> KatzModel:
+    """A model of all texts of docs, in tables of the shared folder."""
+    return _run(docs, None, False, id_col, text_col, F.lit(False), order, chunk_tokens, frequent)[0]
+
+
+def score(docs: DataFrame, model: KatzModel, id_col: str = "doc_id", text_col: str = "text", chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
+    """Scores of texts under a trained model, whose tables are read back; columns as score_texts() has them,
+    held_out being true."""
+    return _run(docs, model, True, id_col, text_col, F.lit(True), model.totals.order, chunk_tokens, model.totals.frequent)[1]
+
+
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held_fold: int = 1, order: int = 3, chunk_tokens: int = CHUNK_TOKENS, frequent: int = FREQUENT) -> DataFrame:
     """Learn from all texts outside the held-out fold and score every whole text.
 
-    The model: unigrams with Good-Turing discounts over the training tokens, the freed mass being the
-    class of unknown words; pairs with Good-Turing discounts; for a pair not seen in training, the
-    first word's backoff weight times the second word's unigram probability (weight 1 after a first
-    word not seen). Weights make each context's probabilities add up to one exactly. Tables 'uni' and
-    'bi' hold the model by part and block in the shared folder.
+    The model: words with Good-Turing discounts over the training tokens, the freed mass being the class
+    of unknown words; n-grams up to `order` with Good-Turing discounts by level; for an n-gram not seen in
+    training, its context's backoff weight times the probability one level below (weight 1 after a
+    context not seen). Weights make each context's probabilities add up to one exactly. An n-gram
+    reaches back to the END before a text's first word and not beyond. Each level's table is written to
+    the shared folder and read back for the answers; what a weight is made of is kept as whole numbers,
+    so tables hold no rounded weights.
 
     A row is in fold crc32(id as text) mod folds; a null id reads as empty. Null and empty texts are
     their end token alone. Repeated rows count and are scored each. An empty table gives no rows, and
-    with no training rows all scores are 0. Other columns are ignored. Returns doc_id, held_out, n_tokens, n_known,
-    train_tokens, base_score, score.
+    with no training rows all scores are 0. Other columns are ignored. Returns doc_id, held_out, n_tokens,
+    n_known, train_tokens, base_score, score.
     """
-    spark, kind = docs.sparkSession, dict(docs.dtypes)[id_col]
-    arrow_kind = to_arrow_type(docs.schema[id_col].dataType)
-    parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    fold = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds
-    read = docs.select(F.col(id_col).alias("doc_id"), (fold == held_fold).alias("held"), F.col(text_col).cast("string").alias("text"))
-    chunks = materialise(read.mapInArrow(_encode(parts, arrow_kind, chunk_tokens), _PARTS.format(kind)), "chunks", ["kind"])
-    texts = chunks.where("kind = 'tok'").select("chunk", "ids", "held", "sizes", "a", "b")
-    words = materialise(chunks.where("kind = 'voc'").select("part", "chunk", "held", "a", "b").groupBy("part").applyInArrow(_count_words(parts), _REPLY), "words", ["kind"])
-    uni = words.where("kind = 'uni'").agg(F.sum("total"), F.sum("distinct"), *(F.sum(F.get("spectrum", F.lit(r))) for r in range(LARGEST + 2))).first()
-    totals = unigrams([x or 0 for x in uni[2:]], uni[0] or 0, uni[1] or 0)
-    train_tokens = uni[0] or 0
-    shared = spark.sparkContext.broadcast(totals)
-    blocks = max(parts, math.ceil(train_tokens / 2_000_000))
-
-    by_chunk = words.where("kind = 'ans'").select("chunk", "held", "a", "b")
-    pairs = texts.groupBy("chunk").cogroup(by_chunk.groupBy("chunk")).applyInArrow(_send_pairs(blocks, frequent), _REPLY)
-    model = materialise(pairs.select("part", "chunk", "a", "b").groupBy("part").applyInArrow(_count_pairs(shared, frequent), _REPLY), "pairs", ["kind"])
-    bi = model.where("kind = 'bi'").agg(*(F.sum(F.get("spectrum", F.lit(r))) for r in range(LARGEST + 2))).first()
-    ratio = discounts([x or 0 for x in bi])
-
-    freq = model.where("kind = 'freq'").select("total", "spectrum", "b")
-    freq = freq.mapInArrow(_unpack_mass, "total bigint, spectrum array<bigint>, mass double").groupBy("total").agg(F.array(*(F.sum(F.get("spectrum", F.lit(r))) for r in range(LARGEST))).alias("spectrum"), F.sum("mass").alias("mass"))
-    want = model.where("kind = 'want'").select("chunk", "total").distinct().join(freq, "total")
-    none, no_mass, no_list = F.lit(None).cast("binary"), F.lit(None).cast("double"), F.lit(None).cast("array<bigint>")
-    zero = F.lit(0).cast("bigint")
-    answers = (
-        by_chunk.select("chunk", F.lit("word").alias("kind"), F.lit(0).alias("part"), "held", "a", "b", zero.alias("total"), no_list.alias("spectrum"), no_mass.alias("mass"))
-        .union(model.where("kind = 'ans'").select("chunk", "kind", "part", "held", "a", "b", zero, no_list, no_mass))
-        .union(want.select("chunk", F.lit("freq"), F.lit(0), none, none, none, "total", "spectrum", "mass"))
-    )
-    scored = texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_evaluate(shared, ratio, blocks, arrow_kind, frequent), f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
-    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(train_tokens).cast("long").alias("train_tokens"), "base_score", "score")
-
-
-def _unpack_mass(batches):
-    for b in batches:
-        mass = [float(unpack(x, "<f8")[0]) for x in b.column("b").to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column("total"), b.column("spectrum"), pa.array(mass, pa.float64())], names=["total", "spectrum", "mass"])
+    return _run(docs, None, True, id_col, text_col, _held(id_col, folds, held_fold), order, chunk_tokens, frequent)[1]

@@ -1,6 +1,7 @@
 """Operators against brute force, exact round trips or held-out accuracy."""
 
 import collections
+import functools
 import hashlib
 import math
 import random
@@ -20,48 +21,76 @@ def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def katz_by_hand(texts):
-    u, b, tokens = collections.Counter(), collections.Counter(), {}
+def katz_by_hand(texts, order, folds=5):
+    """Counters of n-grams with recursive probabilities, word by word."""
+    counts, tokens = [collections.Counter() for _ in range(order + 1)], {}
     for i, t in texts:
         w = (t or "").encode().lower().split() + [b""]
         tokens[i] = w
-        if zlib.crc32(str(i).encode()) % 5 != 1:
-            u.update(w)
-            b.update(zip([b""] + w[:-1], w, strict=True))
+        if not folds or zlib.crc32(str(i).encode()) % folds != 1:
+            for n in range(1, order + 1):
+                line = w if n == 1 else [b"", *w]  # END stands once before a text
+                counts[n].update(tuple(line[j : j + n]) for j in range(len(line) - n + 1))
     spectrum = lambda c: [0] + [sum(v == q for v in c.values()) for q in range(1, 7)]
-    r1, r2, n = katz.discounts(spectrum(u)), katz.discounts(spectrum(b)), sum(u.values())
+    n, u = sum(counts[1].values()), counts[1]
+    ratio = [None, *(katz.discounts(spectrum(c)) for c in counts[1:])]
     uni = katz.unigrams(spectrum(u), n, len(u))
-    single = lambda w: (u[w] * (r1[u[w]] if u[w] <= 5 else 1) / n) if u[w] else uni.unseen
-    lost, mass = collections.Counter(), collections.Counter()
-    for (h, w), c in b.items():
-        lost[h] += c * (1 - r2[c]) if c <= 5 else 0
-        mass[h] += single(w)
+    after = [collections.defaultdict(dict) for _ in range(order + 1)]
+    for k in range(2, order + 1):
+        for g, c in counts[k].items():
+            after[k][g[:-1]][g[-1]] = c
+    discounted = lambda k, c: c * (ratio[k][c] if c <= 5 else 1)
 
     def prob(h, w):
-        if not u[h]:
-            return single(w)
-        if c := b[h, w]:
-            return c * (r2[c] if c <= 5 else 1) / (u[h] if lost[h] > 0 else u[h] + 1)
-        return (lost[h] / u[h] if lost[h] > 0 else 1 / (u[h] + 1)) / (1 - mass[h]) * single(w)
-
-    return u, tokens, prob
+        if not h:
+            return discounted(1, u[w,]) / n if u[w,] else uni.unseen
+        k, seen = len(h) + 1, after[len(h) + 1].get(h)
+        if not seen:
+            return prob(h[1:], w)
+        total = sum(seen.values())
+        lost = sum(c - discounted(k, c) for c in seen.values())
+        if w in seen:
+            return discounted(k, seen[w]) / (total if lost > 1e-9 else total + 1)
+        left = lost / total if lost > 1e-9 else 1 / (total + 1)
+        return left / (1 - sum(prob(h[1:], x) for x in seen)) * prob(h[1:], w)
+
+    return {w: c for (w,), c in u.items()}, tokens, prob
+
+
+@pytest.mark.parametrize(("order", "sizes"), [(3, {}), (2, {"chunk_tokens": 3000, "frequent": 60}), (3, {"chunk_tokens": 3000, "frequent": 60}), (4, {"chunk_tokens": 9000, "frequent": 200})])
+def test_katz_scores(spark, sf_dir, order, sizes):
+    docs = table(spark, sf_dir, "documents")
+    rows = {r["doc_id"]: r for r in katz.score_texts(docs, order=order, **sizes).collect()}
+    u, tokens, prob = katz_by_hand([(r["doc_id"], r["text"]) for r in docs.collect()], order)
+    prob = functools.cache(prob)
+    n, v = sum(u.values()), len(u)
+    most = max(u, key=u.get)
+    for h in [(), (b"",), (most,), (b"", most), (next(iter(u)),), (b"a word that no text has",)]:
+        if len(h) < order:
+            assert math.isclose(sum(prob(h, w) for w in u) + prob(h, b"no such word"), 1, rel_tol=1e-9)
+    small = sorted(tokens, key=lambda i: len(tokens[i]))[: len(tokens) * 9 // 10]
+    for i in small:
+        w, r = tokens[i], rows[i]
+        line = [b"", *w]
+        want = sum(math.log10(prob(tuple(line[max(0, j + 1 - order + 1) : j + 1]), w[j])) for j in range(len(w)))
+        assert math.isclose(r["score"], want, rel_tol=1e-9, abs_tol=1e-9)
+        assert math.isclose(r["base_score"], sum(math.log10((u.get(x, 0) + 0.5) / (n + 0.5 * (v + 1))) for x in w), rel_tol=1e-9)
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (zlib.crc32(str(i).encode()) % 5 == 1, len(w), sum(x in u for x in w), n)
 
 
 @pytest.mark.parametrize("sizes", [{}, {"chunk_tokens": 3000, "frequent": 60}])
-def test_katz_scores(spark, sf_dir, sizes):
+def test_katz_model_is_read_back(spark, sf_dir, sizes):
+    """A trained model's tables score texts that it never saw."""
     docs = table(spark, sf_dir, "documents")
-    rows = {r["doc_id"]: r for r in katz.score_texts(docs, **sizes).collect()}
-    u, tokens, prob = katz_by_hand([(r["doc_id"], r["text"]) for r in docs.collect()])
-    n, v = sum(u.values()), len(u)
-    for h in [b"", b"the", next(iter(u)), b"a word that no text has"]:
-        assert math.isclose(sum(prob(h, w) for w in u) + prob(h, b"unknown word"), 1, rel_tol=1e-9)
-    for i, w in tokens.items():
-        want = sum(math.log10(prob(h, x)) for h, x in zip([b""] + w[:-1], w, strict=True))
-        base = sum(math.log10((u[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w)
-        r = rows[i]
-        assert r["train_tokens"] == n and r["n_tokens"] == len(w) and r["n_known"] == sum(u[x] > 0 for x in w)
-        assert r["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 1)
-        assert math.isclose(r["score"], want, rel_tol=1e-9) and math.isclose(r["base_score"], base, rel_tol=1e-9)
+    learn, rest = docs.where("doc_id % 3 > 0"), docs.where("doc_id % 3 = 0")
+    model = katz.train(learn, **sizes)
+    rows = {r["doc_id"]: r for r in katz.score(rest, model).collect()}
+    _, _, prob = katz_by_hand([(r["doc_id"], r["text"]) for r in learn.collect()], 3, 0)
+    prob = functools.cache(prob)
+    for r in sorted(rest.collect(), key=lambda r: len(r["text"] or ""))[:60]:
+        line = [b"", *(r["text"] or "").encode().lower().split(), b""]
+        want = sum(math.log10(prob(tuple(line[max(0, j - 2) : j]), line[j])) for j in range(1, len(line)))
+        assert math.isclose(rows[r["doc_id"]]["score"], want, rel_tol=1e-9, abs_tol=1e-9)
 
 
 def test_discounts_fall_back_when_counts_are_odd():
