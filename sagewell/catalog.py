@@ -98,7 +98,7 @@ def knn_exclude_self(spark, sf_dir):
 
 def _ivf(spark, sf_dir, n_probe):
     emb = _table(spark, sf_dir, "embeddings")
-    centroids = knn.kmeans_cells(emb)
+    centroids = knn.kmeans_cells(emb, 16)
     return knn.ivf_topk(knn.assign_cells(emb, centroids), centroids, _asked(emb), 10, n_probe)
 
 
@@ -121,7 +121,7 @@ def graph_search(spark, sf_dir):
 @query()
 def ivf_cells(spark, sf_dir):
     emb = _table(spark, sf_dir, "embeddings")
-    return knn.assign_cells(emb, knn.kmeans_cells(emb)).groupBy("cell").agg(F.count("*").alias("n"))
+    return knn.assign_cells(emb, knn.kmeans_cells(emb, 16)).groupBy("cell").agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH {_OTHERS} SELECT least(query_id, id) AS a, greatest(query_id, id) AS b, round(max(score), 6) + 0.0 AS score FROM r WHERE rank <= 10 AND score >= 0.25 GROUP BY 1, 2""")

@@ -94,13 +94,21 @@ def wilson(successes: Column, n: Column, z: float = 1.96) -> tuple[Column, Colum
 
 
 def mcnemar(b: Column, c: Column) -> Column:
-    """Exact two-sided p of discordant counts: twice the lower binomial tail, 1 at most."""
-    n, k = b + c, F.least(b, c)
-    # each term from the one before: C(n, i+1) = C(n, i) (n - i) / (i + 1)
-    start = F.struct(F.lit(0.0).alias("sum"), F.exp(-n * F.log(F.lit(2.0))).alias("term"))
-    step = lambda acc, i: F.struct((acc["sum"] + acc["term"]).alias("sum"), (acc["term"] * (n - i) / (i + 1)).alias("term"))
-    tail = F.aggregate(F.sequence(F.lit(0).cast("long"), k.cast("long")), start, step, lambda acc: acc["sum"])
-    return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * tail))
+    """Exact two-sided p of discordant counts: twice the lower binomial tail, 1 at most.
+
+    The tail is taken relative to its last term, which is the largest, and that term in logarithms, so no
+    number of pairs underflows."""
+    n, k = (b + c).cast("double"), F.least(b, c).cast("long")
+    last = F.aggregate(F.sequence(F.lit(1).cast("long"), F.greatest(k, F.lit(1))), -n * F.log(F.lit(2.0)), lambda acc, i: acc + F.when(k > 0, F.log((n - i + 1) / i)).otherwise(0.0))
+    # downwards each term is the one above times i / (n - i + 1)
+    start = F.struct(F.lit(1.0).alias("sum"), F.lit(1.0).alias("term"))
+
+    def step(acc: Column, j: Column) -> Column:
+        term = F.when(k > 0, acc["term"] * (k - j + 1) / (n - k + j)).otherwise(0.0)
+        return F.struct((acc["sum"] + term).alias("sum"), term.alias("term"))
+
+    tail = F.aggregate(F.sequence(F.lit(1).cast("long"), F.greatest(k, F.lit(1))), start, step, lambda acc: acc["sum"])
+    return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * F.exp(last) * tail))
 
 
 def quantize_scalar(x: Column, bits: int) -> Column:

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scoring import decays, slugify
+from ..functions.tables import pinned
 from .chunking import lines
-from .knn import exact_topk
+from .knn import assign_cells, exact_topk, ivf_topk, kmeans_cells
 
 #: Line beginnings that make a signature (fixed values).
 SIGNATURES = ["pub fn ", "pub async fn ", "pub struct ", "pub enum ", "pub trait ", "pub type ", "pub const ", "pub static ", "fn ", "async fn ", "struct ", "enum ", "trait ", "impl ", "type ", "const ", "class ", "def ", "async def ", "func ", "function ", "export "]
@@ -61,8 +62,24 @@ def promote(items: DataFrame, max_chars: int = 480) -> DataFrame:
 
 
 def associate(vectors: DataFrame, queries: DataFrame, threshold: float = 0.85, neighbours: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """Pairs of near memories, each once: among each query's nearest neighbours, those at the threshold."""
-    near = exact_topk(vectors, queries, neighbours, id_col, vector_col, exclude_self=True).where(F.col("score") >= threshold)
+    """Pairs of near memories, each once: among each query's nearest neighbours, those at the threshold.
+
+    queries is a stated set, which passes through the driver in blocks; associate_all() takes every row."""
+    return _paired(exact_topk(vectors, queries, neighbours, id_col, vector_col, exclude_self=True), threshold)
+
+
+def associate_all(vectors: DataFrame, threshold: float = 0.85, neighbours: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", n_probe: int = 10) -> DataFrame:
+    """associate() with every row asking, through an inverted file of about sqrt(n) cells fitted on a bounded
+    sample: rows are shuffled by cell, none comes to the driver. With n_probe cells or fewer it is exact."""
+    centroids = kmeans_cells(vectors, None, 20, id_col, vector_col)
+    if not len(centroids):
+        return _paired(exact_topk(vectors, vectors.limit(0), neighbours, id_col, vector_col), threshold)
+    cells = pinned(assign_cells(vectors, centroids, id_col, vector_col))
+    return _paired(ivf_topk(cells, centroids, vectors, neighbours, n_probe, id_col, vector_col, exclude_self=True), threshold)
+
+
+def _paired(near: DataFrame, threshold: float) -> DataFrame:
+    near = near.where(F.col("score") >= threshold)
     return near.select(F.least("query_id", "id").alias("a"), F.greatest("query_id", "id").alias("b"), "score").groupBy("a", "b").agg(F.max("score").alias("score"))
 
 
@@ -104,15 +121,47 @@ def add_entries(index: DataFrame, rows: DataFrame, max_lines: int = 200) -> Data
     return index.unionByName(rows).crossJoin(F.broadcast(state)).where("fine").drop("fine")
 
 
+def containing(rows: DataFrame, asked: list[str], columns: list[str], out: str, block: int = 500) -> DataFrame:
+    """rows with each asked string (lower case) that one of the columns holds: a stated set of strings against
+    all rows, in blocks that stand in the plan as literals."""
+    text = [F.lower(F.coalesce(c, F.lit(""))) for c in columns]
+    found = None
+    for at in range(0, max(len(asked), 1), block):
+        names = F.array(*[F.lit(x) for x in asked[at : at + block]]).cast("array<string>")
+        hit = F.filter(names, lambda x: reduce(Column.__or__, [F.contains(t, F.lower(x)) for t in text]))
+        part = rows.withColumn(out, F.explode(hit))
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
 def resolve_forget(index: DataFrame, names: DataFrame, file: str = "file", name: str = "name") -> DataFrame:
     """What each asked name means: exact file, with .md, as the part after the type, or contained.
 
-    Rows: name, priority, matches, file (null unless there is one match), outcome.
+    The first three are joins by equality (a file has as many endings after its type as it has
+    underscores); only names that none of them knows are looked for inside files, as a stated set in
+    blocks. Rows: name, priority, matches, file (null unless there is one match), outcome.
     """
-    asked, at = F.col(name), F.col(file)
-    level = F.when(at == asked, 1).when(at == F.concat(asked, F.lit(".md")), 2).when(F.endswith(at, F.concat(F.lit("_"), asked, F.lit(".md"))), 3).when(F.contains(at, asked), 4)
-    hits = names.select(name).distinct().join(F.broadcast(index.select(file)), F.contains(at, asked)).withColumn("priority", level)
-    best = hits.withColumn("r", F.rank().over(Window.partitionBy(name).orderBy("priority"))).where("r = 1")
+    asked = names.select(name).where(F.col(name).isNotNull()).distinct()
+    at, parts = F.col(file), F.split(file, "_")
+    ends = F.transform(F.sequence(F.lit(2), F.greatest(F.size(parts), F.lit(2))), lambda i: F.when(i <= F.size(parts), F.array_join(F.slice(parts, i, F.size(parts)), "_")))
+    bare = F.transform(F.array_compact(ends), lambda x: F.when(F.endswith(x, F.lit(".md")), F.left(x, F.length(x) - 3)))
+    keys = F.flatten(F.array(F.array(F.struct(at.alias("key"), F.lit(1).alias("priority"))), F.when(F.endswith(at, F.lit(".md")), F.array(F.struct(F.left(at, F.length(at) - 3).alias("key"), F.lit(2).alias("priority")))).otherwise(F.array()), F.transform(F.array_compact(bare), lambda x: F.struct(x.alias("key"), F.lit(3).alias("priority")))))
+    entries = index.select(file, F.explode(keys).alias("k")).select(file, F.col("k.key").alias(name), F.col("k.priority").alias("priority"))
+    hits = asked.join(entries, name).select(name, file, "priority").distinct()
+    rest = [r[0] for r in asked.join(hits, name, "left_anti").collect()]
+    exact = containing_exactly(index.select(file), rest, file, name).select(name, file, F.lit(4).alias("priority"))
+    hits = hits.unionByName(exact)
+    best = hits.withColumn("r", F.rank().over(Window.partitionBy(name).orderBy("priority"))).where("r = 1").dropDuplicates([name, file])
     found = best.groupBy(name, "priority").agg(F.count("*").alias("matches"), F.min(file).alias("file"))
     outcome = F.when(F.col("matches").isNull(), "not found").when(F.col("matches") > 1, "ambiguous").otherwise("found")
-    return names.select(name).distinct().join(found, name, "left").select(name, "priority", F.coalesce("matches", F.lit(0)).alias("matches"), F.when(F.col("matches") == 1, F.col("file")).alias("file"), outcome.alias("outcome"))
+    return asked.join(found, name, "left").select(name, "priority", F.coalesce("matches", F.lit(0)).alias("matches"), F.when(F.col("matches") == 1, F.col("file")).alias("file"), outcome.alias("outcome"))
+
+
+def containing_exactly(rows: DataFrame, asked: list[str], column: str, out: str, block: int = 500) -> DataFrame:
+    """rows with each asked string that a column holds, letter by letter; in blocks as containing()."""
+    found = None
+    for at in range(0, max(len(asked), 1), block):
+        names = F.array(*[F.lit(x) for x in asked[at : at + block]]).cast("array<string>")
+        part = rows.withColumn(out, F.explode(F.filter(names, lambda x: F.contains(F.col(column), x))))
+        found = part if found is None else found.unionByName(part)
+    return found

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scoring import mcnemar, wilson
-from ..functions.vectors import norm
+from ..functions.tables import pinned
 
 #: Phrases that mark an answer as an abstention (fixed values).
 ABSTAINS = ["i don't know", "not mentioned", "no information", "cannot answer", "i don't have"]
@@ -96,24 +96,60 @@ def judge_report(records: DataFrame) -> DataFrame:
     return groups.select(F.when(F.col("is_total") == 1, F.lit("overall")).otherwise(F.col("question_type")).alias("question_type"), "count", "graded", "correct", accuracy.alias("accuracy"), F.when(none, 0.0).otherwise(low).alias("low"), F.when(none, 0.0).otherwise(high).alias("high"), "retrieval_recall")
 
 
-def nearest_rank(df: DataFrame, value: str, percents: list[int], by: str) -> DataFrame:
-    """Percentiles by rank round(p/100 (n-1)), without interpolation; a rank, not an array, per group."""
-    places = Window.partitionBy(by)
-    numbered = df.where(F.col(value).isNotNull()).select(by, value, (F.row_number().over(places.orderBy(value)) - 1).alias("i"), F.count("*").over(places).alias("n"))
-    return numbered.groupBy(by).agg(*(F.max(F.when(F.col("i") == F.round(F.lit(p / 100) * (F.col("n") - 1)), F.col(value))).alias(f"p{p}") for p in percents))
+def nearest_rank(df: DataFrame, value: str, percents: list[int], by: str, ranges: int = 256) -> DataFrame:
+    """Percentiles by rank round(p/100 (n-1)), without interpolation.
+
+    Equal values are counted before any shuffle of rows, and a group's values are dealt to `ranges` by
+    approximate quantiles (exactness doesn't rest on them), so that no task sorts a whole group: sums of
+    ranges tell which ones hold a rank, and only these are numbered. Null values are left out, a null
+    group is a group."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(F.struct(by).alias("g"), F.col(value).alias("v")).agg(F.count("*").alias("c"))
+    marks = [i / ranges for i in range(1, ranges)]
+    groups = df.where(F.col(value).isNotNull()).groupBy(F.struct(by).alias("g")).agg(F.percentile_approx(value, marks, 20 * ranges).alias("bounds"), F.count("*").alias("n"))
+    rows = counts.join(groups, counts["g"].eqNullSafe(groups["g"])).select(groups["g"], "v", "c", "n", F.size(F.filter("bounds", lambda b: b < F.col("v"))).alias("range"))
+    sums = rows.groupBy("g", "range", "n").agg(F.sum("c").alias("c"))
+    before = F.sum("c").over(Window.partitionBy("g").orderBy("range")) - F.col("c")
+    target = F.explode(F.array(*[F.struct(F.lit(p).alias("p"), F.round(F.lit(p / 100) * (F.col("n") - 1)).cast("long").alias("at")) for p in percents]))
+    held = sums.select("g", "range", "c", before.alias("before"), target.alias("t")).where((F.col("t.at") >= F.col("before")) & (F.col("t.at") < F.col("before") + F.col("c")))
+    held = held.groupBy("g", "range").agg(F.first("before").alias("before"), F.collect_list("t").alias("targets"))
+    r = rows.alias("r")
+    inside = r.join(held.alias("h"), F.col("r.g").eqNullSafe(F.col("h.g")) & (F.col("r.range") == F.col("h.range"))).select(F.col("r.g").alias("g"), F.col("r.range").alias("range"), "v", "c", "before", "targets")
+    upto = F.col("before") + F.sum("c").over(Window.partitionBy("g", "range").orderBy("v"))
+    found = inside.withColumn("upto", upto).select("g", "v", "upto", "c", F.explode("targets").alias("t")).where((F.col("t.at") < F.col("upto")) & (F.col("t.at") >= F.col("upto") - F.col("c")))
+    return found.groupBy(F.col(f"g.{by}").alias(by)).agg(*(F.max(F.when(F.col("t.p") == p, F.col("v"))).alias(f"p{p}") for p in percents))
 
 
 def space_statistics(vectors: DataFrame, label: str = "label", vector: str = "embedding") -> DataFrame:
     """Mean cosine of all pairs, of pairs with equal and of pairs with different labels, and their gap.
 
-    For unit vectors sums of pairs follow from squared lengths of vector sums, so one pass does it.
-    A missing side counts as 0; a null label is a label of its own.
+    For unit vectors sums of pairs follow from squared lengths of vector sums, so one pass does it; a task
+    ships one vector sum for each label that it holds. A missing side counts as 0; a null label is a
+    label of its own; null vectors are left out.
     """
-    own = norm(vector)
-    unit = vectors.where(F.col(vector).isNotNull()).select(F.col(label).alias("label"), F.transform(vector, lambda x: F.when(own > 0, x / own).otherwise(0.0)).alias("u"))
-    sizes = unit.groupBy("label").agg(F.count("*").alias("n"), F.sum(norm("u") * norm("u")).alias("q"))
-    sums = unit.select("label", F.posexplode("u").alias("pos", "x")).groupBy("label", "pos").agg(F.sum("x").alias("x"))
+    kind = dict(vectors.dtypes)[label]
+
+    def sums_of(batches):
+        held: dict = {}
+        for b in batches:
+            b = b.filter(b.column(1).is_valid())
+            if not b.num_rows:
+                continue
+            m = np.array(b.column(1).to_pylist(), float)
+            size = np.linalg.norm(m, axis=1, keepdims=True)
+            u = np.divide(m, size, out=np.zeros_like(m), where=size > 0)
+            codes = b.column(0).dictionary_encode(null_encoding="encode")
+            at, names = codes.indices.to_numpy(), codes.dictionary.to_pylist()
+            for j, name in enumerate(names):
+                own = u[at == j]
+                n, q, x = held.get(name, (0, 0.0, 0.0))
+                held[name] = (n + len(own), q + float((own * own).sum()), x + own.sum(0))
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), b.schema.field(0).type), *(pa.array([v[i] for v in held.values()], t) for i, t in ((0, pa.int64()), (1, pa.float64()))), pa.array([v[2].tolist() for v in held.values()], pa.list_(pa.float64()))], names=["label", "n", "q", "x"])
+
+    parts = vectors.select(F.col(label).alias("label"), F.col(vector).alias("v")).mapInArrow(sums_of, f"label {kind}, n bigint, q double, x array<double>")
+    sums = parts.select("label", F.posexplode("x").alias("pos", "x")).groupBy("label", "pos").agg(F.sum("x").alias("x"))
     inner = sums.groupBy("label").agg(F.sum(F.col("x") * F.col("x")).alias("s2"))
+    sizes = parts.groupBy("label").agg(F.sum("n").alias("n"), F.sum("q").alias("q"))
     groups = sizes.join(inner, sizes["label"].eqNullSafe(inner["label"])).agg(F.sum("n").alias("n"), F.sum("q").alias("q"), F.sum("s2").alias("within2"), F.sum(F.col("n") * (F.col("n") - 1)).alias("within_pairs"))
     total = sums.groupBy("pos").agg(F.sum("x").alias("x")).agg(F.sum(F.col("x") * F.col("x")).alias("all2"))
     pairs = F.col("n") * (F.col("n") - 1)
@@ -124,19 +160,19 @@ def space_statistics(vectors: DataFrame, label: str = "label", vector: str = "em
 
 
 def even_sample(df: DataFrame, order: str, size: int = 100) -> DataFrame:
-    """Every (n / size)-th row in order, size rows in all: the sample that calibration is made on."""
-    n = df.count()
-    step = max(1, n // max(1, min(n, size)))
-    spread = df.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("part", F.spark_partition_id()).withColumn("m", F.monotonically_increasing_id())
-    counts = {r["part"]: (r["lo"], r["n"]) for r in spread.groupBy("part").agg(F.min("m").alias("lo"), F.count("*").alias("n")).collect()}
-    start, starts = 0, {}
-    for p in sorted(counts):
-        starts[p] = start - counts[p][0]
-        start += counts[p][1]
-    if not starts:
-        return df
-    shift = F.create_map(*[F.lit(x) for kv in starts.items() for x in kv])[F.col("part")]
-    return spread.withColumn("pos", F.col("m") + shift).where((F.col("pos") % step == 0) & (F.col("pos") < step * size)).drop("part", "m")
+    """Every (n / size)-th row in order, size rows in all: the sample that calibration is made on.
+
+    order names distinct ids. They are sorted by ranges and pinned with their places, so that counts of
+    ranges and picked rows belong together; only the picked ids meet the whole rows again. Null ids are
+    left out."""
+    keys = df.select(order).where(F.col(order).isNotNull()).repartitionByRange(F.col(order)).sortWithinPartitions(order)
+    keys = pinned(keys.select(F.col(order).alias("key"), F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("m")))
+    parts = keys.groupBy("part").agg(F.min("m").alias("low"), F.count("*").alias("n"))
+    starts = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n") - F.col("low")).alias("shift"), F.sum("n").over(Window.partitionBy()).alias("n"))
+    step = F.greatest(F.floor(F.col("n") / F.least("n", F.lit(size))), F.lit(1))
+    at = F.col("m") + F.col("shift")
+    picked = keys.join(starts, "part").where((at % step == 0) & (at < step * size)).select(F.col("key").alias(order), at.alias("pos"))
+    return df.join(picked, order)
 
 
 def similarity_range(sample: DataFrame, vector: str = "embedding") -> DataFrame:

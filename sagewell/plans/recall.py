@@ -9,8 +9,8 @@ from ..functions.scoring import age_days, attention_score, calibrate
 from ..operators.chunking import paragraph_chunks
 from ..operators.embed import embed_texts
 from ..operators.knn import exact_topk
-from ..operators.lexical import text_search
-from ..operators.lifecycle import associate, decay_candidates, inbox, link, promote
+from ..functions.tables import pinned
+from ..operators.lifecycle import associate_all, containing, decay_candidates, inbox, link, promote
 from ..operators.metrics import even_sample, similarity_range, space_statistics
 from ..operators.rerank import expand_references, rerank, within_budget
 from .config import Config
@@ -34,7 +34,7 @@ def recall(queries: DataFrame, memories: DataFrame, memory_vectors: DataFrame, n
         hits = hits.unionByName(code).unionByName(seeded)
     signals = memories.select(F.col("file").alias("id"), F.col("strength").cast("double").alias("strength"), age_days(F.col("created_at"), now).alias("age_days"), "source", F.size("refs").alias("ref_count"))
     candidates = hits.drop("rank").withColumnRenamed("score", "cosine").join(signals, "id", "left").withColumn("source_file", F.regexp_replace("id", r":\d+:\d+$", ""))
-    ranking = rerank(candidates, profile.get("similarity_floor", 0.30), profile.get("semantic_confidence", 0.5))
+    ranking = pinned(rerank(candidates, profile.get("similarity_floor", 0.30), profile.get("semantic_confidence", 0.5)))  # read thrice below: embedding and search run once
     told = memories.select(F.col("file").alias("id"), "type", "name", "description", "body", "refs")
     if chunks is not None:
         told = told.unionByName(chunks.select(F.col("chunk_id").alias("id"), F.lit("code").alias("type"), F.col("chunk_id").alias("name"), F.col("file").alias("description"), F.col("content").alias("body"), F.array().cast("array<string>").alias("refs")))
@@ -55,12 +55,12 @@ def reflect(index: DataFrame, memories: DataFrame) -> DataFrame:
 
 
 def recall_text(queries: DataFrame, index: DataFrame) -> DataFrame:
-    """Where vectors find nothing: substring hits of each query's text."""
-    parts = [text_search(index, r["text"]).withColumn("query_id", F.lit(r["id"])) for r in queries.toLocalIterator()]
-    out = parts[0] if parts else text_search(index, "").limit(0).withColumn("query_id", F.lit(None))
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """Where vectors find nothing: substring hits of each query's text, each scoring 0.5. Queries (id, text)
+    are a stated set; one scan of the index serves a block of them."""
+    asked = queries.select(F.col("id").alias("query_id"), F.lower("text").alias("asked")).where("asked is not null")
+    texts = [r[0] for r in asked.select("asked").distinct().collect()]
+    hits = containing(index, texts, ["title", "summary"], "asked").withColumn("score", F.lit(0.5))
+    return hits.join(asked, "asked").drop("asked")
 
 
 def learn(files: DataFrame, now: str, config: Config | None = None, embedder: str = "hash") -> dict[str, DataFrame]:
@@ -84,7 +84,7 @@ def consolidate(memories: DataFrame, vectors: DataFrame, items: DataFrame, now:
     new = promote(items, cfg.get("consolidation.max_memory_tokens") * 4).withColumn("last_accessed", F.lit(None).cast("string"))
     columns = ["file", "name", "type", "description", "body", "strength", "created_at", "last_accessed", "access_count", "source", "refs"]
     merged = memories.select(columns).join(new.select("file"), "file", "left_anti").unionByName(new.select(columns))
-    pairs = associate(vectors, vectors, cfg.get("consolidation.merge_threshold"), 10, "id", "embedding")
+    pairs = associate_all(vectors, cfg.get("consolidation.merge_threshold"), 10, "id", "embedding")
     linked = link(merged, pairs)
     gone = decay_candidates(linked, now, cfg.get("consolidation.decay_days"), cfg.get("consolidation.protected_access_count"))
     log = new.select(F.lit("promote").alias("action"), "file").union(pairs.select(F.lit("associate"), F.concat_ws(" ", "a", "b"))).union(gone.select(F.lit("decay"), "file"))
