@@ -51,10 +51,10 @@ def materialise(df: DataFrame, name: str, partition_by: list[str] | None = None)
     return table
 
 
-def discard(table: DataFrame) -> None:
-    """Deletes a table that materialise() wrote, once nothing reads it any more."""
+def discard(table: DataFrame, part: str = "") -> None:
+    """Deletes a table that materialise() wrote, or a partition of it, once nothing reads it any more."""
     spark = table.sparkSession
-    at = spark._jvm.org.apache.hadoop.fs.Path(table._sagewell_path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{table._sagewell_path}/{part}".rstrip("/"))
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 

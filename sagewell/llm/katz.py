@@ -14,8 +14,10 @@ Texts are scored recursively, from words up to the highest level.
 from __future__ import annotations
 
 import math
+from collections import defaultdict
 from dataclasses import dataclass, replace
 from functools import reduce
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -156,21 +158,19 @@ def _encode(parts: int, kind: str, chunk_tokens: int):
 
     def over(batches):
         chunk = TaskContext.get().partitionId() << 24
-        numbers, ids, helds, arrays, total = {}, [], [], [], 0
+        fresh = lambda: defaultdict(count().__next__)  # noqa: E731 - a word not met before gets the next number
+        numbers, ids, helds, arrays, total = fresh(), [], [], [], 0
         for batch in batches:
             for doc, held, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), raw(batch.column(2)), strict=True):
                 words = text.lower().split()
                 words.append(END)
-                for w in words:
-                    if w not in numbers:
-                        numbers[w] = len(numbers)
                 arrays.append(np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)))
                 ids.append(doc)
                 helds.append(held)
                 total += len(words)
                 if total >= chunk_tokens:
                     yield from emit(numbers, ids, helds, arrays, chunk)
-                    numbers, ids, helds, arrays, total = {}, [], [], [], 0
+                    numbers, ids, helds, arrays, total = fresh(), [], [], [], 0
                     chunk += 1
         if ids:
             yield from emit(numbers, ids, helds, arrays, chunk)
@@ -324,9 +324,12 @@ class _Chunk:
         alone = np.flatnonzero(~pick & ~has[x.context])
         pick[alone[np.unique(x.context[alone], return_index=True)[1]]] = True
         at = np.flatnonzero(pick)
-        context = low.gid[x.context[at]]
-        block = _block(context, word[at], low.count[x.context[at]], self.totals.blocks, self.totals.frequent)
-        order = np.lexsort((word[at], context, block))
+        # by number of the context and word in one sort, then by block in one that keeps this order
+        rank = np.empty(len(low.count), np.int64)
+        rank[np.argsort(low.gid)] = np.arange(len(low.count))
+        at = at[np.argsort(rank[x.context[at]] << 32 | word[at])]
+        block = _block(low.gid[x.context[at]], word[at], low.count[x.context[at]], self.totals.blocks, self.totals.frequent)
+        order = np.argsort(block.astype(np.uint16 if self.totals.blocks < 1 << 16 else np.int64), kind="stable")
         return at[order], word[at[order]], block[order]
 
     def answer(self, level: int) -> None:
@@ -469,6 +472,17 @@ def _answer_grams(level: int, highest: bool):
     return work
 
 
+def _count_and_answer(level: int):
+    """Both for a block of the highest level, so that its questions are shuffled once."""
+    counted, answered = _count_grams(level), _answer_grams(level, True)
+
+    def work(table: pa.Table) -> pa.Table:
+        grams = counted(table)
+        return pa.concat_tables([grams, answered(None, table, grams.slice(0, 1))])
+
+    return work
+
+
 def _evaluate(shared, kind: pa.DataType):
     """Scores of a chunk's texts."""
 
@@ -523,18 +537,26 @@ def _run(docs: DataFrame, model: KatzModel | None, scores: bool, id_col: str, te
         words, totals = model.words, model.totals
     given = ["kind", "level", "part", "chunk", "held", "a", "b", "total", "spectrum"]
     answers = [materialise(asked.groupBy("part").cogroup(words.groupBy("part")).applyInArrow(_answer_words(parts), _REPLY).select(*given), "answers-1")]
+    discard(chunks, "kind=voc")
     share = spark.sparkContext.broadcast
     every = lambda: reduce(DataFrame.unionByName, answers)
     for level in range(2, totals.order + 1):
         asking = texts.groupBy("chunk").cogroup(every().groupBy("chunk")).applyInArrow(_ask(level, share(totals)), _REPLY)
         asking = materialise(asking.select("part", "chunk", "a", "b"), f"asked-{level}")
-        if train:
+        fused = train and scores and level == totals.order
+        if fused:
+            grams.append(materialise(asking.groupBy("part").applyInArrow(_count_and_answer(level), _REPLY), f"grams-{level}", ["kind"]))
+        elif train:
             grams.append(materialise(asking.groupBy("part").applyInArrow(_count_grams(level), _REPLY), f"grams-{level}", ["kind"]))
+        if train:
             totals = replace(totals, ratios=(*totals.ratios, discounts(_spectrum_of(grams[-1].where("kind = 'gram'"))[2:])))
         if level == totals.order and not scores:
             break
-        replies = asking.groupBy("part").cogroup(grams[level - 2].where("kind = 'gram'").groupBy("part")).applyInArrow(_answer_grams(level, level == totals.order), _REPLY).select(*given)
-        replies = materialise(replies, f"replies-{level}", ["kind"])
+        if fused:
+            replies = grams[-1]
+        else:
+            replies = asking.groupBy("part").cogroup(grams[level - 2].where("kind = 'gram'").groupBy("part")).applyInArrow(_answer_grams(level, level == totals.order), _REPLY).select(*given)
+            replies = materialise(replies, f"replies-{level}", ["kind"])
         discard(asking)
         # of frequent contexts the parts of all blocks, to each chunk that asks
         sums = F.array(*(F.sum(F.get("spectrum", F.lit(r))) for r in range(2 * LARGEST + 1)))
@@ -574,7 +596,8 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     context not seen). Weights make each context's probabilities add up to one exactly. An n-gram
     reaches back to the END before a text's first word and not beyond. Each level's table is written to
     the shared folder and read back for the answers; what a weight is made of is kept as whole numbers,
-    so tables hold no rounded weights.
+    so tables hold no rounded weights. Tables in between go when they are used up; those of the model and
+    the answers that the result is computed from stay until the shared folder is cleared.
 
     A row is in fold crc32(id as text) mod folds; a null id reads as empty. Null and empty texts are
     their end token alone. Repeated rows count and are scored each. An empty table gives no rows, and
