@@ -16,7 +16,7 @@ from .common import map_arrow, raw
 
 #: The pre-tokeniser's pattern of the byte-level vocabularies (a fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Words kept in a task's memo; it is emptied when it grows beyond this.
+#: Words, pairs and tokens kept in a worker's memos; each is emptied when it grows beyond this.
 MEMO_WORDS = 500_000
 #: Rank of a pair that never merges.
 NO_RANK = 1 << 40
@@ -172,8 +172,9 @@ class Codec:
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        if len(self.words) > MEMO_WORDS:
-            self.words.clear()
+        for memo in (self.words, self.pairs, self.single):
+            if len(memo) > MEMO_WORDS:
+                memo.clear()
         cut = []
         for t in texts:
             parts = self.cut.split(t) if self.cut and any(a in t for a in self.v.added) else [t]

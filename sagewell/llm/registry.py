@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import importlib.util
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,8 +15,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     """Where the installed vocabulary package keeps a file."""
-    spec = importlib.util.find_spec("public_tokenizers")
-    return os.path.join(os.path.dirname(spec.origin) if spec else "/opt/tokenizers", name)
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
 
 
 def op1_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 from .common import map_arrow, raw
 
+#: A private key from its first to its last line, or to the end of the text.
+KEY_BLOCK = re.compile(rb"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----(?:[^-]|-(?!----END))*(?:-----END [A-Z0-9 ]{0,40}-----|\Z)")
 #: A candidate: a run of key characters, of length 12 at least with a digit or of 20 at least without.
 CANDIDATE = re.compile(rb"[A-Za-z0-9_\-+/=.@%~]{12,}")
 SPLIT = re.compile(rb"^[A-Za-z_][A-Za-z_.\-]{1,30}[=]{1,2}(?=[^=])")
@@ -35,7 +37,7 @@ CODE = re.compile(rb"\A[$<{(\[%]|\w[(\[]|\A(?:os|self|process|env|config|setting
 #: Words near a candidate that tell of a secret, or of something else. Fixed values.
 SECRET_WORDS = frozenset(b"password passwd pwd secret token apikey api key auth authorization bearer credential credentials private access aws client signing".split())
 OTHER_WORDS = frozenset(b"sha commit hash checksum md5 sha256 etag revision uuid guid id example sample placeholder test dummy fixture email mail card image data version".split())
-PREFIXES = (b"AKIA", b"ASIA", b"ghp_", b"gho_", b"github_pat_", b"sk_live_", b"rk_live_", b"xoxb-", b"xoxp-", b"AIza", b"glpat-", b"eyJ", b"npm_", b"SG.")
+PREFIXES = (b"AKIA", b"ASIA", b"ghp_", b"gho_", b"github_pat_", b"sk_live_", b"rk_live_", b"xoxb-", b"xoxp-", b"AIza", b"glpat-", b"eyJ", b"npm_", b"SG.", b"-----BEGIN")
 FEATURES = ("length", "entropy", "transition", "digit_share", "upper_share", "lower_share", "other_share", "class_changes", "hex_only", "dictionary", "repeats", "known_prefix", "assigned", "quoted", "secret_words", "other_words", "has_at", "dots", "uuid_form", "path_code", "path_test", "digits_only", "secret_name", "stand_in", "code", "spaces")
 #: Vowel-bearing letter pairs and ends usual in words of many languages; they make up dictionary coverage with the words of the text itself.
 COMMON_PARTS = tuple("the and ing ion ent her for tha nth int ere tio ver ter est ers ati hat ate all eth hes ver his oft ith fth sth oth res ont you are not but was ess ist com con pro der sch ein ich und die che gen que les des eur ait men con est ado los las par ent".split())
@@ -153,7 +155,7 @@ def _values(text: bytes) -> list[tuple[int, int]]:
 
 def candidates(text: bytes) -> list[tuple[int, int]]:
     """[start, end) of candidates in a text, in order; a run may stand within a whole value."""
-    return sorted({*_runs(text), *_values(text)})
+    return sorted({*_runs(text), *_values(text), *((m.start(), m.end()) for m in KEY_BLOCK.finditer(text))})
 
 
 def merged(spans: list) -> list[list[int]]:
@@ -167,8 +169,11 @@ def merged(spans: list) -> list[list[int]]:
     return out
 
 
-def labelled_findings(n: int = 6000, seed: int = 11) -> tuple[list[list[float]], list[int]]:
-    """Labelled findings made from public formats: live-looking secrets, and what scanners report wrongly."""
+def labelled_findings(n: int = 6000, seed: int = 11, without: int | None = None, only: int | None = None) -> tuple[list[list[float]], list[int]]:
+    """Labelled findings made from public formats: live-looking secrets, and what scanners report wrongly.
+
+    without, only: a format of secrets (by number) to leave out, or to take alone, for tests on formats that
+    a forest was not fitted on."""
     r = random.Random(seed)
     draw = lambda letters, k: "".join(r.choice(letters) for _ in range(k))
     up, hexa, b64, alnum = string.ascii_uppercase + string.digits, "0123456789abcdef", string.ascii_letters + string.digits + "+/", string.ascii_letters + string.digits
@@ -203,7 +208,9 @@ def labelled_findings(n: int = 6000, seed: int = 11) -> tuple[list[list[float]],
         lambda: ("", "xoxb-" + draw(string.digits, 12) + "-" + draw(alnum, 24), ""),
         lambda: (r.choice(["aws_secret_access_key = ", "secret: "]), draw(b64, 40), ""),
         lambda: (r.choice(["jwt ", "Bearer "]), "eyJ" + draw(alnum, 30) + "." + "eyJ" + draw(alnum, 50) + "." + draw(alnum, 43), ""),
+        lambda: ("", "-----BEGIN " + (kind := r.choice(["", "RSA ", "EC ", "OPENSSH "])) + "PRIVATE KEY-----\n" + "\n".join(draw(b64, 64) for _ in range(r.randint(1, 12))) + "\n" + draw(b64, r.randint(4, 64)) + f"\n-----END {kind}PRIVATE KEY-----", ""),
     ]
+    secret = [f for i, f in enumerate(secret) if i != without and only in (None, i)]
     other = [
         lambda: assigned(r.choice(fields), r.choice([sentence, plain, word, chosen, long_word])().ljust(6, "s")),
         lambda: (r.choice(fields) + r.choice(['="', ': "']), sentence(), '"'),
@@ -303,7 +310,8 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Findings in every whole text: doc_id, n_candidates, n_secrets, max_score, spans, findings_sha256.
 
     Candidates are all long runs of key characters, and after assignments and secret words the whole
-    values from six characters on, quoted or up to white space; none is passed over by number. The forest
+    values from six characters on, quoted or up to white space, and private keys as a whole; none is passed
+    over by number. The forest
     (fixed size, broadcast) removes false positives by length, entropy, letter transitions, share of
     common word parts, path and neighbouring words. forest: one fitted on own labelled findings;
     default_forest() is fitted on labelled_findings(), whose number of rows bounds the sample.
@@ -347,7 +355,8 @@ def _judged(texts: list[bytes], paths: list, shared):
 def mask_secrets(docs: DataFrame, mask: str = "[SECRET]", text_col: str = "text", path_col: str = "source", length_col: str = "n_chars", forest: Forest | None = None, threshold: float = 0.5) -> DataFrame:
     """docs with mask in place of each secret that scan_secrets() finds; a column of text lengths follows.
 
-    All rows and columns stay; null texts stay null.
+    All rows and columns stay; null texts stay null, empty ones empty; repeated rows are masked each; an empty
+    table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(forest or default_forest())
     names, at = docs.columns, docs.columns.index(text_col)

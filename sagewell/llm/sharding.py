@@ -53,7 +53,7 @@ def communication_matrix(rows_per_part: list[int], rows_per_shard: list[int], se
     return out
 
 
-def shuffle_shards(docs: DataFrame, n_shards: int = 40, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", rows_per_sort: int = 1_000_000) -> DataFrame:
+def shuffle_shards(docs: DataFrame, n_shards: int = 40, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", rows_per_sort: int = 1_000_000, most_parts: int = 4096) -> DataFrame:
     """Deal all rows uniformly at random into shards whose row counts differ by one at most.
 
     Rows, with random keys, are first written as a narrow table so that a task that runs again sees
@@ -66,7 +66,7 @@ def shuffle_shards(docs: DataFrame, n_shards: int = 40, seed: int = 7, id_col: s
     text_crc32, law, shard, slot (0.. without gaps), grown_shard (null under this law).
     """
     binary = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    drawn = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(binary).cast("long") + 16).alias("size"), F.crc32(binary).alias("text_crc32"), F.spark_partition_id().alias("part"), F.rand(seed).alias("k1"), F.rand(seed + 1).alias("k2"))
+    drawn = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(binary).cast("long") + 16).alias("size"), F.crc32(binary).alias("text_crc32"), (F.spark_partition_id() % most_parts).alias("part"), F.rand(seed).alias("k1"), F.rand(seed + 1).alias("k2"))
     rows = materialise(drawn, "shuffle")
     counts = sorted((r["part"], r["n"]) for r in rows.groupBy("part").agg(F.count("*").alias("n")).collect())
     total = sum(n for _, n in counts)

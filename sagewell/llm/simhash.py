@@ -137,7 +137,8 @@ def _link_runs(batches, bits: int):
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and signed 64-bit SimHash of every row; null and wordless texts have 0."""
+    """doc_id and signed 64-bit SimHash of every row; null and wordless texts have 0, repeated rows and null
+    ids come back each, an empty table gives no rows, other columns are ignored."""
 
     def work(batch):
         prints = np.fromiter(map(fingerprint, raw(batch.column(1))), np.uint64, batch.num_rows)

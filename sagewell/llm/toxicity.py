@@ -83,8 +83,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     Features are chosen on the cluster: how many toxic and other sample rows hold each, then the
     max_features with the largest likelihood ratio statistic, of those that reach least_statistic. Only the chosen features of the sample
     come to the driver. Labels that are 0/1 become grades by the density of telling words; a label
-    column with values above 1 is used as grades directly. Without labelled rows of two grades the
-    model scores everything 0.
+    column with values above 1 is used as grades directly. Without labelled rows of two grades, or
+    documents for both, the model scores everything 0.
+
+    Labels with a null id or grade don't count, of several labels of an id the highest does; labelled
+    ids that documents lack are no sample rows, repeated documents are several, null texts have no words;
+    empty tables give the model that scores 0; other columns are ignored.
     """
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     marks = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y is not null").groupBy("id").agg(F.max("y").alias("y"))
@@ -108,15 +112,20 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         found: dict[bytes, list[int]] = {}
         for d, text in zip(batch.column(0).to_pylist(), raw(batch.column(1)), strict=True):
             y = shared.value[d] > 0
-            for f in {f for w in text_words(text) for f in word_features(w)}:
+            for f in {b""} | {f for w in text_words(text) for f in word_features(w)}:
                 c = found.setdefault(f, [0, 0])
                 c[y] += 1
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), *(pa.array([c[i] for c in found.values()], pa.int64()) for i in (0, 1))], names=["f", "n0", "n1"])
 
     rows = materialise(rows, "labelled")  # read twice
-    sums = map_arrow(rows, counts, "f binary, n0 bigint, n1 bigint").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where(F.col("n0") + F.col("n1") >= least_rows)
-    total = [sum(y == 0 for y in picked.values()), sum(y > 0 for y in picked.values())]
+    sums = map_arrow(rows, counts, "f binary, n0 bigint, n1 bigint").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    sums = materialise(sums.where(F.col("n0") + F.col("n1") >= least_rows), "features")
+    # no word is empty: this stands for every sample row that documents have, repeated ones too
+    total = next(((r["n0"], r["n1"]) for r in sums.where("f = X''").collect()), (0, 0))
+    if not all(total):
+        return empty
+    sums = sums.where("f <> X''")
     n0, n1, a, b = F.col("n0"), F.col("n1"), float(total[0]), float(total[1])
     part = lambda n, e: F.when(n > 0, n * F.log(n / e)).otherwise(0.0)
     g = 2 * (part(n0, (n0 + n1) * a / (a + b)) + part(n1, (n0 + n1) * b / (a + b)) + part(a - n0, (a + b - n0 - n1) * a / (a + b)) + part(b - n1, (a + b - n0 - n1) * b / (a + b)))
@@ -164,7 +173,10 @@ def score(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col
 
 
 def filter_clean(docs: DataFrame, model: OrdinalModel, text_col: str = "text", reject_at: float = REJECT_AT) -> DataFrame:
-    """The rows of docs that score() would not call toxic, with all their columns."""
+    """The rows of docs that score() would not call toxic, with all their columns.
+
+    Null and empty texts have the severity of no evidence and stay; repeated rows stay repeated; an empty
+    table gives no rows."""
     judge, at = _judge(docs, model), docs.columns.index(text_col)
 
     def work(batch):
