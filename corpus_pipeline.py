@@ -1,4 +1,10 @@
-"""Cleaning documents for training: stages over whole tables, each written before the next."""
+"""Cleaning documents for training: stages over whole tables, each written before the next.
+
+Stages take the columns of documents and drop others, also such that bear names the operators use. In any
+of them a row with a null id is a row like others, a null or empty text is clean, and an empty table gives
+an empty one. Rows that are repeated stay repeated, but for the near-copies stage, which keeps one row of
+each group: the one with the smallest id, of equal ids the first, of null ids the last.
+"""
 
 from __future__ import annotations
 
