@@ -37,6 +37,9 @@ CHUNK_TOKENS = 2_000_000
 FREQUENT = 250_000
 #: Bytes of text to a part of the vocabulary, and training tokens to a block of n-grams.
 PART_BYTES, BLOCK_TOKENS = 64_000_000, 2_000_000
+#: Questions are counted and answered, and texts scored, in so many passes one after the other, so that less
+#: of what is shuffled is on disk at a time.
+SLICES = 3
 #: Stands for no word in an n-gram that only asks for its context.
 NO_WORD = (1 << 32) - 1
 #: The token that ends a text, and stands before its first word.
@@ -542,22 +545,27 @@ def _run(docs: DataFrame, model: KatzModel | None, scores: bool, id_col: str, te
     every = lambda: reduce(DataFrame.unionByName, answers)
     for level in range(2, totals.order + 1):
         asking = texts.groupBy("chunk").cogroup(every().groupBy("chunk")).applyInArrow(_ask(level, share(totals)), _REPLY)
-        asking = materialise(asking.select("part", "chunk", "a", "b"), f"asked-{level}")
-        fused = train and scores and level == totals.order
-        if fused:
-            grams.append(materialise(asking.groupBy("part").applyInArrow(_count_and_answer(level), _REPLY), f"grams-{level}", ["kind"]))
-        elif train:
-            grams.append(materialise(asking.groupBy("part").applyInArrow(_count_grams(level), _REPLY), f"grams-{level}", ["kind"]))
+        asking = asking.select("part", "chunk", "a", "b", F.pmod("part", F.lit(SLICES)).alias("slice"))
+        asking = materialise(asking, f"asked-{level}", ["slice"])
+        highest, counted, replied = level == totals.order, [], []
+        for k in range(SLICES):
+            asks = asking.where(F.col("slice") == k).drop("slice").groupBy("part")
+            if train:
+                count_ = _count_and_answer(level) if highest and scores else _count_grams(level)
+                counted.append(materialise(asks.applyInArrow(count_, _REPLY), f"grams-{level}", ["kind"]))
+            if highest and train:
+                replied.append(counted[-1])
+            else:
+                known = counted[-1] if train else grams[level - 2].where(F.pmod("part", F.lit(SLICES)) == k)
+                answered = asks.cogroup(known.where("kind = 'gram'").groupBy("part")).applyInArrow(_answer_grams(level, highest), _REPLY)
+                replied.append(materialise(answered.select(*given), f"replies-{level}", ["kind"]))
+            discard(asking, f"slice={k}")
         if train:
+            grams.append(reduce(DataFrame.unionByName, counted))
             totals = replace(totals, ratios=(*totals.ratios, discounts(_spectrum_of(grams[-1].where("kind = 'gram'"))[2:])))
-        if level == totals.order and not scores:
+        if highest and not scores:
             break
-        if fused:
-            replies = grams[-1]
-        else:
-            replies = asking.groupBy("part").cogroup(grams[level - 2].where("kind = 'gram'").groupBy("part")).applyInArrow(_answer_grams(level, level == totals.order), _REPLY).select(*given)
-            replies = materialise(replies, f"replies-{level}", ["kind"])
-        discard(asking)
+        replies = reduce(DataFrame.unionByName, [r.select(*given) for r in replied])
         # of frequent contexts the parts of all blocks, to each chunk that asks
         sums = F.array(*(F.sum(F.get("spectrum", F.lit(r))) for r in range(2 * LARGEST + 1)))
         freq = grams[level - 2].where("kind = 'freq'").groupBy("total").agg(sums.alias("spectrum"))
@@ -568,7 +576,10 @@ def _run(docs: DataFrame, model: KatzModel | None, scores: bool, id_col: str, te
     model = KatzModel(totals, parts, words, grams)
     if not scores:
         return model, None
-    scored = texts.groupBy("chunk").cogroup(every().groupBy("chunk")).applyInArrow(_evaluate(share(totals), arrow_kind), f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
+    own = F.pmod(F.xxhash64("chunk"), F.lit(SLICES))
+    schema = f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"
+    parts_ = [texts.where(own == k).groupBy("chunk").cogroup(every().where(own == k).groupBy("chunk")).applyInArrow(_evaluate(share(totals), arrow_kind), schema) for k in range(SLICES)]
+    scored = reduce(DataFrame.unionByName, [materialise(x, "scores") for x in parts_])
     return model, scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(totals.words.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
