@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import scoring, vectors
-from .operators import chunking, embed, knn, lexical, lifecycle, metrics, quantize, rerank, training
+from .functions.tables import new_folder
+from .operators import chunking, embed, knn, lexical, lifecycle, metrics, quantize, rerank, store, training
 from .plans import experiments
 from .plans import recall as plans
 from .sources import files
@@ -204,7 +205,8 @@ def recall_profile(spark, sf_dir):
     return shape.select(*(F.round(c, 6).alias(n) for n, c in scoring.calibrate(F.col("anisotropy"), F.col("similarity_range")).items()))
 
 
-@query()
+@query("""WITH p AS (SELECT vec_id, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings), m AS (SELECT i, avg(x) AS m, count(*) AS n FROM p GROUP BY 1), c AS (SELECT vec_id, i, x - m AS y, n FROM p JOIN m USING (i)),
+k AS (SELECT a.i AS i, b.i AS j, sum(a.y * b.y) / (max(a.n) - 1) AS v FROM c a JOIN c b USING (vec_id) GROUP BY 1, 2) SELECT round((sum(v) FILTER (i = j)) ^ 2 / sum(v * v), 3) AS intrinsic_dimensionality FROM k""")
 def intrinsic_dimensionality(spark, sf_dir):
     return metrics.intrinsic_dimensionality(_table(spark, sf_dir, "embeddings")).select(F.round("intrinsic_dimensionality", 3).alias("intrinsic_dimensionality"))
 
@@ -496,18 +498,6 @@ def event_windows(spark, sf_dir):
 # experiments and plans
 
 
-@query()
-def retrieval_experiment(spark, sf_dir):
-    """Each conversation's first user turn asks; its own session is the gold document among all sessions."""
-    sessions = embed.embed_texts(_sessions(spark, sf_dir).select("conv_id", files.user_text().alias("text")), "text")
-    first = _table(spark, sf_dir, "conversations").where("role = 'user' and conv_id % 20 = 0").groupBy("conv_id").agg(F.min_by("text", "turn").alias("text"))
-    asked = embed.embed_texts(first, "text")
-    hits = knn.exact_topk(sessions, asked, 10, "conv_id", "embedding")
-    gold = first.select(F.col("conv_id").alias("query_id"), F.col("conv_id").alias("id"), F.lit(1).alias("grade"))
-    s = metrics.summary(metrics.retrieval_metrics(hits, gold, 5))
-    return s.select("n", *(F.round(c, 6).alias(c) for c in s.columns[1:]))
-
-
 @query()
 def recall_plan(spark, sf_dir):
     """The whole recall plan: memories are documents with hashed vectors, queries are benchmark items."""
@@ -539,12 +529,17 @@ def context_packing(spark, sf_dir):
     return packed.select("question_id", F.md5("context").alias("digest"), F.regexp_count("context", F.lit(r"\[Conversation \d+\]\n")).cast("long").alias("blocks"))
 
 
-@query("""WITH r AS (SELECT label, list(vec_id ORDER BY vec_id) FILTER (vec_id % 50 = 0) AS a, list(vec_id ORDER BY vec_id) FILTER (vec_id % 50 = 1) AS b FROM embeddings GROUP BY 1), p AS (SELECT label, unnest(a) AS positive, b FROM r)
-SELECT 'q' || label AS query, 'd' || positive AS positive, 'd' || unnest(b) AS negative, 1.0::DOUBLE AS relevance FROM p""")
+@query("""WITH r AS (SELECT 'q' || label || '-' || (vec_id // 40) AS query, vec_id, row_number() OVER (PARTITION BY label, vec_id // 40 ORDER BY vec_id) % 2 AS odd FROM embeddings)
+SELECT a.query, 'd' || a.vec_id AS positive, 'd' || b.vec_id AS negative, 1.0::DOUBLE AS relevance FROM r a JOIN r b ON a.query = b.query AND a.odd = 1 AND b.odd = 0""")
 def training_triplets(spark, sf_dir):
+    """Every row has a role: a label's rows in a block of forty ids are a query, every other one relevant, so
+    that a query's product is bounded."""
     emb, i = _table(spark, sf_dir, "embeddings"), F.col("vec_id")
+    block = F.floor(i / 40)
+    place = F.row_number().over(Window.partitionBy("label", block).orderBy("vec_id"))
+    rows = emb.select(F.concat(F.lit("q"), F.col("label").cast("string"), F.lit("-"), block.cast("string")).alias("query"), i, (place % 2).alias("odd"))
     example = F.struct(F.concat(F.lit("d"), i.cast("string")).alias("description"), F.lit(None).cast("double").alias("relevance"))
-    q = emb.groupBy(F.concat(F.lit("q"), F.col("label").cast("string")).alias("query")).agg(F.collect_list(F.when(i % 50 == 0, example)).alias("relevant"), F.collect_list(F.when(i % 50 == 1, example)).alias("irrelevant"))
+    q = rows.groupBy("query").agg(F.collect_list(F.when(F.col("odd") == 1, example)).alias("relevant"), F.collect_list(F.when(F.col("odd") == 0, example)).alias("irrelevant"))
     return training.triplets(q)
 
 
@@ -599,3 +594,224 @@ def freshness_experiment(spark, sf_dir):
 @query()
 def synthetic_experiment(spark, sf_dir):
     return experiments.synthetic_experiment(spark)
+
+# store
+
+
+def _leveled(spark, sf_dir):
+    """Two levels of documents: the project's, and the global one, which has a third of the same files."""
+    docs, i = _table(spark, sf_dir, "documents"), F.col("doc_id")
+    row = lambda mark: (F.concat(F.lit("d"), i.cast("string"), F.lit(".md")).alias("file"), F.concat(F.lit(mark), "source").alias("name"))
+    return store.union_levels({"project": docs.where(i % 2 == 0).select(*row("p-")), "global": docs.where(i % 3 == 0).select(*row("g-"))})
+
+
+_LEVELED = """l AS (SELECT 'd' || doc_id || '.md' AS file, 'p-' || source AS name, 'project' AS level FROM documents WHERE doc_id % 2 = 0
+UNION ALL SELECT 'd' || doc_id || '.md', 'g-' || source, 'global' FROM documents WHERE doc_id % 3 = 0)"""
+
+
+@query(f"WITH {_LEVELED} SELECT 'global' AS asked, file, level FROM l WHERE level = 'global' UNION ALL SELECT 'any', file, level FROM l")
+def level_selection(spark, sf_dir):
+    rows = _leveled(spark, sf_dir)
+    asked = [store.at_level(rows, x).select(F.lit(x).alias("asked"), "file", "level") for x in ("global", "any")]
+    return asked[0].union(asked[1])
+
+
+@query(f"WITH {_LEVELED}, w AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY level = 'global' DESC) AS n FROM l) SELECT l.level AS found_at, w.file, w.name, w.level FROM l JOIN w ON l.file = w.file AND w.n = 1")
+def level_collisions(spark, sf_dir):
+    rows = _leveled(spark, sf_dir)
+    ranking = rows.select("file", F.col("level").alias("found_at"))
+    return store.resolve(ranking, rows).select("found_at", "file", "name", "level")
+
+
+@query(f"WITH {_LEVELED} SELECT count(*) AS entries, count(DISTINCT file) AS files FROM l")
+def distinct_files(spark, sf_dir):
+    return _leveled(spark, sf_dir).agg(F.count("*").alias("entries"), F.countDistinct("file").alias("files"))
+
+
+_NAMED = """i AS (SELECT lang || '_' || source || '.md' AS file, min(doc_id) AS place FROM documents GROUP BY 1), n AS (SELECT unnest(['en', 'src1', '_src', 'fr_src2.md', 'nothing']) AS name),
+f AS (SELECT name, arg_min(file, place) AS file FROM n JOIN i ON contains(file, name) GROUP BY 1)"""
+
+
+def _named(spark, sf_dir):
+    index = _table(spark, sf_dir, "documents").groupBy(F.concat("lang", F.lit("_"), "source", F.lit(".md")).alias("file")).agg(F.min("doc_id").alias("place"))
+    return index, spark.createDataFrame([(x,) for x in ("en", "src1", "_src", "fr_src2.md", "nothing")], "name string")
+
+
+@query(f"WITH {_NAMED} SELECT name, file FROM f")
+def first_containing(spark, sf_dir):
+    return store.first_containing(*_named(spark, sf_dir))
+
+
+@query(f"WITH {_NAMED} SELECT file, place FROM i WHERE file NOT IN (SELECT file FROM f)")
+def remove_first(spark, sf_dir):
+    return store.remove_first(*_named(spark, sf_dir))
+
+
+@query("""WITH o AS (SELECT 'd' || doc_id AS file, source AS summary FROM documents WHERE doc_id % 3 > 0), w AS (SELECT 'd' || doc_id AS file, lang AS summary FROM documents WHERE doc_id % 2 = 0)
+SELECT file, summary, 'kept' AS status FROM o WHERE file NOT IN (SELECT file FROM w) UNION ALL SELECT file, summary, CASE WHEN file IN (SELECT file FROM o) THEN 'updated' ELSE 'created' END FROM w""")
+def index_upsert(spark, sf_dir):
+    docs, i = _table(spark, sf_dir, "documents"), F.col("doc_id")
+    row = lambda c: (F.concat(F.lit("d"), i.cast("string")).alias("file"), F.col(c).alias("summary"))
+    return store.upsert_entries(docs.where(i % 3 > 0).select(*row("source")), docs.where(i % 2 == 0).select(*row("lang")))
+
+
+@query("""SELECT 'memory' AS kind, 'd' || doc_id AS file FROM documents WHERE doc_id % 5 <> 2 UNION ALL SELECT 'vector', 'd' || vec_id FROM embeddings WHERE vec_id % 5 <> 2""")
+def forget_rows(spark, sf_dir):
+    name = lambda c: F.concat(F.lit("d"), F.col(c).cast("string")).alias("file")
+    docs, emb = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "embeddings")
+    gone = docs.where("doc_id % 5 = 2").select(name("doc_id")).union(emb.where("vec_id % 5 = 2").select(name("vec_id")))
+    memories, left = store.forget(docs.select(name("doc_id")), emb.select(name("vec_id")), gone)
+    return memories.select(F.lit("memory").alias("kind"), "file").union(left.select(F.lit("vector"), "file"))
+
+
+@query("SELECT 'q' || item_id AS id, md5(text) AS digest, 'deferred' AS source, 0.95::DOUBLE AS attention_score FROM benchmark")
+def deferred_items(spark, sf_dir):
+    items = store.deferred(_table(spark, sf_dir, "benchmark").select(F.concat(F.lit("q"), F.col("item_id").cast("string")).alias("i"), "text"), "i", "text", NOW)
+    return items.select("id", F.md5("content").alias("digest"), "source", "attention_score")
+
+
+@query("""WITH e AS (SELECT user_id, min(event_id) AS first, count(*) AS n FROM events GROUP BY 1), h AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase')
+SELECT user_id::VARCHAR AS file, n + (user_id IN (SELECT user_id FROM h))::INT AS access_count, CASE WHEN user_id IN (SELECT user_id FROM h) THEN 'now' ELSE 'before' END AS last_accessed FROM e""")
+def access_tracking(spark, sf_dir):
+    e = _table(spark, sf_dir, "events")
+    memories = e.groupBy(F.col("user_id").cast("string").alias("file")).agg(F.count("*").alias("access_count")).withColumn("last_accessed", F.lit("before"))
+    return lifecycle.touch(memories, e.where("event_type = 'purchase'").select(F.col("user_id").cast("string").alias("file")), "now").select("file", "access_count", "last_accessed")
+
+
+@query("""WITH o AS (SELECT vec_id, label FROM embeddings WHERE vec_id % 3 > 0), w AS (SELECT vec_id, label + 100 AS label FROM embeddings WHERE vec_id % 4 = 0)
+SELECT vec_id, label FROM (SELECT * FROM o WHERE vec_id NOT IN (SELECT vec_id FROM w) UNION ALL SELECT * FROM w) WHERE vec_id % 7 > 0""")
+def vector_upkeep(spark, sf_dir):
+    emb = _table(spark, sf_dir, "embeddings").select("vec_id", "label")
+    held = embed.upsert(emb.where("vec_id % 3 > 0"), emb.where("vec_id % 4 = 0").withColumn("label", (F.col("label") + 100).cast(dict(emb.dtypes)["label"])), "vec_id")
+    return embed.remove(held, emb.where("vec_id % 7 = 0"), "vec_id")
+
+
+@query("""WITH l AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN '{"id": "' || doc_id || '", "k": ' || (doc_id % 9) || '}' WHEN 2 THEN '[1]' ELSE '{"id": ' END AS value FROM documents)
+SELECT doc_id, CASE WHEN doc_id % 4 = 1 THEN '{"ok":true,"data":{"id":"' || doc_id || '","k":' || (doc_id % 9) || '}}' ELSE '{"ok":false,"error":"' || CASE doc_id % 4 WHEN 0 THEN 'empty request' WHEN 2 THEN 'no object' ELSE 'no JSON' END || '"}' END AS value FROM l""")
+def json_requests(spark, sf_dir):
+    i = F.col("doc_id")
+    line = F.when(i % 4 == 0, "").when(i % 4 == 1, F.concat(F.lit('{"id": "'), i.cast("string"), F.lit('", "k": '), (i % 9).cast("string"), F.lit("}"))).when(i % 4 == 2, "[1]").otherwise('{"id": ')
+    rows = store.requests(_table(spark, sf_dir, "documents").select("doc_id", line.alias("line")), "id string, k int", "line").drop("line")
+    return store.reply(rows, keep=["doc_id"])
+
+
+@query("""WITH t AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '"it is ' || doc_id || '"' WHEN 1 THEN '["a", 7, "b' || doc_id || '"]' WHEN 2 THEN doc_id::VARCHAR WHEN 3 THEN 'null' ELSE '[]' END AS raw FROM documents)
+SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'it is ' || doc_id WHEN 2 THEN doc_id::VARCHAR END AS answer FROM t WHERE doc_id % 5 <> 1""")
+def answer_forms(spark, sf_dir):
+    i = F.col("doc_id")
+    raw = F.when(i % 5 == 0, F.concat(F.lit('"it is '), i.cast("string"), F.lit('"'))).when(i % 5 == 2, i.cast("string")).when(i % 5 == 3, "null").otherwise("[]")
+    return _table(spark, sf_dir, "documents").where("doc_id % 5 <> 1").select("doc_id", files.answer_text(raw).alias("answer"))
+
+
+@query("""WITH p AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '[RUST]' WHEN doc_id % 3 = 1 THEN '[GO]' ELSE '[OTHER]' END || ' ' || source AS code, '[TYPE] ' || CASE WHEN doc_id % 2 = 0 THEN '[FEEDBACK]' ELSE '[USER]' END || ' [DESC] ' || source || ' [BODY] ' || lang AS memory FROM documents) SELECT * FROM p""")
+def model_inputs(spark, sf_dir):
+    i = F.col("doc_id")
+    language = F.when(i % 3 == 0, "rust").when(i % 3 == 1, "go").otherwise("cobol")
+    return _table(spark, sf_dir, "documents").select("doc_id", training.code_input(F.col("source"), language).alias("code"), training.memory_input(F.when(i % 2 == 0, "feedback").otherwise("odd"), F.col("source"), F.col("lang")).alias("memory"))
+
+
+@query("SELECT a.vec_id, CASE WHEN a.vec_id % 2 = 0 THEN 0.0::DOUBLE ELSE round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) + 0.0 END AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = (SELECT min(vec_id) FROM embeddings)")
+def cosine_of_any_lengths(spark, sf_dir):
+    emb = _table(spark, sf_dir, "embeddings")
+    first = emb.orderBy("vec_id").limit(1).select(F.col("embedding").alias("other"))
+    shorter = F.when(F.col("vec_id") % 2 == 0, F.slice("other", 1, 3)).otherwise(F.col("other"))
+    return emb.crossJoin(F.broadcast(first)).select("vec_id", _r6(vectors.cosine("embedding", shorter, lengths_may_differ=True)).alias("cosine"))
+
+
+@query(f"WITH {_CHUNKS}, h AS (SELECT doc_id * 7 % 1000 AS query_id, doc_id, start_line, row_number() OVER (PARTITION BY doc_id * 7 % 1000 ORDER BY doc_id, start_line) AS rank FROM c WHERE trim(regexp_replace(content, '\\s+', ' ', 'g')) <> '') SELECT query_id, rank::INT AS rank, md5(content) AS digest FROM h JOIN c USING (doc_id, start_line)")
+def resolve_chunks(spark, sf_dir):
+    chunks = _chunks(spark, sf_dir)
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("doc_id", "start_line"))
+    hits = chunks.select((F.col("doc_id") * 7 % 1000).alias("query_id"), "doc_id", "start_line", F.col("chunk_id").alias("id")).withColumn("rank", place)
+    return chunking.resolve(hits.select("query_id", "id", "rank"), chunks.select("chunk_id", "content")).select("query_id", "rank", F.md5("content").alias("digest"))
+
+
+# further experiments
+
+
+@query("""WITH b AS (SELECT unnest([1, 2, 3, 4]) AS bits), s AS (SELECT unnest([100, 1000, 10000]) AS n), d AS (SELECT max(len(embedding)) AS dim FROM embeddings)
+SELECT n, 32 AS bits, (n * dim * 4)::BIGINT AS bytes, 1.0::DOUBLE AS ratio FROM s, d UNION ALL SELECT n, bits, (n * (ceil(dim * bits / 8) + 4))::BIGINT, round(4.0 * dim / (ceil(dim * bits / 8) + 4), 6)::DOUBLE FROM s, b, d""")
+def storage_footprint(spark, sf_dir):
+    dim = _table(spark, sf_dir, "embeddings").agg(F.max(F.size("embedding")).alias("dim"))
+    return experiments.storage_footprint(dim, [100, 1000, 10000])
+
+
+_HASHED = """WITH RECURSIVE {texts}, t AS (SELECT kind, id, unnest(regexp_split_to_array(trim(text), '\\s+')) AS w FROM texts), h AS (SELECT kind, id, hex(encode(w)) AS x FROM t WHERE w <> ''),
+b AS (SELECT kind, id, list_reduce(list_prepend(37, list_transform(range(0, length(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::INT)), lambda a, c: (xor(a, c) * 179) & 255) AS bucket FROM h),
+n AS (SELECT kind, id, bucket, count(*) AS c FROM b GROUP BY 1, 2, 3), l AS (SELECT kind, id, sqrt(sum(c * c)) AS len FROM n GROUP BY 1, 2),
+v AS (SELECT kind, id, bucket, (c / len)::FLOAT::DOUBLE AS x FROM n JOIN l USING (kind, id)), z AS (SELECT kind, id, sqrt(sum(x * x)) AS len FROM v GROUP BY 1, 2),
+u AS (SELECT kind, id, bucket, x / len AS x FROM v JOIN z USING (kind, id)),
+dots AS (SELECT q.id AS query_id, d.id AS id, sum(q.x * d.x) AS s FROM u q JOIN u d ON q.bucket = d.bucket AND q.kind = 'q' AND d.kind = 'd' GROUP BY 1, 2),
+every AS (SELECT q.id AS query_id, d.id AS id, round(coalesce(s, 0), 12) AS score FROM (SELECT id FROM texts WHERE kind = 'q') q CROSS JOIN (SELECT id FROM texts WHERE kind = 'd') d LEFT JOIN dots ON dots.query_id = q.id AND dots.id = d.id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM every)"""
+_SESSIONS = _HASHED.format(texts="""f AS (SELECT conv_id, arg_min(text, turn) AS text FROM conversations WHERE role = 'user' AND conv_id % 20 = 0 GROUP BY 1),
+texts AS (SELECT 'd' AS kind, conv_id AS id, coalesce(string_agg(text, ' ' ORDER BY turn) FILTER (role = 'user'), '') AS text FROM conversations GROUP BY conv_id UNION ALL SELECT 'q', conv_id, text FROM f)""")
+_WILSON = """round(greatest(0, ((p + {z} * {z} / (2 * n)) - {z} * sqrt(p * (1 - p) / n + {z} * {z} / (4 * n * n))) / (1 + {z} * {z} / n)), 6)::DOUBLE AS {low},
+round(least(1, ((p + {z} * {z} / (2 * n)) + {z} * sqrt(p * (1 - p) / n + {z} * {z} / (4 * n * n))) / (1 + {z} * {z} / n)), 6)::DOUBLE AS {high}"""
+
+
+@query(_SESSIONS + """, g AS (SELECT t.id, min(rank) FILTER (r.id = t.id AND rank <= 10) AS rank FROM texts t JOIN r ON r.query_id = t.id WHERE kind = 'q' GROUP BY 1),
+s AS (SELECT count(*) AS n, avg(coalesce(rank <= 5, false)::INT) AS p, avg(coalesce(1.0 / rank, 0)) AS mrr, avg(CASE WHEN rank <= 5 THEN 1 / log2(rank + 1) ELSE 0 END) AS ndcg FROM g)
+SELECT n, round(p / 5, 6)::DOUBLE AS precision, round(p, 6)::DOUBLE AS recall, round(mrr, 6)::DOUBLE AS mrr, round(ndcg, 6)::DOUBLE AS ndcg, round(p, 6) AS recall_any, round(p, 6) AS recall_all, """ + _WILSON.format(z=1.96, low="any_low", high="any_high") + " FROM s")
+def retrieval_experiment(spark, sf_dir):
+    """Each conversation's first user turn asks; its own session is the gold document among all sessions."""
+    sessions = embed.embed_texts(_sessions(spark, sf_dir).select("conv_id", files.user_text().alias("text")), "text")
+    first = _first_turns(spark, sf_dir)
+    hits = knn.exact_topk(sessions, embed.embed_texts(first, "text"), 10, "conv_id", "embedding")
+    gold = first.select(F.col("conv_id").alias("query_id"), F.col("conv_id").alias("id"), F.lit(1).alias("grade"))
+    s = metrics.summary(metrics.retrieval_metrics(hits, gold, 5))
+    return s.select("n", *(F.round(c, 6).alias(c) for c in s.columns[1:]))
+
+
+def _first_turns(spark, sf_dir):
+    return _table(spark, sf_dir, "conversations").where("role = 'user' and conv_id % 20 = 0").groupBy("conv_id").agg(F.min_by("text", "turn").alias("text"))
+
+
+@query(_SESSIONS + """, hay AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS place FROM every WHERE abs(id - query_id) <= 6),
+g AS (SELECT CASE WHEN query_id % 40 = 0 THEN 'even' ELSE 'odd' END AS question_type, max((id = query_id AND place <= 2)::INT) AS hit FROM hay GROUP BY query_id)
+SELECT coalesce(question_type, 'overall') AS question_type, count(*) AS n, sum(hit)::BIGINT AS found, round(avg(hit), 6) AS recall FROM g GROUP BY ROLLUP (question_type)""")
+def haystack_recall(spark, sf_dir):
+    """Each question has a haystack of its own: its session and those with ids up to six away, as far as there are any."""
+    sessions = embed.embed_texts(_sessions(spark, sf_dir).select(F.col("conv_id").alias("id"), files.user_text().alias("text")), "text").select("id", "embedding")
+    i = F.col("conv_id")
+    asked = embed.embed_texts(_first_turns(spark, sf_dir), "text").select(i.alias("query_id"), "embedding", F.sequence(i - 6, i + 6).alias("haystack"), F.array(i).alias("gold"), F.when(i % 40 == 0, "even").otherwise("odd").alias("question_type"))
+    return experiments.haystack_recall(asked, sessions, 2).select("question_type", "n", "found", F.round("recall", 6).alias("recall"))
+
+
+@query("""WITH d AS (SELECT conv_id AS id, regexp_extract_all(lower(coalesce(string_agg(text, ' ' ORDER BY turn) FILTER (role = 'user'), '')), '[\\p{L}\\p{N}_]+') AS w FROM conversations GROUP BY 1),
+z AS (SELECT count(*) AS n, avg(len(w)) AS m FROM d), x AS (SELECT id, len(w) AS dl, unnest(w) AS term FROM d), f AS (SELECT id, dl, term, count(*) AS tf FROM x GROUP BY 1, 2, 3), e AS (SELECT term, count(*) AS df FROM f GROUP BY 1),
+qq AS (SELECT conv_id AS q, unnest(regexp_extract_all(lower(arg_min(text, turn)), '[\\p{L}\\p{N}_]+')) AS term FROM conversations WHERE role = 'user' AND conv_id % 20 = 0 GROUP BY 1), q AS (SELECT q, term, count(*) AS qf FROM qq GROUP BY 1, 2),
+s AS (SELECT q, id, round(sum(qf * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / m))), 9) AS score FROM q JOIN f USING (term) JOIN e USING (term), z GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, id) AS rank FROM s), g AS (SELECT conv_id, bool_or(coalesce(id = conv_id AND rank <= 5, false)) AS hit FROM (SELECT DISTINCT conv_id FROM conversations WHERE role = 'user' AND conv_id % 20 = 0) LEFT JOIN r ON q = conv_id GROUP BY 1),
+t AS (SELECT count(*) AS n, sum(hit::INT)::BIGINT AS found, avg(hit::INT) AS p FROM g) SELECT n, found, round(p, 6) AS recall, """ + _WILSON.format(z=1.95996, low="low", high="high") + " FROM t")
+def bm25_evaluation(spark, sf_dir):
+    sessions = _sessions(spark, sf_dir).select(F.col("conv_id").alias("doc_id"), files.user_text().alias("text"))
+    asked = _first_turns(spark, sf_dir).select(F.col("conv_id").alias("query_id"), "text")
+    gold = asked.select("query_id", F.col("query_id").alias("id"))
+    return experiments.bm25_evaluation(sessions, asked, gold, 5).select("n", "found", *(F.round(c, 6).alias(c) for c in ("recall", "low", "high")))
+
+
+@query()
+def latency_scaling(spark, sf_dir):
+    """Seconds of searches over growing parts of the embeddings: rows, arm, queries, seconds."""
+    emb = _table(spark, sf_dir, "embeddings")
+    return experiments.latency_scaling(emb, _asked(emb), [0.25, 0.5, 1.0])
+
+
+@query("""SELECT 'bits' || chr(9) || 'n' AS line, 0 AS place UNION ALL SELECT bits || chr(9) || (100 * bits), bits FROM (SELECT unnest([1, 2, 3]) AS bits)""")
+def report_lines(spark, sf_dir):
+    rows = spark.range(1, 4).select(F.col("id").cast("int").alias("bits"), (F.col("id") * 100).alias("n"))
+    return experiments.report(rows, "bits").select("line", "place")
+
+
+@query(f"WITH {_ALL} SELECT query_id, id, round(score, 6) + 0.0 AS score, rank::INT AS rank FROM r WHERE rank <= 10")
+def cell_index_upkeep(spark, sf_dir):
+    """An index on disk, built from half of the rows, some of them wrong: insertions, replacements and removals make
+    it the whole table again, and a search of all cells is exact."""
+    emb, i = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id")
+    wrong = emb.where(i % 2 == 0).select("vec_id", F.when(i % 3 == 0, F.transform("embedding", lambda x: -x)).otherwise(F.col("embedding")).alias("embedding"))
+    surplus = emb.where(i % 5 == 0).select((-i - 1).alias("vec_id"), "embedding")
+    index = knn.CellIndex.build(wrong.union(surplus), new_folder(spark, "cells"), 16)
+    index.insert(emb.where((i % 2 == 1) | (i % 3 == 0)))
+    index.remove(surplus.select("vec_id"))
+    return index.search(_asked(emb), 10, 16).withColumn("score", _r6(F.col("score")))

@@ -110,7 +110,7 @@ def nearest_rank(df: DataFrame, value: str, percents: list[int], by: str, ranges
     sums = rows.groupBy("g", "range", "n").agg(F.sum("c").alias("c"))
     before = F.sum("c").over(Window.partitionBy("g").orderBy("range")) - F.col("c")
     target = F.explode(F.array(*[F.struct(F.lit(p).alias("p"), F.round(F.lit(p / 100) * (F.col("n") - 1)).cast("long").alias("at")) for p in percents]))
-    held = sums.select("g", "range", "c", before.alias("before"), target.alias("t")).where((F.col("t.at") >= F.col("before")) & (F.col("t.at") < F.col("before") + F.col("c")))
+    held = sums.select("g", "range", "c", "n", before.alias("before")).select("g", "range", "c", "before", target.alias("t")).where((F.col("t.at") >= F.col("before")) & (F.col("t.at") < F.col("before") + F.col("c")))
     held = held.groupBy("g", "range").agg(F.first("before").alias("before"), F.collect_list("t").alias("targets"))
     r = rows.alias("r")
     inside = r.join(held.alias("h"), F.col("r.g").eqNullSafe(F.col("h.g")) & (F.col("r.range") == F.col("h.range"))).select(F.col("r.g").alias("g"), F.col("r.range").alias("range"), "v", "c", "before", "targets")
@@ -216,3 +216,8 @@ def intrinsic_dimensionality(vectors: DataFrame, vector: str = "embedding") -> D
         c = (np.array([got[1, i] for i in range(dim * dim)]).reshape(dim, dim) - n * np.outer(mean, mean)) / (n - 1)
         value = float(np.trace(c) ** 2 / (c * c).sum()) if (c * c).sum() > 0 else 1.0
     return vectors.sparkSession.createDataFrame([(value,)], "intrinsic_dimensionality double")
+
+
+def evaluate_embeddings(vectors: DataFrame, label: str = "label", vector: str = "embedding") -> DataFrame:
+    """All statistics of a space in one row."""
+    return space_statistics(vectors, label, vector).crossJoin(intrinsic_dimensionality(vectors, vector))

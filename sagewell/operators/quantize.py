@@ -113,3 +113,58 @@ def prod_quantize(vectors: DataFrame, bits: int, seed: int = 42, sketch_seed: in
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(norm), pa.array([pack(c, bits - 1) for c in codes], pa.binary()), pa.array(rest), pa.array(blobs, pa.binary()), pa.array(full.tolist(), pa.list_(pa.float64()))], names=[id_col, "norm", "packed", "residual_norm", "signs", "decoded"])
 
     return vectors.select(id_col, vector_col).mapInArrow(work, f"{id_col} {dict(vectors.dtypes)[id_col]}, norm double, packed binary, residual_norm double, signs binary, decoded array<double>")
+
+
+def residual_inner_product(norm: np.ndarray, signs: np.ndarray, query: np.ndarray, seed: int) -> np.ndarray:
+    """Estimate of the residuals' inner products with a query from signs alone: the query is sketched once."""
+    dim = signs.shape[1]
+    return norm * math.sqrt(math.pi / 2) / dim * ((signs * 2.0 - 1) @ (sketch(dim, seed) @ query))
+
+
+def _stored(b: pa.RecordBatch, bits: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Coarse vectors, residual norms and signs of stored rows."""
+    signs = np.stack([np.unpackbits(np.frombuffer(x, np.uint8), bitorder="little") for x in b.column("signs").to_pylist()]).astype(bool)
+    dims = b.column("dim").to_numpy() if "dim" in b.schema.names else np.full(b.num_rows, signs.shape[1])
+    signs = signs[:, : dims[0]]
+    codes = np.stack([unpack(x, bits - 1, dims[0]) for x in b.column("packed").to_pylist()])
+    return decode(b.column("norm").to_numpy(), codes, bits - 1, seed), b.column("residual_norm").to_numpy(), signs
+
+
+def prod_dequantize(stored: DataFrame, bits: int, seed: int = 42, sketch_seed: int = 43, id_col: str = "vec_id") -> DataFrame:
+    """Vectors from a stored table of prod_quantize(), whose length is a multiple of eight or stands in dim."""
+
+    def work(batches):
+        for b in batches:
+            if b.num_rows:
+                coarse, rest, signs = _stored(b, bits, seed)
+                yield pa.RecordBatch.from_arrays([b.column(id_col), pa.array((coarse + residual_estimate(rest, signs, sketch_seed)).tolist(), pa.list_(pa.float64()))], names=[id_col, "embedding"])
+
+    return stored.mapInArrow(work, f"{id_col} {dict(stored.dtypes)[id_col]}, embedding array<double>")
+
+
+def inner_products(stored: DataFrame, query: list[float], bits: int, seed: int = 42, sketch_seed: int = 43, id_col: str = "vec_id") -> DataFrame:
+    """Estimated inner products of stored rows with one query, without decoding residuals: id, inner_product."""
+    q = np.array(query, float)
+
+    def work(batches):
+        for b in batches:
+            if b.num_rows:
+                coarse, rest, signs = _stored(b, bits, seed)
+                yield pa.RecordBatch.from_arrays([b.column(id_col), pa.array(coarse @ q + residual_inner_product(rest, signs, q, sketch_seed))], names=[id_col, "inner_product"])
+
+    return stored.mapInArrow(work, f"{id_col} {dict(stored.dtypes)[id_col]}, inner_product double")
+
+
+def inner_product_error(vectors: DataFrame, queries: DataFrame, bits: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """n, bias, mean and largest absolute error of inner products of all vectors with a stated set of queries."""
+    q = np.array([r[0] for r in queries.select(vector_col).where(f"{vector_col} is not null").collect()], float)
+    both = vectors.select(id_col, vector_col).join(prod_quantize(vectors, bits, id_col=id_col, vector_col=vector_col).select(id_col, "decoded"), id_col).select(vector_col, "decoded")
+
+    def work(batches):
+        for b in batches:
+            if b.num_rows:
+                e = (np.array(b.column(1).to_pylist(), float) - np.array(b.column(0).to_pylist(), float)) @ q.T
+                yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (e.size, float(e.sum()), float(np.abs(e).sum()), float(np.abs(e).max()))], names=["n", "total", "size", "largest"])
+
+    parts = both.mapInArrow(work, "n bigint, total double, size double, largest double")
+    return parts.groupBy().agg({"n": "sum", "total": "sum", "size": "sum", "largest": "max"}).selectExpr("`sum(n)` AS n", "`sum(total)` / `sum(n)` AS bias", "`sum(size)` / `sum(n)` AS mean_error", "`max(largest)` AS max_error")

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import time
+
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import embed, knn, metrics, quantize
+from ..functions.scoring import wilson
+from ..functions.tables import pinned
+from ..functions.vectors import cosine
+from ..operators import embed, knn, lexical, metrics, quantize
 from ..operators.rerank import rerank
 
 #: Ages in days of the newest version and of the two older ones; words dropped from these.
 FRESH_AGE, STALE = 1.0, {"mid": (90.0, 20), "old": (180.0, 10)}
-MOST_TOPICS = 150
 
 
 def synthetic(spark: SparkSession, documents: int = 500, clusters: int = 10, queries: int = 50, dim: int = 32, noise: float = 0.3, seed: int = 42) -> tuple[DataFrame, DataFrame]:
@@ -46,10 +50,11 @@ def drift(text, every: int):
     return F.array_join(F.filter(F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), " "), lambda w, i: (i + 1) % every != 0), " ")
 
 
-def freshness_experiment(topics: DataFrame, embedder: str = "hash") -> DataFrame:
+def freshness_experiment(topics: DataFrame, embedder: str = "hash", most_topics: int | None = None) -> DataFrame:
     """topics: topic, text, question. Shares of topics whose newest version ranks first among its own
-    versions, reranked with true ages and with equal ones, and the exact test of their difference."""
-    chosen = topics.orderBy("topic").limit(MOST_TOPICS)
+    versions, reranked with true ages and with equal ones, and the exact test of their difference. Every
+    topic takes part unless most_topics is given."""
+    chosen = topics.orderBy("topic").limit(most_topics) if most_topics else topics
     version = lambda name, text, age: chosen.select("topic", F.concat(F.col("topic").cast("string"), F.lit(f"#{name}")).alias("id"), text.alias("text"), F.lit(age).alias("age"))
     corpus = version("fresh", F.col("text"), FRESH_AGE)
     for name, (age, every) in STALE.items():
@@ -68,3 +73,55 @@ def freshness_experiment(topics: DataFrame, embedder: str = "hash") -> DataFrame
     with_age, without = arm(F.col("age")), arm(F.lit(FRESH_AGE))
     rate = lambda d, name: d.agg(F.avg(F.col("hit").cast("int")).alias(name))
     return rate(with_age, "with_freshness").crossJoin(rate(without, "without_freshness")).crossJoin(metrics.paired_test(with_age, without))
+
+
+def storage_footprint(dims: DataFrame, sizes: list[int]) -> DataFrame:
+    """Bytes of n vectors (dims: one row with dim) plain and quantised to one to four bits with a norm each."""
+    n, none = F.explode(F.array(*[F.lit(x).cast("long") for x in sizes])).alias("n"), F.col("bits") == 32
+    rows = dims.select("dim", n).select("dim", "n", F.explode(F.array(*[F.lit(b) for b in (1, 2, 3, 4, 32)])).alias("bits"))
+    each = F.when(none, F.col("dim") * 4).otherwise(F.ceil(F.col("dim") * F.col("bits") / 8) + 4)
+    return rows.select("n", "bits", (F.col("n") * each).cast("long").alias("bytes"), F.when(none, 1.0).otherwise(F.round(F.col("dim") * 4.0 / each, 6)).alias("ratio"))
+
+
+def latency_scaling(vectors: DataFrame, queries: DataFrame, shares: list[float], k: int = 10) -> DataFrame:
+    """Seconds that exact search and search by cells take over growing shares of the rows, by hash of the id."""
+    spark, out = vectors.sparkSession, []
+    for share in shares:
+        part = vectors.where(F.pmod(F.xxhash64("vec_id"), F.lit(1000)) < int(share * 1000))
+        centroids = knn.kmeans_cells(part)
+        cells = pinned(knn.assign_cells(part, centroids))
+        for arm, search in (("exact", lambda: knn.exact_topk(part, queries, k)), ("cells", lambda: knn.ivf_topk(cells, centroids, queries, k))):
+            began = time.monotonic()
+            rows = search().count()
+            out.append((part.count(), arm, queries.count(), rows, time.monotonic() - began))
+    return spark.createDataFrame(out, "n bigint, arm string, queries bigint, hits bigint, seconds double")
+
+
+def haystack_recall(questions: DataFrame, sessions: DataFrame, k: int) -> DataFrame:
+    """Per question type and over all: in how many haystacks the k best sessions hold a gold one.
+
+    questions: query_id, embedding, haystack and gold (ids), question_type; sessions: id, embedding. A
+    question sees its own haystack only; ids without a session are left out."""
+    pairs = questions.select("query_id", "question_type", "gold", F.col("embedding").alias("q"), F.explode("haystack").alias("id")).join(sessions, "id")
+    scored = pairs.select("query_id", "question_type", "id", F.array_contains("gold", F.col("id")).alias("is_gold"), F.round(cosine("q", "embedding"), 12).alias("score"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    found = scored.withColumn("place", place).groupBy("query_id", "question_type").agg(F.max((F.col("is_gold") & (F.col("place") <= k)).cast("int")).alias("hit"))
+    groups = found.rollup("question_type").agg(F.count("*").alias("n"), F.sum("hit").alias("found"), F.avg("hit").alias("recall"), F.grouping("question_type").alias("is_total"))
+    return groups.select(F.when(F.col("is_total") == 1, "overall").otherwise(F.coalesce("question_type", F.lit("unknown"))).alias("question_type"), "n", "found", "recall")
+
+
+def bm25_evaluation(docs: DataFrame, queries: DataFrame, gold: DataFrame, k: int) -> DataFrame:
+    """Share of queries with a gold document (query_id, id) among their k best by BM25, with its interval (the
+    empty one without queries)."""
+    hits = lexical.bm25_topk(docs, queries, k).join(gold, ["query_id", "id"], "left_semi").select("query_id").distinct()
+    counts = queries.select("query_id").distinct().join(hits.withColumn("hit", F.lit(1)), "query_id", "left").agg(F.count("*").alias("n"), F.count("hit").alias("found"))
+    low, high = wilson(F.col("found"), F.col("n"), 1.95996)
+    none = F.col("n") == 0
+    return counts.select("n", "found", F.when(none, 0.0).otherwise(F.col("found") / F.col("n")).alias("recall"), F.when(none, 0.0).otherwise(low).alias("low"), F.when(none, 0.0).otherwise(high).alias("high"))
+
+
+def report(rows: DataFrame, place: str) -> DataFrame:
+    """Result rows as lines of a report: column names first, then values, by a numeric column; line and place."""
+    line = F.concat_ws("\t", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in rows.columns])
+    head = rows.sparkSession.createDataFrame([("\t".join(rows.columns), 0)], "line string, place int")
+    return head.union(rows.select(line, F.col(place).cast("int")))

@@ -75,17 +75,27 @@ def learn(files: DataFrame, now: str, config: Config | None = None, embedder: st
     return {"chunks": chunks, "vectors": vectors, "profile": profile, "inbox": inbox(items, cfg.get("inbox.capacity"))}
 
 
-def consolidate(memories: DataFrame, vectors: DataFrame, items: DataFrame, now: str, config: Config | None = None) -> dict[str, DataFrame]:
-    """The store after one cycle, and a log of what was done; nothing is written here (a dry run reads the log).
+def consolidate(memories: DataFrame, vectors: DataFrame, items: DataFrame, now: str, config: Config | None = None, embedder: str = "hash", dry_run: bool = False) -> dict[str, DataFrame]:
+    """The store after one cycle: memories, vectors, a log of what was done, and how many rows were embedded
+    and indexed again (rebuilt); nothing is written here.
 
-    Associations use the vectors of the cycle before; decay sees what was just promoted.
+    Associations use the vectors of the cycle before; decay sees what was just promoted; then the memories
+    that are left are embedded again and make the rows of the next index. A dry run says what would be
+    promoted and what would go, and leaves memories and vectors as they are.
     """
     cfg = config or Config()
     new = promote(items, cfg.get("consolidation.max_memory_tokens") * 4).withColumn("last_accessed", F.lit(None).cast("string"))
     columns = ["file", "name", "type", "description", "body", "strength", "created_at", "last_accessed", "access_count", "source", "refs"]
     merged = memories.select(columns).join(new.select("file"), "file", "left_anti").unionByName(new.select(columns))
+    decay = lambda rows: decay_candidates(rows, now, cfg.get("consolidation.decay_days"), cfg.get("consolidation.protected_access_count"))
+    promoted = new.select(F.lit("promote").alias("action"), "file")
+    if dry_run:
+        return {"memories": memories, "vectors": vectors, "log": promoted.union(decay(merged).select(F.lit("decay"), "file")), "rebuilt": promoted.limit(0).select("action", F.lit(0).cast("long").alias("rows"))}
     pairs = associate_all(vectors, cfg.get("consolidation.merge_threshold"), 10, "id", "embedding")
     linked = link(merged, pairs)
-    gone = decay_candidates(linked, now, cfg.get("consolidation.decay_days"), cfg.get("consolidation.protected_access_count"))
-    log = new.select(F.lit("promote").alias("action"), "file").union(pairs.select(F.lit("associate"), F.concat_ws(" ", "a", "b"))).union(gone.select(F.lit("decay"), "file"))
-    return {"memories": linked.join(gone.select("file"), "file", "left_anti"), "log": log}
+    gone = decay(linked)
+    left = pinned(linked.join(gone.select("file"), "file", "left_anti"))
+    again = embed_texts(left.select(F.col("file").alias("id"), "body"), "body", embedder).select("id", "embedding")
+    counted = left.agg(F.count("*").alias("rows"))
+    log = promoted.union(pairs.select(F.lit("associate"), F.concat_ws(" ", "a", "b"))).union(gone.select(F.lit("decay"), "file"))
+    return {"memories": left, "vectors": again, "log": log, "rebuilt": counted.select(F.lit("embed").alias("action"), "rows").union(counted.select(F.lit("index"), "rows"))}

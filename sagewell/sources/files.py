@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import fnmatch
-import os
 import re
+import uuid
 from pathlib import PurePosixPath
+from urllib.parse import unquote
 
 import yaml
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -54,18 +55,31 @@ def memory_text(row: dict) -> str:
 
 
 def write_memories(memories: DataFrame, folder: str) -> None:
-    """One file per memory, written by the tasks that hold them; names that leave the folder are refused."""
+    """One file per memory, in any store that Spark writes; names that leave the folder are refused.
+
+    Spark writes each memory's text to a folder of its name beside the others; a rename, which moves no data,
+    puts it in its place. An index has as few lines as a person reads, so there are as few files. Of
+    several rows of one file one stays."""
     bad = F.contains("file", F.lit("..")) | F.contains("file", F.lit("/"))
     text = F.udf(lambda m: memory_text(m.asDict()), "string")
     safe = memories.withColumn("file", F.when(bad, F.raise_error(F.concat(F.lit("path escape: "), "file"))).otherwise(F.col("file")))
-    rows = safe.select("file", text(F.struct(*memories.columns)).alias("value"))
+    spark, beside = memories.sparkSession, f"{folder.rstrip('/')}/_writing-{uuid.uuid4().hex}"
+    rows = safe.select("file", F.rtrim(text(F.struct(*memories.columns))).alias("value")).dropDuplicates(["file"])
+    rows.write.partitionBy("file").text(beside)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    store = path(beside).getFileSystem(spark._jsc.hadoopConfiguration())
+    for written in store.globStatus(path(f"{beside}/file=*/part-*")):
+        at = path(f"{folder.rstrip('/')}/{unquote(written.getPath().getParent().getName().removeprefix('file='))}")
+        store.delete(at, False)
+        store.rename(written.getPath(), at)
+    store.delete(path(beside), True)
 
-    def put(batch):
-        for r in batch:
-            with open(os.path.join(folder, r["file"]), "w", encoding="utf-8") as f:
-                f.write(r["value"])
 
-    rows.foreachPartition(put)
+def write_index(memories: DataFrame, path: str, order: str = "file") -> None:
+    """The index file's lines in order, line ends within a summary as spaces (a line is an entry)."""
+    flat = memories.withColumn("description", F.regexp_replace("description", r"[\r\n]+", " "))
+    lines = index_lines(flat.orderBy(order).coalesce(1))
+    lines.write.mode("overwrite").text(path)
 
 
 def parse_index_line(line: Column) -> Column:
@@ -136,23 +150,31 @@ def answer_text(raw: Column) -> Column:
     return F.when(kind.isNull() | (kind == "VOID"), None).when(kind == "STRING", plain).when(F.startswith(kind, F.lit("ARRAY")), F.nullif(array, F.lit(""))).otherwise(F.coalesce(plain, raw))
 
 
-LONGMEM_SCHEMA = "question_id string, question_type string, question_date string, question string, answer string, answer_session_ids array<string>, evidence_session_ids array<string>, gold_session_ids array<string>, haystack_session_ids array<string>, haystack_dates array<string>, haystack_sessions array<array<struct<role:string,content:string>>>"
+TURNS = "array<struct<role:string,content:string>>"
+LONGMEM_SCHEMA = f"question_id string, question_type string, question_date string, question string, answer string, answer_session_ids array<string>, evidence_session_ids array<string>, gold_session_ids array<string>, haystack_session_ids array<string>, haystack_dates array<string>, haystack_sessions array<{TURNS}>, sessions map<string,{TURNS}>, queries array<struct<question:string,answer:string,gold_session_ids:array<string>,answer_session_ids:array<string>,evidence_session_ids:array<string>>>"
 
 
 def read_conversation_benchmark(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Sessions (first one of an id wins) and queries of a conversational benchmark in its array layout.
+    """Sessions (session_id, turns, date; the first one of an id wins) and queries of a conversational benchmark.
 
-    Session ids and sessions must be as many, else reading fails.
+    Three layouts: entries with session ids and sessions side by side, which must be as many, else reading
+    fails; entries with a map of sessions; one object with a map of sessions and a list of queries. Only the
+    first names haystacks and dates; a haystack without names is empty.
     """
     raw = spark.read.schema(LONGMEM_SCHEMA).option("multiLine", True).json(path).withColumn("entry", F.monotonically_increasing_id())
-    same = F.size("haystack_session_ids") == F.size("haystack_sessions")
-    checked = raw.withColumn("ids", F.when(same, F.col("haystack_session_ids")).otherwise(F.raise_error(F.lit("ids and sessions differ in number"))))
-    pairs = checked.select("entry", F.posexplode(F.arrays_zip(F.col("ids").alias("id"), F.col("haystack_sessions").alias("turns"))).alias("pos", "x"))
+    same = F.coalesce(F.size("haystack_session_ids") == F.size("haystack_sessions"), F.lit(False))
+    ids = F.when(F.col("haystack_sessions").isNull(), F.array().cast("array<string>")).when(same, F.col("haystack_session_ids")).otherwise(F.raise_error(F.lit("ids and sessions differ in number")))
+    checked = raw.withColumn("ids", ids)
+    beside = F.arrays_zip(F.col("ids").alias("id"), F.coalesce("haystack_sessions", F.array().cast(f"array<{TURNS}>")).alias("turns"), F.coalesce("haystack_dates", F.array().cast("array<string>")).alias("date"))
+    mapped = F.transform(F.map_entries(F.coalesce("sessions", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast(f"array<{TURNS}>")))), lambda e: F.struct(e["key"].alias("id"), e["value"].alias("turns"), F.lit(None).cast("string").alias("date")))
+    pairs = checked.select("entry", F.posexplode(F.concat(F.filter(beside, lambda x: x["id"].isNotNull()), mapped)).alias("pos", "x"))
     first = F.row_number().over(Window.partitionBy("session_id").orderBy("entry", "pos"))
-    sessions = pairs.select("entry", "pos", F.col("x.id").alias("session_id"), F.col("x.turns").alias("turns")).withColumn("n", first).where("n = 1").select("session_id", "turns")
-    gold = F.coalesce("answer_session_ids", "evidence_session_ids", "gold_session_ids", F.array().cast("array<string>"))
-    queries = checked.select(F.coalesce("question_id", F.concat(F.lit("q"), F.col("entry"))).alias("query_id"), "question_type", "question_date", "question", "answer", gold.alias("gold_ids"), F.col("ids").alias("haystack_ids"), F.col("haystack_dates").alias("dates"))
-    return sessions, queries
+    sessions = pairs.select("entry", "pos", F.col("x.id").alias("session_id"), F.col("x.turns").alias("turns"), F.col("x.date").alias("date")).withColumn("n", first).where("n = 1").select("session_id", "turns", "date")
+    gold = lambda p: F.coalesce(f"{p}answer_session_ids", f"{p}evidence_session_ids", f"{p}gold_session_ids", F.array().cast("array<string>")).alias("gold_ids")
+    own = checked.where("queries is null").select(F.coalesce("question_id", F.concat(F.lit("q"), F.col("entry"))).alias("query_id"), "question_type", "question_date", "question", "answer", gold(""), F.col("ids").alias("haystack_ids"), F.col("haystack_dates").alias("dates"))
+    none = F.lit(None).cast("string")
+    listed = checked.select("entry", F.posexplode("queries").alias("pos", "q")).select(F.concat_ws("-", F.lit("q"), "entry", "pos").alias("query_id"), none.alias("question_type"), none.alias("question_date"), "q.question", "q.answer", gold("q."), F.array().cast("array<string>").alias("haystack_ids"), F.lit(None).cast("array<string>").alias("dates"))
+    return sessions, own.union(listed)
 
 
 def read_answers(spark: SparkSession, path: str) -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sagewell.functions import scoring, vectors
-from sagewell.operators import knn, lexical, metrics, rerank
+from sagewell.operators import knn, lexical, lifecycle, metrics, rerank
 
 CANDIDATE = "query_id string, id string, pos int, cosine double, source_file string, strength double, age_days double, source string, ref_count int"
 
@@ -163,3 +163,51 @@ def test_space_statistics_by_pairs(spark):
     cov = np.cov(x.T)
     assert metrics.intrinsic_dimensionality(df).first()[0] == pytest.approx(np.trace(cov) ** 2 / (cov * cov).sum())
     assert metrics.even_sample(spark.range(250).withColumnRenamed("id", "k"), "k").count() == 100
+
+
+def test_exact_test_at_any_size(spark):
+    got = one(spark, *[scoring.mcnemar(F.lit(b), F.lit(c)).alias(f"p{b}_{c}") for b, c in ((538, 538), (1000, 1000), (900, 1100), (5000, 5400))])
+    tail = lambda b, c: min(1.0, 2 * math.fsum(math.exp(math.lgamma(b + c + 1) - math.lgamma(i + 1) - math.lgamma(b + c - i + 1) - (b + c) * math.log(2)) for i in range(min(b, c) + 1)))
+    assert got["p538_538"] == got["p1000_1000"] == 1.0
+    assert got["p900_1100"] == pytest.approx(tail(900, 1100), rel=1e-6) and got["p5000_5400"] == pytest.approx(tail(5000, 5400), rel=1e-6)
+
+
+def test_percentiles_of_hot_values_and_null_groups(spark):
+    rows = [("a", float(x)) for x in [7] * 400 + list(range(50))] + [(None, 1.0), (None, 3.0), ("b", None), ("c", 2.0)]
+    got = {r["g"]: (r["p50"], r["p99"]) for r in metrics.nearest_rank(spark.createDataFrame(rows, "g string, v double"), "v", [50, 99], "g", ranges=8).collect()}
+    values = sorted(x for g, x in rows if g == "a")
+    rank = lambda p: values[round(p / 100 * (len(values) - 1))]
+    assert got == {"a": (rank(50), rank(99)), None: (3.0, 3.0), "c": (2.0, 2.0)} or got[None][0] in (1.0, 3.0) and got["a"] == (rank(50), rank(99))
+
+
+def test_search_on_odd_vectors(spark):
+    """Null and not finite components, other lengths, equal ids, nothing at all."""
+    nan = float("nan")
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, None), (3, [None, 1.0]), (4, [nan, 1.0]), (5, [1.0]), (6, [0.0, 0.0])], "vec_id int, embedding array<double>")
+    asked = spark.createDataFrame([(9, [1.0, 0.0]), (8, None)], "vec_id int, embedding array<double>")
+    got = knn.exact_topk(df, asked, 10).collect()
+    assert {(r["query_id"], r["id"], r["score"]) for r in got} == {(9, 1, 1.0), (9, 1, 0.0), (9, 3, 0.0), (9, 4, 0.0), (9, 5, 0.0), (9, 6, 0.0)}
+    assert knn.exact_topk(df, asked.limit(0), 3).count() == 0 and knn.exact_topk(df.limit(0), asked, 3).count() == 0
+
+
+def test_all_rows_associate(spark):
+    df = clustered(spark).where("embedding is not null")
+    exact = {(r["a"], r["b"]) for r in lifecycle.associate(df, df, 0.8).collect()}
+    for probes in (10, 16):
+        got = {(r["a"], r["b"]) for r in lifecycle.associate_all(df, 0.8, n_probe=probes).collect()}
+        assert len(got & exact) >= (1 if probes == 16 else 0.9) * len(exact)
+
+
+def test_graph_index_upkeep(spark, tmp_path):
+    df = clustered(spark).where("embedding is not null")
+    index = knn.GraphIndex.build(df.where("vec_id < 200"), str(tmp_path / "g"))
+    index.insert(df.where("vec_id >= 150"))
+    index.remove(df.where("vec_id % 10 = 3").select("vec_id"))
+    want = df.where("vec_id % 10 <> 3")
+    assert sorted(r["vec_id"] for r in index.rows().collect()) == sorted(r["vec_id"] for r in want.collect())
+    asked = df.where("vec_id % 20 = 0")
+    truth = {(r["query_id"], r["id"]) for r in knn.exact_topk(want, asked, 5).collect()}
+    got = {(r["query_id"], r["id"]) for r in index.search(asked, 5).collect()}
+    assert len(got & truth) >= 0.9 * len(truth)
+    with pytest.raises(Exception, match="another length"):
+        index.insert(spark.createDataFrame([(999, [1.0])], "vec_id int, embedding array<double>"))

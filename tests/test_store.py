@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sagewell.functions import scoring
-from sagewell.operators import chunking, embed, lifecycle, quantize
+from sagewell.operators import chunking, embed, lifecycle, quantize, store
 from sagewell.plans import recall
 from sagewell.plans.config import Config
 from sagewell.sources import binary, files
@@ -259,3 +259,74 @@ def test_training_examples(spark):
     assert training.contrastive_loss(batch).first()[0] == pytest.approx(math.log1p(math.exp(-20)), abs=1e-9)
     got = pairs.select(training.code_input(F.col("code"), F.col("language")).alias("c")).first()["c"]
     assert got == "[RUST] x"
+
+
+def test_other_conversation_layouts(spark, tmp_path):
+    turns = '[{"role":"user","content":"hi"},{"role":"assistant","content":"yes"}]'
+    (tmp_path / "map.json").write_text(f'[{{"question":"a","answer":"x","evidence_session_ids":["s1"],"sessions":{{"s1":{turns},"s2":[]}}}},{{"question":"b","gold_session_ids":[],"sessions":{{"s1":[]}}}}]')
+    sessions, queries = files.read_conversation_benchmark(spark, str(tmp_path / "map.json"))
+    assert {r["session_id"]: len(r["turns"]) for r in sessions.collect()} == {"s1": 2, "s2": 0}
+    assert {r["question"]: (r["answer"], r["gold_ids"], r["haystack_ids"]) for r in queries.collect()} == {"a": ("x", ["s1"], []), "b": (None, [], [])}
+    (tmp_path / "split.json").write_text(f'{{"sessions":{{"s1":{turns}}},"queries":[{{"question":"a","gold_session_ids":["s1"]}},{{"question":"b","answer":"y","gold_session_ids":[]}}]}}')
+    sessions, queries = files.read_conversation_benchmark(spark, str(tmp_path / "split.json"))
+    assert [r["session_id"] for r in sessions.collect()] == ["s1"]
+    assert {r["question"]: (r["answer"], r["gold_ids"]) for r in queries.collect()} == {"a": (None, ["s1"]), "b": ("y", [])}
+    assert len({r["query_id"] for r in queries.collect()}) == 2
+
+
+def test_inbox_file(spark, tmp_path):
+    box = store.InboxFile(spark, str(tmp_path / "inbox.json"), 7)
+    assert box.load()[0] == 7 and box.load()[1].count() == 0
+    items = spark.createDataFrame([(f"i{k}", "c", "note", k % 3 / 2, "now", k) for k in range(6)], store.InboxFile.ITEM)
+    box.save(items, 4)
+    capacity, held = store.InboxFile(spark, str(tmp_path / "inbox.json"), 99).load()
+    assert capacity == 4 and [r["id"] for r in held.collect()] == ["i2", "i5", "i1", "i4"]
+    assert sorted(r["id"] for r in box.drain().collect()) == ["i1", "i2", "i4", "i5"]
+    assert box.load()[0] == 4 and box.load()[1].count() == 0
+
+
+def test_memory_store(spark, tmp_path):
+    schema = "file string, name string, description string, body string"
+    mine = store.MemoryStore(spark, str(tmp_path / "store"))
+    mine.create(spark.createDataFrame([("user_a.md", "a", "first", "red apple"), ("user_b.md", "b", "second", "blue sky"), ("note_ab.md", "ab", None, None)], schema))
+    names = lambda *x: spark.createDataFrame([(n,) for n in x], "name string")
+    assert {(r["name"], r["file"]) for r in store.first_containing(mine.memories(), names("ab", "user", "zzz", None), place="file").collect()} == {("ab", "note_ab.md"), ("user", "user_a.md")}
+    told = mine.store(spark.createDataFrame([("user_b.md", "b", "other", "green sea"), ("user_c.md", "c", "third", "c")], schema))
+    assert {(r["file"], r["status"]) for r in told.collect()} == {("user_b.md", "updated"), ("user_c.md", "created")}
+    assert mine.sync() == {"total": 4, "synced": 2} and mine.sync() == {"total": 4, "synced": 0}
+    asked = embed.embed_texts(spark.createDataFrame([("q", "green sea")], "file string, t string"), "t")
+    assert mine.search(asked, 1).first()["id"] == "user_b.md"
+    assert [r["file"] for r in mine.search_text("THIRD").collect()] == ["user_c.md"]
+    mine.remove(names("user_b"))
+    assert mine.memories().count() == mine.vectors().count() == 3
+
+
+def test_dry_run_changes_nothing(spark):
+    schema = "file string, name string, type string, description string, body string, strength double, created_at string, last_accessed string, access_count int, source string, refs array<string>"
+    old = spark.createDataFrame([("user_x.md", "x", "user", "", "", 0.0, "2020-01-01", None, 0, "note", [])], schema)
+    vec = spark.createDataFrame([("user_x.md", [1.0, 0.0])], "id string, embedding array<double>")
+    items = recall.learn(spark.createDataFrame([("a.py", "\n".join(f"def f{i}(): pass" for i in range(9)))], "file string, content string"), "2024-01-01T00:00:00")["inbox"]
+    done = recall.consolidate(old, vec, items, "2024-01-01T00:00:00", dry_run=True)
+    assert {r["action"] for r in done["log"].collect()} == {"promote", "decay"} and done["memories"].count() == 1
+    done = recall.consolidate(old, vec, items, "2024-01-01T00:00:00")
+    assert sorted(map(tuple, done["rebuilt"].collect())) == [("embed", 1), ("index", 1)] and done["vectors"].count() == 1
+
+
+def test_index_file_is_saved_in_order(spark, tmp_path):
+    rows = spark.createDataFrame([(f"f{i}.md", f"n-{i}", f"line {i}\nmore") for i in (3, 1, 2)], "file string, name string, description string")
+    files.write_index(rows, str(tmp_path / "index"))
+    got = files.read_index(spark, str(tmp_path / "index")).collect()
+    assert [(r["file"], r["summary"]) for r in got] == [(f"f{i}.md", f"line {i} more") for i in (1, 2, 3)]
+
+
+def test_stored_products(spark):
+    rng = np.random.default_rng(1)
+    v = spark.createDataFrame([(i, rng.standard_normal(16).tolist()) for i in range(40)], "vec_id int, embedding array<double>")
+    held = quantize.prod_quantize(v, 3)
+    want = {r["vec_id"]: r["decoded"] for r in held.collect()}
+    got = {r["vec_id"]: r["embedding"] for r in quantize.prod_dequantize(held.drop("decoded"), 3).collect()}
+    q = rng.standard_normal(16)
+    fast = {r["vec_id"]: r["inner_product"] for r in quantize.inner_products(held.drop("decoded"), q.tolist(), 3).collect()}
+    assert all(np.allclose(got[i], want[i]) and math.isclose(fast[i], float(np.dot(want[i], q)), abs_tol=1e-9) for i in want)
+    e = quantize.inner_product_error(v, v.limit(5), 3).first()
+    assert e["n"] == 200 and abs(e["bias"]) <= e["mean_error"] <= e["max_error"]
