@@ -18,6 +18,8 @@ WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum(
 KGRAM, WINDOW = 5, 6
 #: Bits of the filter that tells which fingerprints items have: 16 for each, up to this many (16 MB).
 MOST_BITS = 1 << 27
+#: Distinct windows of items that a filter of whole rows may broadcast (some 30 MB in a worker).
+BROADCAST_WINDOWS = 300_000
 MEMO_WORDS = 400_000
 
 
@@ -154,6 +156,19 @@ def _filter(windows: DataFrame) -> Filter:
     return filt
 
 
+def _met(words: list[bytes], h: np.ndarray, wanted, lengths: list[int], size: int):
+    """Of a text: the windows that items may have, short ones of some lengths too, as (fingerprint, words,
+    number of words, starts)."""
+    for (fp, w), at in windows_of(words, h, size, wanted).items():
+        yield fp, w, size, at
+    for n in lengths:
+        grams, short = kgram_hashes(h, n), {}
+        for p in np.flatnonzero(wanted(grams)).tolist() if len(grams) else ():
+            short.setdefault((int(grams[p]), b" ".join(words[p : p + n])), []).append(p)
+        for (fp, w), at in short.items():
+            yield fp, w, n, at
+
+
 def _document_windows(docs: DataFrame, text_col: str, shared, lengths: list[int], size: int) -> DataFrame:
     """Of each text: sha256, n_words, and met: the windows that items may have, with their starts."""
 
@@ -162,13 +177,7 @@ def _document_windows(docs: DataFrame, text_col: str, shared, lengths: list[int]
         for text in raw(batch.column(0)):
             words = split_words(text)
             h, wanted = memo.of(words), shared.value
-            met = [(fp, w.decode(), size, at) for (fp, w), at in windows_of(words, h, size, wanted).items()]
-            for n in lengths:
-                grams, short = kgram_hashes(h, n), {}
-                for p in np.flatnonzero(wanted(grams)).tolist() if len(grams) else ():
-                    short.setdefault((int(grams[p]), b" ".join(words[p : p + n])), []).append(p)
-                met += [(fp, w.decode(), n, at) for (fp, w), at in short.items()]
-            rows.append((len(words), met))
+            rows.append((len(words), [(fp, w.decode(), n, at) for fp, w, n, at in _met(words, h, wanted, lengths, size)]))
         fp, window, n, at = zip(*(m for _, met in rows for m in met), strict=True) if any(m for _, m in rows) else ([], [], [], [])
         struct = pa.StructArray.from_arrays([_signed(list(fp)), pa.array(window, pa.string()), pa.array(n, pa.int32()), pa.array(at, pa.list_(pa.int64()))], names=["fp", "window", "n", "starts"])
         met = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(m) for _, m in rows)]), pa.int32()), struct)
@@ -180,13 +189,18 @@ def _document_windows(docs: DataFrame, text_col: str, shared, lengths: list[int]
     return map_arrow(read, work, f"{rest}, n_words bigint, met array<struct<{_KEYS.replace(' ', ':').replace(',:', ', ')}, starts:array<bigint>>>")
 
 
-def _hits(docs: DataFrame, items: DataFrame, text_col: str, item_id_col: str, item_text_col: str, size: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Read documents, their windows that items have (by digest of the text), and the items' windows."""
+def _item_side(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, size: int):
+    """The items' windows, lengths of short ones, and the broadcast filter over them."""
     if size < KGRAM:
         raise ValueError(f"a window has {KGRAM} words at least")
-    windows = _item_windows(items, item_id_col, item_text_col, size)
+    windows = _item_windows(items, id_col, text_col, size)
     lengths = sorted(r["n"] for r in windows.where(F.col("n") < size).select("n").distinct().collect())
-    shared = docs.sparkSession.sparkContext.broadcast(_filter(windows))
+    return windows, lengths, docs.sparkSession.sparkContext.broadcast(_filter(windows))
+
+
+def _hits(docs: DataFrame, items: DataFrame, text_col: str, item_id_col: str, item_text_col: str, size: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Read documents, their windows that items have (by digest of the text), and the items' windows."""
+    windows, lengths, shared = _item_side(docs, items, item_id_col, item_text_col, size)
     read = materialise(_document_windows(docs, text_col, shared, lengths, size), "document-windows")
     keys = ["fp", "window", "n"]
     met = read.where(F.size("met") > 0).select("digest", F.explode("met").alias("m")).select("digest", "m.*").dropDuplicates(["digest", *keys])
@@ -237,12 +251,32 @@ def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
     )
 
 
-def filter_clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window_words: int = 10) -> DataFrame:
+def filter_clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window_words: int = 10, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """The rows of docs without any hit, with all their columns; null and empty texts are clean.
 
-    Texts with hits are told by their digests, so rows of docs are not numbered and meet a list of
-    digests only. Repeated rows stay repeated.
+    While items have at most broadcast_windows distinct windows, digests of these (16 bytes each) are
+    broadcast beside the filter and decide where the rows are, so nothing is shuffled. More of them stay
+    on the cluster: texts with hits are found as find_contamination() does, and rows meet a list of
+    digests of such texts. Both give the same rows. Repeated rows stay repeated.
     """
-    _, hits, _ = _hits(docs.select(text_col), items, text_col, item_id_col, item_text_col, window_words)
-    digest = F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256)
-    return docs.withColumn("_digest", digest).join(hits.select(F.col("digest").alias("_digest")).distinct(), "_digest", "left_anti").select(*docs.columns)
+    windows, lengths, shared = _item_side(docs, items, item_id_col, item_text_col, window_words)
+    known = windows.select("window", "n").distinct()
+    if known.count() > broadcast_windows:
+        _, hits, _ = _hits(docs.select(text_col), items, text_col, item_id_col, item_text_col, window_words)
+        digest = F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256)
+        return docs.withColumn("_digest", digest).join(hits.select(F.col("digest").alias("_digest")).distinct(), "_digest", "left_anti").select(*docs.columns)
+    exact = docs.sparkSession.sparkContext.broadcast(frozenset(_window_digest(r["window"].encode()) for r in known.toLocalIterator()))
+    at = docs.columns.index(text_col)
+
+    def work(batch):
+        memo, keep = Hashes(), []
+        for text in raw(batch.column(at)):
+            words = split_words(text)
+            keep.append(not any(_window_digest(w) in exact.value for _, w, _, _ in _met(words, memo.of(words), shared.value, lengths, window_words)))
+        yield batch.filter(pa.array(keep))
+
+    return map_arrow(docs, work, docs.schema)
+
+
+def _window_digest(words: bytes) -> bytes:
+    return hashlib.blake2b(words, digest_size=16).digest()

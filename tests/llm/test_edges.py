@@ -78,6 +78,9 @@ def test_decontam_values_on_edges(spark):
     kept = decontam.filter_clean(docs, items)
     assert kept.columns == docs.columns
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(["1", "2", "3", "7", "8", "9", "None"])
+    # windows that are too many to broadcast give the same rows
+    many = decontam.filter_clean(docs, items, broadcast_windows=0)
+    assert many.columns == docs.columns and sorted(map(str, many.collect())) == sorted(map(str, kept.collect()))
 
 
 def test_simhash_values_on_edges(spark):
