@@ -2,34 +2,20 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.tables import set_checkpoint_folder
+
 #: Spark's setting that deletes what a query shuffled when the query ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-_own_folder: dict[str, str] = {}
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one for a local session without it."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        at = _own_folder.setdefault("at", "file://" + tempfile.mkdtemp(prefix="sagewell-"))
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(at)
-    return at
-
 
 def materialise(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write df as a table in the shared folder and read it back; cuts lineage and pins random draws.
@@ -38,7 +24,7 @@ def materialise(df: DataFrame, name: str, partition_by: list[str] | None = None)
     is cleared, as lazily returned results may still read it.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/sagewell-{name}-{uuid.uuid4().hex}"
+    path = f"{set_checkpoint_folder(spark)}/sagewell-{name}-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
@@ -135,7 +121,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     with a null end and loops are ignored; an empty input gives no rows.
     """
     spark = edges.sparkSession
-    shared_folder(spark)
+    set_checkpoint_folder(spark)
     now = edges.select("a", "b").where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct().checkpoint()
     before = None
     for _ in range(max_rounds):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import bpe, caps, decontam, katz, licenses, secrets, sharding, simhash, toxicity, webtext
 
@@ -61,6 +62,17 @@ def op10_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(_table(spark, sf_dir, "documents"))
 
 
+def license_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of the licence scan that SQL can say: places and labels of the base phrases."""
+    return op9_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def shard_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of the shuffle that SQL can say: how many rows each shard has, and that its slots have no gap."""
+    rows = op7_hypergeometric_shards(spark, sf_dir)
+    return rows.groupBy("shard").agg(F.count("*").alias("n"), F.countDistinct("slot").alias("slots"), F.min("slot").alias("first_slot"), F.max("slot").alias("last_slot"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -74,12 +86,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_simhash_golay,
         op9_license_scan,
         op10_secret_forest,
+        license_phrases,
+        shard_counts,
     )
 }
 
 #: Word hits are joins of windows, vector links a self-join with a recursive closure. The others hold
 #: hashes, models, parsers or random draws that SQL has no functions for; tests compare with brute force.
 ORACLE_SQL: dict[str, str] = {
+    "license_phrases": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+p AS (SELECT doc_id, w, list_filter(range(1, len(w) + 1), lambda i: w[i] = 'mit' AND w[i + 1] = 'license') AS m, list_filter(range(1, len(w) + 1), lambda i: w[i] = 'apache' AND w[i + 1] = 'license') AS a,
+list_filter(range(1, len(w) + 1), lambda i: w[i] = 'general' AND w[i + 1] = 'public' AND w[i + 2] = 'license') AS g FROM d)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(m) + len(a) + len(g))::BIGINT AS n_base, list_min(list_concat(list_concat(m, a), g)) - 1 AS first_word, list_max(list_concat(list_concat(m, a), g)) - 1 AS last_word,
+coalesce(array_to_string(list_filter([CASE WHEN len(a) > 0 THEN 'apache' END, CASE WHEN len(g) > 0 THEN 'gpl' END, CASE WHEN len(m) > 0 THEN 'mit' END], lambda x: x IS NOT NULL), ','), '') AS base_labels FROM p""",
+    "shard_counts": """
+WITH t AS (SELECT count(*) AS c FROM documents), s AS (SELECT unnest(range(0, 40))::INT AS shard), n AS (SELECT shard, (c // 40 + (shard < c % 40)::INT)::BIGINT AS n FROM s, t)
+SELECT shard, n, n AS slots, 0::BIGINT AS first_slot, n - 1 AS last_slot FROM n WHERE n > 0""",
     "op2_winnow_decontam": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 i AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
