@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -60,15 +61,29 @@ def raw(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+@functools.cache
+def _codec() -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
+    """One of each for a worker process, which runs one task at a time."""
+    return zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
+
+
+def _compress(data) -> bytes:
+    return _codec()[0].compress(data)
+
+
+def _decompress(blob: bytes) -> bytes:
+    return _codec()[1].decompress(blob)
+
+
 def pack(values, dtype: str) -> bytes:
     """Compressed little-endian array, bytes of equal weight side by side."""
     a = np.ascontiguousarray(values, dtype=dtype)
     planes = a.view(np.uint8).reshape(-1, a.dtype.itemsize).T if len(a) else a.view(np.uint8)
-    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(planes).tobytes())
+    return _compress(np.ascontiguousarray(planes))
 
 
 def unpack(blob: bytes, dtype: str) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
+    planes = np.frombuffer(_decompress(blob), np.uint8)
     size = np.dtype(dtype).itemsize
     return np.ascontiguousarray(planes.reshape(size, -1).T).reshape(-1).view(dtype)
 
@@ -86,11 +101,11 @@ def unpack_ints(blob: bytes) -> np.ndarray:
 
 def pack_words(words: list[bytes]) -> bytes:
     """Words that hold no newline, compressed."""
-    return zstandard.ZstdCompressor(level=3).compress(b"\n".join(words))
+    return _compress(b"\n".join(words))
 
 
 def unpack_words(blob: bytes) -> list[bytes]:
-    return zstandard.ZstdDecompressor().decompress(blob).split(b"\n")
+    return _decompress(blob).split(b"\n")
 
 
 def local_roots(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:

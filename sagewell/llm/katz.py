@@ -20,6 +20,7 @@ from functools import reduce
 from itertools import count
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
@@ -306,7 +307,7 @@ class _Chunk:
         if len(low.count):
             context[(context >= 0) & (low.count[context] == 0)] = -1
         at = np.flatnonzero(context >= 0)
-        keys, where = np.unique(context[at] * width + self.tokens[at], return_inverse=True)
+        where, keys = pd.factorize(context[at] * width + self.tokens[at])
         every = np.full(len(self.tokens), -1, np.int64)
         every[at] = where
         suffix = np.zeros(len(keys), np.int64)
@@ -425,7 +426,10 @@ def _count_grams(level: int):
         block, asked = table.column("part")[0].as_py(), [_Keys(a, b) for a, b in zip(table.column("a").to_pylist(), table.column("b").to_pylist(), strict=True)]
         contexts = np.unique(np.concatenate([k.first for k in asked]))
         every = np.concatenate([np.repeat(np.searchsorted(contexts, k.first) << 32, k.runs) | k.word for k in asked])
-        keys, head, where = np.unique(every, return_index=True, return_inverse=True)
+        where, keys = pd.factorize(every)
+        order = np.argsort(keys)
+        keys, where, head = keys[order], np.argsort(order)[where], np.empty(len(keys), np.int64)
+        head[where] = np.arange(len(where))
         counts = np.bincount(where, np.concatenate([k.count for k in asked]), len(keys)).astype(np.int64)
         lower = np.concatenate([k.lower for k in asked])[head]
         at = np.flatnonzero(counts)
