@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, caps, decontam, katz, licenses, secrets, sharding, simhash, toxicity, webtext
+from . import bpe, caps, decontam, katz, licenses, pieces, secrets, sharding, simhash, toxicity, webtext
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +62,10 @@ def op10_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(_table(spark, sf_dir, "documents"))
 
 
+def op13_sentencepiece_agenda(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_decode(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def license_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The part of the licence scan that SQL can say: places and labels of the base phrases."""
     return op9_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
@@ -86,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_simhash_golay,
         op9_license_scan,
         op10_secret_forest,
+        op13_sentencepiece_agenda,
         license_phrases,
         shard_counts,
     )
