@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, caps, decontam, katz, licenses, pieces, secrets, sharding, simhash, toxicity, webtext
+from . import bpe, caps, codes, decontam, katz, licenses, phrases, pieces, secrets, sharding, simhash, toxicity, webtext
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +62,14 @@ def op10_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(_table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
 def op13_sentencepiece_agenda(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_decode(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
@@ -90,15 +98,42 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_simhash_golay,
         op9_license_scan,
         op10_secret_forest,
+        op11_vector_codes,
+        op12_collocations,
         op13_sentencepiece_agenda,
         license_phrases,
         shard_counts,
     )
 }
 
+def _codes_sql(rounds: int = 2) -> str:
+    """Assignments and floors of means, a pair of tables for each round."""
+    near = "SELECT vec_id, p, x, d % 64 AS e, d // 64 AS d FROM (SELECT vec_id, p, any_value(x) AS x, min(list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - c[i]) * (x[i] - c[i]))) * 64 + e)::BIGINT AS d FROM s JOIN c{i} USING (p) GROUP BY ALL)"
+    mean = "SELECT p, e, coalesce(m, c) AS c FROM c{i} LEFT JOIN (SELECT p, e, list(floor_mean ORDER BY j) AS m FROM (SELECT p, e, j, ((sum(v) - ((sum(v) % count(*)) + count(*)) % count(*)) // count(*))::BIGINT AS floor_mean FROM (SELECT p, e, unnest(x) AS v, unnest(range(1, len(x) + 1)) AS j FROM a{i}) GROUP BY ALL) GROUP BY ALL) USING (p, e)"
+    steps = ", ".join(f"a{i} AS ({near.format(i=i).replace('GROUP BY ALL', 'GROUP BY vec_id, p')}), c{i + 1} AS ({mean.format(i=i)})" for i in range(rounds))
+    return f"""
+WITH k AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT vec_id, p, v[p * (len(v) // 16) + 1 : (p + 1) * (len(v) // 16)] AS x FROM (SELECT vec_id, v, unnest(range(0, 16)) AS p FROM k)),
+c0 AS (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x AS c FROM s QUALIFY e < 64), {steps}, a{rounds} AS ({near.format(i=rounds).replace('GROUP BY ALL', 'GROUP BY vec_id, p')}),
+h AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM c{rounds}),
+r AS (SELECT vec_id, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY vec_id)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM r JOIN (SELECT vec_id, label FROM embeddings) USING (vec_id), h"""
+
+
 #: Word hits are joins of windows, vector links a self-join with a recursive closure. The others hold
 #: hashes, models, parsers or random draws that SQL has no functions for; tests compare with brute force.
 ORACLE_SQL: dict[str, str] = {
+    "op11_vector_codes": _codes_sql(),
+    "op12_collocations": r"""
+WITH p AS (SELECT lang, regexp_extract_all(x, '[^\x20\x09]+') AS w FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS x FROM documents)),
+g AS (SELECT lang, w[s : s + k - 1] AS g, k FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS s FROM p, (SELECT unnest(range(1, 4)) AS k))),
+f AS (SELECT lang, g, k, count(*) AS f FROM g GROUP BY ALL), n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, g, k, f AS a FROM f WHERE k > 1 AND f >= 10),
+t AS (SELECT c.lang, c.g, c.k, c.a, i, l.f AS l, r.f AS r, (1000000::HUGEINT * c.a * c.a // (l.f::HUGEINT * r.f))::BIGINT AS score FROM (SELECT *, unnest(range(1, k)) AS i FROM c) c JOIN f l ON l.lang = c.lang AND l.g = c.g[1 : i] JOIN f r ON r.lang = c.lang AND r.g = c.g[i + 1 :]),
+b AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, i) = 1),
+o AS (SELECT lang, s AS g, max(a) AS m FROM (SELECT lang, a, unnest([g[1 : 2], g[2 : 3]]) AS s FROM c WHERE k = 3) GROUP BY ALL),
+q AS (SELECT lang, array_to_string(g, ' ') AS phrase, a, l, r, score FROM b LEFT JOIN o USING (lang, g) WHERE m IS NULL OR 100 * m < 50 * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM q JOIN n USING (lang) QUALIFY rank <= 2000""",
     "license_phrases": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 p AS (SELECT doc_id, w, list_filter(range(1, len(w) + 1), lambda i: w[i] = 'mit' AND w[i + 1] = 'license') AS m, list_filter(range(1, len(w) + 1), lambda i: w[i] = 'apache' AND w[i + 1] = 'license') AS a,
