@@ -17,13 +17,13 @@ from .common import materialise, raw
 ENDS, BLANKS = b".,;:!?\x0a\x0b\x0c\x0d", b" \t"
 _TABLE = bytes(10 if b in ENDS else 32 if b in BLANKS else b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Bytes of text of a shard, and words and ends of pieces in it.
-SHARD_BYTES, SHARD_WORDS = 32 << 20, 4 << 20
+SHARD_BYTES, SHARD_WORDS = 16 << 20, 2 << 20
 #: Bytes of a text that are split at once.
 PART_BYTES = 2 << 20
 #: Positions of a bitmap's word.
 BITS = 16
 #: Bitmap words of prefixes that are extended at once.
-AT_ONCE = 1 << 17
+AT_ONCE = 1 << 15
 #: Bits for each frequent pair in the filter, and bits that the filter may have at most.
 BITS_A_PAIR, MOST_BITS = 16, 1 << 28
 #: Parts of a language's candidates that are ranked before they meet.
@@ -49,12 +49,12 @@ class Bitmaps:
     sorted by word, and once more by place. Ends of pieces take a position that no word has."""
 
     def __init__(self, ids: np.ndarray, n_words: int):
-        at = np.flatnonzero(ids >= 0)
-        order = np.argsort(ids[at], kind="stable")
-        at = at[order]
+        at = np.flatnonzero(ids >= 0).astype(np.int32)
+        at = at[np.argsort(ids[at], kind="stable")]
         key = ids[at].astype(np.int64) << 32 | at // BITS
         first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else at
-        self.mask = np.bitwise_or.reduceat((1 << at % BITS).astype(np.uint16), first) if len(key) else np.zeros(0, np.uint16)
+        bit = np.left_shift(np.uint16(1), (at % BITS).astype(np.uint16))
+        self.mask = np.bitwise_or.reduceat(bit, first) if len(key) else bit
         self.word, self.place = (key[first] >> 32).astype(np.int32), (key[first] & 0xFFFFFFFF).astype(np.int32)
         self.n_words = n_words
         by_place = np.argsort(self.place, kind="stable")
