@@ -17,9 +17,11 @@ from .common import materialise, raw
 ENDS, BLANKS = b".,;:!?\x0a\x0b\x0c\x0d", b" \t"
 _TABLE = bytes(10 if b in ENDS else 32 if b in BLANKS else b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Bytes of text of a shard, and words and ends of pieces in it.
-SHARD_BYTES, SHARD_WORDS = 16 << 20, 2 << 20
+SHARD_BYTES, SHARD_WORDS = 8 << 20, 1 << 20
 #: Bytes of a text that are split at once.
 PART_BYTES = 2 << 20
+#: Rows whose texts are Python objects at once.
+ROWS_AT_ONCE = 256
 #: Positions of a bitmap's word.
 BITS = 16
 #: Bitmap words of prefixes that are extended at once.
@@ -103,7 +105,7 @@ def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes]
     A shard ends between texts, or within a long text where a piece ends; a piece is never cut."""
     held: dict = {}
     size = words = 0
-    for b in batches:
+    for b in (x.slice(s, ROWS_AT_ONCE) for x in batches for s in range(0, x.num_rows, ROWS_AT_ONCE)):
         for lang, text in zip(b.column(0).to_pylist(), raw(b.column(1)), strict=True):
             at, text = 0, text.translate(_TABLE)
             while at < len(text):
@@ -113,14 +115,17 @@ def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes]
                 parts.append(np.append(ids[ids > -2], np.int32(-1)))
                 size, words, at = size + end - at, words + len(parts[-1]), end
                 if size >= SHARD_BYTES or words >= SHARD_WORDS:
-                    yield from _shards(held)
-                    held, size, words = {}, 0, 0
+                    full, held, size, words = held, {}, 0, 0
+                    yield from _shards(full)
     yield from _shards(held)
 
 
 def _shards(held: dict) -> Iterator[tuple[str, list[bytes], np.ndarray]]:
-    for lang, (numbers, parts) in held.items():
-        yield lang, numbers.words(), np.concatenate(parts)
+    while held:
+        lang, (numbers, parts) = held.popitem()
+        ids = np.concatenate(parts)
+        parts.clear()
+        yield lang, numbers.words(), ids
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
