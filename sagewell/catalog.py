@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import scoring, vectors
-from .functions.tables import new_folder
-from .operators import chunking, embed, knn, lexical, lifecycle, metrics, quantize, rerank, store, training
+from .functions.tables import new_folder, pinned
+from .operators import celltree, chunking, embed, knn, lexical, lifecycle, metrics, quantize, rerank, store, training
+from .operators.postings import PostingsIndex
 from .plans import experiments
 from .plans import recall as plans
 from .sources import files
@@ -97,13 +98,26 @@ def knn_exclude_self(spark, sf_dir):
     return _hits(spark, sf_dir, exclude_self=True).withColumn("score", _r6(F.col("score")))
 
 
+def _cells_sql(cells: int = 16, rounds: int = 20) -> str:
+    """Rounds of assignment (of equal cosines the last cell) and means; a round's tables are computed once."""
+    near = "a{i} AS MATERIALIZED (SELECT vec_id, any_value(e) AS e, max({{'s': list_cosine_similarity(e, c), 'cell': cell}}).cell AS cell FROM v, c{i} GROUP BY vec_id)"
+    mean = "c{j} AS MATERIALIZED (SELECT cell, coalesce(m, c) AS c FROM c{i} LEFT JOIN (SELECT cell, list(x ORDER BY p) AS m FROM (SELECT cell, p, avg(x) AS x FROM (SELECT cell, unnest(e) AS x, unnest(range(1, len(e) + 1)) AS p FROM a{i}) GROUP BY cell, p) GROUP BY cell) USING (cell))"
+    steps = ", ".join(f"{near.format(i=i)}, {mean.format(i=i, j=i + 1)}" for i in range(rounds))
+    return f"""v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL), c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS cell, e AS c FROM v QUALIFY cell < {cells}), {steps}, {near.format(i=rounds)}"""
+
+
+_CELLS = _cells_sql()
+
+
 def _ivf(spark, sf_dir, n_probe):
     emb = _table(spark, sf_dir, "embeddings")
     centroids = knn.kmeans_cells(emb, 16)
     return knn.ivf_topk(knn.assign_cells(emb, centroids), centroids, _asked(emb), 10, n_probe)
 
 
-@query()
+@query(f"""WITH {_CELLS}, q AS (SELECT vec_id AS query_id, e AS q FROM v WHERE vec_id % 20 = 0), p AS (SELECT query_id, q, cell FROM q, c20 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY list_cosine_similarity(q, c) DESC, cell) <= 10),
+s AS (SELECT query_id, vec_id AS id, round(list_cosine_similarity(q, e), 12) AS score FROM p JOIN a20 USING (cell)), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s)
+SELECT query_id, id, round(score, 6) + 0.0 AS score, rank::INT AS rank FROM r WHERE rank <= 10""")
 def ivf_search(spark, sf_dir):
     return _ivf(spark, sf_dir, 10).withColumn("score", _r6(F.col("score")))
 
@@ -119,7 +133,7 @@ def graph_search(spark, sf_dir):
     return knn.graph_topk(emb, _asked(emb), 10).withColumn("score", _r6(F.col("score")))
 
 
-@query()
+@query(f"WITH {_CELLS} SELECT cell::INT AS cell, count(*) AS n FROM a20 GROUP BY cell")
 def ivf_cells(spark, sf_dir):
     emb = _table(spark, sf_dir, "embeddings")
     return knn.assign_cells(emb, knn.kmeans_cells(emb, 16)).groupBy("cell").agg(F.count("*").alias("n"))
@@ -131,6 +145,32 @@ def associate_pairs(spark, sf_dir):
     return lifecycle.associate(emb, _asked(emb), 0.25).withColumn("score", _r6(F.col("score")))
 
 
+@query("""WITH a AS (SELECT a.vec_id AS query_id, b.vec_id AS id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 12) AS score FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM a)
+SELECT least(query_id, id) AS a, greatest(query_id, id) AS b, round(max(score), 6) + 0.0 AS score FROM r WHERE rank <= 10 AND score >= 0.25 GROUP BY 1, 2""")
+def associate_all(spark, sf_dir):
+    """Pairs of all rows, every row asking."""
+    return lifecycle.associate_all(_table(spark, sf_dir, "embeddings"), 0.25).withColumn("score", _r6(F.col("score")))
+
+
+@query(f"WITH {_ALL} SELECT query_id, id, round(score, 6) + 0.0 AS score, rank::INT AS rank FROM r WHERE rank <= 10")
+def tree_search_all_cells(spark, sf_dir):
+    """Cells on two levels; with all of them probed the answer is exact."""
+    emb = _table(spark, sf_dir, "embeddings")
+    tree = celltree.CellTree.fit(emb)
+    return tree.search(pinned(tree.assign(emb)), _asked(emb), 10, n_probe=10_000, n_top=10_000).withColumn("score", _r6(F.col("score")))
+
+
+@query(f"""WITH {_ALL} SELECT name, count(DISTINCT query_id) AS queries, true AS enough FROM r, (SELECT unnest(['cells', 'graph', 'tree']) AS name) GROUP BY name""")
+def search_recall(spark, sf_dir):
+    """Whether the approximate searches find nine in ten of the ten nearest rows, over all queries."""
+    emb = _table(spark, sf_dir, "embeddings")
+    truth, tree = pinned(_hits(spark, sf_dir).select("query_id", "id")), celltree.CellTree.fit(emb)
+    found = {"cells": _ivf(spark, sf_dir, 10), "graph": knn.graph_topk(emb, _asked(emb), 10), "tree": tree.search(pinned(tree.assign(emb)), _asked(emb), 10, n_probe=len(tree) * 2 // 3, n_top=10_000)}
+    parts = [truth.join(f.select("query_id", "id", F.lit(1).alias("hit")), ["query_id", "id"], "left").agg(F.lit(name).alias("name"), F.countDistinct("query_id").alias("queries"), (F.count("hit") >= 0.9 * F.count("*")).alias("enough")) for name, f in found.items()]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
 # retrieval metrics
 
 
@@ -267,16 +307,41 @@ def text_search(spark, sf_dir):
     return lexical.text_search(_table(spark, sf_dir, "documents"), "License", "source", "text").select("doc_id", "score")
 
 
-@query("""WITH t AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_]+') AS w FROM documents), z AS (SELECT count(*) AS n, avg(len(w)) AS m FROM t),
+def _bm25_sql(documents: str) -> str:
+    return r"""WITH t AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') AS w FROM """ + documents + r"""), z AS (SELECT count(*) AS n, avg(len(w)) AS m FROM t),
 x AS (SELECT doc_id, len(w) AS dl, unnest(w) AS term FROM t), f AS (SELECT doc_id, dl, term, count(*) AS tf FROM x GROUP BY 1, 2, 3), d AS (SELECT term, count(*) AS df FROM f GROUP BY 1),
-qq AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS term FROM benchmark), q AS (SELECT item_id, term, count(*) AS qf FROM qq GROUP BY 1, 2),
+qq AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS term FROM benchmark), q AS (SELECT item_id, term, count(*) AS qf FROM qq GROUP BY 1, 2),
 s AS (SELECT item_id AS query_id, doc_id AS id, round(sum(qf * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / m))), 9) AS score FROM q JOIN f USING (term) JOIN d USING (term), z GROUP BY 1, 2),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) SELECT query_id, id, round(score, 6) AS score, rank::INT AS rank FROM r WHERE rank <= 10""")
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) SELECT query_id, id, round(score, 6) AS score, rank::INT AS rank FROM r WHERE rank <= 10"""
+
+
+@query(_bm25_sql("documents"))
 def bm25_topk(spark, sf_dir):
     items = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     return lexical.bm25_topk(_table(spark, sf_dir, "documents"), items, 10).withColumn("score", F.round("score", 6))
 
 
+def _items(spark, sf_dir):
+    return _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
+@query(_bm25_sql("documents"))
+def postings_topk(spark, sf_dir):
+    """bm25_topk() from a kept index, of which only blocks that can matter are read."""
+    index = PostingsIndex.build(_table(spark, sf_dir, "documents"), new_folder(spark, "postings"))
+    return index.search(_items(spark, sf_dir), 10).withColumn("score", F.round("score", 6))
+
+
+@query(_bm25_sql("documents WHERE doc_id % 7 <> 0"))
+def postings_upkeep(spark, sf_dir):
+    """An index that starts with a part of the documents in an older wording, then gets all and loses some."""
+    docs = _table(spark, sf_dir, "documents")
+    index = PostingsIndex.build(docs.where("doc_id % 3 = 0").withColumn("text", F.upper(F.concat("text", F.lit(" old"), F.col("text")))), new_folder(spark, "postings"))
+    index.insert(docs)
+    index.remove(docs.where("doc_id % 7 = 0"))
+    return index.search(_items(spark, sf_dir), 10).withColumn("score", F.round("score", 6))
+
+
 @query("""WITH t AS (SELECT conv_id, turn, unnest(regexp_split_to_array(trim(text), '\\s+')) AS w FROM conversations), h AS (SELECT conv_id, turn, hex(encode(w)) AS x FROM t WHERE w <> ''),
 b AS (SELECT conv_id, turn, list_reduce(list_prepend(37, list_transform(range(0, length(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::INT)), lambda a, c: (xor(a, c) * 179) & 255) AS bucket FROM h),
 n AS (SELECT conv_id, turn, bucket, count(*) AS c FROM b GROUP BY 1, 2, 3), l AS (SELECT conv_id, turn, sqrt(sum(c * c)) AS len FROM n GROUP BY 1, 2)
@@ -463,33 +528,67 @@ def compression_ratio(spark, sf_dir):
     return shape.select("bits", (F.col("n") * each).cast("long").alias("bytes"), F.round(F.col("dim") * 4.0 / each, 6).alias("ratio"))
 
 
-@query()
+def _turned_sql() -> str:
+    """Vectors (v) and the rows and columns of the two rotations (m): signs by a rule, then Walsh-Hadamard."""
+    entry = "((1 - 2 * ((((j + 1) * 2654435761 + seed * 40503) % 4294967296 >> 16) & 1)) * (1 - 2 * (bit_count(i & j) % 2))) / 8.0"
+    return f"""v AS (SELECT vec_id, embedding::DOUBLE[] AS e, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS norm FROM embeddings WHERE len(embedding) = 64),
+m AS MATERIALIZED (SELECT seed, i, list_transform(range(0, 64), lambda j: {entry}) AS r FROM (SELECT unnest([42, 43]) AS seed), (SELECT unnest(range(0, 64)) AS i)),
+mt AS MATERIALIZED (SELECT seed, j, list({entry} ORDER BY i) AS r FROM (SELECT unnest([42, 43]) AS seed), (SELECT unnest(range(0, 64)) AS i), (SELECT unnest(range(0, 64)) AS j) GROUP BY seed, j),
+b AS (SELECT * FROM (VALUES {", ".join(f"({n}, {scoring.BOUNDARIES[n]}::DOUBLE[], {scoring.CENTROIDS[n]}::DOUBLE[])" for n in (1, 2, 3, 4))}) AS b(bits, bounds, cents)),
+y AS MATERIALIZED (SELECT vec_id, list(list_dot_product(list_transform(e, lambda x: x / norm), r) * 8 ORDER BY i) AS y FROM v, m WHERE seed = 42 GROUP BY vec_id),
+c AS MATERIALIZED (SELECT vec_id, bits, cents, list_transform(y, lambda x: len(list_filter(bounds, lambda z: x > z))) AS code FROM y, b),
+d AS MATERIALIZED (SELECT vec_id, bits, e, norm, list(norm * list_dot_product(list_transform(code, lambda k: cents[k + 1] / 8), r) ORDER BY j) AS d FROM c JOIN v USING (vec_id), mt WHERE seed = 42 GROUP BY vec_id, bits, e, norm)"""
+
+
+_TURNED = _turned_sql()
+
+
+@query(f"""WITH {_TURNED} SELECT bits, round(avg(list_distance(e, d) * list_distance(e, d)), 4) AS mean_error, round(max(list_distance(e, d) * list_distance(e, d)), 4) AS max_error, round(1 - avg(list_cosine_similarity(e, d)), 4) AS cosine_distortion, (bits * 8)::BIGINT AS bytes FROM d GROUP BY bits""")
 def quantization_error(spark, sf_dir):
-    emb = _table(spark, sf_dir, "embeddings")
-    parts = []
+    emb, parts = _table(spark, sf_dir, "embeddings"), []
     for bits in (1, 2, 3, 4):
-        both = emb.join(quantize.mse_quantize(emb, bits, decoded=True), "vec_id")
-        parts.append(both.agg(F.lit(bits).alias("bits"), F.round(F.avg(vectors.l2_squared("embedding", "decoded")), 4).alias("mean_error"), F.round(1 - F.avg(vectors.cosine("embedding", "decoded")), 4).alias("cosine_distortion"), F.max(F.octet_length("packed")).alias("bytes")))
+        rows = quantize.turned_codes(emb, bits, 64)
+        off = vectors.l2_squared("embedding", "decoded")
+        parts.append(rows.agg(F.lit(bits).alias("bits"), F.round(F.avg(off), 4).alias("mean_error"), F.round(F.max(off), 4).alias("max_error"), F.round(1 - F.avg(vectors.cosine("embedding", "decoded")), 4).alias("cosine_distortion"), F.max(F.octet_length("packed")).cast("bigint").alias("bytes")))
     return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
 
 
-@query()
+@query(f"""WITH {_TURNED}, f AS (SELECT vec_id, bits, flatten(list_transform(code, lambda k: list_transform(range(0, bits), lambda s: (k >> s) & 1))) AS f FROM c)
+SELECT vec_id, bits, array_to_string(list_transform(range(0, 8 * bits), lambda k: printf('%02X', list_sum(list_transform(range(0, 8), lambda s: f[8 * k + s + 1] << s))::INT)), '') AS packed FROM f""")
+def packed_codes(spark, sf_dir):
+    emb = _table(spark, sf_dir, "embeddings")
+    parts = [quantize.turned_codes(emb, bits, 64).select("vec_id", F.lit(bits).alias("bits"), F.hex("packed").alias("packed")) for bits in (1, 2, 3, 4)]
+    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
+
+
+@query(f"""WITH {_TURNED}, x AS (SELECT vec_id, e, d, list_transform(range(1, 65), lambda i: e[i] - d[i]) AS x FROM d WHERE bits = 2), s AS (SELECT vec_id, e, d, sqrt(list_dot_product(x, x)) AS n, list(CASE WHEN list_dot_product(x, r) >= 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END ORDER BY i) AS s FROM x, m WHERE seed = 43 GROUP BY vec_id, e, d, x),
+o AS (SELECT vec_id, e, d, list(n * sqrt(pi() / 2) / 8 * list_dot_product(s, r) ORDER BY j) AS o FROM s, mt WHERE seed = 43 GROUP BY vec_id, e, d), a AS (SELECT list(x ORDER BY p) AS mean FROM (SELECT p, avg(x) AS x FROM (SELECT unnest(e) AS x, unnest(range(1, 65)) AS p FROM v) GROUP BY p))
+SELECT vec_id, 16::BIGINT AS bytes, round(list_dot_product(list_transform(range(1, 65), lambda i: d[i] + o[i]), mean) - list_dot_product(e, mean), 4) + 0.0 AS inner_product_error FROM o, a""")
 def product_quantize(spark, sf_dir):
     emb = _table(spark, sf_dir, "embeddings")
-    both = emb.join(quantize.prod_quantize(emb, 3), "vec_id")
     mean = vectors.mean_vector(emb, "embedding")
     error = vectors.dot("decoded", "mean") - vectors.dot("embedding", "mean")
-    return both.crossJoin(F.broadcast(mean)).select("vec_id", F.octet_length("packed").alias("bytes"), F.octet_length("signs").alias("sign_bytes"), F.round(error, 4).alias("inner_product_error"))
+    rows = quantize.turned_product_codes(emb, 3, 64).crossJoin(F.broadcast(mean))
+    return rows.select("vec_id", F.octet_length("packed").cast("bigint").alias("bytes"), (F.round(error, 4) + 0.0).alias("inner_product_error"))
 
 
-@query()
+@query(f"""WITH {_TURNED}, {_ALL}, g AS (SELECT query_id, d.vec_id AS id, row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_similarity(qe, d), 12) DESC, d.vec_id) AS place FROM q, d WHERE bits = 4)
+SELECT query_id, count(place) FILTER (place <= 10) / 10 AS overlap FROM r JOIN g USING (query_id, id) WHERE rank <= 10 GROUP BY query_id""")
 def quantization_recall(spark, sf_dir):
     emb = _table(spark, sf_dir, "embeddings")
-    lossy = quantize.mse_quantize(emb, 4, decoded=True).select("vec_id", F.col("decoded").alias("embedding"))
+    lossy = quantize.turned_codes(emb, 4, 64).select("vec_id", F.col("decoded").alias("embedding"))
     truth, got = _hits(spark, sf_dir), knn.exact_topk(lossy, _asked(emb), 10)
     return truth.join(got.select("query_id", "id", F.lit(1).alias("hit")), ["query_id", "id"], "left").groupBy("query_id").agg((F.count("hit") / 10).alias("overlap"))
 
 
+@query(f"WITH {_ALL} SELECT query_id, id, round(score, 6) + 0.0 AS score, rank::INT AS rank FROM r WHERE rank <= 10")
+def packed_search(spark, sf_dir):
+    """Search by packed codes of four bits, the best compared by their vectors."""
+    emb = _table(spark, sf_dir, "embeddings")
+    stored = quantize.turned_codes(emb, 4, 64).select("vec_id", "packed")
+    return quantize.packed_topk(stored, emb, _asked(emb), 10, 4, 64).withColumn("score", _r6(F.col("score")))
+
+
 @query("SELECT time_bucket(INTERVAL '1 hour', ts) AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def event_windows(spark, sf_dir):
     return windowed_activity(_table(spark, sf_dir, "events")).select(F.col("window.start").alias("hour"), "event_type", "n", F.round("total", 4).alias("total"))
@@ -695,12 +794,11 @@ def json_requests(spark, sf_dir):
     return store.reply(rows, keep=["doc_id"])
 
 
-@query("""WITH t AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '"it is ' || doc_id || '"' WHEN 1 THEN '["a", 7, "b' || doc_id || '"]' WHEN 2 THEN doc_id::VARCHAR WHEN 3 THEN 'null' ELSE '[]' END AS raw FROM documents)
-SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'it is ' || doc_id WHEN 2 THEN doc_id::VARCHAR END AS answer FROM t WHERE doc_id % 5 <> 1""")
+@query("""SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN 'it is ' || doc_id WHEN 1 THEN 'a, b' || doc_id WHEN 2 THEN doc_id::VARCHAR WHEN 6 THEN 'true' WHEN 7 THEN '7, 8, ' || source END AS answer FROM documents""")
 def answer_forms(spark, sf_dir):
-    i = F.col("doc_id")
-    raw = F.when(i % 5 == 0, F.concat(F.lit('"it is '), i.cast("string"), F.lit('"'))).when(i % 5 == 2, i.cast("string")).when(i % 5 == 3, "null").otherwise("[]")
-    return _table(spark, sf_dir, "documents").where("doc_id % 5 <> 1").select("doc_id", files.answer_text(raw).alias("answer"))
+    i = F.col("doc_id").cast("string")
+    forms = [F.concat(F.lit('"it is '), i, F.lit('"')), F.concat(F.lit('["a", 7, null, "b'), i, F.lit('", [1], {"c": "d"}]')), i, F.lit("null"), F.lit("[]"), F.concat(F.lit("[1, "), i, F.lit(", true]")), F.lit("true"), F.concat(F.lit('["7", "8", "'), F.col("source"), F.lit('"]'))]
+    return _table(spark, sf_dir, "documents").select("doc_id", files.answer_text(F.element_at(F.array(*forms), (F.col("doc_id") % 8 + 1).cast("int"))).alias("answer"))
 
 
 @query("""WITH p AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '[RUST]' WHEN doc_id % 3 = 1 THEN '[GO]' ELSE '[OTHER]' END || ' ' || source AS code, '[TYPE] ' || CASE WHEN doc_id % 2 = 0 THEN '[FEEDBACK]' ELSE '[USER]' END || ' [DESC] ' || source || ' [BODY] ' || lang AS memory FROM documents) SELECT * FROM p""")

@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 ColumnOrName = Column | str
 
 
+def let(value: Column, then) -> Column:
+    """then(value) with value computed once: inside a lambda Spark computes an expression anew for each element."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def _sum(array: Column) -> Column:
     return F.aggregate(array, F.lit(0.0), lambda acc, x: acc + x)
 
@@ -33,8 +38,7 @@ def cosine(a: ColumnOrName, b: ColumnOrName, lengths_may_differ: bool = False) -
 
 def normalize(a: ColumnOrName) -> Column:
     """Unit length; a zero vector stays as it is."""
-    length = norm(a)
-    return F.when(length > 0, F.transform(a, lambda x: x.cast("double") / length)).otherwise(F.transform(a, lambda x: x.cast("double")))
+    return let(norm(a), lambda length: F.transform(a, lambda x: F.when(length > 0, x.cast("double") / length).otherwise(x.cast("double"))))
 
 
 def mean_vector(df: DataFrame, vector: str, by: list[str] | None = None) -> DataFrame:

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.scoring import decays, slugify
 from ..functions.tables import pinned
 from .chunking import lines
-from .knn import assign_cells, exact_topk, ivf_topk, kmeans_cells
+from .knn import exact_topk
+from .simjoin import BUCKET_ROWS, near_neighbours
 
 #: Line beginnings that make a signature (fixed values).
 SIGNATURES = ["pub fn ", "pub async fn ", "pub struct ", "pub enum ", "pub trait ", "pub type ", "pub const ", "pub static ", "fn ", "async fn ", "struct ", "enum ", "trait ", "impl ", "type ", "const ", "class ", "def ", "async def ", "func ", "function ", "export "]
@@ -68,14 +69,11 @@ def associate(vectors: DataFrame, queries: DataFrame, threshold: float = 0.85, n
     return _paired(exact_topk(vectors, queries, neighbours, id_col, vector_col, exclude_self=True), threshold)
 
 
-def associate_all(vectors: DataFrame, threshold: float = 0.85, neighbours: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", n_probe: int = 10) -> DataFrame:
-    """associate() with every row asking, through an inverted file of about sqrt(n) cells fitted on a bounded
-    sample: rows are shuffled by cell, none comes to the driver. With n_probe cells or fewer it is exact."""
-    centroids = kmeans_cells(vectors, None, 20, id_col, vector_col)
-    if not len(centroids):
-        return _paired(exact_topk(vectors, vectors.limit(0), neighbours, id_col, vector_col), threshold)
-    cells = pinned(assign_cells(vectors, centroids, id_col, vector_col))
-    return _paired(ivf_topk(cells, centroids, vectors, neighbours, n_probe, id_col, vector_col, exclude_self=True), threshold)
+def associate_all(vectors: DataFrame, threshold: float = 0.85, neighbours: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", recall: float = 0.97, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """associate() with every row asking: a join by bands of sign hashes whose recall is measured on drawn rows
+    (see near_neighbours, which also tells what happens to odd rows); no vector comes to the driver but those."""
+    near = near_neighbours(vectors, threshold, neighbours, id_col, vector_col, recall, bucket_rows)
+    return _paired(near.select(F.col("id").alias("query_id"), F.col("other").alias("id"), "score"), threshold)
 
 
 def _paired(near: DataFrame, threshold: float) -> DataFrame:

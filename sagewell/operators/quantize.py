@@ -7,9 +7,14 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
+from ..functions import rotation as turn
+from ..functions import vectors as kernels
 from ..functions.scoring import BOUNDARIES, CENTROIDS
+from .knn import QUERIES_AT_ONCE, QUERIES_PER_BLOCK, ROWS_AT_ONCE, _best, _matrix, _query_blocks, _rows, _slices, _unit, ranked
 
 
 @functools.lru_cache(maxsize=8)
@@ -168,3 +173,81 @@ def inner_product_error(vectors: DataFrame, queries: DataFrame, bits: int, id_co
 
     parts = both.mapInArrow(work, "n bigint, total double, size double, largest double")
     return parts.groupBy().agg({"n": "sum", "total": "sum", "size": "sum", "largest": "max"}).selectExpr("`sum(n)` AS n", "`sum(total)` / `sum(n)` AS bias", "`sum(size)` / `sum(n)` AS mean_error", "`max(largest)` AS max_error")
+
+
+def turned_codes(vectors: DataFrame, bits: int, dim: int, seed: int = 42, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """Mean-square codes by the Hadamard rotation, all in column expressions: id, the vector, norm, codes, packed
+    and decoded. dim is the vectors' length; null vectors and those of another length are left out, a zero
+    vector has norm 0 and is decoded to zeros."""
+    v = F.col(vector_col)
+    rows = vectors.where(v.isNotNull() & (F.size(v) == dim)).select(id_col, vector_col, kernels.norm(v).alias("norm"))
+    rows = rows.withColumn("turned", turn.rotate(kernels.normalize(v), dim, seed))
+    rows = rows.withColumn("codes", turn.codes("turned", bits, dim)).drop("turned")
+    return rows.select("*", turn.pack("codes", bits, dim).alias("packed"), turned_back("codes", "norm", bits, dim, seed).alias("decoded"))
+
+
+def turned_back(codes: Column | str, norm: Column | str, bits: int, dim: int, seed: int = 42) -> Column:
+    """Vectors that codes and norms stand for."""
+    length = F.col(norm) if isinstance(norm, str) else norm
+    return kernels.let(length, lambda n: F.transform(turn.rotate_back(turn.centroids(codes, bits, dim), dim, seed), lambda x: x * n))
+
+
+def turned_product_codes(vectors: DataFrame, bits: int, dim: int, seed: int = 42, sketch_seed: int = 43, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """turned_codes() of one bit less, and signs of the residual under a second rotation, whose estimate is added to
+    what is decoded: id, the vector, norm, codes, packed, residual_norm, signs, decoded."""
+    if bits < 2:
+        raise ValueError("two bits at least")
+    rows = turned_codes(vectors, bits - 1, dim, seed, id_col, vector_col).withColumnRenamed("decoded", "coarse")
+    rows = rows.withColumn("rest", F.zip_with(vector_col, "coarse", lambda x, c: x.cast("double") - c))
+    rows = rows.withColumn("residual_norm", kernels.norm("rest")).withColumn("signs", F.transform(turn.rotate("rest", dim, sketch_seed), lambda x: (x >= 0).cast("int")))
+    step = F.col("residual_norm") * F.lit(math.sqrt(math.pi / 2)) / F.lit(math.sqrt(turn.padded(dim)))
+    estimate = turn.rotate_back(F.transform("signs", lambda s: s * 2.0 - 1.0), dim, sketch_seed)
+    rows = rows.withColumn("estimate", estimate).withColumn("decoded", kernels.let(step, lambda n: F.zip_with("coarse", "estimate", lambda c, e: c + e * n)))
+    return rows.drop("coarse", "rest", "estimate")
+
+
+def _tables(queries: np.ndarray, bits: int) -> np.ndarray:
+    """What each value of each packed byte adds to each query's score: queries x bytes x 256."""
+    each = 8 // bits
+    codes = np.arange(256)[:, None] >> bits * np.arange(each) & (1 << bits) - 1
+    values = np.array(CENTROIDS[bits])[codes] / math.sqrt(queries.shape[1])
+    return queries.reshape(len(queries), -1, each) @ values.T
+
+
+def packed_topk(stored: DataFrame, vectors: DataFrame, queries: DataFrame, k: int, bits: int, dim: int, seed: int = 42, oversample: int = 4, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """The k most similar rows for each query by packed codes, then by the vectors: query_id, id, score, rank.
+
+    stored (id, packed) is what turned_codes() gave, with 1, 2 or 4 bits, so that a byte holds whole codes. A block of
+    queries is rotated and becomes tables, a number for each value of each byte; a row's score is a sum of numbers
+    looked up by its bytes, and no code is decoded. The oversample * k best rows of each query (ties by id) are then
+    compared by their vectors. Queries are a stated set; the norm has no part in a cosine.
+    """
+    if bits not in (1, 2, 4):
+        raise ValueError("a byte holds whole codes of 1, 2 or 4 bits")
+    spark, kind = stored.sparkSession, dict(stored.dtypes)[id_col]
+    asked_kind, n = dict(queries.dtypes)[id_col], turn.padded(dim)
+    arrow, found = to_arrow_type(queries.schema[id_col].dataType), None
+    for block in _query_blocks(queries, id_col, vector_col, QUERIES_PER_BLOCK):
+        q = _unit(_rows([v for _, v in block]))
+        shared = spark.sparkContext.broadcast(([i for i, _ in block], np.pad(q, ((0, 0), (0, n - dim))) @ turn.matrix(dim, seed).T))
+
+        def search(batches, shared=shared):
+            ids, turned = shared.value
+            tables = [_tables(turned[at : at + QUERIES_AT_ONCE], bits) for at in range(0, len(ids), QUERIES_AT_ONCE)]
+            for b in _slices(batches, ROWS_AT_ONCE):
+                own = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(b.num_rows, -1)
+                for nth, table in enumerate(tables):
+                    some, scores = ids[nth * QUERIES_AT_ONCE :], np.zeros((len(table), b.num_rows))
+                    for place in range(own.shape[1]):
+                        scores += table[:, place, own[:, place]]
+                    i, j = _best(np.round(scores, 9), oversample * k)
+                    yield pa.RecordBatch.from_arrays([pa.array([some[x] for x in i.tolist()], arrow), b.column(0).take(pa.array(j)), pa.array(scores[i, j])], names=["query_id", "id", "score"])
+
+        part = stored.select(id_col, "packed").where("packed is not null").mapInArrow(search, f"query_id {asked_kind}, id {kind}, score double")
+        found = part if found is None else found.union(part)
+    if found is None:
+        return spark.createDataFrame([], f"query_id {asked_kind}, id {kind}, score double, rank int")
+    near = ranked(found, oversample * k).select("query_id", "id")
+    # a bounded number of rows for each query of the stated set
+    rows = near.join(vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")), "id").join(queries.select(F.col(id_col).alias("query_id"), F.col(vector_col).alias("q")), "query_id")
+    return ranked(rows.select("query_id", "id", F.round(kernels.cosine("q", "v"), 12).alias("score")), k)

@@ -143,9 +143,11 @@ def transcript(turns: str = "turns") -> Column:
 
 
 def answer_text(raw: Column) -> Column:
-    """An answer of any JSON kind as text: strings as they are, arrays of strings joined, null as null."""
+    """An answer of any JSON kind as text: strings as they are, the strings of an array joined (its other
+    elements are dropped; an array without strings is null), null as null."""
     kind = F.schema_of_variant(F.try_parse_json(raw))
-    array = F.array_join(F.filter(F.from_json(raw, "array<string>"), lambda x: x.isNotNull()), ", ")
+    strings = F.filter(F.from_json(raw, "array<variant>"), lambda x: F.schema_of_variant(x) == "STRING")
+    array = F.array_join(F.transform(strings, lambda x: F.variant_get(x, "$", "string")), ", ")
     plain = F.try_variant_get(F.try_parse_json(raw), "$", "string")
     return F.when(kind.isNull() | (kind == "VOID"), None).when(kind == "STRING", plain).when(F.startswith(kind, F.lit("ARRAY")), F.nullif(array, F.lit(""))).otherwise(F.coalesce(plain, raw))
 

@@ -131,7 +131,7 @@ def test_approximate_search_recall(spark, search):
     else:
         found = knn.graph_topk(df, asked, 10, shards=2)
     got = {(r["query_id"], r["id"]) for r in found.collect()}
-    assert len(truth & got) / len(truth) > 0.85
+    assert len(truth & got) / len(truth) >= 0.9
 
 
 def test_exact_search_in_several_blocks(spark):
@@ -190,14 +190,6 @@ def test_search_on_odd_vectors(spark):
     assert knn.exact_topk(df, asked.limit(0), 3).count() == 0 and knn.exact_topk(df.limit(0), asked, 3).count() == 0
 
 
-def test_all_rows_associate(spark):
-    df = clustered(spark).where("embedding is not null")
-    exact = {(r["a"], r["b"]) for r in lifecycle.associate(df, df, 0.8).collect()}
-    for probes in (10, 16):
-        got = {(r["a"], r["b"]) for r in lifecycle.associate_all(df, 0.8, n_probe=probes).collect()}
-        assert len(got & exact) >= (1 if probes == 16 else 0.9) * len(exact)
-
-
 def test_graph_index_upkeep(spark, tmp_path):
     df = clustered(spark).where("embedding is not null")
     index = knn.GraphIndex.build(df.where("vec_id < 200"), str(tmp_path / "g"))
