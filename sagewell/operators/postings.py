@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from ..functions.tables import pinned
 from .lexical import tokens
 
-#: Postings of a block, documents of a slice (a term's postings of a slice are sorted in one task), and
-#: folders that terms are dealt to.
-BLOCK, SLICE_DOCS, PARTS = 512, 500_000, 64
-#: Best blocks of a query that give the first bound of its k-th score.
-FIRST_BLOCKS = 8
+#: Documents of a range: a term has one block of postings in each range that has it.
+RANGE_DOCS = 1024
+#: Folders that terms are dealt to.
+PARTS = 64
+#: Best ranges of a query that give the first bound of its k-th score.
+FIRST_RANGES = 4
 
 
 def saturation(tf: Column, length: Column, mean: float, k1: float, b: float) -> Column:
@@ -25,9 +26,10 @@ def saturation(tf: Column, length: Column, mean: float, k1: float, b: float) ->
 class PostingsIndex:
     """An index of documents (id, text) kept in a folder that executors share.
 
-    `blocks` holds postings, partitioned by hash of the term: each row is up to BLOCK documents of a term, those
-    of large weight first, with the largest tf and the smallest length among them, which bound what any of them
-    can add to a score. `docs` holds lengths and terms of documents, partitioned by the generation that added
+    Documents are dealt to ranges by hash. `blocks` holds postings, partitioned by hash of the term: each row is the
+    documents of a term in a range, with the largest tf and the smallest length / tf among them, which bound what the
+    term can add to a score there, whatever the mean length comes to be; the bounds of a query's terms add up to
+    what any document of the range can have. `docs` holds lengths and terms, by the generation that added
     them; `dead` says which documents of which generations count no more. insert() and remove() add generations
     and dead rows and rewrite nothing; compact() writes everything anew. A generation is written before `dead`
     names what it replaces, and only counts once its mark is written last, so that an insertion that breaks off
@@ -79,21 +81,21 @@ class PostingsIndex:
         forward = cut.select("id", "length", F.filter(terms, lambda t: t["term"].isNotNull()).alias("terms"))
         forward.write.mode("overwrite").parquet(f"{self.folder}/docs/{generation}")
         forward = self.spark.read.schema(forward.schema).parquet(f"{self.folder}/docs/{generation}")
-        n, mean = forward.agg(F.count("*"), F.avg("length")).first()
+        n = forward.count()
         if gone is not None:
             gone.write.mode("overwrite").parquet(f"{self.folder}/dead/{generation}")
         if n:
-            self._write_blocks(forward, generation, n, mean)
+            self._write_blocks(forward, generation, n)
         self._mark(generation)
 
-    def _write_blocks(self, forward: DataFrame, generation: int, n: int, mean: float) -> None:
-        slices = max(1, math.ceil(n / SLICE_DOCS))
-        rows = forward.select("id", "length", F.explode("terms").alias("t")).select("id", "length", "t.term", "t.tf", F.pmod(F.xxhash64("id"), F.lit(slices)).cast("int").alias("slice"))
-        best = Window.partitionBy("term", "slice").orderBy(F.desc(saturation(F.col("tf"), F.col("length"), mean or 1.0, self.k1, self.b)), "id")
-        rows = rows.withColumn("block", F.floor((F.row_number().over(best) - 1) / BLOCK).cast("int"))
-        blocks = rows.groupBy("term", "slice", "block").agg(F.count("*").cast("int").alias("size"), F.max("tf").alias("max_tf"), F.min("length").alias("min_length"), F.collect_list(F.struct("id", "tf", "length")).alias("postings"))
+    def _write_blocks(self, forward: DataFrame, generation: int, n: int) -> None:
+        ranges = max(1, math.ceil(n / RANGE_DOCS))
+        rows = forward.select(F.explode("terms").alias("t"), F.pmod(F.xxhash64("id"), F.lit(ranges)).cast("int").alias("range"), "id", "length").select("t.term", "range", "id", "t.tf", "length")
+        blocks = rows.groupBy("term", "range").agg(F.count("*").cast("int").alias("size"), F.max("tf").alias("max_tf"), F.min(F.col("length") / F.col("tf")).alias("min_ratio"), F.collect_list(F.struct("id", "tf", "length")).alias("postings"))
         part = F.pmod(F.xxhash64("term"), F.lit(PARTS)).cast("int")
-        blocks.withColumn("part", part).repartition("part", F.pmod(F.xxhash64("term"), F.lit(4 * slices))).sortWithinPartitions("part", "term").write.mode("overwrite").partitionBy("part").parquet(f"{self.folder}/blocks/{generation}")
+        # few files, yet a common term's blocks in several
+        dealt = blocks.withColumn("part", part).repartition(F.col("part"), F.pmod("range", F.lit(math.ceil(ranges / 1000))))
+        dealt.sortWithinPartitions("part", "term").write.mode("overwrite").partitionBy("part").parquet(f"{self.folder}/blocks/{generation}")
 
     def _live(self) -> DataFrame:
         docs, dead = self._read("docs"), self.dead()
@@ -136,40 +138,37 @@ class PostingsIndex:
         return words.groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
 
     def plan(self, queries: DataFrame, k: int, query_id_col: str = "query_id", query_text_col: str = "text") -> tuple[DataFrame, DataFrame, float]:
-        """The blocks that each query reads and those it could read at all (query_id, term, weight, generation, slice,
-        block, size, bound), and the mean length.
+        """The blocks that each query reads and those it could read at all (query_id, term, weight, generation, part,
+        range, size, bound), and the mean length.
 
-        A block's bound is the most that any of its documents can get from its term. The best blocks of a query
-        are read first; sums of what they hold are scores at least, so the k-th of them is a score that the k-th
-        best document has at least. A block whose bound, with the largest bounds of the query's other terms,
-        stays below that holds none of the k best."""
+        The ranges whose bounds add up to most are read first: the k-th best score there is one that the k-th best
+        document has at least. A range whose sum of bounds stays below it holds none of the k best."""
         asked = pinned(self._asked(queries, query_id_col, query_text_col))
         live = self._live()
         n, mean = live.agg(F.count("*"), F.avg("length")).first()
         mean = mean or 1.0
         terms = asked.select("term").distinct()
-        known = self._read("blocks").select("generation", "part", "term", "slice", "block", "size", "max_tf", "min_length").join(F.broadcast(terms) if terms.count() <= 100_000 else terms, "term", "left_semi")
+        known = self._read("blocks").select("generation", "part", "term", "range", "size", "max_tf", "min_ratio").join(F.broadcast(terms) if terms.count() <= 100_000 else terms, "term", "left_semi")
         df = known.groupBy("term").agg(F.sum("size").alias("df"))
         if (dead := self.dead()) is not None:
             lost = dead.select(F.explode("terms.term").alias("term")).groupBy("term").agg(F.count("*").alias("lost"))
             df = df.join(lost, "term", "left").select("term", (F.col("df") - F.coalesce("lost", F.lit(0))).alias("df"))
         idf = F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
         weighed = asked.join(df.where("df > 0"), "term").select("query_id", "term", (F.col("qtf") * idf).alias("weight"))
-        bound = F.col("weight") * saturation(F.col("max_tf"), F.col("min_length"), mean, self.k1, self.b)
+        bound = F.col("weight") * (self.k1 + 1) / (1 + self.k1 * (1 - self.b) / F.col("max_tf") + self.k1 * self.b * F.col("min_ratio") / mean)
         could = pinned(weighed.join(known, "term").withColumn("bound", bound))
-        nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bound"), "term", "generation", "slice", "block"))
-        first = could.withColumn("nth", nth).where(F.col("nth") <= FIRST_BLOCKS + math.ceil(k / BLOCK)).drop("nth")
-        some = self._scores(first, mean)
+        key = ["query_id", "generation", "range"]
+        ranges = could.groupBy(*key).agg(F.sum("bound").alias("most"))
+        nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("most"), "generation", "range"))
+        first = ranges.withColumn("nth", nth).where(F.col("nth") <= FIRST_RANGES + math.ceil(k / RANGE_DOCS)).select(*key)
         place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score")))
-        least = some.withColumn("place", place).where(F.col("place") == k).select("query_id", F.col("score").alias("least"))
-        most = could.groupBy("query_id", "term").agg(F.max("bound").alias("most"))
-        others = most.withColumn("others", F.sum("most").over(Window.partitionBy("query_id")) - F.col("most")).drop("most")
-        needed = could.join(others, ["query_id", "term"]).join(least, "query_id", "left").where(F.col("bound") + F.col("others") >= F.coalesce("least", F.lit(0.0)) - 1e-6)
-        return pinned(needed.drop("others", "least")), could, mean
+        least = self._scores(could.join(first, key), mean).withColumn("place", place).where(F.col("place") == k).select("query_id", F.col("score").alias("least"))
+        hopeful = ranges.join(least, "query_id", "left").where(F.col("most") >= F.coalesce("least", F.lit(0.0)) - 1e-6)
+        return pinned(could.join(hopeful.select(*key), key)), could, mean
 
     def _scores(self, wanted: DataFrame, mean: float) -> DataFrame:
         """Sums of weights over the wanted blocks' documents: query_id, id, score."""
-        key = ["generation", "part", "term", "slice", "block"]
+        key = ["generation", "part", "term", "range"]
         blocks = self._read("blocks").select(*key, "postings")
         rows = wanted.select("query_id", "weight", *key).join(blocks, key).select("query_id", "weight", "generation", F.explode("postings").alias("p"))
         rows = rows.select("query_id", "weight", "generation", "p.id", "p.tf", "p.length")

@@ -36,19 +36,18 @@ def same(spark, index, rows, k=5):
 
 
 def test_equals_a_scan_of_all_documents(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(postings, "BLOCK", 16)
-    monkeypatch.setattr(postings, "SLICE_DOCS", 300)
-    rows = [*some_docs(1, range(700)), (700, None, "x", "x"), (701, "", "x", "x"), (702, "w0 " * 2000, "x", "x")]
+    monkeypatch.setattr(postings, "RANGE_DOCS", 20)
+    rows = [*some_docs(1, range(500)), (700, None, "x", "x"), (701, "", "x", "x"), (702, "w0 " * 2000, "x", "x")]
     index = PostingsIndex.build(table(spark, rows), str(tmp_path / "index"))
     assert len(same(spark, index, rows)) > 20
     same(spark, index, rows, k=60)
 
 
 def test_reads_fewer_postings_than_there_are(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(postings, "BLOCK", 16)
-    rows = some_docs(2, range(1500), words=40)
+    monkeypatch.setattr(postings, "RANGE_DOCS", 10)
+    rows = some_docs(2, range(1200), words=400)
     index = PostingsIndex.build(table(spark, rows), str(tmp_path / "index"))
-    queries = asked(spark, ["w0 w1", "w2 w20", "w35"])
+    queries = asked(spark, ["w1 w300", "w2 w250", "w3 w350"])
     needed, could, _ = index.plan(queries, 5)
     size = lambda df: df.agg(F.sum("size")).first()[0]
     assert size(needed) < 0.5 * size(could)
