@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,7 +17,7 @@ from .operators import celltree, chunking, embed, knn, lexical, lifecycle, metri
 from .operators.postings import PostingsIndex
 from .plans import experiments
 from .plans import recall as plans
-from .sources import files
+from .sources import files, ignore
 from .streaming.inbox import windowed_activity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -267,6 +268,59 @@ def fixed_chunks(spark, sf_dir):
     return _chunks(spark, sf_dir).select("doc_id", "start_line", "end_line", "chunk_id", F.md5("content").alias("digest"))
 
 
+def _four_lines(text: str, _: str) -> list[tuple[int, int, str]]:
+    """The rule of fixed_chunks() for windows of four lines that overlap by one, as a plug-in."""
+    rows = text.split("\n")
+    rows = rows[:-1] if rows[-1] == "" else rows
+    starts = [s for s in range(0, max(len(rows), 1), 3) if s == 0 or s + 1 < len(rows)]
+    return [(s + 1, min(s + 4, len(rows)), "\n".join(rows[s : s + 4])) for s in starts if rows and "".join(rows[s : s + 4]).strip()]
+
+
+@query(ORACLE_SQL["fixed_chunks"])
+def plugin_chunks(spark, sf_dir):
+    """fixed_chunks() by a chunking plug-in."""
+    chunks = chunking.custom_chunks(_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", _four_lines)
+    return chunks.select("doc_id", "start_line", "end_line", "chunk_id", F.md5("content").alias("digest"))
+
+
+_WAVES = 8
+
+
+def _word_numbers(text: str) -> list[int]:
+    return [(ord(w[0]) * 31 + len(w)) % 997 for w in text.split(" ") if w]
+
+
+def _waves(ids, mask):
+    """A token model that SQL can say: sines of multiples of a token's number."""
+    return np.sin(ids[:, :, None] * np.arange(1, _WAVES + 1) / 10)
+
+
+@query(f"""WITH w AS (SELECT doc_id, list_filter(string_split(coalesce(text, ''), ' '), lambda w: w <> '')[1:256] AS w FROM documents), i AS (SELECT doc_id, list_transform(w, lambda w: (unicode(w) * 31 + length(w)) % 997) AS i FROM w),
+m AS (SELECT doc_id, list_transform(range(1, {_WAVES + 1}), lambda j: list_avg(list_transform(i, lambda x: sin(x * j / 10)))) AS m FROM i), u AS (SELECT doc_id, list_transform(m, lambda x: (x / sqrt(list_sum(list_transform(m, lambda y: y * y))))::FLOAT::DOUBLE) AS u FROM m)
+SELECT doc_id, round(coalesce(u[1], 0), 4) + 0.0 AS first, round(coalesce(u[{_WAVES}], 0), 4) + 0.0 AS last, round(coalesce(list_sum(list_transform(u, lambda x: abs(x))), 0), 4) + 0.0 AS total FROM u""")
+def pooled_embedding(spark, sf_dir):
+    """Texts cut to 256 tokens, whose vectors are averaged under a mask and normalised."""
+    embed.register_embedder("waves", embed.pooled_embedder(_word_numbers, _waves))
+    rows = embed.embed_texts(_table(spark, sf_dir, "documents").select("doc_id", "text"), "text", "waves")
+    x = lambda i: F.get("embedding", F.lit(i)).cast("double")
+    total = F.aggregate("embedding", F.lit(0.0), lambda acc, v: acc + F.abs(v.cast("double")))
+    return rows.select("doc_id", (F.round(x(0), 4) + 0.0).alias("first"), (F.round(x(_WAVES - 1), 4) + 0.0).alias("last"), (F.round(total, 4) + 0.0).alias("total"))
+
+
+@query("""WITH p AS (SELECT doc_id, lang || '/' || source || '/' || CASE doc_id % 4 WHEN 0 THEN 'build/' WHEN 1 THEN 'docs/deep/' ELSE '' END || 'f' || doc_id || CASE doc_id % 3 WHEN 0 THEN '.log' WHEN 1 THEN '.md' ELSE '.txt' END AS file, lang, source FROM documents)
+SELECT doc_id, file FROM p WHERE NOT (doc_id % 4 = 0 AND NOT lang = 'de') AND NOT (doc_id % 3 = 0 AND NOT (lang = 'en' AND regexp_matches(file, '/f[0-9]*7[.]log$'))) AND NOT (lang = 'fr' AND source = 'src1') AND NOT (lang = 'es' AND doc_id % 4 = 1 AND doc_id % 3 = 1)""")
+def ignore_rules(spark, sf_dir):
+    """Rules of several folders over paths made of documents: folders, names at any depth, tied patterns, and rules
+    further down that take back."""
+    i, s = F.col("doc_id"), lambda c: F.col(c).cast("string")
+    folder = F.when(i % 4 == 0, "build/").when(i % 4 == 1, "docs/deep/").otherwise("")
+    end = F.when(i % 3 == 0, ".log").when(i % 3 == 1, ".md").otherwise(".txt")
+    paths = _table(spark, sf_dir, "documents").select(i, F.concat(s("lang"), F.lit("/"), s("source"), F.lit("/"), folder, F.lit("f"), s("doc_id"), end).alias("file"))
+    lines = [("", "# rules"), ("", "*.log"), ("", "build/"), ("", "/fr/src1"), ("", "es/**/deep/*.md"), ("", ""), ("de", "!build/"), ("en", "!f*7.log")]
+    rules = ignore.parse_rules(spark.createDataFrame([(f, n, line) for n, (f, line) in enumerate(lines)], "folder string, place int, line string"))
+    return paths.join(ignore.ignored(paths, rules), "file", "left_anti").select("doc_id", "file")
+
+
 @query(f"""WITH {_LINES}, x AS (SELECT doc_id, unnest(range(0, len(l))) AS i, unnest(l) AS t FROM l), f AS (SELECT doc_id, i, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS g FROM x WHERE trim(regexp_replace(t, '\\s+', ' ', 'g')) <> '')
 SELECT doc_id, min(i)::INT AS s, max(i)::INT AS e FROM f GROUP BY doc_id, g""")
 def paragraph_spans(spark, sf_dir):
@@ -653,8 +707,8 @@ def temporal_scores(spark, sf_dir):
 
 
 @query("""WITH r AS (SELECT doc_id AS line, CASE WHEN doc_id % 11 = 0 THEN NULL ELSE CASE WHEN doc_id % 5 = 0 THEN 'other' ELSE 'user' END END AS type, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE source END AS name, left(text, (doc_id % 300)::INT) AS description FROM documents)
-SELECT line, 'missing fields: ' || concat_ws(', ', CASE WHEN type IS NULL THEN 'type' END, CASE WHEN name IS NULL THEN 'name' END) AS fault FROM r WHERE type IS NULL OR name IS NULL
-UNION ALL SELECT line, 'invalid type: other' FROM r WHERE type = 'other' AND name IS NOT NULL UNION ALL SELECT line, 'description too long' FROM r WHERE type IS NOT NULL AND name IS NOT NULL AND length(description) > 150""")
+SELECT line, 'absent: ' || concat_ws(', ', CASE WHEN type IS NULL THEN 'type' END, CASE WHEN name IS NULL THEN 'name' END) AS fault FROM r WHERE type IS NULL OR name IS NULL
+UNION ALL SELECT line, 'unknown type: other' FROM r WHERE type = 'other' AND name IS NOT NULL UNION ALL SELECT line, 'description over 150 letters' FROM r WHERE type IS NOT NULL AND name IS NOT NULL AND length(description) > 150""")
 def training_faults(spark, sf_dir):
     i = F.col("doc_id")
     kind = F.when(i % 11 == 0, F.lit(None)).otherwise(F.when(i % 5 == 0, "other").otherwise("user"))
@@ -691,8 +745,10 @@ def freshness_experiment(spark, sf_dir):
 
 
 @query()
-def synthetic_experiment(spark, sf_dir):
-    return experiments.synthetic_experiment(spark)
+def arms_experiment(spark, sf_dir):
+    """Exact, inverted-file, graph and 4-bit search of the embeddings, a label being a topic."""
+    emb = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
+    return experiments.arms_experiment(emb, emb.where("id % 20 = 0"))
 
 # store
 
@@ -896,10 +952,14 @@ def latency_scaling(spark, sf_dir):
     return experiments.latency_scaling(emb, _asked(emb), [0.25, 0.5, 1.0])
 
 
-@query("""SELECT 'bits' || chr(9) || 'n' AS line, 0 AS place UNION ALL SELECT bits || chr(9) || (100 * bits), bits FROM (SELECT unnest([1, 2, 3]) AS bits)""")
+@query("""WITH g AS (SELECT lang, count(*) AS n, count(DISTINCT source) AS sources, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY lang), o AS (SELECT *, row_number() OVER (ORDER BY lang)::INT AS place FROM g)
+SELECT 'lang' || chr(9) || 'n' || chr(9) || 'sources' || chr(9) || 'chars' || chr(9) || 'place' AS line, 0 AS place, NULL AS object UNION ALL
+SELECT concat_ws(chr(9), coalesce(lang, '-'), n, sources, chars, place), place, '{' || CASE WHEN lang IS NULL THEN '' ELSE '"lang":"' || lang || '",' END || '"n":' || n || ',"sources":' || sources || ',"chars":' || chars || ',"place":' || place || '}' FROM o""")
 def report_lines(spark, sf_dir):
-    rows = spark.range(1, 4).select(F.col("id").cast("int").alias("bits"), (F.col("id") * 100).alias("n"))
-    return experiments.report(rows, "bits").select("line", "place")
+    """Counts of every language as lines of a report and as JSON lines."""
+    counts = _table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.countDistinct("source").alias("sources"), F.sum("n_chars").alias("chars"))
+    rows = counts.withColumn("place", F.row_number().over(Window.orderBy("lang")))
+    return experiments.report(rows, "place")
 
 
 @query(f"WITH {_ALL} SELECT query_id, id, round(score, 6) + 0.0 AS score, rank::INT AS rank FROM r WHERE rank <= 10")

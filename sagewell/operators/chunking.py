@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -89,12 +90,27 @@ def paragraph_chunks(df: DataFrame, file: str, text: str, max_lines: int = 100,
     return _chunk_rows(df, file, text, spans)
 
 
-def custom_chunks(df: DataFrame, file: str, text: str, strategy: Callable[[str, str], list[tuple[int, int, str]]]) -> DataFrame:
-    """Plug-in: strategy(text, file) gives (start_line, end_line, content) of each chunk."""
-    chunk = F.udf(lambda t, f: strategy(t or "", f or ""), "array<struct<start_line:int,end_line:int,content:string>>")
-    keep = [c for c in df.columns if c != text]
-    rows = df.select(*keep, F.explode(chunk(F.col(text), F.col(file).cast("string"))).alias("x")).select(*keep, "x.*")
-    return rows.withColumn("chunk_id", F.concat_ws(":", file, "start_line", "end_line"))
+def custom_chunks(df: DataFrame, file: str, text: str, strategy: Callable[[str, str], list[tuple[int, int, str]]], by_file: bool = False) -> DataFrame:
+    """Plug-in: strategy(text, file) gives (start_line, end_line, content) of each chunk.
+
+    A table function takes Arrow batches of the rows and gives chunks with the rows' other columns. by_file deals
+    all rows of a file to one task, for strategies that keep something between a file's rows; others need no
+    shuffle. Null texts are empty."""
+    keep, kinds = [c for c in df.columns if c != text], dict(df.dtypes)
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "start_line int", "end_line int", "content string"])
+
+    class Chunks:
+        def eval(self, batch: pa.RecordBatch):
+            texts, names = batch.column(text).to_pylist(), batch.column(file).to_pylist()
+            found = [(i, x) for i, (t, f) in enumerate(zip(texts, names, strict=True)) for x in strategy(t or "", "" if f is None else str(f))]
+            of = pa.array([i for i, _ in found], pa.int32())
+            columns = [batch.column(c).take(of) for c in keep]
+            columns += [pa.array([x[k] for _, x in found], kind) for k, kind in enumerate((pa.int32(), pa.int32(), pa.string()))]
+            yield pa.Table.from_arrays(columns, names=[*keep, "start_line", "end_line", "content"])
+
+    rows = df.asTable()
+    out = F.arrow_udtf(Chunks, returnType=schema)(rows.partitionBy(file) if by_file else rows)
+    return out.withColumn("chunk_id", F.concat_ws(":", file, "start_line", "end_line"))
 
 
 def resolve(hits: DataFrame, chunks: DataFrame, hit_id: str = "id") -> DataFrame:

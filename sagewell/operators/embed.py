@@ -44,6 +44,36 @@ def hash_embedder() -> Embedder:
     return embed
 
 
+def pooled_embedder(tokenize: Callable[[str], list[int]], token_model: Callable[[np.ndarray, np.ndarray], np.ndarray], max_tokens: int = 256, micro_batch: int = 32) -> Callable[[], Embedder]:
+    """A factory of embedders around a model of tokens: texts are cut to max_tokens, put together with others of
+    about their length in batches of micro_batch, and the vectors of their tokens are averaged and normalised.
+
+    tokenize(text) gives token numbers; token_model(ids, mask) takes matrices of texts x places and gives vectors
+    for every place, of which those outside the mask don't count. A text without tokens has the zero vector.
+    """
+
+    def factory() -> Embedder:
+        def embed(texts: list[str]) -> np.ndarray:
+            ids = [tokenize(t)[:max_tokens] for t in texts]
+            order, out = sorted(range(len(ids)), key=lambda i: len(ids[i])), None
+            for at in range(0, len(order), micro_batch):
+                some = order[at : at + micro_batch]
+                size = np.array([len(ids[i]) for i in some])
+                mask = np.arange(max(1, size.max())) < size[:, None]
+                padded = np.zeros(mask.shape, np.int64)
+                padded[mask] = [x for i in some for x in ids[i]]
+                total = (np.asarray(token_model(padded, mask), float) * mask[:, :, None]).sum(1)
+                mean = total / np.maximum(size, 1)[:, None]
+                out = np.zeros((len(texts), mean.shape[1])) if out is None else out
+                length = np.linalg.norm(mean, axis=1, keepdims=True)
+                out[some] = np.divide(mean, length, out=np.zeros_like(mean), where=length > 0)
+            return np.zeros((0, 0)) if out is None else out
+
+        return embed
+
+    return factory
+
+
 _factories: dict[str, Callable[[], Embedder]] = {"hash": hash_embedder}
 
 

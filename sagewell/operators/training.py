@@ -64,9 +64,9 @@ def check_memories(rows: DataFrame) -> DataFrame:
     whole = F.size(missing) == 0
     faults = F.array_compact(
         F.array(
-            F.when(~whole, F.concat(F.lit("missing fields: "), F.array_join(missing, ", "))),
-            F.when(whole & ~F.col("type").isin(*TYPE_TOKENS), F.concat(F.lit("invalid type: "), "type")),
-            F.when(whole & (F.length("description") > 150), F.lit("description too long")),
+            F.when(~whole, F.concat(F.lit("absent: "), F.array_join(missing, ", "))),
+            F.when(whole & ~F.col("type").isin(*TYPE_TOKENS), F.concat(F.lit("unknown type: "), "type")),
+            F.when(whole & (F.length("description") > 150), F.lit("description over 150 letters")),
         )
     )
     return rows.select("line", F.explode(faults).alias("fault"))
@@ -76,16 +76,16 @@ def check_code_pairs(rows: DataFrame) -> DataFrame:
     """One row per fault of code examples (line, language, code, description)."""
     missing = F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in ("language", "code", "description")]))
     whole = F.size(missing) == 0
-    faults = F.array_compact(F.array(F.when(~whole, F.concat(F.lit("missing fields: "), F.array_join(missing, ", "))), F.when(whole & (F.length("code") < 20), F.lit("code too short")), F.when(whole & (F.length("description") < 10), F.lit("description too short"))))
+    faults = F.array_compact(F.array(F.when(~whole, F.concat(F.lit("absent: "), F.array_join(missing, ", "))), F.when(whole & (F.length("code") < 20), F.lit("code under 20 letters")), F.when(whole & (F.length("description") < 10), F.lit("description under 10 letters"))))
     return rows.select("line", F.explode(faults).alias("fault"))
 
 
 def check_temporal(rows: DataFrame) -> DataFrame:
     """One row per fault of temporal examples (line, query, candidates with temporal_relevance)."""
     few = F.coalesce(F.size("candidates"), F.lit(0)) < 2
-    own = F.array_compact(F.array(F.when(F.col("query").isNull(), F.lit("missing query")), F.when(few, F.lit("need at least 2 candidates"))))
+    own = F.array_compact(F.array(F.when(F.col("query").isNull(), F.lit("no query")), F.when(few, F.lit("fewer than two candidates"))))
     value = lambda c: c["temporal_relevance"]
-    each = F.transform(F.coalesce("candidates", F.array()), lambda c: F.when(value(c).isNull(), F.lit("missing temporal_relevance")).when(~value(c).between(0, 1), F.lit("temporal_relevance out of range")))
+    each = F.transform(F.coalesce("candidates", F.array()), lambda c: F.when(value(c).isNull(), F.lit("candidate without relevance")).when(~value(c).between(0, 1), F.lit("relevance outside 0 to 1")))
     return rows.select("line", F.explode(F.concat(own, F.array_compact(each))).alias("fault"))
 
 

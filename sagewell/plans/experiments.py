@@ -29,8 +29,12 @@ def synthetic(spark: SparkSession, documents: int = 500, clusters: int = 10, que
 
 
 def synthetic_experiment(spark: SparkSession, k: int = 10) -> DataFrame:
-    """Exact, inverted-file, graph and 4-bit search on synthetic clusters: metrics and overlap with exact."""
-    docs, asked = synthetic(spark)
+    return arms_experiment(*synthetic(spark), k)
+
+
+def arms_experiment(docs: DataFrame, asked: DataFrame, k: int = 10) -> DataFrame:
+    """Exact, inverted-file, graph and 4-bit search of docs (id, embedding, label) for a stated set of queries of
+    the same columns, rows of a query's label being relevant: metrics and overlap with exact search."""
     grades = asked.select(F.col("id").alias("query_id"), "label").join(docs.select("id", "label"), "label").select("query_id", "id", F.lit(2).alias("grade"))
     exact = knn.exact_topk(docs, asked, k, "id", "embedding")
     centroids = knn.kmeans_cells(docs, 16, 20, "id", "embedding")
@@ -121,7 +125,8 @@ def bm25_evaluation(docs: DataFrame, queries: DataFrame, gold: DataFrame, k: int
 
 
 def report(rows: DataFrame, place: str) -> DataFrame:
-    """Result rows as lines of a report: column names first, then values, by a numeric column; line and place."""
+    """Result rows as lines of a report and as JSON objects: column names first (no object), then values; line,
+    place (a numeric column) and object. Nulls are dashes in lines and absent in objects."""
     line = F.concat_ws("\t", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in rows.columns])
-    head = rows.sparkSession.createDataFrame([("\t".join(rows.columns), 0)], "line string, place int")
-    return head.union(rows.select(line, F.col(place).cast("int")))
+    head = rows.sparkSession.createDataFrame([("\t".join(rows.columns), 0, None)], "line string, place int, object string")
+    return head.union(rows.select(line, F.col(place).cast("int"), F.to_json(F.struct(*rows.columns))))

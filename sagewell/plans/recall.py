@@ -80,7 +80,8 @@ def consolidate(memories: DataFrame, vectors: DataFrame, items: DataFrame, now:
     and indexed again (rebuilt); nothing is written here.
 
     Associations use the vectors of the cycle before; decay sees what was just promoted; then the memories
-    that are left are embedded again and make the rows of the next index. A dry run says what would be
+    that are left make the rows of the next index: those promoted in this cycle, or without a vector, are embedded,
+    the others keep their vectors. A dry run says what would be
     promoted and what would go, and leaves memories and vectors as they are.
     """
     cfg = config or Config()
@@ -95,7 +96,10 @@ def consolidate(memories: DataFrame, vectors: DataFrame, items: DataFrame, now:
     linked = link(merged, pairs)
     gone = decay(linked)
     left = pinned(linked.join(gone.select("file"), "file", "left_anti"))
-    again = embed_texts(left.select(F.col("file").alias("id"), "body"), "body", embedder).select("id", "embedding")
-    counted = left.agg(F.count("*").alias("rows"))
+    # what was embedded before and wasn't promoted anew stays as it is; only the others are embedded
+    same = vectors.join(left.select(F.col("file").alias("id")), "id", "left_semi").join(new.select(F.col("file").alias("id")), "id", "left_anti").select("id", "embedding")
+    changed = left.select(F.col("file").alias("id"), "body").join(same.select("id"), "id", "left_anti")
+    again = same.unionByName(embed_texts(changed, "body", embedder).select("id", F.col("embedding").cast(dict(vectors.dtypes)["embedding"]).alias("embedding")))
+    counted, indexed = changed.agg(F.count("*").alias("rows")), left.agg(F.count("*").alias("rows"))
     log = promoted.union(pairs.select(F.lit("associate"), F.concat_ws(" ", "a", "b"))).union(gone.select(F.lit("decay"), "file"))
-    return {"memories": left, "vectors": again, "log": log, "rebuilt": counted.select(F.lit("embed").alias("action"), "rows").union(counted.select(F.lit("index"), "rows"))}
+    return {"memories": left, "vectors": again, "log": log, "rebuilt": counted.select(F.lit("embed").alias("action"), "rows").union(indexed.select(F.lit("index"), "rows"))}

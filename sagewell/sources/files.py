@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import fnmatch
 import re
 import uuid
-from pathlib import PurePosixPath
 from urllib.parse import unquote
 
 import yaml
@@ -13,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scoring import excluded
+from . import ignore
 
 MEMORY_TYPES = ("user", "feedback", "project", "reference")
 MEMORY_SCHEMA = "name string, description string, type string, created_at string, last_accessed string, access_count int, strength float, consolidated_from array<string>, source string, refs array<string>, body string"
@@ -99,26 +98,12 @@ def index_lines(memories: DataFrame) -> DataFrame:
     return memories.select(F.concat(F.lit("- ["), title, F.lit("]("), "file", F.lit(") — "), F.coalesce("description", F.lit(""))).alias("value"))
 
 
-def _ignored(path: str, rules: list[str]) -> bool:
-    """Whether ignore rules (later ones win, ! takes back) match a path or a folder above it."""
-    out = False
-    for rule in rules:
-        keep = rule.startswith("!")
-        pattern = rule.lstrip("!").rstrip("/")
-        parts = PurePosixPath(path).parts
-        if "/" in pattern.strip("/"):
-            hit = any(fnmatch.fnmatch("/".join(parts[:i]), pattern.strip("/")) for i in range(1, len(parts) + 1))
-        else:
-            hit = any(fnmatch.fnmatch(p, pattern.strip("/")) for p in parts)
-        out = not keep if hit else out
-    return out
-
-
-def read_code(spark: SparkSession, root: str, include: list[str] | None = None, exclude: list[str] | None = None, ignore_rules: list[str] | None = None) -> DataFrame:
+def read_code(spark: SparkSession, root: str, include: list[str] | None = None, exclude: list[str] | None = None, ignore_rules: list[str] | None = None, ignore_files: bool = True) -> DataFrame:
     """Text files below root: file (relative path) and content.
 
-    Hidden files, excluded segments and files that are no UTF-8 are left out; include globs, if given,
-    are the only ones kept. Spark lists and reads the files, so root may be any store it reads.
+    Hidden files, excluded segments, what ignore files in the tree (or ignore_rules, as if they stood in the root
+    before its own) leave out and files that are no UTF-8 aren't among them; include globs, if given, are the only
+    ones kept. Spark lists and reads the files, so root may be any store it reads.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = root.split("://")[-1].rstrip("/")
@@ -126,9 +111,13 @@ def read_code(spark: SparkSession, root: str, include: list[str] | None = None,
     named = files.withColumn("file", relative).where(~F.exists(F.split("file", "/"), lambda s: F.startswith(s, F.lit("."))))
     named = named.where(~excluded(F.col("file"), DEFAULT_EXCLUDES if exclude is None else exclude))
     if include:
-        named = named.where(F.udf(lambda p: any(fnmatch.fnmatch(p, g) or fnmatch.fnmatch(p.rsplit("/", 1)[-1], g) for g in include), "boolean")("file"))
-    if ignore_rules:
-        named = named.where(~F.udf(lambda p: _ignored(p, ignore_rules), "boolean")("file"))
+        globs = F.array(*[F.lit(g) for g in include])
+        named = named.where(F.exists(F.transform(globs, lambda g: ignore.glob_regex(F.when(F.contains(g, F.lit("/")), g).otherwise(F.concat(F.lit("**/"), g)))), lambda r: F.rlike(F.col("file"), r)))
+    lines = spark.createDataFrame([("", i - len(ignore_rules or []), x) for i, x in enumerate(ignore_rules or [])], "folder string, place int, line string")
+    if ignore_files:
+        lines = lines.unionByName(ignore.read_rules(spark, root))
+    if ignore_rules or ignore_files:
+        named = named.join(ignore.ignored(named.select("file"), ignore.parse_rules(lines)), "file", "left_anti")
     return named.where(F.is_valid_utf8(F.col("content").cast("string"))).select("file", F.col("content").cast("string").alias("content"))
 
 
