@@ -252,7 +252,7 @@ def test_training_examples(spark):
     reply = "text\n```json\n{\"a\":1}\nnot json\n[2]\n```\n{\"b\":2}\n  {broken\n"
     assert spark.createDataFrame([(reply,)], "t string").select(training.objects_in_response(F.col("t"))).first()[0] == ['{"a":1}', "[2]", '{"b":2}']
     rows = spark.createDataFrame([(1, None, None), (2, "q", [(0.5,), (1.5,), (None,)])], "line int, query string, candidates array<struct<temporal_relevance:double>>")
-    assert sorted((r["line"], r["fault"]) for r in training.check_temporal(rows).collect()) == [(1, "no query"), (1, "fewer than two candidates"), (2, "candidate without relevance"), (2, "relevance outside 0 to 1")]
+    assert sorted((r["line"], r["fault"]) for r in training.check_temporal(rows).collect()) == [(1, "fewer than two candidates"), (1, "no query"), (2, "candidate without relevance"), (2, "relevance outside 0 to 1")]
     pairs = spark.createDataFrame([(1, "rust", "x", "short"), (2, "go", "y" * 20, "long enough"), (3, None, "y", "d")], "line int, language string, code string, description string")
     assert sorted((r["line"], r["fault"]) for r in training.check_code_pairs(pairs).collect()) == [(1, "code under 20 letters"), (1, "description under 10 letters"), (3, "absent: language")]
     batch = spark.createDataFrame([(0, i, v, v) for i, v in enumerate([[1.0, 0.0], [0.0, 1.0]])], "batch int, pos int, anchor array<double>, positive array<double>")
