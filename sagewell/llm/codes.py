@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 from .common import map_arrow, materialise
 
 PARTS, ENTRIES, ROUNDS, SCALE = 16, 64, 2, 256
-#: Scaled components beyond this count as this, so that squared distances stay whole numbers of 64 bits.
-LIMIT = 1 << 24
 #: Vectors of a block, and components that a block may hold.
 BLOCK_ROWS, BLOCK_SIZE = 4096, 1 << 22
 #: Vectors whose distances to a codebook are held at once.
@@ -23,11 +21,17 @@ ROWS_AT_ONCE = 1024
 FAN_IN = 32
 
 
+def largest(width: int) -> int:
+    """Scaled components beyond this count as this, so that squared distances are whole numbers of 64 bits: 2**27
+    for 64 components."""
+    return min(math.isqrt((1 << 62) // width) // 2, (1 << 31) - 1)
+
+
 def scaled(column: pa.Array, width: int, scale: int) -> np.ndarray:
     """Whole numbers of a column of vectors, a row for each component; the last parts are filled up with zeros."""
     m = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
     out = np.zeros((width, len(m)), np.int32)
-    out[: m.shape[1]] = np.clip(np.floor(m * scale), -LIMIT, LIMIT).T
+    out[: m.shape[1]] = np.clip(np.floor(m * scale), -largest(width), largest(width)).T
     return out
 
 
@@ -108,7 +112,7 @@ def compress(vectors: DataFrame, parts: int = PARTS, entries: int = ENTRIES, rou
     nearest entry, of equal ones the first, and entries become the floor of their vectors' mean; entries that
     nothing is near to stay. Vectors that are null, empty, hold nulls or components that are not finite, or have
     another length than the first one kept, have no code and are dropped. Where the length is no multiple of
-    `parts`, zeros fill it up. Scaled components beyond 2**24 count as 2**24. error is a vector's squared distance,
+    `parts`, zeros fill it up. Scaled components beyond largest() count as that. error is a vector's squared distance,
     label_error the sum of errors over equal labels, nulls (or no label column) being one label. Repeated rows give
     repeated rows; an empty table gives none; other columns are ignored.
 

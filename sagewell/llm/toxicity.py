@@ -78,7 +78,8 @@ def grade_by_density(toxic: int, hits: int, words: int) -> int:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 20_000, max_features: int = 20_000, least_rows: int = 3, least_statistic: float = 10.0) -> OrdinalModel:
-    """Fit on at most max_rows labelled rows, those with the smallest hash of their id.
+    """Fit on at most max_rows labelled rows, those with the smallest hash of their id; where documents repeat ids so
+    often that they have more rows than that, equal rows count once and those with the smallest hash of id and text stay.
 
     Features are chosen on the cluster: how many toxic and other sample rows hold each, then the
     max_features with the largest likelihood ratio statistic, of those that reach least_statistic. Only the chosen features of the sample
@@ -118,7 +119,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), *(pa.array([c[i] for c in found.values()], pa.int64()) for i in (0, 1))], names=["f", "n0", "n1"])
 
-    rows = materialise(rows, "labelled")  # read twice
+    rows = bounded_rows(materialise(rows, "labelled"), max_rows)  # read twice
     sums = map_arrow(rows, counts, "f binary, n0 bigint, n1 bigint").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     sums = materialise(sums.where(F.col("n0") + F.col("n1") >= least_rows), "features")
     # no word is empty: this stands for every sample row that documents have, repeated ones too
@@ -156,6 +157,19 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return OrdinalModel({f: float(w[i]) for f, i in feature.items() if abs(w[i]) > 1e-4}, theta.tolist())
 
 
+def bounded_rows(rows: DataFrame, max_rows: int) -> DataFrame:
+    """rows (id, text) of a written table as they are, or of more than max_rows at most so many: each once, and those
+    with the smallest hash. Only hashes are sorted, and one comes to the driver."""
+    if rows.count() <= max_rows:
+        return rows
+    one = rows.withColumn("h", F.xxhash64("id", "text")).dropDuplicates(["h", "id", "text"])
+    one = materialise(one, "labelled-once")
+    last = one.select("h").orderBy("h").limit(max_rows + 1).agg(F.max("h").alias("h"), F.count("*").alias("n")).first()
+    if last["n"] > max_rows:
+        one = one.where(F.col("h") < last["h"])
+    return one.drop("h")
+
+
 def score(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text", reject_at: float = REJECT_AT) -> DataFrame:
     """doc_id, score, expected_severity, grade and toxic (expected severity of reject_at or more).
 

@@ -13,6 +13,8 @@ COLUMNS = {
     "op6_spherical_caps": "vec_id n_links component_id kept",
     "op7_hypergeometric_shards": "doc_id size text_crc32 law shard slot grown_shard",
     "op8_simhash_golay": "doc_id fingerprint component_id",
+    "op11_vector_codes": "vec_id code error label_error codebooks_sha256",
+    "op13_sentencepiece_agenda": "doc_id n_tokens ids_sha256 decoded_sha256",
     "op9_license_scan": "doc_id n_words n_base first_word last_word base_labels labels score",
 }
 
@@ -33,5 +35,5 @@ def test_sql(spark, sf_dir, name):
 def test_columns_and_rows(spark, sf_dir, name):
     df = registry.QUERIES[name](spark, sf_dir)
     assert set(COLUMNS[name].split()) <= set(df.columns)
-    source = {"op3": "pages", "op6": "embeddings"}.get(name.split("_")[0], "documents")
+    source = {"op3": "pages", "op6": "embeddings", "op11": "embeddings"}.get(name.split("_")[0], "documents")
     assert df.count() == spark.read.parquet(f"{sf_dir}/{source}.parquet").count()
