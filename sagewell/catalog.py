@@ -945,6 +945,28 @@ def bm25_evaluation(spark, sf_dir):
     return experiments.bm25_evaluation(sessions, asked, gold, 5).select("n", "found", *(F.round(c, 6).alias(c) for c in ("recall", "low", "high")))
 
 
+_ASKED_SESSIONS = """d AS (SELECT conv_id AS id, regexp_extract_all(lower(coalesce(string_agg(text, ' ' ORDER BY turn) FILTER (role = 'user'), '')), '[\\p{L}\\p{N}_]+') AS w FROM conversations GROUP BY 1),
+z AS (SELECT count(*) AS n, avg(len(w)) AS m FROM d), x AS (SELECT id, len(w) AS dl, unnest(w) AS term FROM d), f AS (SELECT id, dl, term, count(*) AS tf FROM x GROUP BY 1, 2, 3), e AS (SELECT term, count(*) AS df FROM f GROUP BY 1),
+qq AS (SELECT conv_id AS q, unnest(regexp_extract_all(lower(arg_min(text, turn)), '[\\p{L}\\p{N}_]+')) AS term FROM conversations WHERE role = 'user' AND conv_id % 20 = 0 GROUP BY 1), q AS (SELECT q, term, count(*) AS qf FROM qq GROUP BY 1, 2),
+s AS (SELECT q, id, round(sum(qf * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / m))), 9) AS score FROM q JOIN f USING (term) JOIN e USING (term), z GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, id) AS rank FROM s)"""
+
+
+@query(f"""WITH {_ASKED_SESSIONS}, t AS (SELECT conv_id AS id, CASE WHEN conv_id % 3 > 0 THEN '[Date: 2024-01-0' || (conv_id % 3) || ']' || chr(10) ELSE '' END || string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id),
+a AS (SELECT DISTINCT conv_id FROM conversations WHERE role = 'user' AND conv_id % 20 = 0)
+SELECT conv_id::VARCHAR AS question_id, md5(coalesce(string_agg(text, chr(10) ORDER BY rank), '')) AS digest, coalesce(string_agg(id::VARCHAR, ',' ORDER BY rank), '') AS ids, coalesce(bool_or(id = conv_id), false) AS retrieval_hit FROM a LEFT JOIN (SELECT * FROM r JOIN t USING (id) WHERE rank <= 3) ON q = conv_id GROUP BY conv_id""")
+def question_contexts(spark, sf_dir):
+    """What readers of questions get: dated transcripts of the three best sessions by BM25."""
+    day = F.when(F.col("conv_id") % 3 > 0, F.concat(F.lit("2024-01-0"), (F.col("conv_id") % 3).cast("string")))
+    sessions = _sessions(spark, sf_dir).select("conv_id", F.col("conv_id").alias("session_id"), "turns", day.alias("date"))
+    asked = _first_turns(spark, sf_dir).select(F.col("conv_id").alias("query_id"), "text")
+    hits = lexical.bm25_topk(sessions.select(F.col("conv_id").alias("doc_id"), files.user_text().alias("text")), asked, 3)
+    none = F.lit(None).cast("string")
+    queries = asked.select("query_id", none.alias("question_type"), F.col("text").alias("question"), none.alias("question_date"), none.alias("answer"), F.array(F.col("query_id").cast("string")).alias("gold_ids"))
+    rows = experiments.context_rows(queries, hits, sessions)
+    return rows.select("question_id", F.md5(F.array_join("retrieved_context", "\n")).alias("digest"), F.array_join("retrieved_session_ids", ",").alias("ids"), "retrieval_hit")
+
+
 @query()
 def latency_scaling(spark, sf_dir):
     """Seconds of searches over growing parts of the embeddings: rows, arm, queries, seconds."""

@@ -82,6 +82,18 @@ def register_embedder(name: str, factory: Callable[[], Embedder]) -> None:
     _factories[name] = factory
 
 
+#: Names that settings of old have for embedders (fixed values).
+OLD_NAMES = {"all-MiniLM-L6-v2": "sentence-transformers/all-MiniLM-L6-v2"}
+
+
+def embedder_name(name: str) -> str:
+    return OLD_NAMES.get(name, name)
+
+
+def known_embedder(name: str) -> bool:
+    return embedder_name(name) in _factories
+
+
 def embed_texts(df: DataFrame, text: str, embedder: str = "hash", out: str = "embedding", batch: int = 256) -> DataFrame:
     """Adds an embedding column; batches of texts pass through the embedder. Null texts are empty."""
     if embedder not in _factories:

@@ -54,11 +54,17 @@ def within_budget(ranked: DataFrame, size: str, budget: int, min_results: int) -
     return sums.where(fits).drop("n")
 
 
-def expand_references(accepted: DataFrame, memories: DataFrame, lines: DataFrame | None = None, most: int = 3, max_chars: int = 480) -> DataFrame:
+def cut_bytes(text: Column, most: int) -> Column:
+    """A text of at most `most` bytes as it is, else as many whole letters as they hold, and three dots."""
+    head = F.regexp_replace(F.make_valid_utf8(F.substring(F.encode(text, "UTF-8"), 1, most).cast("string")), "\uFFFD+$", "")
+    return F.when(F.octet_length(text) > most, F.concat(head, F.lit("..."))).otherwise(text)
+
+
+def expand_references(accepted: DataFrame, memories: DataFrame, lines: DataFrame | None = None, most: int = 3, max_bytes: int = 480) -> DataFrame:
     """One hop along the first references of accepted memories.
 
     accepted: query_id, file, refs; memories: file, type, name, body; lines: file, line_no, line. A
-    reference to a memory gives its row, one to a code span its lines, cut to max_chars. Dangling
+    reference to a memory gives its row, one to a code span its lines, cut to max_bytes (of UTF-8, before a letter that they would split). Dangling
     references give nothing. Score is zero, the description says through which memory.
     """
     hops = accepted.select("query_id", F.col("file").alias("via"), F.posexplode("refs").alias("pos", "ref")).where(F.col("pos") < most)
@@ -71,6 +77,6 @@ def expand_references(accepted: DataFrame, memories: DataFrame, lines: DataFrame
     got = spans.join(lines, "file").where(F.col("line_no").between(F.col("s"), F.col("e")))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n")
     bodies = got.groupBy("query_id", "via", "pos", "ref").agg(text.alias("body"))
-    cut = F.when(F.length("body") > max_chars, F.concat(F.left("body", F.lit(max_chars)), F.lit("..."))).otherwise(F.col("body"))
+    cut = cut_bytes(F.col("body"), max_bytes)
     code = bodies.select("query_id", "via", "pos", "ref", F.lit("ref").alias("type"), F.col("ref").alias("name"), described, cut.alias("body"), F.lit(0.0).alias("score"))
     return out.unionByName(code)

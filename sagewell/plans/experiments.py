@@ -13,6 +13,7 @@ from ..functions.tables import pinned
 from ..functions.vectors import cosine
 from ..operators import embed, knn, lexical, metrics, quantize
 from ..operators.rerank import rerank
+from ..sources.files import transcript
 
 #: Ages in days of the newest version and of the two older ones; words dropped from these.
 FRESH_AGE, STALE = 1.0, {"mid": (90.0, 20), "old": (180.0, 10)}
@@ -130,3 +131,20 @@ def report(rows: DataFrame, place: str) -> DataFrame:
     line = F.concat_ws("\t", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in rows.columns])
     head = rows.sparkSession.createDataFrame([("\t".join(rows.columns), 0, None)], "line string, place int, object string")
     return head.union(rows.select(line, F.col(place).cast("int"), F.to_json(F.struct(*rows.columns))))
+
+
+def context_rows(queries: DataFrame, hits: DataFrame, sessions: DataFrame) -> DataFrame:
+    """What a reader of each question gets, for JSON lines: question_id, question_type, question, question_date,
+    retrieved_context, retrieved_session_ids, gold_answer, gold_session_ids, retrieval_hit.
+
+    queries: query_id, question_type, question, question_date, answer, gold_ids; hits: query_id, id, rank (a bounded
+    number for each question); sessions: session_id, turns, date. Contexts are whole transcripts with their dates, in
+    order of rank; sessions that aren't there are no context, but stay among the ids. A question without hits has
+    empty lists."""
+    told = sessions.select(F.col("session_id").alias("id"), transcript("turns", "date").alias("text"))
+    listed = hits.join(told, "id", "left").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "id", "text"))).alias("hits"))
+    ids = F.coalesce(F.transform("hits", lambda h: h["id"].cast("string")), F.array().cast("array<string>"))
+    texts = F.coalesce(F.transform(F.filter("hits", lambda h: h["text"].isNotNull()), lambda h: h["text"]), F.array().cast("array<string>"))
+    gold = F.coalesce("gold_ids", F.array().cast("array<string>"))
+    rows = queries.join(listed, "query_id", "left")
+    return rows.select(F.col("query_id").cast("string").alias("question_id"), "question_type", "question", "question_date", texts.alias("retrieved_context"), ids.alias("retrieved_session_ids"), F.col("answer").alias("gold_answer"), gold.alias("gold_session_ids"), F.arrays_overlap(ids, gold).alias("retrieval_hit"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scoring import age_days, attention_score, calibrate
 from ..operators.chunking import paragraph_chunks
-from ..operators.embed import embed_texts
+from ..operators.embed import embed_texts, embedder_name, known_embedder
 from ..operators.knn import exact_topk
 from ..functions.tables import pinned
 from ..operators.lifecycle import associate_all, containing, decay_candidates, inbox, link, promote
@@ -42,7 +42,7 @@ def recall(queries: DataFrame, memories: DataFrame, memory_vectors: DataFrame, n
     kept = within_budget(full, "size", cfg.get("recall.budget"), cfg.get("recall.min_results"))
     out = kept.select("query_id", "rank", F.lit(0).alias("hop"), F.col("id").alias("file"), "type", "name", "description", "body", F.col("final_score").alias("score"))
     if cfg.get("recall.expand_refs"):
-        hops = expand_references(kept.select("query_id", F.col("id").alias("file"), "refs"), memories, most=cfg.get("recall.max_ref_expansions"), max_chars=cfg.get("consolidation.max_memory_tokens") * 4)
+        hops = expand_references(kept.select("query_id", F.col("id").alias("file"), "refs"), memories, most=cfg.get("recall.max_ref_expansions"), max_bytes=cfg.get("consolidation.max_memory_tokens") * 4)
         placed = hops.join(kept.select("query_id", F.col("id").alias("via"), "rank"), ["query_id", "via"])
         out = out.unionByName(placed.select("query_id", "rank", (F.col("pos") + 1).alias("hop"), F.col("ref").alias("file"), "type", "name", "description", "body", "score"))
     return out
@@ -63,6 +63,17 @@ def recall_text(queries: DataFrame, index: DataFrame) -> DataFrame:
     return hits.join(asked, "asked").drop("asked")
 
 
+def recall_asked(asked: DataFrame, index: DataFrame, memories: DataFrame, memory_vectors: DataFrame | None, now: str, config: Config | None = None, offline: bool = False, **rest) -> tuple[DataFrame, str]:
+    """recall() for texts (id, text) with the settings' embedder, or recall_text() where there is none: offline, with
+    the provider `none`, without vectors, or where the provider isn't registered. Says which in the second place."""
+    cfg = config or Config()
+    provider = cfg.get("embedding.provider")
+    if offline or provider == "none" or memory_vectors is None or not known_embedder(provider):
+        return recall_text(asked, index), "text"
+    vectors = embed_texts(asked, "text", embedder_name(provider)).select("id", "embedding")
+    return recall(vectors, memories, memory_vectors, now, config=cfg, **rest), "vectors"
+
+
 def learn(files: DataFrame, now: str, config: Config | None = None, embedder: str = "hash") -> dict[str, DataFrame]:
     """Chunks, their vectors, the space's profile and the inbox of files (file, content)."""
     cfg = config or Config()

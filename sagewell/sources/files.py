@@ -127,8 +127,10 @@ def user_text(turns: str = "turns") -> Column:
     return F.array_join(F.transform(said, lambda t: t["content"]), " ")
 
 
-def transcript(turns: str = "turns") -> Column:
-    return F.array_join(F.transform(turns, lambda t: F.concat(t["role"], F.lit(": "), t["content"])), "\n")
+def transcript(turns: str = "turns", date: str | None = None) -> Column:
+    """All turns of a session; with its date, where it has one, in a line before them."""
+    text = F.array_join(F.transform(turns, lambda t: F.concat(t["role"], F.lit(": "), t["content"])), "\n")
+    return text if date is None else F.concat(F.coalesce(F.concat(F.lit("[Date: "), F.col(date).cast("string"), F.lit("]\n")), F.lit("")), text)
 
 
 def answer_text(raw: Column) -> Column:

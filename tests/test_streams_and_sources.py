@@ -8,7 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from sagewell.operators import chunking, embed, lifecycle
-from sagewell.plans import recall
+from sagewell.operators.rerank import cut_bytes
+from sagewell.plans import experiments, recall
+from sagewell.plans.config import Config
 from sagewell.sources import files, ignore
 from sagewell.streaming import inbox as stream
 
@@ -122,3 +124,33 @@ def test_consolidation_embeds_only_what_is_new(spark):
     assert sorted(map(tuple, done["rebuilt"].collect())) == [("embed", 2), ("index", 3)]
     vectors = {r["id"]: r["embedding"] for r in done["vectors"].collect()}
     assert len(vectors) == 3 and vectors["user_a.md"] == [1.0, 0.0] and len(vectors["user_b.md"]) == 256
+
+
+def test_bytes_are_cut_between_letters(spark):
+    texts = ["short", "x" * 20, "ééééééé", "漢字漢字漢字", "🙂🙂🙂🙂", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for most in (5, 8, 11):
+        for r in df.select("t", cut_bytes(F.col("t"), most).alias("c")).collect():
+            raw = (r["t"] or "").encode()
+            want = r["t"] if len(raw) <= most else raw[:most].decode("utf-8", "ignore") + "..."
+            assert r["c"] == want
+
+
+def test_context_rows(spark):
+    turns = [("user", "hello"), ("assistant", "hi")]
+    sessions = spark.createDataFrame([("s1", turns, "2024-01-01"), ("s2", turns[:1], None)], "session_id string, turns array<struct<role:string,content:string>>, date string")
+    queries = spark.createDataFrame([("q1", "kind", "what", None, "ans", ["s1"]), ("q2", None, "who", "d", None, None)], "query_id string, question_type string, question string, question_date string, answer string, gold_ids array<string>")
+    hits = spark.createDataFrame([("q1", "s2", 1), ("q1", "s1", 2), ("q1", "lost", 3)], "query_id string, id string, rank int")
+    got = {r["question_id"]: r for r in experiments.context_rows(queries, hits, sessions).collect()}
+    assert got["q1"]["retrieved_context"] == ["user: hello", "[Date: 2024-01-01]\nuser: hello\nassistant: hi"]
+    assert got["q1"]["retrieved_session_ids"] == ["s2", "s1", "lost"] and got["q1"]["retrieval_hit"]
+    assert got["q2"]["retrieved_context"] == [] and not got["q2"]["retrieval_hit"] and got["q2"]["gold_session_ids"] == []
+
+
+def test_recall_without_an_embedder_is_by_text(spark):
+    asked = spark.createDataFrame([("q", "apple")], "id string, text string")
+    index = spark.createDataFrame([("Apple pie", "a.md", "x"), ("pear", "b.md", "y")], "title string, file string, summary string")
+    for how in ({"offline": True}, {"config": Config({"embedding": {"provider": "none"}})}, {"config": Config({"embedding": {"provider": "all-MiniLM-L6-v2"}})}, {}):
+        rows, mode = recall.recall_asked(asked, index, None, None, "2024-01-01", **how)
+        assert mode == "text" and [r["file"] for r in rows.collect()] == ["a.md"]
+    assert embed.embedder_name("all-MiniLM-L6-v2") == "sentence-transformers/all-MiniLM-L6-v2" and embed.known_embedder("hash")
