@@ -17,7 +17,7 @@ from .operators import celltree, chunking, embed, knn, lexical, lifecycle, metri
 from .operators.postings import PostingsIndex
 from .plans import experiments
 from .plans import recall as plans
-from .sources import files, ignore
+from .sources import files, ignore, packed
 from .streaming.inbox import windowed_activity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -328,12 +328,49 @@ def paragraph_spans(spark, sf_dir):
     return rows.select("doc_id", F.col("x.s").cast("int").alias("s"), F.col("x.e").cast("int").alias("e"))
 
 
-@query()
-def paragraph_chunks(spark, sf_dir):
-    c = chunking.paragraph_chunks(_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", 6, 1, 2)
+def _paragraphs_sql(text: str, most: int = 6, overlap: int = 2) -> str:
+    """Runs of lines that aren't blank, then one after the other: a long run ends what was gathered and is cut into
+    windows, a run that still fits is gathered, another one begins anew."""
+    cut = f"list_transform(range(0, greatest(ceil((e - s + 1 - {most}) / {most - overlap})::INT, 0) + 1), lambda i: {{{{'s': s + i * {most - overlap}, 'e': least(s + i * {most - overlap} + {most - 1}, e)}}}})"
+    return f"""WITH RECURSIVE l AS MATERIALIZED (SELECT doc_id, CASE WHEN length(coalesce(t, '')) = 0 THEN [] ELSE string_split(regexp_replace(t, '\\n$', ''), chr(10)) END AS l FROM (SELECT doc_id, {text} AS t FROM documents)),
+x AS (SELECT doc_id, unnest(range(0, len(l))) AS i, unnest(l) AS t FROM l), f AS (SELECT doc_id, i, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS g FROM x WHERE trim(regexp_replace(t, '\\s+', ' ', 'g')) <> ''),
+p AS MATERIALIZED (SELECT doc_id, s, e, row_number() OVER (PARTITION BY doc_id ORDER BY s) AS k FROM (SELECT doc_id, min(i) AS s, max(i) AS e FROM f GROUP BY doc_id, g)),
+r AS (SELECT doc_id, 0::BIGINT AS k, -1::BIGINT AS bs, -1::BIGINT AS be, [] ::STRUCT(s BIGINT, e BIGINT)[] AS w FROM l UNION ALL
+SELECT doc_id, p.k, CASE WHEN e - s + 1 > {most} THEN -1 WHEN bs >= 0 AND e - bs + 1 <= {most} THEN bs ELSE s END, CASE WHEN e - s + 1 > {most} THEN -1 ELSE e END,
+CASE WHEN e - s + 1 > {most} THEN list_concat(CASE WHEN bs >= 0 THEN list_append(w, {{{{'s': bs, 'e': be}}}}) ELSE w END, {cut}) WHEN bs >= 0 AND e - bs + 1 > {most} THEN list_append(w, {{{{'s': bs, 'e': be}}}}) ELSE w END FROM r JOIN p USING (doc_id) WHERE p.k = r.k + 1),
+z AS (SELECT doc_id, unnest(CASE WHEN bs >= 0 THEN list_append(w, {{{{'s': bs, 'e': be}}}}) ELSE w END) AS w FROM (SELECT doc_id, arg_max(bs, k) AS bs, arg_max(be, k) AS be, arg_max(w, k) AS w FROM r GROUP BY doc_id))
+SELECT doc_id, (w.s + 1)::INT AS start_line, (w.e + 1)::INT AS end_line, md5(array_to_string(l[w.s + 1 : w.e + 1], chr(10))) AS digest FROM z JOIN l USING (doc_id)""".replace("{{", "{").replace("}}", "}")
+
+
+def _paragraph_chunks(rows):
+    c = chunking.paragraph_chunks(rows, "doc_id", "text", 6, 1, 2)
     return c.select("doc_id", "start_line", "end_line", F.md5("content").alias("digest"))
 
 
+@query(_paragraphs_sql("text"))
+def paragraph_chunks(spark, sf_dir):
+    return _paragraph_chunks(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query(_paragraphs_sql("replace(replace(text, ', ', chr(10)), '. ', chr(10) || chr(10))"))
+def paragraph_merges(spark, sf_dir):
+    """The same where sentences are paragraphs and their parts lines, so that paragraphs merge and are cut."""
+    lines = F.replace(F.replace("text", F.lit(", "), F.lit("\n")), F.lit(". "), F.lit("\n\n"))
+    return _paragraph_chunks(_table(spark, sf_dir, "documents").select("doc_id", lines.alias("text")))
+
+
+@query("SELECT 'v' || vec_id AS file, vec_id * 1000003 - 7 AS hash, round(embedding[1]::DOUBLE, 6) + 0.0 AS first, round(embedding[64]::DOUBLE, 6) + 0.0 AS last FROM embeddings")
+def packed_files(spark, sf_dir):
+    """Embeddings written as packed store files, one for each task, and read back."""
+    spark.dataSource.register(packed.PackedVectors)
+    rows = _table(spark, sf_dir, "embeddings").select(F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("file"), (F.col("vec_id") * 1000003 - 7).alias("hash"), F.col("embedding").cast("array<float>").alias("embedding"))
+    at = new_folder(spark, "packed")
+    rows.repartition(4).write.format("packed_vectors").option("kind", "store").mode("append").save(at)
+    back = spark.read.format("packed_vectors").option("kind", "store").load(at)
+    part = lambda i: F.round(F.get("embedding", F.lit(i)).cast("double"), 6) + 0.0
+    return back.select("file", "hash", part(0).alias("first"), part(63).alias("last"))
+
+
 @query("""WITH i AS (SELECT page_id, concat_ws(':', url, page_id, CASE WHEN page_id % 3 = 0 THEN 'x' ELSE (page_id + 9)::VARCHAR END) AS ident FROM pages)
 SELECT page_id, nullif(regexp_extract(ident, '^(.*):(\\d+):(\\d+)$', 1), '') AS file, nullif(regexp_extract(ident, '^(.*):(\\d+):(\\d+)$', 2), '')::INT AS start_line, nullif(regexp_extract(ident, '^(.*):(\\d+):(\\d+)$', 3), '')::INT AS end_line FROM i""")
 def chunk_id_parse(spark, sf_dir):
