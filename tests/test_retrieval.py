@@ -203,3 +203,21 @@ def test_graph_index_upkeep(spark, tmp_path):
     assert len(got & truth) >= 0.9 * len(truth)
     with pytest.raises(Exception, match="another length"):
         index.insert(spark.createDataFrame([(999, [1.0])], "vec_id int, embedding array<double>"))
+    # links are kept: nodes that stayed have those of before and perhaps new ones, and removed ones are nodes without ids
+    before = {(r["shard"], r["node"]): r for r in index.nodes().collect()}
+    assert any(r["id"] is None for r in before.values())
+    index.insert(spark.createDataFrame([(1000, [0.5] * 16)], "vec_id int, embedding array<double>"))
+    after = {(r["shard"], r["node"]): r for r in index.nodes().collect()}
+    assert len(after) == len(before) + 1 and all(after[n]["id"] == r["id"] and after[n]["vector"] == r["vector"] for n, r in before.items())
+    index.remove(df.where("vec_id >= 20").select("vec_id"))
+    assert sorted(r["vec_id"] for r in index.rows().collect()) == [i for i in range(20) if i % 10 != 3] + [1000]
+    assert index.nodes().count() < len(after)  # graphs with more removed than other nodes are built anew
+    assert {r["id"] for r in index.search(asked.limit(1), 50).collect()} == {r["vec_id"] for r in index.rows().collect()}
+
+
+def test_graph_index_of_nothing(spark, tmp_path):
+    df = clustered(spark).where("embedding is not null")
+    index = knn.GraphIndex.build(df.limit(0), str(tmp_path / "g"))
+    assert index.search(df.limit(0), 3).collect() == []
+    index.insert(df.where("vec_id < 3"))
+    assert len(index) == 3 and index.search(df.where("vec_id = 1"), 1).first()["id"] == 1
