@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scoring import decays, slugify
-from ..functions.tables import pinned
 from .chunking import lines
 from .knn import exact_topk
 from .simjoin import BUCKET_ROWS, near_neighbours

@@ -14,7 +14,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from ..functions import rotation as turn
 from ..functions import vectors as kernels
 from ..functions.scoring import BOUNDARIES, CENTROIDS
-from .knn import QUERIES_AT_ONCE, QUERIES_PER_BLOCK, ROWS_AT_ONCE, _best, _matrix, _query_blocks, _rows, _slices, _unit, ranked
+from .knn import QUERIES_AT_ONCE, QUERIES_PER_BLOCK, ROWS_AT_ONCE, _best, _query_blocks, _rows, _slices, _unit, ranked
 
 
 @functools.lru_cache(maxsize=8)

@@ -17,6 +17,7 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 from pyarrow import fs
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
@@ -69,7 +70,7 @@ def packed(kind: str, rows: list) -> bytes:
         centroids = sorted((r["cell"], r["embedding"]) for r in rows if r["id"] is None)
         if [c for c, _ in centroids] != list(range(len(centroids))) or any(not 0 <= r["cell"] < len(centroids) for r in rows):
             raise ValueError("an index's centroids and rows must be in one partition")
-        return binary.cells_bytes(_matrix([v for _, v in centroids]), [(r["id"], r["cell"], r["embedding"]) for r in rows if r["id"] is not None], params["n_probe"], params["iterations"])
+        return binary.cells_bytes(np.array([v for _, v in centroids], np.float32), [(r["id"], r["cell"], r["embedding"]) for r in rows if r["id"] is not None], params["n_probe"], params["iterations"])
     if kind == "graph":
         nodes = sorted(rows, key=lambda r: r["node"])
         if [r["node"] for r in nodes] != list(range(len(nodes))):
@@ -78,12 +79,6 @@ def packed(kind: str, rows: list) -> bytes:
     return binary.compressed_bytes(params, [{c: r[c] for c in ("file", "hash", "norm", "packed", "residual_norm", "signs")} for r in rows])
 
 
-def _matrix(vectors: list):
-    import numpy as np
-
-    return np.array(vectors, np.float32)
-
-
 @dataclass
 class File(InputPartition):
     path: str
