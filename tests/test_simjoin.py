@@ -43,8 +43,7 @@ def test_bands_reach_the_recall_they_promise(spark, threshold, noise):
     assert simjoin.plan_bands(len(rows), threshold, 0.97, 64)[0] > 3
     got, want = found(spark, rows, threshold, 6, bucket_rows=64), brute(rows, threshold, 6)
     assert len(got & want) / len(want) >= 0.95
-    near = {(i, j) for i, j in got if j in {b for a, b in brute(rows, threshold, 1500) if a == i}}
-    assert got == near  # nothing below the threshold
+    assert got <= brute(rows, threshold, len(rows))  # nothing below the threshold
 
 
 def test_a_third_of_all_rows_are_copies_and_a_third_hardly_differ(spark):
