@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.tables import pinned
-from .knn import ROWS_AT_ONCE, _matrix, _slices, _unit, lloyd, nearest_cell, search_cells
+from .knn import ROWS_AT_ONCE, _matrix, _slices, _unit, lloyd, lloyd_on_cluster, nearest_cell, search_cells, search_listed
 
 #: Cells of the upper level, and of the lower level in each of them: no matrix is wider.
 MOST_CELLS = 4096
@@ -31,38 +31,6 @@ def _usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector")).where(F.col("vector").isNotNull() & (F.size("vector") > 0))
 
 
-def lloyd_on_cluster(rows: DataFrame, centroids: np.ndarray, iterations: int) -> np.ndarray:
-    """Rounds of cosine assignment and plain means over a table: each task sums its rows by cell, the sums of
-    tasks meet by cell, and only the centroids come to the driver. An empty cell keeps its centroid."""
-    width = centroids.shape[1]
-    for _ in range(iterations):
-        shared = rows.sparkSession.sparkContext.broadcast(centroids)
-
-        def add(batches, shared=shared):
-            c = shared.value
-            count, total = np.zeros(len(c), np.int64), np.zeros(c.shape)
-            for b in _slices(batches, ROWS_AT_ONCE):
-                m = _matrix(b.column(0), width)
-                cell = nearest_cell(m, c)
-                count += np.bincount(cell, minlength=len(c))
-                np.add.at(total, cell, m)
-            own = np.flatnonzero(count)
-            yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(count[own]), pa.array(total[own].tolist(), pa.list_(pa.float64()))], names=["cell", "n", "total"])
-
-        def merge(table: pa.Table) -> pa.Table:
-            total = np.array(table.column("total").to_pylist()).sum(0)
-            return pa.table([table.column("cell").slice(0, 1), pa.array([sum(table.column("n").to_pylist())]), pa.array([total.tolist()], pa.list_(pa.float64()))], names=["cell", "n", "total"])
-
-        sums = rows.select("vector").mapInArrow(add, "cell int, n bigint, total array<double>")
-        new = centroids.copy()
-        for r in sums.groupBy("cell").applyInArrow(merge, "cell int, n bigint, total array<double>").collect():
-            new[r["cell"]] = np.array(r["total"]) / r["n"]
-        if np.array_equal(new, centroids):
-            break
-        centroids = new
-    return centroids
-
-
 class CellTree:
     """Two levels of cells: `top`, a small matrix on the driver, and a table `fine` (top, place, centroid) with
     the cells of each upper cell, of which a large one has more. A cell's number is top * MOST_CELLS + place.
@@ -190,7 +158,33 @@ class CellTree:
 
     def search(self, cells: DataFrame, queries: DataFrame, k: int, n_probe: int = 10, n_top: int | None = None, exclude_self: bool = False) -> DataFrame:
         """The k best rows of `cells` (what assign() gave) in each query's probed cells: query_id, id, score, rank."""
-        return search_cells(cells, self.probes(queries, n_probe, n_top), k, self.id, self.vector, exclude_self)
+        if (listed := self._listed(queries, n_probe, n_top)) is None:
+            return search_cells(cells, self.probes(queries, n_probe, n_top), k, self.id, self.vector, exclude_self)
+        return search_listed(cells, listed, k, self.id, self.vector, exclude_self)
+
+    def _listed(self, queries: DataFrame, n_probe: int, n_top: int | None) -> DataFrame | None:
+        """probes() with a query's cells in a list, while the lower centroids are few enough to be broadcast."""
+        if not len(self.top) or (small := self._small()) is None:
+            return None
+        kinds, n_top = dict(queries.dtypes), min(n_top or max(1, math.ceil(math.sqrt(n_probe)) * 2), len(self.top))
+        asked = queries.select(F.col(self.id).alias("query_id"), F.col(self.vector).alias("q")).where("q is not null")
+        cells = np.concatenate([t * MOST_CELLS + np.arange(len(c)) for t, c in enumerate(small)])
+        shared = self.spark.sparkContext.broadcast((self.top, np.concatenate(small), cells))
+
+        def nearest(batches):
+            top, fine, cells = shared.value
+            of = cells // MOST_CELLS
+            for b in _slices(batches, 512):
+                q = _unit(_matrix(b.column(1), top.shape[1]))
+                best = np.argsort(-(q @ _unit(top).T), axis=1, kind="stable")[:, :n_top]
+                near, chosen = q @ _unit(fine).T, np.zeros((len(q), len(top)), bool)
+                np.put_along_axis(chosen, best, True, 1)
+                chosen = chosen[:, of]
+                order = np.argsort(np.where(chosen, -near, np.inf), axis=1, kind="stable")
+                lists = [cells[o[: min(n_probe, n)]].tobytes() for o, n in zip(order, chosen.sum(1).tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lists, pa.binary())], names=["query_id", "q", "cells"])
+
+        return asked.mapInArrow(nearest, f"query_id {kinds[self.id]}, q {kinds[self.vector]}, cells binary")
 
 
 def assign_top(rows: DataFrame, top: np.ndarray) -> DataFrame:

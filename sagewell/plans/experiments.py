@@ -36,15 +36,17 @@ def synthetic_experiment(spark: SparkSession, k: int = 10) -> DataFrame:
 def arms_experiment(docs: DataFrame, asked: DataFrame, k: int = 10) -> DataFrame:
     """Exact, inverted-file, graph and 4-bit search of docs (id, embedding, label) for a stated set of queries of
     the same columns, rows of a query's label being relevant: metrics and overlap with exact search."""
-    grades = asked.select(F.col("id").alias("query_id"), "label").join(docs.select("id", "label"), "label").select("query_id", "id", F.lit(2).alias("grade"))
-    exact = knn.exact_topk(docs, asked, k, "id", "embedding")
+    asked_labels, labels, n = asked.select(F.col("id").alias("query_id"), "label"), docs.select("id", "label"), asked.count()
+    exact = pinned(knn.exact_topk(docs, asked, k, "id", "embedding"))
     centroids = knn.kmeans_cells(docs, 16, 20, "id", "embedding")
     lossy = quantize.mse_quantize(docs, 4, id_col="id", decoded=True).select("id", F.col("decoded").alias("embedding"))
     arms = {"exact": exact, "ivf": knn.ivf_topk(knn.assign_cells(docs, centroids, "id", "embedding"), centroids, asked, k, 10, "id", "embedding"), "graph": knn.graph_topk(docs, asked, k, 2, "id", "embedding"), "4-bit": knn.exact_topk(lossy, asked, k, "id", "embedding")}
     out = None
-    for name, hits in arms.items():
-        m = metrics.summary(metrics.retrieval_metrics(hits, grades, k)).select(F.lit(name).alias("arm"), *(F.round(c, 4).alias(c) for c in ("precision", "mrr", "ndcg")))
-        same = hits.join(exact.select("query_id", "id"), ["query_id", "id"], "left_semi").agg((F.count("*") / (asked.count() * k)).alias("overlap"))
+    for name, found in arms.items():
+        hits = exact if name == "exact" else pinned(found)
+        held, totals = metrics.label_grades(hits, asked_labels, labels)
+        m = metrics.summary(metrics.retrieval_metrics(hits, held, k, totals)).select(F.lit(name).alias("arm"), *(F.round(c, 4).alias(c) for c in ("precision", "mrr", "ndcg")))
+        same = hits.join(exact.select("query_id", "id"), ["query_id", "id"], "left_semi").agg((F.count("*") / (n * k)).alias("overlap"))
         row = m.crossJoin(same)
         out = row if out is None else out.union(row)
     return out
