@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.tables import pinned
-from .knn import _best, _matrix, _slices, _unit, exact_topk
+from .knn import ROWS_AT_ONCE, Best, _best, _matrix, _slices, _unit, exact_topk
 
 #: Vectors that a bucket should hold on average, and more than which it is split.
 BUCKET_ROWS = 2048
@@ -20,6 +20,8 @@ SPARE_BITS = 20
 BANDS_AT_ONCE = 16
 #: Bands that the join may come to; more of them are an error, not an answer of less recall.
 MOST_BANDS = 1024
+#: Rows of a slice where all pairs are compared.
+EXACT_ROWS = 16_384
 #: Rows that are drawn to measure recall against exact search.
 DRAWN_ROWS = 200
 
@@ -118,7 +120,31 @@ def representatives(vectors: DataFrame, most: int, id_col: str = "vec_id", vecto
     return reps, rows.join(reps.select("vector", "rep"), "vector").select("id", "rep")
 
 
-def near_neighbours(vectors: DataFrame, threshold: float, neighbours: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", recall: float = 0.97, bucket_rows: int = BUCKET_ROWS, seed: int = 42) -> DataFrame:
+def _every_pair(reps: DataFrame, rows: int, threshold: float, most: int) -> DataFrame:
+    """The nearest of all others, exactly: rows are dealt to slices, and each pair of slices is a group."""
+    kind, slices = dict(reps.dtypes)["rep"], max(1, math.ceil(rows / EXACT_ROWS))
+    own = F.pmod(F.xxhash64("rep"), F.lit(slices)).cast("int")
+    dealt = reps.select("rep", "vector", own.alias("own"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("other"))
+
+    def work(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        low, high = (x.as_py() for x in key)
+        own, ids = table.column("own").to_numpy(), table.column("rep").combine_chunks()
+        m, out = _unit(_matrix(table.column("vector").combine_chunks())), []
+        for a, b in {(low, high), (high, low)}:
+            asking, others = np.flatnonzero(own == a), np.flatnonzero(own == b)
+            names = ids.take(pa.array(asking)).to_pylist()
+            best = Best(m[asking], most, ids.type, threshold)
+            for at in range(0, len(others) if names else 0, ROWS_AT_ONCE):
+                some = others[at : at + ROWS_AT_ONCE]
+                best.add(ids.take(pa.array(some)), m[some], names=np.array(names) if a == b else None)
+            out += best.batches(names, ids.type, ("id", "other", "score"))
+        return pa.Table.from_batches(out, pa.schema([("id", ids.type), ("other", ids.type), ("score", pa.float64())]))
+
+    pairs = dealt.select(F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "rep", "vector")
+    return pairs.groupBy("low", "high").applyInArrow(work, f"id {kind}, other {kind}, score double")
+
+
+def near_neighbours(vectors: DataFrame, threshold: float, neighbours: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", recall: float = 0.97, bucket_rows: int = BUCKET_ROWS, seed: int = 42, exact: bool = False) -> DataFrame:
     """Every row's nearest other rows of cosine >= threshold, `neighbours` at most: id, other, score; of equal
     scores the smaller ids come first.
 
@@ -128,7 +154,8 @@ def near_neighbours(vectors: DataFrame, threshold: float, neighbours: int = 10,
     group holds more than twice bucket_rows. The number of bands follows from the threshold and the number of
     rows; then recall is measured: up to DRAWN_ROWS drawn rows are searched exactly, and bands are added until
     `recall` of their neighbours are found. If MOST_BANDS don't reach it, that is an error. With bucket_rows
-    vectors or fewer there is one bucket and the answer is exact.
+    vectors or fewer there is one bucket and the answer is exact. With `exact` there are no bands: all pairs of
+    representatives are compared, in groups of two slices of EXACT_ROWS.
 
     Vectors of one length are expected. Rows with null ids or vectors that are null, empty, zero or not finite
     have no neighbours; of rows with equal ids the one with the smallest vector counts; an empty table gives none.
@@ -136,6 +163,8 @@ def near_neighbours(vectors: DataFrame, threshold: float, neighbours: int = 10,
     reps, members = representatives(vectors, neighbours, id_col, vector_col)
     rows = reps.count()
     kind = dict(reps.dtypes)["rep"]
+    if exact:
+        return _expanded(pinned(_nearest(_every_pair(reps, rows, threshold, neighbours), neighbours)), reps, members, neighbours)
     bits, bands = plan_bands(rows, threshold, recall, bucket_rows)
     if bands > MOST_BANDS:
         raise ValueError(f"{bands} bands are needed for recall {recall} at {threshold} among {rows} vectors: raise the threshold")

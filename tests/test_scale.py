@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sagewell.operators import knn
+from sagewell.operators import knn, lifecycle, simjoin
 
 SCHEMA = "vec_id bigint, embedding array<double>"
 
@@ -21,3 +21,33 @@ def test_cells_are_fitted_on_all_rows(spark):
     m = np.random.default_rng(3).standard_normal((100_200, 2)) + [0.5, 0]
     df = spark.createDataFrame(spark.sparkContext.parallelize([(i, x) for i, x in enumerate(m.tolist())], 4), SCHEMA)
     assert np.allclose(knn.kmeans_cells(df, 5, 3), knn.lloyd(m, m[:5], 3), atol=1e-12, rtol=0)
+
+
+def test_links_of_a_graph_follow_from_all_earlier_nodes(spark):
+    m = np.random.default_rng(4).standard_normal((400, 8))
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    whole, parts = knn.GraphShard(m=4), knn.GraphShard(m=4)
+    whole.extend(m)
+    for at in range(0, 400, 130):
+        parts.extend(m[at : at + 130])
+    assert whole.links == parts.links and whole.entry == parts.entry
+    assert max(len(x[0]) for x in whole.links) == 8
+
+
+def test_large_shards_become_more(spark, monkeypatch):
+    m = np.random.default_rng(5).standard_normal((600, 8))
+    df = table(spark, m)
+    monkeypatch.setattr(knn, "SHARD_ROWS", 25)
+    assert len(hits(knn.graph_topk(df, df.limit(1), 30, shards=2))) == 30
+    seen = knn.graph_topk(df, df.limit(1), 600, shards=2).count()
+    assert seen == 600  # all of 24 shards, each of which one beam covers
+
+
+def test_all_pairs_by_slices_are_exact(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    m = np.concatenate([rng.standard_normal((3000, 16)), np.tile(rng.standard_normal((1, 16)), (20, 1))])
+    df = table(spark, m)
+    monkeypatch.setattr(simjoin, "EXACT_ROWS", 700)
+    want = {(r["query_id"], r["id"]) for r in knn.exact_topk(df, df, 5, exclude_self=True).where("score >= 0.25").collect()}
+    got = {(r["a"], r["b"]): r["score"] for r in lifecycle.associate_all(df, 0.25, 5, exact=True).collect()}
+    assert set(got) == {(min(p), max(p)) for p in want}
