@@ -70,11 +70,10 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_id
         own = sorted({number[w] for r in block for w in r["w"]})
         place = np.full(len(terms), -1)
         place[own] = np.arange(len(own))
-        m = np.zeros((len(own), len(block)))
-        for j, r in enumerate(block):
-            for w in r["w"]:
-                m[place[number[w]], j] += 1
-        part = counts.where(F.size("term") > 0).mapInArrow(_score(spark.sparkContext.broadcast(([r["q"] for r in block], place, idf[own], m)), to_arrow_type(queries.schema[query_id_col].dataType), k, k1, b, mean), schema)
+        # counts as coordinates: workers keep what is broadcast, and a matrix of every block would add up there
+        at_term = np.array([place[number[w]] for r in block for w in r["w"]], np.int32)
+        at_query = np.repeat(np.arange(len(block), dtype=np.int32), [len(r["w"]) for r in block])
+        part = counts.where(F.size("term") > 0).mapInArrow(_score(spark.sparkContext.broadcast(([r["q"] for r in block], place.astype(np.int32), idf[own], at_term, at_query)), to_arrow_type(queries.schema[query_id_col].dataType), k, k1, b, mean), schema)
         found = part if found is None else found.union(part)
     return ranked(found, k)
 
@@ -83,7 +82,9 @@ def _score(shared, kind: pa.DataType, k: int, k1: float, b: float, mean: float):
     """Scores of batches of documents for a block of queries: the k best of each and what ties with them."""
 
     def work(batches):
-        names, place, idf, m = shared.value
+        names, place, idf, at_term, at_query = shared.value
+        m = np.zeros((len(idf), len(names)))
+        np.add.at(m, (at_term, at_query), 1)
         for batch in (x.slice(s, 1000) for x in batches for s in range(0, x.num_rows, 1000)):
             order = np.argsort(np.array(batch.column(0).to_pylist()), kind="stable")
             offsets = batch.column(2).offsets.to_numpy()

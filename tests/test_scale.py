@@ -1,10 +1,9 @@
 """Steps whose results or costs must hold beyond small tables."""
 
 import numpy as np
-import pytest
 from pyspark.sql import functions as F
 
-from sagewell.operators import knn, lifecycle, simjoin
+from sagewell.operators import knn, lexical, lifecycle, simjoin
 
 SCHEMA = "vec_id bigint, embedding array<double>"
 
@@ -51,3 +50,14 @@ def test_all_pairs_by_slices_are_exact(spark, monkeypatch):
     want = {(r["query_id"], r["id"]) for r in knn.exact_topk(df, df, 5, exclude_self=True).where("score >= 0.25").collect()}
     got = {(r["a"], r["b"]): r["score"] for r in lifecycle.associate_all(df, 0.25, 5, exact=True).collect()}
     assert set(got) == {(min(p), max(p)) for p in want}
+
+
+def test_blocks_of_queries_broadcast_counts_and_no_matrix(spark, monkeypatch):
+    sent = []
+    broadcast = type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: sent.append(value) or broadcast(self, value))
+    docs = spark.createDataFrame([(i, f"w{i} w{i % 7} w{i % 5}") for i in range(300)], "doc_id bigint, text string")
+    got = lexical.bm25_topk(docs, docs.select(F.col("doc_id").alias("query_id"), "text"), 3, queries_per_block=150)
+    assert {r["query_id"] for r in got.where("id = query_id").collect()} == set(range(300))
+    blocks = [v for v in sent if isinstance(v, tuple)]
+    assert len(blocks) == 2 and all(np.ndim(x) <= 1 for v in blocks for x in v[1:])
