@@ -98,3 +98,27 @@ def test_odd_rows_and_nothing_at_all(spark, tmp_path):
     assert empty.search(asked(spark, ["a"]), 3).collect() == []
     empty.insert(table(spark, [(5, "a", "x", "x")]))
     assert [r["id"] for r in empty.search(asked(spark, ["a"]), 3).collect()] == [5]
+
+
+def test_a_block_is_shuffled_once_whatever_number_of_queries_want_it(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(postings, "RANGE_DOCS", 50)
+    monkeypatch.setattr(postings, "QUERIES_AT_ONCE", 3)
+    rows = some_docs(9, range(300), words=20)
+    index = PostingsIndex.build(table(spark, rows), str(tmp_path / "index"))
+    index.insert(table(spark, some_docs(10, range(0, 300, 4), words=20)))
+    queries = asked(spark, ["w0 w1 w2 w3 w3"] * 8)
+    needed, _, mean = index.plan(queries, 4)
+    best = index._best(needed, mean, 4)
+    counts = best.groupBy("query_id").count().collect()
+    assert len(counts) == 8 and max(r["count"] for r in counts) <= 4 * needed.select("generation", "range").distinct().count()
+    hits = index.search(queries, 4).collect()
+    assert len({tuple((r["rank"], r["id"], r["score"]) for r in hits if r["query_id"] == q) for q in range(8)}) == 1 and len(hits) == 32
+
+
+def test_a_range_in_two_pieces(spark, tmp_path):
+    rows = some_docs(11, range(90), words=15)
+    index = PostingsIndex.build(table(spark, rows), str(tmp_path / "index"))
+    forward = spark.read.parquet(f"{index.folder}/docs/0").repartition(5)
+    index._write_blocks(forward, 0, 1)
+    assert forward.select("range").distinct().count() == 1 and index._read("blocks").groupBy("term").count().agg(F.max("count")).first()[0] > 1
+    same(spark, index, rows)
