@@ -61,3 +61,19 @@ def test_blocks_of_queries_broadcast_counts_and_no_matrix(spark, monkeypatch):
     assert {r["query_id"] for r in got.where("id = query_id").collect()} == set(range(300))
     blocks = [v for v in sent if isinstance(v, tuple)]
     assert len(blocks) == 2 and all(np.ndim(x) <= 1 for v in blocks for x in v[1:])
+
+
+def test_graph_finds_copies_with_their_vector(spark, tmp_path):
+    rng = np.random.default_rng(21)
+    base = rng.standard_normal((40, 8))
+    rows = [(i, base[i % 40].tolist()) for i in range(2400)]  # sixty copies of each: more than a node has links
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    asked = df.where("vec_id < 40")
+    key = lambda d: sorted((r["query_id"], r["rank"], r["id"]) for r in d.collect())
+    truth = key(knn.exact_topk(df, asked, 70))
+    index = knn.GraphIndex.build(df.where("vec_id % 3 > 0"), str(tmp_path / "graph"))
+    index.insert(df.where("vec_id % 3 < 2"))
+    assert key(index.search(asked, 70)) == truth
+    assert key(knn.graph_topk(df, asked, 70)) == truth
+    index.remove(df.where("vec_id < 400").select("vec_id"))
+    assert key(index.search(asked, 10)) == key(knn.exact_topk(df.where("vec_id >= 400"), asked, 10))
