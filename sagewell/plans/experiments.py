@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import time
 
 import numpy as np
@@ -18,6 +19,9 @@ from ..sources.files import transcript
 #: Ages in days of the newest version and of the two older ones; words dropped from these.
 FRESH_AGE, STALE = 1.0, {"mid": (90.0, 20), "old": (180.0, 10)}
 
+#: Versions of topics that a task compares with a block of questions.
+TOPIC_ROWS = 4096
+
 
 def synthetic(spark: SparkSession, documents: int = 500, clusters: int = 10, queries: int = 50, dim: int = 32, noise: float = 0.3, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """Unit vectors around random centres, and queries nearer to them: (id, embedding, label) each."""
@@ -66,9 +70,12 @@ def freshness_experiment(topics: DataFrame, embedder: str = "hash", most_topics:
     corpus = version("fresh", F.col("text"), FRESH_AGE)
     for name, (age, every) in STALE.items():
         corpus = corpus.union(version(name, drift(F.col("text"), every), age))
-    vectors = embed.embed_texts(corpus, "text", embedder)
+    ages = corpus.select("id", "age")
+    # embedded once, and dealt to tasks of a bounded number of pairs, as every topic asks
+    corpus = corpus.repartition(max(corpus.sparkSession.sparkContext.defaultParallelism, math.ceil(3 * chosen.count() / TOPIC_ROWS)))
+    vectors = pinned(embed.embed_texts(corpus, "text", embedder).select("id", "embedding"))
     asked = embed.embed_texts(chosen.select(F.col("topic").cast("string").alias("id"), F.col("question").alias("text")), "text", embedder)
-    hits = knn.exact_topk(vectors, asked, 20, "id", "embedding").withColumnRenamed("score", "cosine").join(corpus.select("id", "age"), "id")
+    hits = pinned(knn.exact_topk(vectors, asked, 20, "id", "embedding")).withColumnRenamed("score", "cosine").join(ages, "id")
 
     def arm(age) -> DataFrame:
         c = hits.select("query_id", "id", F.col("rank").alias("pos"), "cosine", F.col("id").alias("source_file"), F.lit(1.0).alias("strength"), age.alias("age_days"), F.lit(None).cast("string").alias("source"), F.lit(0).alias("ref_count"))

@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from sagewell.operators import knn, lexical, lifecycle, simjoin
+from sagewell.plans import experiments
 
 SCHEMA = "vec_id bigint, embedding array<double>"
 
@@ -77,3 +78,12 @@ def test_graph_finds_copies_with_their_vector(spark, tmp_path):
     assert key(knn.graph_topk(df, asked, 70)) == truth
     index.remove(df.where("vec_id < 400").select("vec_id"))
     assert key(index.search(asked, 10)) == key(knn.exact_topk(df.where("vec_id >= 400"), asked, 10))
+
+
+def test_versions_of_topics_are_dealt_to_tasks(spark, monkeypatch):
+    monkeypatch.setattr(experiments, "TOPIC_ROWS", 10)
+    seen, search = [], knn.exact_topk
+    monkeypatch.setattr(experiments.knn, "exact_topk", lambda vectors, *a: seen.append(vectors.rdd.glom().map(len).collect()) or search(vectors, *a))
+    topics = spark.createDataFrame([(i, f"alpha beta w{i} gamma delta w{i + 1}", f"w{i} beta") for i in range(100)], "topic int, text string, question string").coalesce(1)
+    assert experiments.freshness_experiment(topics).count() == 1
+    assert len(seen[0]) == 30 and sum(seen[0]) == 300 and max(seen[0]) <= 40
