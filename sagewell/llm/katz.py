@@ -285,7 +285,7 @@ class _Chunk:
     def __init__(self, texts: pa.Table, answers: pa.Table, totals: Totals):
         row = {x: texts.column(x)[0].as_py() for x in ("ids", "held", "sizes", "a")}
         self.ids, self.held, self.totals = row["ids"], unpack(row["held"], "u1").astype(bool), totals
-        self.tokens, self.sizes = unpack_ints(row["a"]), unpack_ints(row["sizes"])
+        self.tokens, self.sizes = unpack_ints(row["a"]).astype(np.int32), unpack_ints(row["sizes"])
         self.first = np.cumsum(self.sizes) - self.sizes
         self.in_train = np.repeat(~self.held, self.sizes)
         n, none = int(self.tokens.max()) + 1, np.zeros(0, np.int64)
@@ -300,19 +300,26 @@ class _Chunk:
 
     def build(self, level: int) -> _Level:
         """The distinct n-grams of a level that have a known context."""
-        low, width = self.levels[level - 1], len(self.levels[1].gid)
-        context = np.empty(len(self.tokens), np.int64)
+        low, width = self.levels[level - 1], len(self.levels[1].count)
+        context = np.empty(len(self.tokens), np.int32)
         context[1:] = low.where[:-1]
         context[self.first] = int(self.tokens[-1]) if level == 2 else -1  # a text's first word follows END
         if len(low.count):
-            context[(context >= 0) & (low.count[context] == 0)] = -1
-        at = np.flatnonzero(context >= 0)
-        where, keys = pd.factorize(context[at] * width + self.tokens[at])
-        every = np.full(len(self.tokens), -1, np.int64)
-        every[at] = where
-        suffix = np.zeros(len(keys), np.int64)
-        suffix[where] = low.where[at]
-        self.levels[level] = out = _Level(keys // width, keys % width, np.bincount(where[self.in_train[at]], minlength=len(keys)), every, suffix)
+            context[(low.count == 0)[context]] = -1
+        known = context >= 0
+        keys = context[known].astype(np.int64)
+        keys *= width
+        keys += self.tokens[known]
+        order = np.argsort(keys)
+        keys = keys[order]
+        starts, sizes = _runs(keys)
+        where, keys = np.empty(len(order), np.int32), keys[starts]
+        where[order] = np.repeat(np.arange(len(keys), dtype=np.int32), sizes)
+        every, suffix = context, np.zeros(len(keys), np.int32)
+        every[known] = where
+        suffix[where] = low.where[known]
+        train = np.bincount(where[self.in_train[known]], minlength=len(keys)).astype(np.int32)
+        self.levels[level] = out = _Level((keys // width).astype(np.int32), (keys % width).astype(np.int32), train, every, suffix)
         return out
 
     def asked(self, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -321,7 +328,7 @@ class _Chunk:
         Those whose end isn't known in the level below can't be; of a context that only such words
         follow one asks for its weight, with no word."""
         x, low, words = self.levels[level], self.levels[level - 1], self.levels[1]
-        pick = (low.count[x.suffix] > 0) & (x.suffix >= 0)
+        pick = (low.count > 0)[x.suffix] & (x.suffix >= 0)
         word = np.where(pick, words.gid[x.word], NO_WORD)
         has = np.zeros(len(low.count), bool)
         has[x.context[pick]] = True
@@ -330,7 +337,7 @@ class _Chunk:
         at = np.flatnonzero(pick)
         # by number of the context and word in one sort, then by block in one that keeps this order
         rank = np.empty(len(low.count), np.int64)
-        rank[np.argsort(low.gid)] = np.arange(len(low.count))
+        rank[np.argsort(low.gid)] = np.arange(len(rank))
         at = at[np.argsort(rank[x.context[at]] << 32 | word[at])]
         block = _block(low.gid[x.context[at]], word[at], low.count[x.context[at]], self.totals.blocks, self.totals.frequent)
         order = np.argsort(block.astype(np.uint16 if self.totals.blocks < 1 << 16 else np.int64), kind="stable")
@@ -339,47 +346,53 @@ class _Chunk:
     def answer(self, level: int) -> None:
         """Takes in a level's answers: counts and numbers, and the weights of its contexts."""
         x, low, t = self.levels[level], self.levels[level - 1], self.totals
-        x.count, x.gid = np.zeros(len(x.train), np.int64), np.full(len(x.train), -1, np.int64)
-        stats = np.zeros((len(low.count), 2 * LARGEST + 1), np.int64)
+        highest = level == t.order  # whose n-grams are no contexts, so that nothing asks for their numbers
+        x.count, x.gid = np.zeros(len(x.train), np.int64), None if highest else np.full(len(x.train), -1, np.int64)
+        x.below, x.alpha = backoff(low.count, np.zeros((1, LARGEST), np.int64), np.zeros(1), t.ratio(level))
+
+        def weigh(contexts: np.ndarray, stats: np.ndarray) -> None:
+            # the probability of seen words in the level below, whose context is one word shorter
+            r = t.ratio(level - 1)[1:] * np.arange(1, LARGEST + 1)
+            lower = stats[:, LARGEST : 2 * LARGEST] @ r + stats[:, -1] * t.above(level - 1)
+            divided = max(t.words.tokens, 1) if level == 2 else np.maximum(low.below[low.suffix[contexts]], 1)
+            x.below[contexts], x.alpha[contexts] = backoff(low.count[contexts], stats[:, :LARGEST], lower / divided, t.ratio(level))
+
         at, _, block = self.asked(level)
         starts, lengths = _runs(block)
         place = {int(block[s]): at[s : s + n] for s, n in zip(starts.tolist(), lengths.tolist(), strict=True)}
+        # a block's weights at a time: what they are made of takes more room than all else
         for part, counts, numbers, rare, *_ in self.given.pop((level, "ans"), []):
             own = place[part]
             x.count[own] = unpack_ints(counts)
-            x.gid[own[x.count[own] > 0]] = np.cumsum(unpack_ints(numbers)) * t.blocks + part
+            if not highest:
+                x.gid[own[x.count[own] > 0]] = np.cumsum(unpack_ints(numbers)) * t.blocks + part
             contexts = x.context[own][_runs(x.context[own])[0]]
             contexts = contexts[low.count[contexts] <= t.frequent]
-            stats[contexts] = unpack_ints(rare).reshape(2 * LARGEST + 1, -1).T
+            weigh(contexts, unpack_ints(rare).reshape(2 * LARGEST + 1, -1).T)
         if frequent := self.given.pop((level, "freq"), []):
-            local = {g: i for i, g in enumerate(low.gid.tolist()) if low.count[i] > t.frequent}
-            for *_, context, row in frequent:
-                stats[local[context]] = row
-        # the probability of seen words in the level below, whose context is one word shorter
-        r = t.ratio(level - 1)[1:] * np.arange(1, LARGEST + 1)
-        lower = stats[:, LARGEST : 2 * LARGEST] @ r + stats[:, -1] * t.above(level - 1)
-        divided = max(t.words.tokens, 1) if level == 2 else np.maximum(low.below[low.suffix], 1)
-        x.below, x.alpha = backoff(low.count, stats[:, :LARGEST], lower / divided, t.ratio(level))
+            local = {int(low.gid[i]): i for i in np.flatnonzero(low.count > t.frequent).tolist()}
+            weigh(np.array([local[r[-2]] for r in frequent]), np.array([r[-1] for r in frequent], np.int64))
 
     def log_probabilities(self) -> np.ndarray:
         """log10 of each token's probability: of its longest n-gram if that is seen, else its context's
-        backoff weight times the probability in the level below, down to single words."""
-        t = self.totals
-
-        def of(level: int) -> np.ndarray:
-            x = self.levels[level]
-            if level == 1:
-                return np.log10(t.words.prob(x.count))[x.where]
-            out, at = of(level - 1), np.flatnonzero(x.where >= 0)
+        backoff weight times the probability in the level below, down to single words. Levels are built and
+        answered one after the other, and go when the next one has taken up what it needs of them."""
+        t, words = self.totals, self.levels[1]
+        out = np.log10(t.words.prob(words.count))[self.tokens]
+        for level in range(2, t.order + 1):
+            x = self.build(level)
+            self.answer(level)
             seen = x.count > 0
             ratio = np.where(x.count <= LARGEST, t.ratio(level)[np.minimum(x.count, LARGEST)], 1.0)
             with np.errstate(divide="ignore"):
-                known = np.log10(np.where(seen, x.count, 1) * ratio / x.below[x.context])
-                weight = np.log10(x.alpha[x.context])
-            out[at] = np.where(seen[x.where[at]], known[x.where[at]], weight[x.where[at]] + out[at])
-            return out
-
-        return of(t.order)
+                own = np.where(seen, np.log10(np.where(seen, x.count, 1) * ratio / x.below[x.context]), np.log10(x.alpha)[x.context])
+            for s in range(0, len(out) if len(own) else 0, 1 << 18):
+                cut = slice(s, s + (1 << 18))
+                where = x.where[cut]
+                out[cut] = np.where(where >= 0, own[where] + np.where(seen[where], 0.0, out[cut]), out[cut])
+            if level > 2:
+                del self.levels[level - 1]
+        return out
 
 
 def _ask(level: int, shared):
@@ -424,7 +437,8 @@ def _count_grams(level: int):
 
     def work(table: pa.Table) -> pa.Table:
         block, asked = table.column("part")[0].as_py(), [_Keys(a, b) for a, b in zip(table.column("a").to_pylist(), table.column("b").to_pylist(), strict=True)]
-        contexts = np.unique(np.concatenate([k.first for k in asked]))
+        contexts = np.sort(np.concatenate([k.first for k in asked]))
+        contexts = contexts[_runs(contexts)[0]]
         every = np.concatenate([np.repeat(np.searchsorted(contexts, k.first) << 32, k.runs) | k.word for k in asked])
         where, keys = pd.factorize(every)
         order = np.argsort(keys)
@@ -498,9 +512,6 @@ def _evaluate(shared, kind: pa.DataType):
         if not texts.num_rows:
             return pa.table([pa.array([], t) for t in (kind, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())], names=names)
         c, t = _Chunk(texts, answers, shared.value), shared.value
-        for level in range(2, t.order + 1):
-            c.build(level)
-            c.answer(level)
         logs, count = c.log_probabilities(), c.levels[1].count
         base = np.log10((count + 0.5) / (t.words.tokens + 0.5 * (t.words.distinct + 1)))
         add = lambda x: np.add.reduceat(x, c.first)
