@@ -160,28 +160,32 @@ class CellTree:
         """The k best rows of `cells` (what assign() gave) in each query's probed cells: query_id, id, score, rank."""
         if (listed := self._listed(queries, n_probe, n_top)) is None:
             return search_cells(cells, self.probes(queries, n_probe, n_top), k, self.id, self.vector, exclude_self)
-        return search_listed(cells, listed, k, self.id, self.vector, exclude_self)
+        return search_listed(cells, listed, k, self.id, self.vector, exclude_self, numbers=self._numbers())
+
+    def _numbers(self) -> np.ndarray:
+        return np.concatenate([t * MOST_CELLS + np.arange(len(c)) for t, c in enumerate(self._small())])
 
     def _listed(self, queries: DataFrame, n_probe: int, n_top: int | None) -> DataFrame | None:
-        """probes() with a query's cells in a list, while the lower centroids are few enough to be broadcast."""
+        """probes() with a bit for each cell of _numbers(), while the lower centroids are few enough to be broadcast."""
         if not len(self.top) or (small := self._small()) is None:
             return None
         kinds, n_top = dict(queries.dtypes), min(n_top or max(1, math.ceil(math.sqrt(n_probe)) * 2), len(self.top))
         asked = queries.select(F.col(self.id).alias("query_id"), F.col(self.vector).alias("q")).where("q is not null")
-        cells = np.concatenate([t * MOST_CELLS + np.arange(len(c)) for t, c in enumerate(small)])
-        shared = self.spark.sparkContext.broadcast((self.top, np.concatenate(small), cells))
+        shared = self.spark.sparkContext.broadcast((self.top, np.concatenate(small), self._numbers() // MOST_CELLS))
 
         def nearest(batches):
-            top, fine, cells = shared.value
-            of = cells // MOST_CELLS
+            top, fine, of = shared.value
             for b in _slices(batches, 512):
                 q = _unit(_matrix(b.column(1), top.shape[1]))
                 best = np.argsort(-(q @ _unit(top).T), axis=1, kind="stable")[:, :n_top]
-                near, chosen = q @ _unit(fine).T, np.zeros((len(q), len(top)), bool)
+                chosen = np.zeros((len(q), len(top)), bool)
                 np.put_along_axis(chosen, best, True, 1)
                 chosen = chosen[:, of]
-                order = np.argsort(np.where(chosen, -near, np.inf), axis=1, kind="stable")
-                lists = [cells[o[: min(n_probe, n)]].tobytes() for o, n in zip(order, chosen.sum(1).tolist(), strict=True)]
+                if len(many := np.flatnonzero(chosen.sum(1) > n_probe)):
+                    order = np.argsort(np.where(chosen[many], -(q[many] @ _unit(fine).T), np.inf), axis=1, kind="stable")
+                    chosen[many] = False
+                    chosen[many[:, None], order[:, :n_probe]] = True
+                lists = [x.tobytes() for x in np.packbits(chosen, axis=1)]
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lists, pa.binary())], names=["query_id", "q", "cells"])
 
         return asked.mapInArrow(nearest, f"query_id {kinds[self.id]}, q {kinds[self.vector]}, cells binary")

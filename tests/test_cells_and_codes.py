@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sagewell.functions import rotation
+from sagewell.functions.tables import pinned
 from sagewell.operators import celltree, knn, quantize
 
 
@@ -82,6 +83,18 @@ def test_tree_of_nothing(spark):
     assert tree.assign(clustered(spark, 10)).collect() == [] and len(tree) == 0
 
 
+def test_many_probed_cells_are_bits(spark):
+    df = clustered(spark, 900)
+    tree, asked = celltree.CellTree.fit(df), df.where("vec_id % 20 = 0")
+    cells, n = pinned(tree.assign(df)), len(tree)
+    for n_probe, n_top in ((10_000, 10_000), (n // 2, 10_000), (5, 3)):
+        listed = tree._listed(asked, n_probe, n_top).agg(F.max(F.octet_length("cells"))).first()[0]
+        assert listed <= (n + 7) // 8
+        plain = knn.search_cells(cells, tree.probes(asked, n_probe, n_top), 7, "vec_id", "embedding", True)
+        got = tree.search(cells, asked, 7, n_probe, n_top, True)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.collect()))
+
+
 def test_both_sides_of_a_cell_are_dealt_to_slices(spark):
     df = clustered(spark, 400)
     c = knn.kmeans_cells(df, 3)
