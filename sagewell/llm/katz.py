@@ -20,7 +20,6 @@ from functools import reduce
 from itertools import count
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
@@ -112,26 +111,51 @@ def _runs(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.diff(np.append(starts, len(sorted_values)))
 
 
+def _sort(keys: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys from 0 to top in order, and the places they come from, equal ones in order of place. Key and place
+    are sorted as one number where they fit in 63 bits, which takes a third of the time."""
+    bits = len(keys).bit_length()
+    if int(top).bit_length() + bits > 63:
+        order = np.argsort(keys, kind="stable")
+        return keys[order], order
+    both = keys.astype(np.int64)
+    both <<= bits
+    both |= np.arange(len(keys))
+    both.sort()
+    order = both & ((1 << bits) - 1)
+    both >>= bits
+    return both, order
+
+
+def _number(keys: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in order, which of them each key is, and where each is first."""
+    keys, order = _sort(keys, top)
+    starts, sizes = _runs(keys)
+    which = np.empty(len(keys), np.int32)
+    which[order] = np.repeat(np.arange(len(starts), dtype=np.int32), sizes)
+    return keys[starts], which, order[starts]
+
+
 def _statistics(context: np.ndarray, counts: np.ndarray, lower: np.ndarray, n: int) -> np.ndarray:
-    """What the weights of contexts 0..n-1 are made of, from their seen n-grams: how many have each count
-    up to LARGEST, how many have each such count in the level below, and the sum of larger ones there."""
-    out = np.zeros((n, 2 * LARGEST + 1), np.int64)
-    for r in range(1, LARGEST + 1):
-        out[:, r - 1] = np.bincount(context[counts == r], minlength=n)
-        out[:, LARGEST + r - 1] = np.bincount(context[(lower == r) & (counts > 0)], minlength=n)
-    large = (lower > LARGEST) & (counts > 0)
-    out[:, -1] = np.bincount(context[large], lower[large], n)
+    """What the weights of contexts 0..n-1 are made of, from their seen n-grams, a column for each: how many have
+    each count up to LARGEST, how many have each such count in the level below, and the sum of larger ones there."""
+    out = np.zeros((2 * LARGEST + 1, n), np.int64)
+    for at, values in ((0, counts), (LARGEST, lower)):
+        some = np.flatnonzero((values > 0) & (values <= LARGEST))
+        out[at : at + LARGEST] = np.bincount((values[some] - 1) * n + context[some], minlength=LARGEST * n).reshape(LARGEST, n)
+    large = np.flatnonzero(lower > LARGEST)
+    out[-1] = np.bincount(context[large], lower[large], n)
     return out
 
 
 def backoff(context_count: np.ndarray, by_count: np.ndarray, mass: np.ndarray, ratio: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of contexts: what seen n-grams' counts are divided by, and the backoff weight.
 
-    by_count[:, r-1] says how many n-grams have count r; mass is the probability in the level below of
+    by_count[r-1] says how many n-grams have count r; mass is the probability in the level below of
     all seen words. A context without discounted n-grams is divided by one more than its count, which
     frees mass for unseen words; either way the context's probabilities add up to one.
     """
-    lost = (by_count * np.arange(1, LARGEST + 1) * (1 - ratio[1:])).sum(1)
+    lost = sum(by_count[r - 1] * (r * (1 - ratio[r])) for r in range(1, LARGEST + 1))
     below = np.where(lost > 0, context_count, context_count + 1)
     left = np.where(lost > 0, lost / np.maximum(context_count, 1), 1 / (context_count + 1))
     return below, left / np.maximum(1 - mass, 1e-300)
@@ -296,6 +320,10 @@ class _Chunk:
         for _, local, numbers, counts, *_ in self.given.pop((1, "ans"), []):
             at = np.cumsum(unpack_ints(local))
             gid[at], count[at] = unpack_ints(numbers) - 1, unpack_ints(counts)
+        # words in order of their numbers, so that n-grams are sorted by them once and for all
+        order, rank = np.argsort(gid, kind="stable"), np.empty(n, np.int32)
+        rank[order] = np.arange(n)
+        self.tokens, gid, count = rank[self.tokens], gid[order], count[order]
         self.levels = {1: _Level(none, np.arange(n), none, self.tokens, none, count, gid)}
 
     def build(self, level: int) -> _Level:
@@ -306,56 +334,58 @@ class _Chunk:
         context[self.first] = int(self.tokens[-1]) if level == 2 else -1  # a text's first word follows END
         if len(low.count):
             context[(low.count == 0)[context]] = -1
-        known = context >= 0
+        known = np.flatnonzero(context >= 0)
         keys = context[known].astype(np.int64)
         keys *= width
         keys += self.tokens[known]
-        order = np.argsort(keys)
-        keys = keys[order]
-        starts, sizes = _runs(keys)
-        where, keys = np.empty(len(order), np.int32), keys[starts]
-        where[order] = np.repeat(np.arange(len(keys), dtype=np.int32), sizes)
-        every, suffix = context, np.zeros(len(keys), np.int32)
-        every[known] = where
-        suffix[where] = low.where[known]
+        keys, where, first = _number(keys, len(low.count) * width)
+        suffix = low.where[known[first]]
         train = np.bincount(where[self.in_train[known]], minlength=len(keys)).astype(np.int32)
-        self.levels[level] = out = _Level((keys // width).astype(np.int32), (keys % width).astype(np.int32), train, every, suffix)
+        context[known] = where
+        above = (keys // width).astype(np.int32)
+        keys -= above.astype(np.int64) * width
+        self.levels[level] = out = _Level(above, keys.astype(np.int32), train, context, suffix)
         return out
 
     def asked(self, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Which n-grams are asked for, sorted by block, context and word; the words' numbers and the blocks.
+        """Which n-grams are asked for, sorted by block, context and word; whether each asks for its word too; the blocks.
 
         Those whose end isn't known in the level below can't be; of a context that only such words
         follow one asks for its weight, with no word."""
-        x, low, words = self.levels[level], self.levels[level - 1], self.levels[1]
-        pick = (low.count > 0)[x.suffix] & (x.suffix >= 0)
-        word = np.where(pick, words.gid[x.word], NO_WORD)
+        x, low, t = self.levels[level], self.levels[level - 1], self.totals
+        full = (low.count > 0)[x.suffix] & (x.suffix >= 0)
         has = np.zeros(len(low.count), bool)
-        has[x.context[pick]] = True
-        alone = np.flatnonzero(~pick & ~has[x.context])
-        pick[alone[np.unique(x.context[alone], return_index=True)[1]]] = True
+        has[x.context[full]] = True
+        alone = np.flatnonzero(~has[x.context])
+        pick = full.copy()
+        pick[alone[_runs(x.context[alone])[0]]] = True
         at = np.flatnonzero(pick)
-        # by number of the context and word in one sort, then by block in one that keeps this order
-        rank = np.empty(len(low.count), np.int64)
-        rank[np.argsort(low.gid)] = np.arange(len(rank))
-        at = at[np.argsort(rank[x.context[at]] << 32 | word[at])]
-        block = _block(low.gid[x.context[at]], word[at], low.count[x.context[at]], self.totals.blocks, self.totals.frequent)
-        order = np.argsort(block.astype(np.uint16 if self.totals.blocks < 1 << 16 else np.int64), kind="stable")
-        return at[order], word[at[order]], block[order]
+        # n-grams are sorted by context and word: contexts move as a whole, frequent ones n-gram by n-gram
+        context = x.context[at]
+        heads = np.flatnonzero(np.append(True, context[1:] != context[:-1])[: len(at)] | (low.count > t.frequent)[context])
+        sizes, context, lead = np.diff(np.append(heads, len(at))), context[heads], at[heads]
+        gid, word = low.gid[context], np.where(full[lead], self.levels[1].gid[x.word[lead]], NO_WORD)
+        block = _block(gid, word, low.count[context], t.blocks, t.frequent)
+        by = _sort(gid, int(gid.max(initial=0)))[1] if level > 2 else np.arange(len(gid))
+        by = by[np.argsort(block[by].astype(np.uint16 if t.blocks < 1 << 16 else np.int64), kind="stable")]
+        sizes = sizes[by]
+        place = np.repeat(heads[by] - np.cumsum(sizes) + sizes, sizes)
+        place += np.arange(len(at))
+        at = at[place]
+        return at, full[at], np.repeat(block[by], sizes)
 
     def answer(self, level: int) -> None:
         """Takes in a level's answers: counts and numbers, and the weights of its contexts."""
         x, low, t = self.levels[level], self.levels[level - 1], self.totals
         highest = level == t.order  # whose n-grams are no contexts, so that nothing asks for their numbers
         x.count, x.gid = np.zeros(len(x.train), np.int64), None if highest else np.full(len(x.train), -1, np.int64)
-        x.below, x.alpha = backoff(low.count, np.zeros((1, LARGEST), np.int64), np.zeros(1), t.ratio(level))
+        x.below, x.alpha = backoff(low.count, np.zeros((LARGEST, 1), np.int64), np.zeros(1), t.ratio(level))
 
         def weigh(contexts: np.ndarray, stats: np.ndarray) -> None:
             # the probability of seen words in the level below, whose context is one word shorter
-            r = t.ratio(level - 1)[1:] * np.arange(1, LARGEST + 1)
-            lower = stats[:, LARGEST : 2 * LARGEST] @ r + stats[:, -1] * t.above(level - 1)
+            lower = sum(stats[LARGEST + r - 1] * (r * t.ratio(level - 1)[r]) for r in range(1, LARGEST + 1)) + stats[-1] * t.above(level - 1)
             divided = max(t.words.tokens, 1) if level == 2 else np.maximum(low.below[low.suffix[contexts]], 1)
-            x.below[contexts], x.alpha[contexts] = backoff(low.count[contexts], stats[:, :LARGEST], lower / divided, t.ratio(level))
+            x.below[contexts], x.alpha[contexts] = backoff(low.count[contexts], stats[:LARGEST], lower / divided, t.ratio(level))
 
         at, _, block = self.asked(level)
         starts, lengths = _runs(block)
@@ -368,10 +398,10 @@ class _Chunk:
                 x.gid[own[x.count[own] > 0]] = np.cumsum(unpack_ints(numbers)) * t.blocks + part
             contexts = x.context[own][_runs(x.context[own])[0]]
             contexts = contexts[low.count[contexts] <= t.frequent]
-            weigh(contexts, unpack_ints(rare).reshape(2 * LARGEST + 1, -1).T)
+            weigh(contexts, unpack_ints(rare).reshape(2 * LARGEST + 1, -1))
         if frequent := self.given.pop((level, "freq"), []):
             local = {int(low.gid[i]): i for i in np.flatnonzero(low.count > t.frequent).tolist()}
-            weigh(np.array([local[r[-2]] for r in frequent]), np.array([r[-1] for r in frequent], np.int64))
+            weigh(np.array([local[r[-2]] for r in frequent]), np.array([r[-1] for r in frequent], np.int64).T)
 
     def log_probabilities(self) -> np.ndarray:
         """log10 of each token's probability: of its longest n-gram if that is seen, else its context's
@@ -386,10 +416,11 @@ class _Chunk:
             ratio = np.where(x.count <= LARGEST, t.ratio(level)[np.minimum(x.count, LARGEST)], 1.0)
             with np.errstate(divide="ignore"):
                 own = np.where(seen, np.log10(np.where(seen, x.count, 1) * ratio / x.below[x.context]), np.log10(x.alpha)[x.context])
-            for s in range(0, len(out) if len(own) else 0, 1 << 18):
+            own, seen = np.append(own, 0.0), np.append(seen, False)  # the last stands for a context that isn't known
+            for s in range(0, len(out), 1 << 18):
                 cut = slice(s, s + (1 << 18))
                 where = x.where[cut]
-                out[cut] = np.where(where >= 0, own[where] + np.where(seen[where], 0.0, out[cut]), out[cut])
+                out[cut] = own[where] + np.where(seen[where], 0.0, out[cut])
             if level > 2:
                 del self.levels[level - 1]
         return out
@@ -406,7 +437,9 @@ def _ask(level: int, shared):
             c.build(k)
             c.answer(k)
         x, low = c.build(level), c.levels[level - 1]
-        at, word, block = c.asked(level)
+        at, full, block = c.asked(level)
+        word = np.where(full, c.levels[1].gid[x.word[at]], NO_WORD)
+        lower = np.where(full, low.count[x.suffix[at]], 0)
         starts, lengths = _runs(block)
         for s, n in zip(starts.tolist(), lengths.tolist(), strict=True):
             own = at[s : s + n]
@@ -414,7 +447,7 @@ def _ask(level: int, shared):
             context = x.context[own][heads]
             # contexts: numbers, how many n-grams, whether frequent; words: numbers, counts here, and of the level below
             a = [np.diff(low.gid[context], prepend=0), runs, low.count[context] > c.totals.frequent]
-            b = [word[s : s + n], x.train[own], np.where(word[s : s + n] == NO_WORD, 0, low.count[x.suffix[own]])]
+            b = [word[s : s + n], x.train[own], lower[s : s + n]]
             rows.append(("ask", level, int(block[s]), chunk, b"", _join(list(map(pack_ints, a))), _join(list(map(pack_ints, b))), n, [], 0))
         return _table(rows)
 
@@ -431,37 +464,52 @@ class _Keys:
         self.word, self.count, self.lower = map(unpack_ints, _cut(b))
 
 
-def _count_grams(level: int):
+def _reply(level: int, highest: bool, block: int, chunk: int, q: _Keys, own: np.ndarray, at: np.ndarray, rare: np.ndarray) -> list[tuple]:
+    """Answers of a block to a chunk ('ans'): counts, places in the block's table, and what the weights of
+    contexts are made of; of frequent contexts which the chunk asks for ('want')."""
+    numbers = at[:0] if highest else np.diff(at[own > 0], prepend=0)
+    rows = [("ans", level, block, chunk, pack_ints(own), pack_ints(numbers), pack_ints(rare.reshape(-1)), 0, [], 0)]
+    return rows + [("want", level, block, chunk, b"", b"", b"", int(x), [], 0) for x in q.first[q.frequent].tolist()]
+
+
+def _count_grams(level: int, answers: bool = False, highest: bool = False):
     """A block's n-grams over all chunks: a row of the level's table ('gram') with contexts, words and counts,
-    and of frequent contexts, which have n-grams in many blocks, what is here of their weights ('freq')."""
+    and of frequent contexts, which have n-grams in many blocks, what is here of their weights ('freq'). With
+    answers, what _answer_grams() says as well, so that questions are shuffled, read and sorted once."""
 
     def work(table: pa.Table) -> pa.Table:
         block, asked = table.column("part")[0].as_py(), [_Keys(a, b) for a, b in zip(table.column("a").to_pylist(), table.column("b").to_pylist(), strict=True)]
-        contexts = np.sort(np.concatenate([k.first for k in asked]))
-        contexts = contexts[_runs(contexts)[0]]
-        every = np.concatenate([np.repeat(np.searchsorted(contexts, k.first) << 32, k.runs) | k.word for k in asked])
-        where, keys = pd.factorize(every)
-        order = np.argsort(keys)
-        keys, where, head = keys[order], np.argsort(order)[where], np.empty(len(keys), np.int64)
-        head[where] = np.arange(len(where))
-        counts = np.bincount(where, np.concatenate([k.count for k in asked]), len(keys)).astype(np.int64)
-        lower = np.concatenate([k.lower for k in asked])[head]
+        every = lambda name: np.concatenate([getattr(k, name) for k in asked])
+        first, word = every("first"), every("word")
+        contexts, of, _ = _number(first, int(first.max()))
+        bits = (int(word.max(initial=0, where=word != NO_WORD)) + 1).bit_length()  # no word is the largest, in fewer bits too
+        keys = np.repeat(of, every("runs")).astype(np.int64) << bits | word & ((1 << bits) - 1)
+        del first, word
+        keys, which, head = _number(keys, len(contexts) << bits)
+        counts = np.bincount(which, every("count"), len(keys)).astype(np.int64)
         at = np.flatnonzero(counts)
-        heads, runs = _runs(keys[at] >> 32)
-        a = [np.diff(contexts[keys[at][heads] >> 32], prepend=0), runs]
-        b = [keys[at] & NO_WORD, counts[at], lower[at]]
-        rows = [("gram", level, block, -1, b"", _join(list(map(pack_ints, a))), _join(list(map(pack_ints, b))), int(counts.sum()), _spectrum(counts[at]), len(at))]
-        if len(large := np.unique(np.concatenate([k.first[k.frequent] for k in asked]))):
-            stats = _statistics(keys[at] >> 32, counts[at], lower[at], len(contexts))
-            rows += [("freq", level, block, -1, b"", b"", b"", g, stats[j].tolist(), 0) for g, j in zip(large.tolist(), np.searchsorted(contexts, large).tolist(), strict=True)]
+        keys, seen, lower = keys[at], counts[at], every("lower")[head[at]]
+        context = keys >> bits
+        heads, runs = _runs(context)
+        a = [np.diff(contexts[context[heads]], prepend=0), runs]
+        b = [keys & ((1 << bits) - 1), seen, lower]
+        rows = [("gram", level, block, -1, b"", _join(list(map(pack_ints, a))), _join(list(map(pack_ints, b))), int(seen.sum()), _spectrum(seen), len(at))]
+        large = np.unique(np.concatenate([k.first[k.frequent] for k in asked]))
+        stats = _statistics(context, seen, lower, len(contexts)) if answers or len(large) else None
+        rows += [("freq", level, block, -1, b"", b"", b"", g, stats[:, j].tolist(), 0) for g, j in zip(large.tolist(), np.searchsorted(contexts, large).tolist(), strict=True)]
+        if answers:
+            place, n, m = np.cumsum(counts > 0) - 1, 0, 0
+            for chunk, k in zip(table.column("chunk").to_pylist(), asked, strict=True):
+                mine, own = which[n : n + len(k.word)], of[m : m + len(k.first)]
+                rows += _reply(level, highest, block, chunk, k, counts[mine], place[mine], stats[:, own[~k.frequent]])
+                n, m = n + len(k.word), m + len(k.first)
         return _table(rows)
 
     return work
 
 
 def _answer_grams(level: int, highest: bool):
-    """Answers of a block of the level's table to each chunk ('ans'): counts, numbers and what the weights of
-    contexts are made of; of frequent contexts which chunks ask ('want')."""
+    """Answers of a block of the level's table to each chunk."""
 
     def work(key, asked: pa.Table, known: pa.Table) -> pa.Table:
         if not asked.num_rows:
@@ -472,7 +520,8 @@ def _answer_grams(level: int, highest: bool):
         of = np.repeat(np.arange(len(contexts)), k.runs) if k else contexts
         keys = of << 32 | k.word if k else contexts
         counts = np.append(k.count if k else contexts, 0)
-        stats = np.concatenate([_statistics(of, counts[:-1], k.lower, len(contexts)) if k else np.zeros((0, 2 * LARGEST + 1), np.int64), np.zeros((1, 2 * LARGEST + 1), np.int64)])
+        none = np.zeros((2 * LARGEST + 1, 1), np.int64)
+        stats = np.concatenate([_statistics(of, counts[:-1], k.lower, len(contexts)), none], 1) if k else none
 
         def find(table: np.ndarray, values: np.ndarray) -> np.ndarray:
             if not len(table):
@@ -484,26 +533,12 @@ def _answer_grams(level: int, highest: bool):
             q = _Keys(a, b)
             context = find(contexts, q.first)
             at = find(keys, np.repeat(context, q.runs) << 32 | q.word)  # an unknown context is negative and finds none
-            own = counts[at]
-            numbers = np.diff(at[own > 0], prepend=0) if not highest else np.zeros(int((own > 0).sum()), np.int64)
-            rows.append(("ans", level, block, chunk, pack_ints(own), pack_ints(numbers), pack_ints(stats[context[~q.frequent]].T.reshape(-1)), 0, [], 0))
-            rows += [("want", level, block, chunk, b"", b"", b"", int(x), [], 0) for x in q.first[q.frequent].tolist()]
+            rows += _reply(level, highest, block, chunk, q, counts[at], at, stats[:, context[~q.frequent]])
         return _table(rows)
 
     return work
 
 
-def _count_and_answer(level: int):
-    """Both for a block of the highest level, so that its questions are shuffled once."""
-    counted, answered = _count_grams(level), _answer_grams(level, True)
-
-    def work(table: pa.Table) -> pa.Table:
-        grams = counted(table)
-        return pa.concat_tables([grams, answered(None, table, grams.slice(0, 1))])
-
-    return work
-
-
 def _evaluate(shared, kind: pa.DataType):
     """Scores of a chunk's texts."""
 
@@ -566,12 +601,11 @@ def _run(docs: DataFrame, model: KatzModel | None, scores: bool, id_col: str, te
         for k in range(SLICES):
             asks = asking.where(F.col("slice") == k).drop("slice").groupBy("part")
             if train:
-                count_ = _count_and_answer(level) if highest and scores else _count_grams(level)
+                count_ = _count_grams(level, scores or not highest, highest)
                 counted.append(materialise(asks.applyInArrow(count_, _REPLY), f"grams-{level}", ["kind"]))
-            if highest and train:
                 replied.append(counted[-1])
             else:
-                known = counted[-1] if train else grams[level - 2].where(F.pmod("part", F.lit(SLICES)) == k)
+                known = grams[level - 2].where(F.pmod("part", F.lit(SLICES)) == k)
                 answered = asks.cogroup(known.where("kind = 'gram'").groupBy("part")).applyInArrow(_answer_grams(level, highest), _REPLY)
                 replied.append(materialise(answered.select(*given), f"replies-{level}", ["kind"]))
             discard(asking, f"slice={k}")
