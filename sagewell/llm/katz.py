@@ -416,6 +416,7 @@ class _Chunk:
             ratio = np.where(x.count <= LARGEST, t.ratio(level)[np.minimum(x.count, LARGEST)], 1.0)
             with np.errstate(divide="ignore"):
                 own = np.where(seen, np.log10(np.where(seen, x.count, 1) * ratio / x.below[x.context]), np.log10(x.alpha)[x.context])
+            del ratio
             own, seen = np.append(own, 0.0), np.append(seen, False)  # the last stands for a context that isn't known
             for s in range(0, len(out), 1 << 18):
                 cut = slice(s, s + (1 << 18))
@@ -479,30 +480,35 @@ def _count_grams(level: int, answers: bool = False, highest: bool = False):
 
     def work(table: pa.Table) -> pa.Table:
         block, asked = table.column("part")[0].as_py(), [_Keys(a, b) for a, b in zip(table.column("a").to_pylist(), table.column("b").to_pylist(), strict=True)]
-        every = lambda name: np.concatenate([getattr(k, name) for k in asked])
-        first, word = every("first"), every("word")
+        lengths = [len(k.word) for k in asked]
+        every = lambda name: np.concatenate([k.__dict__.pop(name) for k in asked])  # noqa: E731 - kept once, not twice
+        first, word = np.concatenate([k.first for k in asked]), every("word")
         contexts, of, _ = _number(first, int(first.max()))
         bits = (int(word.max(initial=0, where=word != NO_WORD)) + 1).bit_length()  # no word is the largest, in fewer bits too
         keys = np.repeat(of, every("runs")).astype(np.int64) << bits | word & ((1 << bits) - 1)
         del first, word
         keys, which, head = _number(keys, len(contexts) << bits)
         counts = np.bincount(which, every("count"), len(keys)).astype(np.int64)
+        lower = every("lower")[head]
         at = np.flatnonzero(counts)
-        keys, seen, lower = keys[at], counts[at], every("lower")[head[at]]
+        keys, seen, lower = keys[at], counts[at], lower[at]
+        del head, at
         context = keys >> bits
         heads, runs = _runs(context)
         a = [np.diff(contexts[context[heads]], prepend=0), runs]
         b = [keys & ((1 << bits) - 1), seen, lower]
-        rows = [("gram", level, block, -1, b"", _join(list(map(pack_ints, a))), _join(list(map(pack_ints, b))), int(seen.sum()), _spectrum(seen), len(at))]
+        rows = [("gram", level, block, -1, b"", _join(list(map(pack_ints, a))), _join(list(map(pack_ints, b))), int(seen.sum()), _spectrum(seen), len(keys))]
+        del a, b, keys
         large = np.unique(np.concatenate([k.first[k.frequent] for k in asked]))
         stats = _statistics(context, seen, lower, len(contexts)) if answers or len(large) else None
         rows += [("freq", level, block, -1, b"", b"", b"", g, stats[:, j].tolist(), 0) for g, j in zip(large.tolist(), np.searchsorted(contexts, large).tolist(), strict=True)]
+        del context, seen, lower
         if answers:
             place, n, m = np.cumsum(counts > 0) - 1, 0, 0
-            for chunk, k in zip(table.column("chunk").to_pylist(), asked, strict=True):
-                mine, own = which[n : n + len(k.word)], of[m : m + len(k.first)]
+            for chunk, k, length in zip(table.column("chunk").to_pylist(), asked, lengths, strict=True):
+                mine, own = which[n : n + length], of[m : m + len(k.first)]
                 rows += _reply(level, highest, block, chunk, k, counts[mine], place[mine], stats[:, own[~k.frequent]])
-                n, m = n + len(k.word), m + len(k.first)
+                n, m = n + length, m + len(k.first)
         return _table(rows)
 
     return work

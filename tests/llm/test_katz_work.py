@@ -1,5 +1,6 @@
 """What the Katz model does once: questions are shuffled, read and answered in one go, n-grams sorted in one sort."""
 
+import tracemalloc
 from dataclasses import replace
 from types import SimpleNamespace
 
@@ -84,3 +85,21 @@ def test_keys_are_numbered_in_order(top):
     assert (which == inverse).all()
     assert (first == at).all()
     assert len(katz._number(keys[:0], 0)[0]) == 0
+
+
+def test_a_block_is_counted_in_bounded_memory():
+    """A block holds each of its questions' numbers once: measured 93 bytes a question, 160 while readers kept theirs."""
+    rng, rows, total = np.random.default_rng(9), [], 0
+    for chunk in range(8):
+        keys = np.unique(rng.integers(0, 1 << 17, 60_000) << 16 | rng.integers(0, 1 << 16, 60_000))
+        heads, runs = katz._runs(keys >> 16)
+        a = [np.diff((keys >> 16)[heads], prepend=0), runs, np.zeros(len(heads), bool)]
+        b = [keys & 0xFFFF, rng.integers(0, 3, len(keys)), rng.integers(1, 9, len(keys))]
+        rows.append(("ask", 3, 0, chunk, b"", *(katz._join(list(map(katz.pack_ints, x))) for x in (a, b)), len(keys), [], 0))
+        total += len(keys)
+    asks = katz._table(rows)
+    tracemalloc.start()
+    katz._count_grams(3, True, True)(asks)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 125 * total
