@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.tables import pinned
-from .knn import ROWS_AT_ONCE, _matrix, _slices, _unit, lloyd, lloyd_on_cluster, nearest_cell, search_cells, search_listed
+from .knn import ROWS_AT_ONCE, _matrix, _slices, _unit, exact_topk, lloyd, lloyd_on_cluster, nearest_cell, search_cells, search_listed
 
 #: Cells of the upper level, and of the lower level in each of them: no matrix is wider.
 MOST_CELLS = 4096
@@ -156,8 +156,11 @@ class CellTree:
         order = Window.partitionBy("query_id", "q").orderBy(F.desc("near"), "cell")
         return found.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= n_probe).select("query_id", "q", "cell")
 
-    def search(self, cells: DataFrame, queries: DataFrame, k: int, n_probe: int = 10, n_top: int | None = None, exclude_self: bool = False) -> DataFrame:
-        """The k best rows of `cells` (what assign() gave) in each query's probed cells: query_id, id, score, rank."""
+    def search(self, cells: DataFrame, queries: DataFrame, k: int, n_probe: int | None = 10, n_top: int | None = None, exclude_self: bool = False) -> DataFrame:
+        """The k best rows of `cells` (what assign() gave) in each query's probed cells: query_id, id, score, rank.
+        With n_probe None these are all cells, however many there are: queries meet every row, and no cell is listed."""
+        if n_probe is None:
+            return exact_topk(cells, queries, k, self.id, self.vector, exclude_self)
         if (listed := self._listed(queries, n_probe, n_top)) is None:
             return search_cells(cells, self.probes(queries, n_probe, n_top), k, self.id, self.vector, exclude_self)
         return search_listed(cells, listed, k, self.id, self.vector, exclude_self, numbers=self._numbers())

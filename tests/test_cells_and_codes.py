@@ -1,9 +1,12 @@
 """Cells on two levels, the rotation without a matrix, packed codes and search over them."""
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from sagewell import catalog
 from sagewell.functions import rotation
 from sagewell.functions.tables import pinned
 from sagewell.operators import celltree, knn, quantize
@@ -95,6 +98,26 @@ def test_many_probed_cells_are_bits(spark):
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.collect()))
 
 
+def test_all_cells_are_more_than_ten_thousand(spark, monkeypatch, tmp_path):
+    # three upper cells of planes at right angles, a lower cell for each row; 3 to 8 are in the very last lower cell
+    monkeypatch.setattr(celltree, "shape", lambda rows: (3, 1))
+    n = 3500
+    angle = np.arange(n) / n
+    m = np.zeros((3 * n, 7))
+    planes = np.r_[0, 1, np.full(n - 2, 2), np.zeros(n - 1, int), np.ones(n - 1, int), 2, 2]
+    for p in range(3):
+        own = np.flatnonzero(planes == p)
+        m[own, 2 * p], m[own, 2 * p + 1] = np.cos(angle[: len(own)]), np.sin(angle[: len(own)])
+    m[3:9] = m[-1]
+    m[20] = np.eye(7)[6]  # has cosine zero with every other row: the smallest ids are next
+    table = pa.table({"vec_id": pa.array(range(3 * n)), "embedding": pa.array(m.tolist(), pa.list_(pa.float32())), "label": pa.array([0] * (3 * n), pa.int32())})
+    pq.write_table(table, tmp_path / "embeddings.parquet")
+    emb = spark.read.parquet(str(tmp_path / "embeddings.parquet"))
+    assert len(celltree.CellTree.fit(emb)) > 10_000
+    got = catalog.QUERIES["tree_search_all_cells"](spark, str(tmp_path)).where("query_id = 20").orderBy("rank").collect()
+    assert [r["id"] for r in got] == [20, *range(9)]
+
+
 def test_both_sides_of_a_cell_are_dealt_to_slices(spark):
     df = clustered(spark, 400)
     c = knn.kmeans_cells(df, 3)
