@@ -19,7 +19,7 @@ from ..sources.files import transcript
 #: Ages in days of the newest version and of the two older ones; words dropped from these.
 FRESH_AGE, STALE = 1.0, {"mid": (90.0, 20), "old": (180.0, 10)}
 
-#: Versions of topics that a task compares with a block of questions.
+#: Versions of topics that a task embeds.
 TOPIC_ROWS = 4096
 
 
@@ -65,17 +65,17 @@ def freshness_experiment(topics: DataFrame, embedder: str = "hash", most_topics:
     """topics: topic, text, question. Shares of topics whose newest version ranks first among its own
     versions, reranked with true ages and with equal ones, and the exact test of their difference. Every
     topic takes part unless most_topics is given."""
-    chosen = topics.orderBy("topic").limit(most_topics) if most_topics else topics
-    version = lambda name, text, age: chosen.select("topic", F.concat(F.col("topic").cast("string"), F.lit(f"#{name}")).alias("id"), text.alias("text"), F.lit(age).alias("age"))
-    corpus = version("fresh", F.col("text"), FRESH_AGE)
-    for name, (age, every) in STALE.items():
-        corpus = corpus.union(version(name, drift(F.col("text"), every), age))
-    ages = corpus.select("id", "age")
-    # embedded once, and dealt to tasks of a bounded number of pairs, as every topic asks
-    corpus = corpus.repartition(max(corpus.sparkSession.sparkContext.defaultParallelism, math.ceil(3 * chosen.count() / TOPIC_ROWS)))
+    chosen = pinned(topics.orderBy("topic").limit(most_topics) if most_topics else topics)
+    texts, age = [F.struct(F.lit("#fresh").alias("name"), "text")], F.lit(FRESH_AGE)
+    for name, (days, every) in STALE.items():
+        texts.append(F.struct(F.lit(f"#{name}").alias("name"), drift(F.col("text"), every).alias("text")))
+        age = F.when(F.endswith("id", F.lit(f"#{name}")), days).otherwise(age)
+    # embedded once, and dealt to tasks of a bounded number of texts, a topic's versions side by side; every topic asks
+    dealt = chosen.repartition(max(chosen.sparkSession.sparkContext.defaultParallelism, math.ceil(3 * chosen.count() / TOPIC_ROWS)))
+    corpus = dealt.select("topic", F.explode(F.array(*texts)).alias("version")).select(F.concat(F.col("topic").cast("string"), "version.name").alias("id"), "version.text")
     vectors = pinned(embed.embed_texts(corpus, "text", embedder).select("id", "embedding"))
-    asked = embed.embed_texts(chosen.select(F.col("topic").cast("string").alias("id"), F.col("question").alias("text")), "text", embedder)
-    hits = pinned(knn.exact_topk(vectors, asked, 20, "id", "embedding")).withColumnRenamed("score", "cosine").join(ages, "id")
+    asked = pinned(embed.embed_texts(chosen.select(F.col("topic").cast("string").alias("id"), F.col("question").alias("text")), "text", embedder).select("id", "embedding"))
+    hits = pinned(knn.exact_topk(vectors, asked, 20, "id", "embedding")).withColumnRenamed("score", "cosine").withColumn("age", age)
 
     def arm(age) -> DataFrame:
         c = hits.select("query_id", "id", F.col("rank").alias("pos"), "cosine", F.col("id").alias("source_file"), F.lit(1.0).alias("strength"), age.alias("age_days"), F.lit(None).cast("string").alias("source"), F.lit(0).alias("ref_count"))

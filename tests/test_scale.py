@@ -1,6 +1,7 @@
 """Steps whose results or costs must hold beyond small tables."""
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from sagewell.operators import knn, lexical, lifecycle, simjoin
@@ -87,3 +88,40 @@ def test_versions_of_topics_are_dealt_to_tasks(spark, monkeypatch):
     topics = spark.createDataFrame([(i, f"alpha beta w{i} gamma delta w{i + 1}", f"w{i} beta") for i in range(100)], "topic int, text string, question string").coalesce(1)
     assert experiments.freshness_experiment(topics).count() == 1
     assert len(seen[0]) == 30 and sum(seen[0]) == 300 and max(seen[0]) <= 40
+
+
+def test_rows_found_do_not_grow_with_blocks_times_partitions(spark, monkeypatch):
+    found, ranked = [], knn.ranked
+    monkeypatch.setattr(knn, "ranked", lambda rows, k: found.append(rows.count()) or ranked(rows, k))
+    df = table(spark, np.random.default_rng(31).standard_normal((400, 8)))
+    whole = hits(knn.exact_topk(df.coalesce(1), df, 3))
+    assert hits(knn.exact_topk(df.repartition(40), df, 3, "vec_id", "embedding", False, 10)) == whole
+    # forty blocks of ten queries: one task each, and not forty
+    assert found[1] == 400 * 3
+
+
+def test_runs_of_like_rows_meet_queries_by_their_largest_components(spark, monkeypatch):
+    rng = np.random.default_rng(32)
+    base = rng.random((900, 24)) ** 6
+    rows = np.repeat(base, 3, axis=0) * (1 - 0.3 * (rng.random((2700, 24)) < 0.1))
+    rows[30:90] = rows[30]  # a run of equal rows, of which the smallest ids stay
+    asked = base[:60] * (rng.random((60, 24)) < 0.7)
+    asked[0] = 0
+    products, near = [], knn.Best._near_runs
+    monkeypatch.setattr(knn.Best, "_near_runs", lambda self, part, m32, begins, *a: products.append((len(begins), len(m32))) or near(self, part, m32, begins, *a))
+
+    def best(q):
+        b = knn.Best(knn._unit(q), 7, pa.int64())
+        for at in range(0, 2700, 300):
+            b.add(pa.array(np.arange(at, at + 300)), knn._unit(rows[at : at + 300]))
+        return [tuple(x) for x in zip(*(np.asarray(c).tolist() for c in b.merge()), strict=True)]
+
+    def plain(q):
+        s = np.round(knn._unit(q) @ knn._unit(rows).T, 12)
+        return [(i, s[i, j], int(j)) for i in range(len(q)) for j in np.lexsort((np.arange(2700), -s[i]))[:7]]
+
+    key = lambda out: [(i, round(float(s), 9), j) for i, s, j in out]
+    assert key(best(asked)) == key(plain(asked))
+    assert len(products) == 8 and all(runs <= 0.6 * n for runs, n in products)
+    signed = asked - 0.05  # components below zero: row by row
+    assert key(best(signed)) == key(plain(signed)) and len(products) == 8
